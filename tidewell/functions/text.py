@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from tidewell.frame import INTEGRAL, NESTED
+from tidewell.frame import NESTED
 
 
 def uuid_text(raw: Column) -> Column:
@@ -54,21 +54,19 @@ def cell_text(value: Column, dtype: T.DataType) -> Column:
         text = time_text(value, dtype)
     elif isinstance(dtype, T.BinaryType):
         text = F.base64(value)
-    elif isinstance(dtype, (T.StringType, *INTEGRAL)):
-        text = value.cast("string")
     else:
         text = value.cast("string")
     return F.coalesce(text, F.lit(""))
 
 
-def one_line(query: Column) -> Column:
-    return F.regexp_replace(F.trim(query), r"\s+", " ")
-
-
 def query_summary(query: Column, length: int = 80) -> Column:
     """A query on one line, cut to its first characters."""
-    blank_free = F.regexp_replace(F.regexp_replace(query, r"^\s+|\s+$", ""), r"\s+", " ")
-    return F.substring(blank_free, 1, length)
+    trimmed = F.regexp_replace(query, r"^\s+|\s+$", "")
+    return F.substring(F.regexp_replace(trimmed, r"\s+", " "), 1, length)
+
+
+# Quoted text, comments, and everything between them.
+_SQL_PIECES = r"""'[^']*'|"[^"]*"|--[^\n]*|/\*[\s\S]*?\*/|[^'"/-]+|[-/'"]"""
 
 
 def query_hash(query: Column) -> Column:
@@ -76,6 +74,8 @@ def query_hash(query: Column) -> Column:
 
     Comment marks inside quoted text are left alone.
     """
-    no_comments = F.regexp_replace(query, r"""('[^']*'|"[^"]*")|--[^\n]*|/\*[\s\S]*?\*/""", "$1 ")
+    pieces = F.regexp_extract_all(query, F.lit(_SQL_PIECES), F.lit(0))
+    is_comment = lambda p: p.startswith("--") | p.startswith("/*")
+    no_comments = F.array_join(F.transform(pieces, lambda p: F.when(is_comment(p), " ").otherwise(p)), "")
     collapsed = F.regexp_replace(no_comments, r"\s+", " ")
     return F.sha2(F.regexp_replace(collapsed, r"^ +|[ ;]+$", ""), 256)

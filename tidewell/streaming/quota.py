@@ -19,8 +19,8 @@ class QuotaStream:
 
     The state is a table of at most `quota` recent allowed hits per user, one
     version per batch, so a repeated batch starts from the same state. A user's
-    clock never runs back: a hit older than one decided before counts as coming
-    at that moment.
+    clock never runs back: a hit older than the last one allowed in an earlier batch
+    counts as coming at that moment.
     """
 
     def __init__(
