@@ -112,12 +112,12 @@ SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN ? AND ? A
 """
 SQL_WINDOW = """
 SELECT o_custkey, o_orderkey, o_totalprice,
-       rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place,
+       CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place,
        lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS order_before
 FROM orders
 """
 SQL_ROLLUP = """
-SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS all_flags, count(*) AS n, sum(l_quantity) AS quantity
+SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS all_flags, count(*) AS n, sum(l_quantity) AS quantity
 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
 """
 SQL_SETOPS = """

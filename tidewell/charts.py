@@ -87,15 +87,16 @@ def downsample(df: DataFrame, ts: str, value: str, width: int, keys: Sequence[st
     if width < 1:
         raise ValueError("width must be at least 1")
     micros = F.unix_micros(col(ts).cast("timestamp"))
-    limits = df.where(col(value).isNotNull()).agg(
-        F.struct(F.min(micros).alias("lo"), F.max(micros).alias("hi")).alias("range")
-    ).scalar()
-    span = limits["hi"] - limits["lo"] + 1
-    scaled = (micros - limits["lo"]) * F.lit(width)
-    bin_no = ((scaled - scaled % span) / span).cast("long")
-    points = df.where(col(value).isNotNull()).select(
-        *[col(k) for k in keys], bin_no.alias("bin"), col(ts).alias("ts"), col(value).cast("double").alias("value")
+    present = df.where(col(value).isNotNull())
+    limits = present.agg(F.struct(F.min(micros).alias("lo"), F.max(micros).alias("hi")).alias("range")).scalar()
+    timed = present.select(
+        *[col(k) for k in keys], col(ts).alias("ts"), col(value).cast("double").alias("value"),
+        micros.alias("__at"), limits.alias("__range"),
     )
+    span = F.col("__range.hi") - F.col("__range.lo") + 1
+    scaled = (F.col("__at") - F.col("__range.lo")) * F.lit(width)
+    bin_no = ((scaled - scaled % span) / span).cast("long")
+    points = timed.select(*[col(k) for k in keys], bin_no.alias("bin"), "ts", "value")
     ends = points.groupBy(*[col(k) for k in keys], "bin").agg(
         F.min(F.struct("value", "ts")).alias("low"), F.max(F.struct("value", "ts")).alias("high")
     )

@@ -80,29 +80,28 @@ def trailing_usage(
     moves = df.select(
         *[col(k) for k in keys], F.struct(*[col(c) for c in payload]).alias("__row"), F.inline(steps)
     ).select(
-        *[col(k) for k in keys], "at", "delta",
+        *[col(k) for k in keys], "at", F.col("delta").cast("long").alias("delta"),
         F.when(F.col("delta") > 0, F.col("__row")).alias("__row"),
         F.floor(F.unix_micros(F.col("at").cast("timestamp")) / int(width * 1_000_000)).alias("__bucket"),
     )
-    within = Window.partitionBy(*[col(k) for k in keys], "__bucket").orderBy("at").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    by_key = [col(k) for k in keys]
+    before = Window.partitionBy(*by_key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # What a bucket starts with is one more row in it, ahead of all others.
     carried = (
-        moves.groupBy(*[col(k) for k in keys], "__bucket").agg(F.sum("delta").alias("__total"))
-        .withColumn("__carry", F.coalesce(F.sum("__total").over(before), F.lit(0)))
-        .select(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), "__carry")
+        moves.groupBy(*by_key, "__bucket").agg(F.sum("delta").alias("__total"))
+        .select(
+            *by_key, F.lit(None).cast(dtype_of(moves, "at")).alias("at"),
+            F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("delta"),
+            F.lit(None).cast(dtype_of(moves, "__row")).alias("__row"), "__bucket",
+        )
+    )
+    within = (
+        Window.partitionBy(*by_key, "__bucket").orderBy(F.col("at").asc_nulls_first())
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    on = [col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)] + [F.col("__bucket") == F.col("__b")]
-    condition = on[0]
-    for part in on[1:]:
-        condition = condition & part
-    counted = moves.withColumn("__local", F.sum("delta").over(within)).where("__row IS NOT NULL")
-    joined = counted.join(carried, condition, "inner")
+    counted = moves.unionAll(carried).withColumn("used", F.sum("delta").over(within)).where("__row IS NOT NULL")
     columns = [(col(c) if c in keys else F.col("__row").getField(c)).alias(c) for c in df.columns]
-    return joined.select(*columns, (F.col("__local") + F.col("__carry")).alias("used"))
+    return counted.select(*columns, "used")
 
 
 def over_quota(

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewell.frame import col, is_numeric, logical_type, numeric_columns, require, string_columns
+from tidewell.session import scratch_dir
 
 # Dictionary threshold, distinct-count cap, histogram buckets.
 DICTIONARY_THRESHOLD = 128
 DISTINCT_CAP = 10_000
 HISTOGRAM_BUCKETS = 10
 
+_DICTIONARY = "name string, value string, code long"
+
 
 def describe(df: DataFrame) -> DataFrame:
     """One row per column, in one pass over the table.
@@ -50,12 +53,10 @@ def describe(df: DataFrame) -> DataFrame:
 def _small_columns(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, bool]:
     """Which columns may have at most `limit` distinct values.
 
-    One pass of small sketches, one row back. Twice the limit leaves the
-    sketch's error (1%) far behind, so no column at the limit is missed.
+    One pass of small sketches, one row back. Twice the limit is twenty times
+    the sketch's error away, so no column at the limit is missed.
     """
-    row = df.agg(
-        *[F.approx_count_distinct(col(c), rsd=0.01).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
+    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] <= 2 * limit + 16 for i, c in enumerate(columns)}
 
 
@@ -116,8 +117,6 @@ def low_cardinality(
 
 def dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`name, value, code` per distinct value; codes count from 0 in value order."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("name").orderBy("value")
     return _distinct_values(df, columns).select(
         "name", "value", (F.row_number().over(order) - 1).cast("long").alias("code")
@@ -127,13 +126,17 @@ def dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def dictionary_encode(df: DataFrame, threshold: int = DICTIONARY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(table with text columns of few values replaced by codes, their dictionaries).
 
-    Null stays null. A dictionary has at most `threshold` entries, which bounds
-    what is sent to the executors.
+    Null stays null. The dictionaries are written to the scratch folder, so they
+    are built once. Each has at most `threshold` entries, which bounds what is
+    broadcast.
     """
+    spark = df.sparkSession
     chosen = sorted(r["name"] for r in low_cardinality(df, threshold).collect())
     if not chosen:
-        return df, df.sparkSession.createDataFrame([], "name string, value string, code long")
-    table = dictionaries(df, chosen)
+        return df, spark.createDataFrame([], _DICTIONARY)
+    path = scratch_dir(spark, "dictionary") + "/entries"
+    dictionaries(df, chosen).write.parquet(path)
+    table = spark.read.schema(_DICTIONARY).parquet(path)
     out = df
     for i, name in enumerate(chosen):
         entries = table.where(F.col("name") == name).select(
@@ -166,14 +169,15 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, buckets: int
             *[F.max(finite(c)).alias(f"hi{i}") for i, c in enumerate(names)],
         ).alias("bounds")
     )
-    limits = bounds.scalar()
+    limits = F.col("__limits")
     entries = []
     for i, c in enumerate(names):
         low, high, value = limits[f"lo{i}"], limits[f"hi{i}"], finite(c)
         share = F.floor((value - low) * buckets / F.nullif(high - low, F.lit(0.0))).cast("int") + 1
         bucket = F.when(value.isNotNull(), F.coalesce(F.least(share, F.lit(buckets)), F.lit(1)))
         entries.append(F.struct(F.lit(c).alias("name"), bucket.alias("bucket"), low.alias("lo"), high.alias("hi")))
-    counted = df.select(F.inline(F.array(*entries))).groupBy("name", "bucket", "lo", "hi").agg(
+    bounded = df.select(*[col(c) for c in names], bounds.scalar().alias("__limits"))
+    counted = bounded.select(F.inline(F.array(*entries))).groupBy("name", "bucket", "lo", "hi").agg(
         F.count(F.lit(1)).alias("n")
     )
     # At most buckets + 1 rows per column are left here.

@@ -17,7 +17,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidewell.frame import col, require
+from tidewell.frame import col, dtype_of, require
 from tidewell.session import scratch_dir
 
 DEFAULT_WINDOW = timedelta(hours=1)
@@ -26,8 +26,7 @@ MIN_RETRY_SECONDS = 1.0
 FILES_PER_SLICE = 64
 PIECES_PER_SLICE = 120
 
-_HITS = "user_key string, id long, at long, quota long, seed boolean"
-_DECISIONS = "user_key string, id long, at long, allowed boolean, used long, retry_after double"
+_DECISIONS = "id long, at long, quota long, allowed boolean, used long, retry_after double"
 
 
 def quota_admission(
@@ -40,29 +39,30 @@ def quota_admission(
     window: timedelta = DEFAULT_WINDOW,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Decide every hit: adds `allowed, used, quota, retry_after` (seconds).
+    """Decide every hit: `<user>, <order>, <ts>, allowed, used, quota, retry_after` (seconds).
 
     `quotas` has one row per user; a user without quota, or with one <= 0, is
     unlimited. Hits of one user at one moment are taken in the order of the unique
-    integer column `order`.
+    integer column `order`. Join on that column for the other columns of a hit.
     """
     require(hits, user, ts, order)
+    none = F.lit(0).cast("long")
     limits = quotas.select(col(user).alias("__user"), col(quota).cast("long").alias("__quota"))
-    joined = hits.join(limits, col(user) == F.col("__user"), "left").drop("__user")
-    narrow = joined.where(F.col("__quota") > 0).select(
-        col(user).cast("string").alias("user_key"), col(order).cast("long").alias("id"),
-        F.unix_micros(col(ts).cast("timestamp")).alias("at"), F.col("__quota").alias("quota"),
-        F.lit(False).alias("seed"),
+    joined = hits.select(
+        col(user).alias("user_key"), col(order).cast("long").alias("id"),
+        F.unix_micros(col(ts).cast("timestamp")).alias("at"),
+    ).join(limits, F.col("user_key") == F.col("__user"), "left")
+    limited = joined.where(F.col("__quota") > 0).select(
+        "user_key", "id", "at", F.col("__quota").alias("quota"), F.lit(False).alias("seed")
     )
-    decided = decide(narrow, window, max_group_rows).select(
-        F.col("id").alias("__id"), "allowed", "used", "retry_after"
+    free = joined.where(F.coalesce("__quota", none) <= 0).select(
+        "user_key", "id", "at", none.alias("quota"), F.lit(True).alias("allowed"), none.alias("used"),
+        F.lit(None).cast("double").alias("retry_after"),
     )
-    return joined.join(decided, col(order) == F.col("__id"), "left").select(
-        *[col(c) for c in hits.columns],
-        F.coalesce("allowed", F.lit(True)).alias("allowed"),
-        F.coalesce("used", F.lit(0).cast("long")).alias("used"),
-        F.coalesce(F.greatest("__quota", F.lit(0).cast("long")), F.lit(0).cast("long")).alias("quota"),
-        "retry_after",
+    moment = F.timestamp_micros("at").cast(dtype_of(hits, ts))
+    return decide(limited, window, max_group_rows).unionAll(free).select(
+        F.col("user_key").alias(user), F.col("id").cast(dtype_of(hits, order)).alias(order), moment.alias(ts),
+        "allowed", "used", "quota", "retry_after",
     )
 
 
@@ -72,18 +72,25 @@ def decide(
     """Decisions about `user_key, id, at (microseconds), quota, seed` rows.
 
     Seeds are hits allowed earlier; they count but are not decided again, and
-    must not be newer than the hits to decide.
+    must not be newer than the hits to decide. Runs a job that looks for users
+    with more than `max_group_rows` hits.
     """
     length = int(window.total_seconds() * 1_000_000)
-    sizes = hits.groupBy("user_key").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > max_group_rows).select("user_key")
-    small = hits.join(large, "user_key", "left_anti")
-    decided = small.groupBy("user_key").applyInPandas(_group_decider(length), _DECISIONS)
+    decisions = _with_key(hits, _DECISIONS)
+    large = hits.groupBy("user_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group_rows)
     if large.isEmpty():
-        return decided
+        return hits.groupBy("user_key").applyInPandas(_group_decider(length), decisions)
+    large = large.select("user_key")
+    small = hits.join(large, "user_key", "left_anti")
+    decided = small.groupBy("user_key").applyInPandas(_group_decider(length), decisions)
     return decided.unionAll(_decide_large(hits.join(large, "user_key", "left_semi"), length))
 
 
+def _with_key(hits: DataFrame, columns: str) -> T.StructType:
+    """A schema that starts with the user key in its own type."""
+    return T.StructType([T.StructField("user_key", dtype_of(hits, "user_key")), *T.StructType.fromDDL(columns)])
+
+
 def _group_decider(length: int):
     """Decide one user's hits, at most a few hundred thousand rows."""
 
@@ -104,7 +111,7 @@ def _group_decider(length: int):
                 retry.append(max(wait, MIN_RETRY_SECONDS))
             allowed.append(admit)
             used.append(len(live))
-        out = group[["user_key", "id", "at"]].assign(
+        out = group[["user_key", "id", "at", "quota"]].assign(
             allowed=allowed, used=used, retry_after=pd.Series(retry, dtype="float64")
         )
         return out[~group["seed"]]
@@ -126,19 +133,20 @@ def _decide_large(hits: DataFrame, length: int) -> DataFrame:
     # A few files per slice, however many tasks the hits come from.
     spread = sliced.repartition(F.col("slice"), F.pmod(F.xxhash64("id"), F.lit(FILES_PER_SLICE)))
     spread.write.partitionBy("slice").parquet(source)
-    stored = spark.read.schema(T.StructType.fromDDL(_HITS + ", slice long")).parquet(source)
+    stored = spark.read.schema(_with_key(hits, "id long, at long, quota long, seed boolean, slice long")).parquet(source)
     slices = sorted(r["slice"] for r in stored.select("slice").distinct().collect())
 
+    written_schema = _with_key(hits, _DECISIONS + ", seed boolean")
     written: str | None = None
     last_slice: int | None = None
     for number in slices:
         rows = stored.where(F.col("slice") == number).drop("slice")
         past = None
         if last_slice == number - 1:
-            past = spark.read.schema(T.StructType.fromDDL(_DECISIONS + ", seed boolean")).parquet(written)
+            past = spark.read.schema(written_schema).parquet(written)
         written, last_slice = f"{target}/slice={number}", number
         _decide_slice(rows, past, number * length, length).write.parquet(written)
-    decided = spark.read.schema(T.StructType.fromDDL(_DECISIONS + ", seed boolean")).parquet(
+    decided = spark.read.schema(written_schema).parquet(
         *[f"{target}/slice={n}" for n in slices]
     )
     return decided.where(~F.col("seed")).drop("seed")
@@ -200,6 +208,6 @@ def _decide_slice(hits: DataFrame, past: DataFrame | None, start: int, length: i
     oldest_end = F.coalesce(F.get(later, F.lit(0)), F.col("first_at") + length)
     wait = F.greatest((oldest_end - F.col("at")) / 1_000_000, F.lit(MIN_RETRY_SECONDS))
     return judged.join(firsts, "user_key", "left").select(
-        "user_key", "id", "at", "allowed", F.least("used_after", "quota").alias("used"),
+        "user_key", "id", "at", "quota", "allowed", F.least("used_after", "quota").alias("used"),
         F.when(~F.col("allowed"), wait).alias("retry_after"), "seed",
     )

@@ -11,7 +11,7 @@ from tidewell.operators.quota import DEFAULT_WINDOW, MAX_GROUP_ROWS, decide
 from tidewell.streaming.sinks import run_batches
 
 _STATE = "user_key string, at long, quota long"
-_OUT = "user_key string, id long, at long, allowed boolean, used long, retry_after double"
+_OUT = "user_key string, id long, at long, quota long, allowed boolean, used long, retry_after double"
 
 
 class QuotaStream:
@@ -66,17 +66,13 @@ class QuotaStream:
         target = f"{self.folder}/decisions/{number}"
         decided = decide(limited.unionAll(seeds), self.window, self.max_group_rows)
         free = narrow.where(~F.coalesce(F.col("__quota") > 0, F.lit(False))).select(
-            "user_key", "id", "at", F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("used"),
-            F.lit(None).cast("double").alias("retry_after"),
+            "user_key", "id", "at", F.lit(0).cast("long").alias("quota"), F.lit(True).alias("allowed"),
+            F.lit(0).cast("long").alias("used"), F.lit(None).cast("double").alias("retry_after"),
         )
         decided.unionAll(free).write.mode("overwrite").parquet(target)
 
-        new = self.spark.read.schema(_OUT).parquet(target).where("allowed AND used > 0")
-        grown = state.unionAll(
-            new.join(self.quotas, F.col("user_key") == F.col("__user")).select(
-                "user_key", "at", F.col("__quota").alias("quota")
-            )
-        )
+        new = self.spark.read.schema(_OUT).parquet(target).where("allowed AND quota > 0")
+        grown = state.unionAll(new.select("user_key", "at", "quota"))
         # Only what a later hit of the same user can still see is kept.
         last = grown.groupBy("user_key").agg(F.max("at").alias("clock"))
         length = int(self.window.total_seconds() * 1_000_000)

@@ -49,6 +49,20 @@ def duck_rows(con, sql):
     return [c[0] for c in result.description], result
 
 
+# The Spark type each DuckDB type should meet.
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz", "HUGEINT": "bigint", "NULL": "string",
+}
+
+
+def type_notes(df, result):
+    """Columns whose types differ between the engines (values may still agree)."""
+    mine = dict(df.dtypes)
+    theirs = {c[0]: str(c[1]) for c in result.description}
+    return [f"{n}: {mine[n]} / {t}" for n, t in theirs.items() if mine.get(n) != TYPES.get(t, t.lower())]
+
+
 def compare(spark, con, sf_dir, run, sql):
     """Problem text, or '' if both sides agree."""
     df = run(spark, sf_dir)
@@ -61,6 +75,9 @@ def compare(spark, con, sf_dir, run, sql):
     theirs = rows_of(names, result.fetchall())
     if len(mine) != len(theirs):
         return f"{len(mine)} rows against {len(theirs)}"
+    notes = type_notes(df, result)
+    if notes and mine == theirs:
+        print("     types", notes)
     wrong = [(a, b) for a, b in zip(mine, theirs) if a != b]
     return f"{len(wrong)} rows differ, first {wrong[0]}" if wrong else ""
 
