@@ -16,7 +16,7 @@ def chart_number(value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.StringType):
         # Java's number reader also takes suffixes such as 1d and 2f.
         plain = F.regexp_extract(value, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$", 1)
-        number = plain.try_cast("double")
+        number = F.when(plain != "", plain.cast("double"))
     else:
         return F.lit(None).cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)

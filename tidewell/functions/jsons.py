@@ -100,9 +100,13 @@ def is_json(body: Column) -> Column:
 
 def bounded_json_verdict(body: Column, max_depth: int = MAX_DEPTH, max_tokens: int = MAX_TOKENS) -> Column:
     """Null for an acceptable payload, else why it is refused."""
+    # Exact depth and token counts are taken only where cheap upper bounds allow
+    # a breach: the brackets of the text, and its length.
+    may_be_deep = F.regexp_count(body, F.lit(r"[\[{]")) > max_depth
+    may_be_long = F.octet_length(body) > max_tokens
     return (
         F.when(body.isNull(), F.lit("empty payload"))
-        .when(json_depth(body) > max_depth, F.lit(f"json exceeds the maximum depth of {max_depth}"))
-        .when(json_tokens(body) > max_tokens, F.lit(f"json exceeds the {max_tokens} token limit"))
+        .when(may_be_deep & (json_depth(body) > max_depth), F.lit(f"json exceeds the maximum depth of {max_depth}"))
+        .when(may_be_long & (json_tokens(body) > max_tokens), F.lit(f"json exceeds the {max_tokens} token limit"))
         .when(~is_json(body), F.lit("invalid json"))
     )

@@ -4,9 +4,10 @@ A hit is allowed if fewer than `quota` *allowed* hits of the same user lie in
 the window (ts - window, ts]; denied hits use nothing up. The decision about a
 hit depends on all decisions before it, so no plain window function can give it.
 
-Users with few hits are decided user by user. A user with more hits than
-fit a group is decided one window-long slice of time after the other, and within
-a slice by running sums that spread over many tasks (see `_decide_slice`).
+Users are decided one after the other in sorted order, many users per task. A
+user with more hits than one task should go through is decided one window-long
+slice of time after the other, and within a slice by running sums that spread
+over many tasks (see `_decide_slice`).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tidewell.frame import col, dtype_of, require
 from tidewell.session import scratch_dir
 
 DEFAULT_WINDOW = timedelta(hours=1)
-MAX_GROUP_ROWS = 500_000
+MAX_USER_ROWS = 20_000_000
 MIN_RETRY_SECONDS = 1.0
 FILES_PER_SLICE = 64
 PIECES_PER_SLICE = 120
@@ -37,7 +38,7 @@ def quota_admission(
     order: str = "event_id",
     quota: str = "quota",
     window: timedelta = DEFAULT_WINDOW,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_user_rows: int = MAX_USER_ROWS,
 ) -> DataFrame:
     """Decide every hit: `<user>, <order>, <ts>, allowed, used, quota, retry_after` (seconds).
 
@@ -60,29 +61,28 @@ def quota_admission(
         F.lit(None).cast("double").alias("retry_after"),
     )
     moment = F.timestamp_micros("at").cast(dtype_of(hits, ts))
-    return decide(limited, window, max_group_rows).unionAll(free).select(
+    return decide(limited, window, max_user_rows).unionAll(free).select(
         F.col("user_key").alias(user), F.col("id").cast(dtype_of(hits, order)).alias(order), moment.alias(ts),
         "allowed", "used", "quota", "retry_after",
     )
 
 
 def decide(
-    hits: DataFrame, window: timedelta = DEFAULT_WINDOW, max_group_rows: int = MAX_GROUP_ROWS
+    hits: DataFrame, window: timedelta = DEFAULT_WINDOW, max_user_rows: int = MAX_USER_ROWS
 ) -> DataFrame:
     """Decisions about `user_key, id, at (microseconds), quota, seed` rows.
 
     Seeds are hits allowed earlier; they count but are not decided again, and
     must not be newer than the hits to decide. Runs a job that looks for users
-    with more than `max_group_rows` hits.
+    with more than `max_user_rows` hits.
     """
     length = int(window.total_seconds() * 1_000_000)
     decisions = _with_key(hits, _DECISIONS)
-    large = hits.groupBy("user_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group_rows)
+    large = hits.groupBy("user_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_user_rows)
     if large.isEmpty():
-        return hits.groupBy("user_key").applyInPandas(_group_decider(length), decisions)
+        return _decide_in_order(hits, length, decisions)
     large = large.select("user_key")
-    small = hits.join(large, "user_key", "left_anti")
-    decided = small.groupBy("user_key").applyInPandas(_group_decider(length), decisions)
+    decided = _decide_in_order(hits.join(large, "user_key", "left_anti"), length, decisions)
     return decided.unionAll(_decide_large(hits.join(large, "user_key", "left_semi"), length))
 
 
@@ -91,32 +91,36 @@ def _with_key(hits: DataFrame, columns: str) -> T.StructType:
     return T.StructType([T.StructField("user_key", dtype_of(hits, "user_key")), *T.StructType.fromDDL(columns)])
 
 
-def _group_decider(length: int):
-    """Decide one user's hits, at most a few hundred thousand rows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "seed", "id"], ascending=[True, False, True], ignore_index=True)
-        quota = int(group["quota"].iloc[0])
-        live: deque[int] = deque()
-        allowed, used, retry = [], [], []
-        for at, seed in zip(group["at"].tolist(), group["seed"].tolist()):
-            while live and live[0] <= at - length:
-                live.popleft()
-            admit = seed or len(live) < quota
-            if admit:
-                live.append(at)
-                retry.append(None)
-            else:
-                wait = (live[0] + length - at) / 1_000_000
-                retry.append(max(wait, MIN_RETRY_SECONDS))
-            allowed.append(admit)
-            used.append(len(live))
-        out = group[["user_key", "id", "at", "quota"]].assign(
-            allowed=allowed, used=used, retry_after=pd.Series(retry, dtype="float64")
-        )
-        return out[~group["seed"]]
-
-    return run
+def _decide_in_order(hits: DataFrame, length: int, schema: T.StructType) -> DataFrame:
+    """Decide users one after the other within each task, reading sorted batches.
+
+    A task keeps the allowed hits of one user's last window, never a whole user.
+    """
+    ordered = hits.repartition("user_key").sortWithinPartitions("user_key", "at", F.desc("seed"), "id")
+
+    def run(batches):
+        user, live = None, deque()
+        for batch in batches:
+            allowed, used, retry = [], [], []
+            rows = zip(*(batch[c].tolist() for c in ("user_key", "at", "quota", "seed")))
+            for key, at, quota, seed in rows:
+                if key != user:
+                    user, live = key, deque()
+                while live and live[0] <= at - length:
+                    live.popleft()
+                admit = seed or len(live) < quota
+                wait = None if admit else max((live[0] + length - at) / 1_000_000, MIN_RETRY_SECONDS)
+                if admit:
+                    live.append(at)
+                allowed.append(admit)
+                used.append(len(live))
+                retry.append(wait)
+            out = batch[["user_key", "id", "at", "quota"]].assign(
+                allowed=allowed, used=used, retry_after=pd.Series(retry, dtype="float64", index=batch.index)
+            )
+            yield out[~batch["seed"]]
+
+    return ordered.mapInPandas(run, schema)
 
 
 def _decide_large(hits: DataFrame, length: int) -> DataFrame:

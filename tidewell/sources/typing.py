@@ -13,38 +13,48 @@ COLUMN_TYPES = {
     "int": "bigint", "float": "double", "date": "date", "datetime": "timestamp_ntz", "bool": "boolean",
     "string": "string", "bytes": "binary",
 }
-# Candidates in order: the first one every value converts to is chosen.
-_CANDIDATES = (
-    ("int", r"^[+-]?\d{1,19}$"),
-    ("float", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
-    ("bool", r"(?i)^(true|false)$"),
-    ("date", r"^\d{4}-\d{2}-\d{2}$"),
-    ("datetime", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"),
+# The kinds a value can have, each with a test of the text `c` and a bit. The
+# first that holds counts; text of no kind has the bit after them. A failing
+# try_cast is slow (it catches an exception), so shape decides first.
+_KINDS = (
+    ("int", "c RLIKE '^[+-]?[0-9]{1,18}$'"),
+    ("float", "c RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"),
+    ("bool", "lower(c) IN ('true', 'false')"),
+    (
+        "date",
+        "octet_length(c) = 10 AND c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND try_cast(c AS DATE) IS NOT NULL",
+    ),
+    (
+        "datetime",
+        "octet_length(c) >= 16 AND c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?$' "
+        "AND try_cast(c AS TIMESTAMP_NTZ) IS NOT NULL",
+    ),
 )
+_KIND_BIT = (
+    "CASE WHEN c IS NULL THEN NULL "
+    + " ".join(f"WHEN {test} THEN {1 << i}" for i, (_, test) in enumerate(_KINDS))
+    + f" ELSE {1 << len(_KINDS)} END"
+)
+# A column is of one kind, or of integers and floats.
+_TYPE_OF_BITS = {1 << i: kind for i, (kind, _) in enumerate(_KINDS)} | {0b11: "float"}
+_TYPE_CASES = " ".join(f"WHEN {bits} THEN '{kind}'" for bits, kind in _TYPE_OF_BITS.items())
 
 
 def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """`name, type, non_null` per text column, in one pass over the whole table.
 
-    A column mixing kinds (or without values) is a string column.
+    A column mixing kinds (or without values) is a string column. Integers have
+    at most 18 digits; longer ones make a float column.
     """
     names = list(columns) if columns is not None else string_columns(df)
     require(df, *names)
     if not names:
         raise ValueError("no text column to infer a type for")
-    aggregates, rows = [], []
-    for i, name in enumerate(names):
-        c = col(name)
-        aggregates.append(F.count(c).alias(f"n{i}"))
-        chosen = F.when(F.col(f"n{i}") == 0, "string")
-        for kind, pattern in _CANDIDATES:
-            fits = c.rlike(pattern) & c.try_cast(COLUMN_TYPES[kind]).isNotNull()
-            aggregates.append(F.count_if(fits).alias(f"{kind}{i}"))
-            chosen = chosen.when(F.col(f"{kind}{i}") == F.col(f"n{i}"), kind)
-        rows.append(
-            F.struct(F.lit(name).alias("name"), chosen.otherwise("string").alias("type"), F.col(f"n{i}").alias("non_null"))
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    # One row per cell keeps the generated code small however many columns there are.
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), col(n).alias("c")) for n in names])))
+    kinds = cells.select("name", F.expr(_KIND_BIT).alias("bit"))
+    totals = kinds.groupBy("name").agg(F.bit_or("bit").alias("bits"), F.count("bit").alias("non_null"))
+    return totals.select("name", F.expr(f"CASE bits {_TYPE_CASES} ELSE 'string' END").alias("type"), "non_null")
 
 
 def apply_column_types(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.frame import col
-from tidewell.operators.quota import DEFAULT_WINDOW, MAX_GROUP_ROWS, decide
+from tidewell.operators.quota import DEFAULT_WINDOW, MAX_USER_ROWS, decide
 from tidewell.streaming.sinks import run_batches
 
 _STATE = "user_key string, at long, quota long"
@@ -32,11 +32,11 @@ class QuotaStream:
         ts: str = "ts",
         order: str = "event_id",
         window: timedelta = DEFAULT_WINDOW,
-        max_group_rows: int = MAX_GROUP_ROWS,
+        max_user_rows: int = MAX_USER_ROWS,
     ):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.user, self.ts, self.order = user, ts, order
-        self.window, self.max_group_rows = window, max_group_rows
+        self.window, self.max_user_rows = window, max_user_rows
         self.quotas = quotas.select(col(user).cast("string").alias("__user"), F.col("quota").cast("long").alias("__quota"))
 
     def drain(self, hits: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ class QuotaStream:
         touched = state.join(limited.select("user_key").distinct(), "user_key", "left_semi")
         seeds = touched.select("user_key", F.lit(-1).cast("long").alias("id"), "at", "quota", F.lit(True).alias("seed"))
         target = f"{self.folder}/decisions/{number}"
-        decided = decide(limited.unionAll(seeds), self.window, self.max_group_rows)
+        decided = decide(limited.unionAll(seeds), self.window, self.max_user_rows)
         free = narrow.where(~F.coalesce(F.col("__quota") > 0, F.lit(False))).select(
             "user_key", "id", "at", F.lit(0).cast("long").alias("quota"), F.lit(True).alias("allowed"),
             F.lit(0).cast("long").alias("used"), F.lit(None).cast("double").alias("retry_after"),
