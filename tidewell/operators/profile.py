@@ -173,8 +173,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, buckets: int
     entries = []
     for i, c in enumerate(names):
         low, high, value = limits[f"lo{i}"], limits[f"hi{i}"], finite(c)
-        share = F.floor((value - low) * buckets / F.nullif(high - low, F.lit(0.0))).cast("int") + 1
-        bucket = F.when(value.isNotNull(), F.coalesce(F.least(share, F.lit(buckets)), F.lit(1)))
+        share = F.floor((value - low) * buckets / (high - low)).cast("int") + 1
+        bucket = F.when(value.isNotNull(), F.when(high > low, F.least(share, F.lit(buckets))).otherwise(1))
         entries.append(F.struct(F.lit(c).alias("name"), bucket.alias("bucket"), low.alias("lo"), high.alias("hi")))
     bounded = df.select(*[col(c) for c in names], bounds.scalar().alias("__limits"))
     counted = bounded.select(F.inline(F.array(*entries))).groupBy("name", "bucket", "lo", "hi").agg(
