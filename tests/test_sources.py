@@ -56,7 +56,7 @@ def test_csv_empty_file_and_line_breaks(spark, put, rows):
 def test_ndjson(spark, put, rows):
     assert read_ndjson(spark, put("a.ndjson", '{"id":1}\n\n{"id":2}\n')).count() == 2
     broken = put("b.ndjson", '{"id":1}\n{"id":\n')
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING"):
         read_ndjson(spark, broken, "id long").collect()
     kept = rows(read_ndjson(spark, broken, "id long", quarantine=True), F.desc_nulls_last("id"))
     assert kept == [{"id": 1, "_corrupt_record": None}, {"id": None, "_corrupt_record": '{"id":'}]
@@ -280,6 +280,16 @@ def test_csv_export_quotes_only_where_needed(spark):
     assert part_text(path) == "v\r\n" + "".join(w + "\r\n" for w in want)
 
 
+def test_csv_export_header_in_every_part(spark, rows):
+    path = scratch_dir(spark, "t") + "/csv"
+    df = spark.range(100).repartition(4).select("id", F.concat(F.lit("v,"), "id").alias("v"))
+    write_csv(df, path)
+    assert part_text(path).count("id,v\r\n") == 4
+    assert [r["v"] for r in rows(read_csv(spark, path), F.col("id").cast("int"))] == [f"v,{i}" for i in range(100)]
+    write_csv(df.where("id < 0"), path, mode="overwrite")
+    assert part_text(path) == "id,v\r\n"
+
+
 def test_csv_export_nested(spark):
     df = spark.sql("SELECT named_struct('a', 1, 'b', CAST(NULL AS INT)) s, array('x') l").coalesce(1)
     path = scratch_dir(spark, "t") + "/csv"

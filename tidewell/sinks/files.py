@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tidewell.frame import col
 from tidewell.functions.text import cell_text, time_text
@@ -14,9 +14,27 @@ PROMPT_ROWS = 10_000
 COMPRESSIONS = ("snappy", "zstd", "gzip", "none")
 
 
-def _cells(df: DataFrame, max_rows: int | None) -> DataFrame:
-    out = df.select(*[cell_text(col(f.name), f.dataType).alias(f.name) for f in df.schema])
-    return out.limit(max_rows) if max_rows is not None else out
+def _write_lines(
+    df: DataFrame, path: str, quote: Callable[[Column], Column], separator: str, line_end: str, max_rows: int | None, mode: str
+) -> None:
+    """Delimited text with a header in every part file.
+
+    The text is composed by expressions: Spark's CSV writer would turn a line
+    feed inside a cell into the line end, and quote a leading '#'.
+    """
+    header = F.concat_ws(separator, *[quote(F.lit(n)) for n in df.columns])
+    cells = [quote(cell_text(col(f.name), f.dataType)) for f in df.schema]
+    lines = df.limit(max_rows) if max_rows is not None else df
+    written = Observation()
+    # The low bits of this id count the rows of a task, which writes one file.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    line = F.concat_ws(separator, *cells)
+    lines = lines.select(F.when(first, F.concat(header, F.lit(line_end), line)).otherwise(line).alias("value"))
+    lines = lines.observe(written, F.count(F.lit(1)).alias("rows"))
+    lines.write.mode(mode).option("lineSep", line_end).text(path)
+    if written.get["rows"] == 0:
+        only_header = df.sparkSession.range(1).coalesce(1).select(header.alias("value"))
+        only_header.write.mode("append").option("lineSep", line_end).text(path)
 
 
 def write_csv(df: DataFrame, path: str, max_rows: int | None = None, mode: str = "errorifexists") -> None:
@@ -24,20 +42,17 @@ def write_csv(df: DataFrame, path: str, max_rows: int | None = None, mode: str =
 
     Null is an empty cell, nested values are JSON text.
     """
-    (
-        _cells(df, max_rows).write.mode(mode).option("header", True).option("lineSep", "\r\n")
-        .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+
+    def quote(cell: Column) -> Column:
+        doubled = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(cell.rlike(r'[",\n\r]'), doubled).otherwise(cell)
+
+    _write_lines(df, path, quote, ",", "\r\n", max_rows, mode)
 
 
 def write_tsv(df: DataFrame, path: str, max_rows: int | None = None, mode: str = "errorifexists") -> None:
     """Tab-separated cells without any quoting, LF line ends."""
-    (
-        _cells(df, max_rows).write.mode(mode).option("header", True).option("sep", "\t").option("quote", "")
-        .option("lineSep", "\n").option("emptyValue", "").option("nullValue", "").option("escape", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
+    _write_lines(df, path, lambda cell: cell, "\t", "\n", max_rows, mode)
 
 
 def _json_ready(df: DataFrame) -> DataFrame:
