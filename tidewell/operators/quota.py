@@ -95,17 +95,19 @@ def _decide_in_order(hits: DataFrame, length: int, schema: T.StructType) -> Data
     """Decide users one after the other within each task, reading sorted batches.
 
     A task keeps the allowed hits of one user's last window, never a whole user.
+    The row number makes Spark keep a user's rows together and in order.
     """
-    ordered = hits.repartition("user_key").sortWithinPartitions("user_key", "at", F.desc("seed"), "id")
+    order = Window.partitionBy("user_key").orderBy("at", F.desc("seed"), "id")
+    ordered = hits.withColumn("turn", F.row_number().over(order))
 
     def run(batches):
-        user, live = None, deque()
+        live = deque()
         for batch in batches:
             allowed, used, retry = [], [], []
-            rows = zip(*(batch[c].tolist() for c in ("user_key", "at", "quota", "seed")))
-            for key, at, quota, seed in rows:
-                if key != user:
-                    user, live = key, deque()
+            rows = zip(*(batch[c].tolist() for c in ("turn", "at", "quota", "seed")))
+            for turn, at, quota, seed in rows:
+                if turn == 1:
+                    live = deque()
                 while live and live[0] <= at - length:
                     live.popleft()
                 admit = seed or len(live) < quota
