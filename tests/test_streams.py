@@ -54,7 +54,7 @@ def test_second_run_takes_only_new_files(spark, folder, events):
 def test_stream_static_join(spark, folder, events):
     names = spark.range(0, 2000, 2).select("id", F.concat(F.lit("u"), "id").alias("name"))
     stream = stream_files(spark, f"{SF_DIR}/events.parquet", events.schema)
-    out = drain_append(join(stream, names, "user_id", "id", "left", split_outer=False), folder + "/out", folder + "/cp")
+    out = drain_append(join(stream, names, "user_id", "id", "left"), folder + "/out", folder + "/cp")
     assert same(out, join(events, names, "user_id", "id", "left"))
 
 

@@ -47,10 +47,7 @@ def _st_incremental(spark, d):
 def _st_stateless_join(spark, d):
     folder = scratch_dir(spark, "stream")
     customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    joined = join(
-        filter_rows(_events(spark, d), "event_type = 'purchase'"), customers, "user_id", "c_custkey", "left",
-        split_outer=False,
-    )
+    joined = join(filter_rows(_events(spark, d), "event_type = 'purchase'"), customers, "user_id", "c_custkey", "left")
     return drain_append(joined.select("event_id", "user_id", "value", "c_name", "c_mktsegment"), f"{folder}/out", f"{folder}/checkpoint")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewell.frame import col, dtype_of, is_numeric, require
 from tidewell.functions.chart import ChartConfig, chart_number
@@ -43,10 +43,16 @@ def heatmap(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
 
 
 def stacked_share(df: DataFrame, x: str, series: str, value: str) -> DataFrame:
-    """Each series' share of the total at its x (100% stack)."""
+    """Each series' share of the total at its x (100% stack): `<x>, <series>, value, share`.
+
+    The totals are joined back instead of taken over a window per x, which would
+    put all series of one x into one task.
+    """
     cells = heatmap(df, x, series, value)
-    total = F.sum("value").over(Window.partitionBy(col(x)))
-    return cells.withColumn("share", F.try_divide(F.col("value"), total))
+    totals = cells.groupBy(col(x).alias("__x")).agg(F.sum("value").alias("__total"))
+    joined = cells.join(totals, col(x).eqNullSafe(F.col("__x")))
+    share = F.try_divide(F.col("value"), F.col("__total"))
+    return joined.select(col(x), col(series), "value", share.alias("share"))
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None) -> DataFrame:

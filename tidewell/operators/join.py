@@ -75,6 +75,8 @@ def _without_partner(df: DataFrame, key: str, other: DataFrame, other_key: str)
 
 
 def _hot_side_unsplittable(left: DataFrame, right: DataFrame, how: str) -> bool:
+    if left.isStreaming or right.isStreaming:
+        return False
     if how == "left":
         return not fits_broadcast(right)
     if how == "right":

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split of a hot partition is worth an extra shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A long page or a deep offset is sorted by the cluster, not in one heap.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # JSON objects with a repeated key keep the last value, as JSON decoders do.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
