@@ -126,6 +126,11 @@ PAYLOADS = {
 }
 
 
+def test_json_path_with_a_quote_in_a_name(spark):
+    body = '{"it\'s":{"a b":1}}'
+    assert apply(spark, [body], "string", lambda v: cursor_text(json_path(F.parse_json(v), "it's.a b"))) == ["1"]
+
+
 def test_json_payload_checks(spark):
     texts = list(PAYLOADS)
     assert apply(spark, texts, "string", is_json) == [p[2] for p in PAYLOADS.values()]

@@ -106,6 +106,19 @@ def expr_dtype(df: DataFrame, expression: Column) -> T.DataType:
     return df.select(expression.alias("e")).schema[0].dataType
 
 
+def literal_like(df: DataFrame, column: str, value: Any) -> Column:
+    """A constant to compare a column with.
+
+    Moments without zone are UTC, on a column of either timestamp type and
+    whatever zone this process runs in.
+    """
+    if isinstance(value, datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(timezone.utc).replace(tzinfo=None)
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(dtype_of(df, column))
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC)
 

@@ -9,6 +9,12 @@ MAX_DEPTH = 64
 MAX_TOKENS = 5_000_000
 
 
+def json_key(name: str) -> str:
+    """The path step for one object field."""
+    quote = '"' if "'" in name else "'"
+    return f"[{quote}{name}{quote}]"
+
+
 def json_path(document: Column, path: str) -> Column:
     """The VARIANT at a dotted path of a VARIANT; '' is the whole document.
 
@@ -19,8 +25,7 @@ def json_path(document: Column, path: str) -> Column:
     if path == "":
         return node
     for segment in path.split("."):
-        quoted = segment.replace("\\", "\\\\").replace("'", "\\'")
-        field = F.try_variant_get(node, f"$['{quoted}']", "variant")
+        field = F.try_variant_get(node, "$" + json_key(segment), "variant")
         if segment.isdigit():
             node = F.coalesce(F.try_variant_get(node, f"$[{int(segment)}]", "variant"), field)
         else:

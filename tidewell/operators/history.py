@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewell.frame import col, dtype_of, require
+from tidewell.frame import col, dtype_of, literal_like, require
 from tidewell.operators.limits import page_size
 
 # Bounds of run durations in seconds, and the prefix of limit trips.
@@ -16,10 +16,6 @@ DURATION_BOUNDS = (0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0)
 TRIP_PREFIX = "guardrail.trip."
 
 
-def _moment(df: DataFrame, column: str, value: Any) -> Column:
-    return F.lit(value).cast(dtype_of(df, column))
-
-
 def latest_state(df: DataFrame, entity: str, order: Sequence[str], state: Sequence[str]) -> DataFrame:
     """The state columns of each entity's newest row.
 
@@ -129,8 +125,7 @@ def skip_buckets(
     Per key (or overall) one row per slice: `slot` from 0 (oldest), `start`, `n`.
     """
     require(df, ts, *keys)
-    dtype = dtype_of(df, ts)
-    starts = [F.lit(now - width * (buckets - i)).cast(dtype) for i in range(buckets)] + [F.lit(now).cast(dtype)]
+    starts = [literal_like(df, ts, now - width * (buckets - i)) for i in range(buckets + 1)]
     recent = df.where((col(ts) >= starts[0]) & (col(ts) < starts[-1]))
     counts = [
         F.count_if((col(ts) >= starts[i]) & (col(ts) < starts[i + 1])).alias(f"n{i}") for i in range(buckets)
@@ -147,7 +142,7 @@ def skip_buckets(
 
 def trips_by_type(audit: DataFrame, since: Any, action: str = "action", ts: str = "created_at") -> DataFrame:
     """`limit_type, n`: limit trips in an audit log since a moment, sorted."""
-    hits = audit.where(col(action).startswith(TRIP_PREFIX) & (col(ts) >= _moment(audit, ts, since)))
+    hits = audit.where(col(action).startswith(TRIP_PREFIX) & (col(ts) >= literal_like(audit, ts, since)))
     return (
         hits.groupBy(F.split_part(col(action), F.lit("."), F.lit(3)).alias("limit_type"))
         .agg(F.count(F.lit(1)).alias("n")).orderBy("limit_type")
@@ -170,7 +165,7 @@ def kpi_delta(
     and null when both are; `direction` is up, down or flat.
     """
     require(df, ts, *keys)
-    begin, middle, stop = (_moment(df, ts, m) for m in (start, split, end))
+    begin, middle, stop = (literal_like(df, ts, m) for m in (start, split, end))
     amount = col(value).cast("double") if value else F.lit(1).cast("long")
     zero = F.lit(0.0) if value else F.lit(0).cast("long")
     used = df.where((col(ts) >= begin) & (col(ts) < stop))
@@ -260,4 +255,4 @@ def multi_search(kinds: Mapping[str, tuple[DataFrame, str, str]], query: str = "
 
 def due_rows(df: DataFrame, now: Any, enabled: str = "schedule_enabled", next_run: str = "schedule_next_run") -> DataFrame:
     """Enabled rows whose next run is at or before `now`."""
-    return df.where(col(enabled) & (col(next_run) <= _moment(df, next_run, now)))
+    return df.where(col(enabled) & (col(next_run) <= literal_like(df, next_run, now)))

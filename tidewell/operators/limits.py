@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.frame import Frame, col, require
+from tidewell.frame import Frame, col, literal_like, require
 
 # Query row limit (default and ceiling) and page size rules.
 DEFAULT_ROW_LIMIT = 1_000
@@ -69,9 +69,9 @@ def matching(
         if value is not None and value != "":
             out = out.where(col(name) == F.lit(value))
     if since is not None:
-        out = out.where(col(time_column) >= F.lit(since))
+        out = out.where(col(time_column) >= literal_like(df, time_column, since))
     if until is not None:
-        out = out.where(col(time_column) <= F.lit(until))
+        out = out.where(col(time_column) <= literal_like(df, time_column, until))
     return out
 
 
@@ -92,15 +92,16 @@ def page(
     require(df, *newest_first)
     out = df
     if before is not None:
-        out = out.where(_less(newest_first, before))
+        out = out.where(_less(df, newest_first, before))
     out = out.orderBy(*[col(c).desc() for c in newest_first])
     if offset > 0:
         out = out.offset(offset)
     return out.limit(page_size(limit))
 
 
-def _less(names: Sequence[str], values: Sequence[Any]) -> Column:
-    first = col(names[0]) < F.lit(values[0])
+def _less(df: DataFrame, names: Sequence[str], values: Sequence[Any]) -> Column:
+    first = literal_like(df, names[0], values[0])
+    smaller = col(names[0]) < first
     if len(names) == 1:
-        return first
-    return first | ((col(names[0]) == F.lit(values[0])) & _less(names[1:], values[1:]))
+        return smaller
+    return smaller | ((col(names[0]) == first) & _less(df, names[1:], values[1:]))

@@ -127,8 +127,7 @@ def dictionary_encode(df: DataFrame, threshold: int = DICTIONARY_THRESHOLD) -> t
     """(table with text columns of few values replaced by codes, their dictionaries).
 
     Null stays null. The dictionaries are written to the scratch folder, so they
-    are built once. Each has at most `threshold` entries, which bounds what is
-    broadcast.
+    are built once and Spark knows their size when it picks the join.
     """
     spark = df.sparkSession
     chosen = sorted(r["name"] for r in low_cardinality(df, threshold).collect())
@@ -142,7 +141,7 @@ def dictionary_encode(df: DataFrame, threshold: int = DICTIONARY_THRESHOLD) -> t
         entries = table.where(F.col("name") == name).select(
             F.col("value").alias(f"__value{i}"), F.col("code").alias(f"__code{i}")
         )
-        out = out.join(F.broadcast(entries), col(name) == F.col(f"__value{i}"), "left")
+        out = out.join(entries, col(name) == F.col(f"__value{i}"), "left")
     codes = {name: F.col(f"__code{i}") for i, name in enumerate(chosen)}
     return out.select(*[codes.get(c, col(c)).alias(c) for c in df.columns]), table
 

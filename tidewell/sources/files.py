@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.frame import col
-from tidewell.functions.jsons import is_json_array, is_json_null, is_json_object
+from tidewell.functions.jsons import is_json_array, is_json_null, is_json_object, json_key
 
 FORMATS = ("csv", "ndjson", "json", "parquet")
 CORRUPT = "_corrupt_record"
@@ -118,8 +118,7 @@ def item_columns(item: Column, schema: T.StructType) -> list[Column]:
     """Typed columns of a VARIANT row. A row that is no object is its column `value`."""
     out = []
     for field in schema:
-        path = "$['" + field.name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        got = F.variant_get(item, path, field.dataType.simpleString())
+        got = F.variant_get(item, "$" + json_key(field.name), field.dataType.simpleString())
         if field.name == "value":
             scalar = F.variant_get(F.when(~is_json_object(item), item), "$", field.dataType.simpleString())
             got = F.coalesce(got, scalar)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame
 
-from tidewell.frame import col, dtype_of
+from tidewell.frame import col, literal_like
 from tidewell.operators.project import filter_rows
 
 
@@ -35,14 +35,4 @@ def time_window(
     """
     end = end or datetime.now(timezone.utc)
     start = start or end - timedelta(hours=1)
-    if isinstance(dtype_of(df, column), T.TimestampNTZType):
-        low, high = (F.lit(_naive(t)).cast("timestamp_ntz") for t in (start, end))
-    else:
-        low, high = F.lit(start), F.lit(end)
-    return df.where(col(column).between(low, high))
-
-
-def _naive(moment: datetime) -> str:
-    if moment.tzinfo is not None:
-        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
-    return moment.isoformat(sep=" ")
+    return df.where(col(column).between(literal_like(df, column, start), literal_like(df, column, end)))
