@@ -11,9 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.frame import col
-from tidewell.functions.jsons import (
-    cursor_text, is_json_array, is_json_null, is_json_object, json_array_size, json_path,
-)
+from tidewell.functions.jsons import cursor_text, is_json_array, is_json_object, json_array_size, json_path
 from tidewell.sources.files import item_columns, variant_rows
 
 # Page limits of a crawl and the page size assumed when unset.
