@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixture, simhash
+from . import mixture, pieces, pii, quality, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,63 @@ def query(sql: str | None = None):
     return put
 
 
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and a hash of the text decoded from them."""
+    found = pieces.encoded(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(pieces.decoded("ids").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and rules, and the line labelling's verdict, for every document."""
+    field = quality.train_from(spark, sf_dir)
+    return quality.verdicts(table(spark, sf_dir, "documents"), field).withColumnRenamed("id", "doc_id")
+
+
+@query(r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+kinds(kind, no, pattern, context) AS (VALUES
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '(?i)\b(e-?mail|contact|mailto)\b'),
+  ('ip', 2, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', '(?i)\b(ip|host|server|addr(ess)?)\b'),
+  ('card', 3, '[0-9](?:[\x20-]?[0-9])+', '(?i)\b(card|visa|credit|debit|karte|carte|tarjeta)\b'),
+  ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', '(?i)\b(phone|tel|call|mobile|fax)\b'),
+  ('iban', 5, '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?)\b', '(?i)\b(iban|account|konto|compte|cuenta)\b'),
+  ('id_number', 6, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '(?i)\b(ssn|social|id|passport|ausweis|dni)\b')),
+parts AS (
+  SELECT doc_id, kind, no, context, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS b FROM docs, kinds),
+rows AS (
+  SELECT doc_id, kind, no, context, unnest(m) AS m, unnest(b[1:len(m)]) AS b, unnest(range(len(m))) AS i FROM parts WHERE len(m) > 0),
+placed AS (
+  SELECT *, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS finish, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM rows),
+judged AS (
+  SELECT *, finish - length(m) AS start,
+    CASE kind
+      WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) <= 255))
+      WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(digits)), lambda k:
+        CASE WHEN k % 2 = 0 THEN CAST(digits[length(digits) - k] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(digits[length(digits) - k] AS INTEGER) + 1] END)) % 10 = 0
+      WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+      WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), lambda c:
+        CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda x, y: (CASE WHEN y < 10 THEN x * 10 ELSE x * 100 END + y) % 97) = 1
+      WHEN 'id_number' THEN regexp_matches(right(b, 40), context)
+      ELSE true END AS good
+  FROM placed),
+good AS (SELECT doc_id, kind, no, start, kind || ':' || start || ':' || finish AS span FROM judged WHERE good)
+SELECT d.doc_id,
+  count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+  count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(span, ',' ORDER BY no, start) FILTER (no <= 4), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY no, start), '') AS spans
+FROM docs d LEFT JOIN good g ON d.doc_id = g.doc_id GROUP BY d.doc_id
+""")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
