@@ -3,26 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import mixture, simhash
+from tidewell.llm import mixture, pieces, pii, quality, simhash
 from tidewell.llm.common import materialise, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the line labelling keep. The field is trained on the labelled documents of `sf_dir`."""
+    return quality.retain(docs, quality.train_from(spark, sf_dir))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: three-word shingles, two bits."""
     return simhash.keep_one(docs, words=3, radius=2)
 
 
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; `n_chars` follows."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixture.take(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`doc_id`, `n_tokens` and `ids` for each document of the mix."""
+    found = pieces.encoded(docs)
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
+    ("pii", redaction),
     ("mixing", mixing),
+    ("sentencepiece", tokens),
 ]
 
+#: The line labelling and the segmentation are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
