@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixture, pieces, pii, quality, simhash
+from . import langid, mixture, neighbours, pieces, pii, quality, simhash, tokenbin, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, octet_length(raw) AS payload_bytes, sha256(raw) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, as the archives give them back."""
+    return warc.read(warc.archive(table(spark, sf_dir, "pages")))
+
+
 @query("""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -118,8 +132,41 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query()
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of every document, as they give it back."""
+    found = tokenbin.read(tokenbin.write(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("count").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components: fingerprints at most two bits apart are linked."""
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex16().alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document from examples that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.scores(docs, index).withColumnRenamed("id", "doc_id")
+    return found.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
+
+
+@query()
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.knn(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; trigrams are learnt from a sample of the documents."""
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.fuse(table(spark, sf_dir, "pages"), model).withColumnRenamed("page", "page_id")
