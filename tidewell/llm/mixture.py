@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, running
+from .common import fresh, materialise, running
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: A hash has LEVELS x LEVEL_BITS bits.
@@ -111,23 +111,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return sized, thresholds(sized, targets(sources, weights, share))
 
 
-def with_copies(rows: DataFrame, limits: DataFrame, source: str, hashed: Column) -> DataFrame:
-    """Add `__copies`, `__source_size`, `__target` to rows."""
-    limits = limits.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "copies", "below")])
-    joined = rows.withColumn("__hash", hashed).join(limits, F.col(source).eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copies", F.col("__copies") + (F.col("__hash") < F.col("__below")).cast("long"))
+def with_copies(rows: DataFrame, limits: DataFrame, source: str, hashed: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows joined with the limits of their sources, and the columns `copies`, `source_size`, `target`."""
+    names = dict(zip(("source", "source_size", "target", "copies", "below", "hash"), fresh("source", "size", "target", "copies", "below", "hash")))
+    limits = limits.select(*[F.col(c).alias(names[c]) for c in ("source", "source_size", "target", "copies", "below")])
+    joined = rows.withColumn(names["hash"], hashed).join(limits, F.col(source).eqNullSafe(F.col(names["source"])))
+    copies = F.col(names["copies"]) + (F.col(names["hash"]) < F.col(names["below"])).cast("long")
+    return joined, {"copies": copies, "source_size": F.col(names["source_size"]), "target": F.col(names["target"])}
 
 
 def plan(docs: DataFrame, **kw) -> DataFrame:
     """`id`, `size`, `source_size`, `target`, `taken` for each row."""
     sized, limits = mix(docs, **kw)
-    found = with_copies(sized, limits, "source", F.col("hash"))
-    return found.select("id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    found, of = with_copies(sized, limits, "source", F.col("hash"))
+    return found.select("id", "size", of["source_size"].alias("source_size"), of["target"].alias("target"), (F.col("size") * of["copies"]).alias("taken"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
     _, limits = mix(docs, id_col, text_col, source_col, **kw)
-    found = with_copies(docs, limits, source_col, hash_of(id_col)).where("__copies > 0")
-    copies = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return copies.select(*docs.columns)
+    found, of = with_copies(docs, limits, source_col, hash_of(id_col))
+    (copy,) = fresh("copy")
+    taken = found.where(of["copies"] > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), of["copies"])))
+    return taken.select(*docs.columns)

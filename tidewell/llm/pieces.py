@@ -7,7 +7,7 @@ words are independent and are remembered.
 
 A text longer than `CHUNK` characters is cut at multiples of it, words or not. The state at a cut is the piece that lies over
 it or ends at it. A chunk yields a transfer matrix from the states at its left cut to those at its right cut, together with
-the ids of its pieces; every piece belongs to the chunk in which it ends. The matrices of a text are combined by an associative max-plus
+the ids of its pieces; every piece belongs to the chunk in which it starts. The matrices of a text are combined by an associative max-plus
 product in a tree, up to the whole and down again, which gives each chunk its entry and exit state; then each chunk
 picks its ids independently. Chunks are spread over the cluster; a group of one text's chunks holds its ids and small
 matrices only, which the length of a text bounds. Texts of one chunk are encoded where they are read.
@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,22 @@ ONE = (1,)
 START = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
 
+class Ways(NamedTuple):
+    """Packed ids of a chunk by way: from an entry to the first word's start, from there to the last one's, from there to an exit; or direct."""
+
+    heads: dict[tuple, bytes]
+    middle: bytes
+    tails: dict[tuple, bytes]
+    direct: dict[tuple, bytes]
+
+    def matrix(self) -> dict[tuple, float]:
+        return {(e, x): 0.0 for e in self.heads for x in self.tails} | dict.fromkeys(self.direct, 0.0)
+
+    def ids(self, entry: tuple, leave: tuple) -> bytes:
+        found = self.direct.get((entry, leave))
+        return self.heads[entry] + self.middle + self.tails[leave] if found is None else found
+
+
 class Pieces:
     """A byte-pair SentencePiece model with byte fallback."""
 
@@ -240,35 +257,29 @@ class Pieces:
                     found.append((start, end))
         return found
 
-    def chunk(self, text: str, left: int, right: int, first: bool, final: bool) -> dict[tuple, bytes]:
-        """The transfer matrix of text[left:right], with the ids of the pieces that end in (left, right] on each way.
+    def chunk(self, text: str, left: int, right: int, first: bool, final: bool) -> Ways:
+        """The ways through text[left:right]: its transfer matrix, and the ids of the pieces that start in the chunk.
 
         `text` reaches beyond both cuts by the longest piece, if the text does. States are (start, end) relative to
         the cut; () is the text's start or end. Ways that no path takes are missing: minus infinity.
         """
         inside = [m.start() for m in START.finditer(text, left, right)]
-        entries = [(None, left, "")] if first else [((s - left, e - left), e, text[s:e]) for s, e in self.straddling(text, left)]
-        matrix: dict[tuple, bytes] = {}
-        stop = inside[0] if inside else None
-        middle = self.whole(text[inside[0] : inside[-1]]) if inside else b""
-        tail = self._tail(text, inside[-1], right, "", final) if inside else {}
-        for state, at, piece in entries:
-            entry = () if state is None else state
-            if stop is None:
-                ways = self._tail(text, at, right, piece, final) if at <= right else {(at - len(piece) - right, at - right): b""}
-                for leave, ids in ways.items():
-                    matrix[entry, leave] = ids
-            elif at <= stop:
-                reached = self.paths(text, at, stop, piece or None)
-                if stop in reached:
-                    head = self.packed(self.back(reached, at, stop)) + middle
-                    for leave, ids in tail.items():
-                        matrix[entry, leave] = head + ids
-        return matrix
+        entries = [((), left, "")] if first else [((s - left, e - left), e, text[s:e]) for s, e in self.straddling(text, left)]
+        if inside:  # all ways meet at the first word's start and part at the last one's
+            heads = {}
+            for entry, at, piece in entries:
+                reached = self.paths(text, at, inside[0], piece or None) if at <= inside[0] else {}
+                if inside[0] in reached:
+                    heads[entry] = self.packed(self.back(reached, at, inside[0]))
+            return Ways(heads, self.whole(text[inside[0] : inside[-1]]), self._tail(text, inside[-1], right, "", final), {})
+        direct = {}
+        for entry, at, piece in entries:
+            ways = self._tail(text, at, right, piece, final) if at <= right else {(at - len(piece) - right, at - right): b""}
+            direct |= {(entry, leave): ids for leave, ids in ways.items()}
+        return Ways({}, b"", {}, direct)
 
     def _tail(self, text: str, begin: int, right: int, piece: str, final: bool) -> dict[tuple, bytes]:
-        """States at the right cut that paths from `begin` reach, with the ids of the pieces on the way that end in the chunk or, as
-        the state's own piece, over the cut."""
+        """States at the right cut that paths from `begin` reach, with the ids on the way, those of the state's own piece included."""
         reached = self.paths(text, begin, right, piece or None)
         if final:
             return {(): self.packed(self.back(reached, begin, right))} if right in reached else {}
@@ -297,7 +308,7 @@ class Pieces:
             return np.frombuffer(self.whole(text), dtype="<i4")
         return np.frombuffer(resolve([self.window(text, a, b) for a, b in parts]), dtype="<i4")
 
-    def window(self, text: str, left: int, right: int) -> dict[tuple, bytes]:
+    def window(self, text: str, left: int, right: int) -> Ways:
         low, high = max(0, left - self.longest), min(len(text), right + self.longest)
         return self.chunk(text[low:high], left - low, right - low, left == 0, right == len(text))
 
@@ -343,10 +354,9 @@ def states(matrices: list[dict]) -> list[tuple]:
     return chosen
 
 
-def resolve(ways: list[dict[tuple, bytes]]) -> bytes:
+def resolve(ways: list[Ways]) -> bytes:
     """Packed ids of a text from its chunks' ways."""
-    matrices = [{k: 0.0 for k in w} for w in ways]
-    return b"".join(w[s] for w, s in zip(ways, states(matrices)))
+    return b"".join(w.ids(*s) for w, s in zip(ways, states([w.matrix() for w in ways])))
 
 
 @lru_cache(maxsize=2)
@@ -401,7 +411,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                     text, shift = BLANK + text, 0
                 right = min(at + chunk, total)
                 text = text[: right - shift + margin]
-                out.append(pickle.dumps(model.chunk(text, at - shift, right - shift, at == 0, right == total)) if at < total else b"")
+                out.append(pickle.dumps(tuple(model.chunk(text, at - shift, right - shift, at == 0, right == total))) if at < total else b"")
             yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "at": batch["at"], "ways": out})
 
     measured = windows.repartition(parts, "id", "mark", "at").mapInPandas(measure, "id string, mark long, at int, ways binary")
@@ -409,7 +419,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def join(group: pd.DataFrame) -> pd.DataFrame:
         copies = int((group["at"] == 0).sum())
         first = group.drop_duplicates("at").sort_values("at")
-        ways = [pickle.loads(w) for w in first["ways"] if w]
+        ways = [Ways(*pickle.loads(w)) for w in first["ways"] if w]
         ids = np.frombuffer(resolve(ways), dtype="<i4")
         return pd.DataFrame({"id": [group["id"].iat[0]] * copies, "mark": group["mark"].iat[0], "ids": [ids] * copies})
 

@@ -22,10 +22,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh, small_batches, table
 
 SAMPLE_DOCS, SAMPLE_LINES = 600, 500
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -231,30 +231,29 @@ def judge(field: Field, text: str | None) -> tuple:
     return (*rules, rules.failed, not rules.failed and share >= LEAST_SHARE, share)
 
 
-def judged(docs: DataFrame, field: Field, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """Add `__judged` (a struct of `SCORED`) to each row."""
-    small_batches(docs.sparkSession)
+def judged_by(field: Field, text_col: str = "text") -> Column:
+    """A struct of `SCORED`."""
 
     @F.pandas_udf(SCORED)
     def run(texts: pd.Series) -> pd.DataFrame:
         names = [c.split()[0] for c in SCORED.split(", ")]
         return pd.DataFrame([judge(field, t) for t in texts], columns=names)
 
-    return docs.withColumn("__judged", run(F.col(text_col)))
+    return run(F.col(text_col))
 
 
 def verdicts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id` and the fields of `SCORED` for each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return judged(rows, field).select("id", "__judged.*")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), judged_by(field, text_col).alias("judged")).select("id", "judged.*")
 
 
 def retain(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the rules and the content share keep."""
-    return judged(docs, field, text_col).where("__judged.kept").select(docs.columns)
+    small_batches(docs.sparkSession)
+    (judged,) = fresh("judged")
+    return docs.withColumn(judged, judged_by(field, text_col)).where(f"{judged}.kept").select(docs.columns)
 
 
 def train_from(spark: SparkSession, sf_dir: str) -> Field:
-    from .common import table
-
     return train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import fresh, materialise, small_batches
 
 SEED, BITS = 42, 64
 LANES = np.uint64(0x0101010101010101)
@@ -280,6 +280,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     rows = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
     nameless = found.where("component IS NULL").select("fp", "root").distinct()
-    others = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint_of(text_col, words))
-    others = others.join(nameless, others["__fp"] == nameless["fp"]).dropDuplicates(["root"])
-    return rows.select(docs.columns).unionAll(others.select(*[others[c] for c in docs.columns]))
+    own, fp, root = fresh("own", "fp", "root")
+    nameless = nameless.select(F.col("fp").alias(fp), F.col("root").alias(root))
+    others = docs.where(F.col(id_col).isNull()).withColumn(own, fingerprint_of(text_col, words))
+    others = others.join(nameless, F.col(own) == F.col(fp)).dropDuplicates([root])
+    return rows.select(docs.columns).unionAll(others.select(docs.columns))
