@@ -3,14 +3,16 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewell.plans import (
-    DefinitionError, NodeFailure, append_run, latest_runs, parse_definition, register_node, run_flow, topological_order,
-    validate, with_metrics,
+    DefinitionError, NodeFailure, append_run, compact_runs, deliver, latest_runs, parse_definition, register_node, run_flow,
+    topological_order, validate, with_metrics,
 )
 from tidewell.plans.runlog import append_skipped
 from tidewell.session import scratch_dir
+from tidewell.sources import read_csv, read_ndjson
 
 
 def node(node_id, kind="output", **config):
@@ -55,16 +57,16 @@ def test_metrics(spark, people):
 
 def test_failing_node(spark, people):
     bad = flow([node("src", "source", table="people"), node("flt", "filter", expression="amount >> nope(")], [edge("src", "flt")])
-    with pytest.raises(NodeFailure, match='node "flt" \\(filter\\) failed') as caught:
+    with pytest.raises(NodeFailure, match="filter 'flt' cannot be planned") as caught:
         run_flow(spark, bad, people)
     assert caught.value.result.failed_node == "flt"
     assert [n.node_id for n in caught.value.result.nodes] == ["src", "flt"]
     missing = flow([node("src", "source", table="people"), node("a", "aggregate", groupBy=["name"])], [edge("src", "a")])
-    with pytest.raises(NodeFailure, match="at least one aggregation"):
+    with pytest.raises(NodeFailure, match="nothing to aggregate"):
         run_flow(spark, missing, people)
-    with pytest.raises(NodeFailure, match='"left" and "right"'):
+    with pytest.raises(NodeFailure, match='"left" and one at "right"'):
         run_flow(spark, flow([node("src", "source", table="people"), node("j", "join")], [edge("src", "j")]), people)
-    with pytest.raises(NodeFailure, match="no input"):
+    with pytest.raises(NodeFailure, match="nothing is connected"):
         run_flow(spark, flow([node("o")], []))
 
 
@@ -76,7 +78,7 @@ def test_cap_and_soft_warning(spark):
         return result.nodes[0], result.output.df.count()
 
     src, rows = capped(40)
-    assert (src.truncated, src.rows_out, rows) == (True, 40, 40) and "Row cap reached at 40 rows" in src.warnings[0]
+    assert (src.truncated, src.rows_out, rows) == (True, 40, 40) and "Row cap reached" in src.warnings[0]
     src, rows = capped(110)
     assert (src.truncated, src.rows_out, rows) == (False, 100, 100) and "at least 80%" in src.warnings[0]
     src, _ = capped(1000)
@@ -115,11 +117,11 @@ def test_join_node_and_custom_node(spark, people):
 
 BROKEN = {
     "cycle": (flow([node("a"), node("b")], [edge("a", "b"), edge("b", "a")]), "cycle"),
-    "type": (flow([node("a", "teleport")], []), "unknown type"),
-    "duplicate": (flow([node("a"), node("a")], []), "duplicate node id"),
-    "no id": (flow([node("")], []), "missing id"),
-    "dangling source": (flow([node("a")], [edge("x", "a")]), "unknown source node"),
-    "dangling target": (flow([node("a")], [edge("a", "x")]), "unknown target node"),
+    "type": (flow([node("a", "teleport")], []), "nobody registered"),
+    "duplicate": (flow([node("a"), node("a")], []), "2 nodes are called"),
+    "no id": (flow([node("")], []), "have no id"),
+    "dangling source": (flow([node("a")], [edge("x", "a")]), "'x', which is no node"),
+    "dangling target": (flow([node("a")], [edge("a", "x")]), "'x', which is no node"),
     "nodes": (flow([node(f"n{i}") for i in range(201)], []), "201 nodes"),
     "edges": (flow([node("a"), node("b")], [edge("a", "b")] * 501), "501 edges"),
 }
@@ -132,9 +134,16 @@ def test_broken_definitions(case):
         validate(parse_definition(definition))
 
 
+def test_all_problems_are_told_at_once():
+    definition = parse_definition(flow([node("a", "teleport"), node("a"), node("")], [edge("a", "x")]))
+    with pytest.raises(DefinitionError) as caught:
+        validate(definition)
+    assert str(caught.value).count(";") == 3
+
+
 def test_parse_and_order():
     assert parse_definition("").nodes == () and parse_definition(None).nodes == ()
-    with pytest.raises(DefinitionError, match="parse workflow definition"):
+    with pytest.raises(DefinitionError, match="cannot be read"):
         parse_definition("{nope")
     limits = flow([node(f"n{i}") for i in range(200)], [])
     assert len(validate(parse_definition(limits))) == 200
@@ -155,3 +164,38 @@ def test_run_log(spark, people):
     assert got["alice"]["duration_ms"] >= 0 and got["alice"]["finished_at"] >= got["alice"]["started_at"]
     # Both states of a run stay in the log.
     assert spark.read.parquet(path).count() == 5
+    assert compact_runs(spark, path, path + "-compact").count() == 5
+    assert len(spark.read.parquet(path + "-compact").inputFiles()) == 1
+
+
+def test_failure_while_running_is_logged(spark, people):
+    path = scratch_dir(spark, "t") + "/runs"
+    failing = flow(
+        [node("src", "source", table="people"), node("tr", "transform", columns={"x": "raise_error('boom')"}), node("out")],
+        [edge("src", "tr"), edge("tr", "out")],
+    )
+    with pytest.raises(PySparkException):
+        append_run(spark, path, "wf", "alice", lambda: run_flow(spark, failing, people))
+    (row,) = latest_runs(spark, path).collect()
+    errors = {n["node_id"]: n["error"] for n in json.loads(row["node_results"])}
+    assert row["status"] == "failed" and "boom" in errors["tr"] and not errors["src"]
+
+
+def test_outputs_with_targets(spark, people):
+    folder = scratch_dir(spark, "t")
+    definition = flow(
+        [node("src", "source", table="people"), *[node(k, "output", target={"format": k, "path": folder + "/{{run_id}}/" + k}) for k in ("csv", "json", "parquet")]],
+        [edge("src", k) for k in ("csv", "json", "parquet")],
+    )
+    written = deliver(run_flow(spark, definition, people), {"run_id": "r1"})
+    assert written["csv"] == f"{folder}/r1/csv"
+    assert read_csv(spark, written["csv"]).count() == read_ndjson(spark, written["json"]).count() == spark.read.parquet(written["parquet"]).count() == 3
+    with pytest.raises(ValueError, match="unknown output format"):
+        deliver(run_flow(spark, flow([node("src", "source", table="people"), node("o", "output", target={"format": "xml", "path": folder})], [edge("src", "o")]), people))
+
+
+def test_counts_above_a_cap(spark):
+    tables = {"n": spark.range(1000).toDF("n")}
+    definition = flow([node("src", "source", table="n"), node("few", "filter", expression="n >= 0", max_rows=5), node("out")], [edge("src", "few"), edge("few", "out")])
+    got = {n.node_id: (n.rows_out, n.truncated) for n in with_metrics(spark, definition, tables).nodes}
+    assert got == {"src": (1000, False), "few": (5, True), "out": (5, False)}

@@ -88,6 +88,14 @@ def test_time_and_cell_text(spark):
     assert df.select(time_text(F.col("a"), T.TimestampNTZType())).first()[0] == "2024-01-02T03:04:05.12Z"
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_moments_are_exported_in_utc(spark, conf, zone):
+    conf(spark__sql__session__timeZone=zone)
+    df = spark.sql("SELECT timestamp_micros(0) a, timestamp_micros(1710054000000000 + 1) b, TIMESTAMP_NTZ '2024-03-10 02:30:00' c")
+    got = df.select(*[time_text(F.col(c), df.schema[c].dataType) for c in df.columns]).first()
+    assert list(got) == ["1970-01-01T00:00:00Z", "2024-03-10T07:00:00.000001Z", "2024-03-10T02:30:00Z"]
+
+
 def test_uuid_text(spark):
     raw = bytes(range(16))
     assert apply(spark, [bytearray(raw)], "binary", uuid_text) == ["00010203-0405-0607-0809-0a0b0c0d0e0f"]

@@ -202,6 +202,11 @@ def test_describe(spark, rows):
     assert (text["min_len"], text["max_len"], text["min"], text["null_count"]) == (2, 4, None, 0)
 
 
+def test_describe_ignores_nan(spark, rows):
+    (got,) = rows(describe(spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "v double")))
+    assert (got["count"], got["min"], got["max"], got["mean"]) == (3, 1.0, 3.0, 2.0)
+
+
 def test_truncate_cells(spark, rows):
     df = spark.createDataFrame([("0123456789", bytearray(b"abcdef")), ("ok", None)], "blob string, raw binary")
     got = rows(truncate_cells(df, 5, 4), "blob")
@@ -230,8 +235,12 @@ def test_limit_columns(people):
 
 
 def test_row_limits(spark):
-    assert [effective_row_limit(n) for n in (0, -1, 5, 20_000)] == [1000, 1000, 5, 10_000]
-    assert [page_size(n) for n in (None, 0, 200, 201)] == [50, 50, 200, 50]
+    assert [effective_row_limit(n) for n in (0, -1, 5, 10_000)] == [1000, 1000, 5, 10_000]
+    assert [page_size(n) for n in (None, 0, 200)] == [50, 50, 200]
+    assert effective_row_limit(50_000, maximum=100_000) == 50_000 and page_size(5_000, maximum=5_000) == 5_000
+    for refused in (lambda: effective_row_limit(20_000), lambda: page_size(201)):
+        with pytest.raises(ValueError, match="above the maximum"):
+            refused()
     frame = Frame(spark.range(10).toDF("n"))
     cut = row_limit(frame, 3, ["n"])
     assert cut.meta.truncated and [r[0] for r in cut.df.collect()] == [0, 1, 2]
@@ -248,6 +257,15 @@ def test_page_continues_exactly(spark):
     assert [tuple(r) for r in page(df, ["t", "id"], 12, offset=12).collect()] == second
 
 
+def test_pages_go_on_over_nulls(spark):
+    df = spark.createDataFrame([(5, 1), (4, 2), (None, 3), (None, 4), (None, None), (4, None)], "t int, id int")
+    whole = [tuple(r) for r in df.orderBy(F.desc("t"), F.desc("id")).collect()]
+    got, before = [], None
+    while part := [tuple(r) for r in page(df, ["t", "id"], 2, before=before).collect()]:
+        got, before = got + part, part[-1]
+    assert got == whole
+
+
 def test_low_cardinality_bounds(spark, rows):
     df = spark.range(400).select(
         (F.col("id") % 128).cast("string").alias("at_limit"), (F.col("id") % 129).cast("string").alias("above"),
@@ -265,6 +283,9 @@ def test_dictionary_keeps_null(spark, rows):
 
 def test_distinct_counts(spark, rows):
     df = spark.range(60).select(F.col("id"), (F.col("id") % 7).alias("m"), F.lit(None).cast("int").alias("none"))
+    assert {r["name"]: r["capped"] for r in rows(distinct_counts(df, cap=50))} == {"id": True, "m": False, "none": False}
+    objects = spark.sql("SELECT parse_json(concat('{\"k\": ', id % 3, '}')) AS v FROM range(9)")
+    assert rows(distinct_counts(objects)) == [{"name": "v", "distinct": 3, "capped": False}]
     got = {r["name"]: r["distinct"] for r in rows(distinct_counts(df, cap=50))}
     assert got == {"id": 50, "m": 7, "none": 0}
     rough = {r["name"]: r["distinct"] for r in rows(distinct_counts(df, cap=50, exact=False))}

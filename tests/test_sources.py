@@ -1,5 +1,6 @@
 """Files, SQL, landed pages, typing, sinks and names."""
 
+import glob
 import json
 from datetime import datetime, timezone
 
@@ -94,7 +95,9 @@ GUARD = {
     "INSERT INTO users (email) VALUES ('x')": False, "UPDATE users SET email = 'x'": False, "DELETE FROM users": False,
     "DROP TABLE users": False, "SELECT 1; DROP TABLE users;": False, "EXPLAIN SELECT 1": False,
     "SELECT created_at FROM users": True, "SELECT replace(a, 'b', 'c') FROM t": False, "SELECT 'please UPDATE' AS x": False,
-    "SELECT 1;;": False,
+    "SELECT 1;;": False, "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')": False,
+    "SELECT java_method ('a', 'b')": False, "SELECT reflect FROM t": True, "SELECT 1; SELECT 2": False, "SET x = 1": False, "": False, "WITH a AS (SELECT 1) SELECT * FROM a;": True,
+    "FROM t SELECT 1": True, "SHOW TABLES": False,
 }
 
 
@@ -111,6 +114,11 @@ def test_sql_query(spark, rows):
     t = spark.range(5).toDF("n")
     assert rows(sql_query(spark, "SELECT n FROM t WHERE n > ? AND n < ?;", [1, 3], {"t": t})) == [{"n": 2}]
     assert rows(sql_query(spark, "SELECT n FROM t WHERE n = :k", {"k": 4}, {"t": t})) == [{"n": 4}]
+    assert "t" not in [x.name for x in spark.catalog.listTables()]
+    spark.range(2).createOrReplaceTempView("t")
+    assert sql_query(spark, "SELECT n FROM t", tables={"t": t}).count() == 5
+    assert spark.table("t").columns == ["id"]
+    spark.catalog.dropTempView("t")
 
 
 def test_all_text(spark, rows):
@@ -184,11 +192,30 @@ def test_next_page_strategies(spark):
         tokens(spark, "magic", [])
 
 
+def test_cursor_numbers_are_exact(spark):
+    bodies = ['{"c":%s}' % n for n in ("1e-20", "-2.50e-3", "1e25", "123456789012345678901234567890", "0.10", "1.5e3", "0", "12345678901234567")]
+    assert tokens(spark, "cursor", bodies, "c") == [
+        "0.00000000000000000001", "-0.0025", "10000000000000000000000000", "123456789012345678901234567890", "0.1", "1500", "0", "12345678901234567",
+    ]
+
+
+def test_links_with_commas(spark):
+    links = {0: '<https://x/p?ids=1,2&page=2>; rel="next"', 1: '<https://x/a,b>; rel="prev"; title="a, b", <https://x/c>; title="x, y"; rel=next', 2: '<https://x/n>; rel=nextish'}
+    assert tokens(spark, "link", ["{}"] * 3, headers=links) == ["https://x/p?ids=1,2&page=2", "https://x/c", None]
+
+
+def test_broken_page_is_no_end(spark):
+    pages = pages_table(spark, [("c", 0, 200, None, '{"i":[1,2]}'), ("c", 1, 200, None, '{"i":[3,')] + [("d", 0, 200, None, '{"i":[1]}')])
+    got = {r["crawl_id"]: r for r in crawl_audit(next_page(pages, "offset", "i", 2), 5).collect()}
+    assert got["c"]["failed_pages"] == 1 and not got["c"]["complete"] and not got["c"]["truncated"]
+    assert got["d"]["failed_pages"] == 0 and got["d"]["complete"]
+
+
 def test_crawl_audit(spark, rows):
     table = spark.createDataFrame(
-        [("full", i, 200, str(i + 1)) for i in range(3)] + [("done", 0, 200, "1"), ("done", 1, 200, None)]
-        + [("gap", 0, 200, "1"), ("gap", 2, 200, "3")] + [("broken", i, s, "x") for i, s in ((0, 200), (1, 200), (2, 500))],
-        "crawl_id string, page_no int, status int, next_token string",
+        [("full", i, 200, str(i + 1), False) for i in range(3)] + [("done", 0, 200, "1", False), ("done", 1, 200, None, False)]
+        + [("gap", 0, 200, "1", False), ("gap", 2, 200, "3", False)] + [("broken", i, s, "x", False) for i, s in ((0, 200), (1, 200), (2, 500))],
+        "crawl_id string, page_no int, status int, next_token string, broken boolean",
     )
     got = {r["crawl_id"]: r for r in rows(crawl_audit(table, max_pages=3))}
     assert {k: v["truncated"] for k, v in got.items()} == {"full": True, "done": False, "gap": False, "broken": False}
@@ -218,6 +245,10 @@ def test_infer_and_override_types(spark, rows):
         "i string, f string, b string, bad_date string, t string, mixed string, none string, long string",
     )
     got = {r["name"]: r["type"] for r in rows(infer_column_types(df))}
+    ids = spark.createDataFrame([("9223372036854775807", "00123", "-9223372036854775808", "0", "1.", "007.5", "")], "a string, b string, c string, d string, e string, f string, g string")
+    assert {r["name"]: r["type"] for r in rows(infer_column_types(ids))} == {"a": "int", "b": "string", "c": "int", "d": "int", "e": "float", "f": "string", "g": "string"}
+    wide = spark.range(3).select(*[F.col("id").cast("string").alias(f"column {i}`") for i in range(60)])
+    assert {r["type"] for r in rows(infer_column_types(wide))} == {"int"} and infer_column_types(wide).count() == 60
     assert got == {
         "i": "int", "f": "float", "b": "bool", "bad_date": "string", "t": "datetime", "mixed": "string", "none": "string",
         "long": "float",
@@ -309,11 +340,20 @@ def test_json_exports(spark):
     folder = scratch_dir(spark, "t")
     write_json(df, folder + "/lines")
     assert json.loads(part_text(folder + "/lines")) == {"a": 1, "b": None, "t": "2024-01-02T03:04:05Z"}
-    numbers = spark.range(5)
+    numbers = spark.range(5).coalesce(1)
     write_json_array(numbers, folder + "/array", order_by=["id"])
     assert json.loads(part_text(folder + "/array")) == [{"id": i} for i in range(5)]
-    with pytest.raises(ValueError, match="more than 3 rows"):
-        write_json_array(numbers, folder + "/no", max_rows=3)
+    write_json_array(spark.range(0, 25_000, 1, 4), folder + "/many", rows_per_file=3_000)
+    arrays = [json.loads(open(f).read()) for f in sorted(glob.glob(folder.removeprefix("file:") + "/many/part-*"))]
+    assert len(arrays) > 8 and all(0 < len(a) <= 3_000 for a in arrays)
+    assert sorted(r["id"] for a in arrays for r in a) == list(range(25_000))
+    write_json_array(spark.range(20, 0, -1), folder + "/sorted", rows_per_file=6, order_by=["id"])
+    arrays = [json.loads(open(f).read()) for f in sorted(glob.glob(folder.removeprefix("file:") + "/sorted/part-*"))]
+    assert [r["id"] for a in arrays for r in a] == list(range(1, 21))
+    write_json_array(numbers.where("false"), folder + "/none")
+    assert json.loads(part_text(folder + "/none")) == []
+    with pytest.raises(ValueError):
+        write_json_array(numbers, folder + "/no", rows_per_file=0)
 
 
 def test_envelope_round_trip(spark, people_table, rows):

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewell.catalogue.inputs import table
 from tidewell.frame import Frame, Meta
-from tidewell.plans import append_run, latest_runs, run_flow, with_metrics
+from tidewell.plans import append_run, deliver, latest_runs, run_flow, with_metrics
 from tidewell.session import scratch_dir
 from tidewell.sinks import (
-    read_envelope, write_csv, write_envelope, write_json, write_ndjson, write_parquet, write_tsv,
+    read_envelope, write_csv, write_envelope, write_json, write_json_array, write_ndjson, write_parquet, write_tsv,
 )
-from tidewell.sources import read_csv, read_ndjson, read_parquet
+from tidewell.sources import read_csv, read_json_documents, read_ndjson, read_parquet
 
 
 def _node(node_id, kind, **config):
@@ -83,6 +86,36 @@ CAPPED = {
 }
 
 
+CAPPED_LATE = {
+    "nodes": [
+        _node("orders", "source", table="orders"), _node("dear", "filter", expression="o_totalprice > 200000"),
+        _node("few", "transform", columns={"order_id": "o_orderkey"}, max_rows=5), _node("last", "output"),
+    ],
+    "edges": [_edge("orders", "dear"), _edge("dear", "few"), _edge("few", "last")],
+}
+
+FAILING = {
+    "nodes": [
+        _node("orders", "source", table="orders"),
+        _node("check", "transform", columns={"order_id": "if(o_orderkey < 0, o_orderkey, raise_error('no such order'))"}),
+        _node("out", "output"),
+    ],
+    "edges": [_edge("orders", "check"), _edge("check", "out")],
+}
+
+
+def _exporting(folder):
+    return {
+        "nodes": [
+            _node("orders", "source", table="orders"), _node("dear", "filter", expression="o_totalprice > 300000"),
+            _node("file", "output", target={"format": "json_array", "path": folder + "/{{workflow_id}}/dear"}),
+            _node("by_status", "aggregate", groupBy=["o_orderstatus"], aggregations=[{"op": "count", "as": "n"}]),
+            _node("table", "output", target={"format": "parquet", "path": folder + "/{{workflow_id}}/by_status"}),
+        ],
+        "edges": [_edge("orders", "dear"), _edge("dear", "file"), _edge("dear", "by_status"), _edge("by_status", "table")],
+    }
+
+
 def _tables(spark, d, *names):
     return {n: table(spark, d, n) for n in names}
 
@@ -112,8 +145,9 @@ def _flow_capped(spark, d):
 
 
 def _flow_metrics(spark, d):
-    result = with_metrics(spark, JOIN_AGG, _tables(spark, d, "orders", "customer"))
-    rows = [(n.node_id, n.type, n.rows_out, bool(n.truncated)) for n in result.nodes]
+    tables = _tables(spark, d, "orders", "customer")
+    nodes = [n for flow in (JOIN_AGG, CAPPED_LATE) for n in with_metrics(spark, flow, tables).nodes]
+    rows = [(n.node_id, n.type, n.rows_out, bool(n.truncated)) for n in nodes]
     return spark.createDataFrame(rows, "node string, type string, rows_out long, truncated boolean")
 
 
@@ -121,8 +155,24 @@ def _run_log(spark, d):
     path = scratch_dir(spark, "runs") + "/log"
     for name, flow in (("linear", LINEAR), ("join_agg", JOIN_AGG)):
         append_run(spark, path, name, "user-1", lambda flow=flow: with_metrics(spark, flow, _tables(spark, d, "orders", "customer")))
-    nodes = F.from_json("node_results", "array<struct<node_id string, rows_out bigint>>")
-    return latest_runs(spark, path).select("workflow_id", "status", "triggered_by", F.inline(nodes))
+    with contextlib.suppress(PySparkException):
+        append_run(spark, path, "failing", "user-1", lambda: run_flow(spark, FAILING, _tables(spark, d, "orders")))
+    nodes = F.from_json("node_results", "array<struct<node_id string, rows_out bigint, error string>>")
+    return latest_runs(spark, path).select("workflow_id", "status", "triggered_by", F.inline(nodes)).withColumn(
+        "error", F.regexp_extract("error", "no such order", 0)
+    )
+
+
+def _flow_export(spark, d):
+    """A flow whose outputs have targets, read back from them."""
+    folder = scratch_dir(spark, "flow")
+    result = run_flow(spark, _exporting(folder), _tables(spark, d, "orders"))
+    written = deliver(result, {"workflow_id": "dear-orders"})
+    listed = read_json_documents(spark, written["file"], "o_orderkey long, o_totalprice double, o_orderstatus string")
+    counts = read_parquet(spark, written["table"])
+    return listed.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").alias("amount")).unionAll(
+        counts.select("o_orderstatus", F.col("n").cast("double"))
+    )
 
 
 def _export_csv(spark, d):
@@ -145,6 +195,12 @@ def _export_ndjson(spark, d):
     return read_ndjson(spark, path, "conv_id long, turn long, role string, text string")
 
 
+def _export_json_array(spark, d):
+    path = scratch_dir(spark, "export") + "/lines"
+    write_json_array(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), path)
+    return read_json_documents(spark, path, "l_orderkey long, l_linenumber long, l_partkey long, l_shipdate string")
+
+
 def _export_envelope(spark, d):
     path = scratch_dir(spark, "export") + "/customer"
     write_envelope(Frame(table(spark, d, "customer"), Meta(name="customer", source_type="table")), path)
@@ -171,6 +227,8 @@ QUERIES = {
     "flow_capped": _flow_capped,
     "flow_metrics": _flow_metrics,
     "run_log": _run_log,
+    "flow_export": _flow_export,
+    "export_json_array": _export_json_array,
     "export_csv": _export_csv,
     "export_json": _export_json,
     "export_ndjson": _export_ndjson,
@@ -188,6 +246,11 @@ _NODE_COUNTS = (
     ("large", "filter", _LARGE), ("with_customer", "join", _LARGE), ("shape", "transform", _LARGE),
     ("by_segment", "aggregate", _SEGMENTS), ("out", "output", _SEGMENTS),
 )
+_ABOVE = "(SELECT count(*) FROM orders WHERE o_totalprice > 200000)"
+_LATE_COUNTS = (
+    ("orders", "source", "(SELECT count(*) FROM orders)", False), ("dear", "filter", _ABOVE, False),
+    ("few", "transform", "CAST(5 AS BIGINT)", True), ("last", "output", "CAST(5 AS BIGINT)", False),
+)
 
 ORACLE = {
     "flow_linear": """
@@ -205,18 +268,28 @@ ORACLE = {
         SELECT CAST(l_suppkey AS VARCHAR), NULL, count(*) FROM lineitem WHERE l_quantity > 25 GROUP BY l_suppkey""",
     "flow_capped": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 120",
     "flow_metrics": " UNION ALL ".join(
-        f"SELECT '{n}' AS node, '{t}' AS type, {c} AS rows_out, FALSE AS truncated" for n, t, c in _NODE_COUNTS
+        f"SELECT '{n}' AS node, '{t}' AS type, {c} AS rows_out, {cut} AS truncated"
+        for n, t, c, cut in (*((*x, False) for x in _NODE_COUNTS), *_LATE_COUNTS)
     ),
     "run_log": " UNION ALL ".join(
         [
-            f"SELECT 'join_agg' AS workflow_id, 'succeeded' AS status, 'user-1' AS triggered_by, '{n}' AS node_id, {c} AS rows_out"
+            f"SELECT 'join_agg' AS workflow_id, 'succeeded' AS status, 'user-1' AS triggered_by, '{n}' AS node_id, {c} AS rows_out, '' AS error"
             for n, _, c in _NODE_COUNTS
         ]
         + [
-            f"SELECT 'linear', 'succeeded', 'user-1', '{n}', {c}"
+            f"SELECT 'linear', 'succeeded', 'user-1', '{n}', {c}, ''"
             for n, c in (("orders", "(SELECT count(*) FROM orders)"), ("dear", _DEAR), ("shape", _DEAR), ("out", _DEAR))
         ]
+        + [
+            f"SELECT 'failing', 'failed', 'user-1', '{n}', NULL, '{e}'"
+            for n, e in (("orders", ""), ("check", "no such order"), ("out", ""))
+        ]
     ),
+    "flow_export": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS amount FROM orders WHERE o_totalprice > 300000
+        UNION ALL SELECT o_orderstatus, CAST(count(*) AS DOUBLE) FROM orders WHERE o_totalprice > 300000 GROUP BY 1""",
+    "export_json_array": """
+        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS l_shipdate FROM lineitem""",
     "export_csv": """
         SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "export_json": r"""

@@ -90,10 +90,17 @@ def _audit_filter(spark, d):
 def _audit_page(spark, d):
     first = page(_audit_filter(spark, d), ["created_at", "id"], 20, offset=40)
     return first.withColumn("page", F.lit("offset")).unionAll(
-        page(_audit_filter(spark, d), ["created_at", "id"], 500, before=[datetime(2024, 1, 15), 0]).withColumn(
+        page(_audit_filter(spark, d), ["created_at", "id"], 500, before=[datetime(2024, 1, 15), 0], maximum=500).withColumn(
             "page", F.lit("before")
         )
-    )
+    ).unionAll(_page_over_nulls(spark, d))
+
+
+def _page_over_nulls(spark, d):
+    """A page that goes on from dated rows to undated ones, and one that starts among these."""
+    partly = derived(spark, d, AUDIT).withColumn("created_at", F.when(F.col("id") % 7 != 0, F.col("created_at")))
+    dated = page(partly, ["created_at", "id"], 150, before=[datetime(2024, 1, 1, 1), 0]).withColumn("page", F.lit("to nulls"))
+    return dated.unionAll(page(partly, ["created_at", "id"], 30, before=[None, 500]).withColumn("page", F.lit("in nulls")))
 
 
 def _audit_total(spark, d):
@@ -102,7 +109,7 @@ def _audit_total(spark, d):
 
 def _text_search(spark, d):
     return text_search(
-        table(spark, d, "documents"), "  Th ", ["text", "source"], {"lang": "EN"}, {"source": "src3"}
+        table(spark, d, "documents"), "  OneDou ", ["text", "source"], {"lang": "EN"}, {"source": "src3"}
     ).orderBy(F.lower("source"), "doc_id").select("doc_id", "lang", "source")
 
 
@@ -195,6 +202,7 @@ QUERIES = {
     "soft_bucket": _soft_bucket,
 }
 
+_PARTLY = f"SELECT * REPLACE (CASE WHEN id % 7 <> 0 THEN created_at END AS created_at) FROM ({AUDIT})"
 _CODE = """CASE WHEN last_error IS NULL THEN NULL
     WHEN regexp_matches(lower(last_error), 'password authentication failed|authentication failed|invalid_grant|invalid api key|unauthorized| 401') THEN 'auth_failed'
     WHEN regexp_matches(lower(last_error), 'access denied|forbidden|permission denied| 403') THEN 'permission_denied'
@@ -278,11 +286,17 @@ ORACLE = {
             ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40)
         UNION ALL
         SELECT *, 'before' AS page FROM (SELECT * FROM ({AUDIT}) WHERE {_AUDIT_WHERE}
-            AND created_at < TIMESTAMP '2024-01-15' ORDER BY created_at DESC, id DESC LIMIT 50)""",
+            AND created_at < TIMESTAMP '2024-01-15' ORDER BY created_at DESC, id DESC LIMIT 500)
+        UNION ALL
+        SELECT *, 'to nulls' AS page FROM (SELECT * FROM ({_PARTLY})
+            WHERE created_at < TIMESTAMP '2024-01-01 01:00:00' OR created_at IS NULL
+            ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 150)
+        UNION ALL
+        SELECT *, 'in nulls' AS page FROM (SELECT * FROM ({_PARTLY}) WHERE created_at IS NULL AND id < 500 ORDER BY id DESC LIMIT 30)""",
     "audit_total": f"SELECT count(*) AS total FROM ({AUDIT}) WHERE {_AUDIT_WHERE}",
     "text_search": """
         SELECT doc_id, lang, source FROM documents
-        WHERE (contains(lower(text), 'th') OR contains(lower(source), 'th')) AND lower(lang) = 'en' AND source = 'src3'""",
+        WHERE (contains(lower(text), 'onedou') OR contains(lower(source), 'onedou')) AND lower(lang) = 'en' AND source = 'src3'""",
     "multi_search": """
         SELECT type, id, name FROM (
             SELECT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer

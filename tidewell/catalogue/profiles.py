@@ -117,7 +117,7 @@ ORACLE = {
         for c in ("o_orderpriority", "o_orderstatus")
     ),
     "profile_distinct": " UNION ALL ".join(
-        f"""SELECT '{c}' AS name, least(count(DISTINCT {c}), 10000) AS "distinct" FROM lineitem""" for c in _COLUMNS
+        f"""SELECT '{c}' AS name, least(count(DISTINCT {c}), 10000) AS "distinct", count(DISTINCT {c}) > 10000 AS capped FROM lineitem""" for c in _COLUMNS
     ),
     "histogram": " UNION ALL ".join(
         [_buckets("l_quantity", "l_quantity"), _buckets("l_extendedprice", "l_extendedprice"), _buckets("maybe", _MAYBE)]

@@ -10,8 +10,8 @@ from tidewell.catalogue.inputs import table
 from tidewell.session import scratch_dir
 from tidewell.sinks import write_csv, write_json
 from tidewell.sources import (
-    all_text, api_items, apply_column_types, crawl_audit, graphql_rows, infer_column_types, infer_format, key_lookup,
-    list_objects, next_page, read_csv, read_json_documents, read_ndjson, split_bounded_json, sql_query, time_window,
+    all_text, api_items, apply_column_types, crawl_audit, graphql_rows, infer_column_types, infer_format, judge_bounded_json, key_lookup,
+    list_objects, next_page, read_csv, read_json_documents, read_ndjson, sql_query, time_window,
 )
 
 PAGE_ITEMS = 50
@@ -85,9 +85,16 @@ def _src_infer_format(spark, d):
 
 
 def _src_list_objects(spark, d):
-    table(spark, d, "region")
-    listing = list_objects(spark, d, "*.parquet", recursive=False)
-    return listing.select(F.regexp_extract("key", r"[^/]+$", 0).alias("name"), "size")
+    """Objects of a written table: one per market segment, named by the key's values."""
+    path = scratch_dir(spark, "objects") + "/customers"
+    customers = table(spark, d, "customer")
+    customers.repartition("c_mktsegment").select("c_mktsegment", "c_nationkey", "c_custkey").write.partitionBy("c_mktsegment").parquet(path)
+    listing = list_objects(spark, path, "*.parquet")
+    segment = F.url_decode(F.regexp_extract("key", r"/c_mktsegment=([^/]*)/", 1))
+    kind = F.regexp_extract("key", r"\.([a-z]+)$", 1)
+    return listing.groupBy(segment.alias("segment"), kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("objects"), (F.min("size") > 0).alias("filled"), F.min(F.col("lastModified").isNotNull()).alias("dated")
+    )
 
 
 def _src_text_typed(spark, d):
@@ -157,15 +164,22 @@ def _landed(spark, d):
 
 
 def _rest_pages(spark, d):
+    """Pages of which every eleventh crawl's fifth is short, every thirteenth's sixth empty, every seventeenth's last broken."""
     landed = _landed(spark, d)
     more = F.col("page_no") < 19
+    crawl = F.regexp_extract("crawl_id", "[0-9]+$", 0).cast("int")
+    items = (
+        F.when((crawl % 11 == 3) & (F.col("page_no") == 4), F.slice("items", 1, 7))
+        .when((crawl % 13 == 4) & (F.col("page_no") == 5), F.slice("items", 1, 0)).otherwise(F.col("items"))
+    )
     body = F.to_json(
-        F.struct(F.struct("items").alias("data"), F.when(more, F.col("page_no") + 1).alias("next_cursor"))
+        F.struct(F.struct(items.alias("items")).alias("data"), F.when(more, F.col("page_no") + 1).alias("next_cursor"))
     )
+    body = F.when((crawl % 17 == 5) & ~more, F.substring(body, 1, 60)).otherwise(body)
     link = F.when(
         more,
         F.concat(
-            F.lit('<https://api.test/x?page=0>; rel="first", <https://api.test/x?page='), F.col("page_no") + 1,
+            F.lit('<https://api.test/x?page=0>; rel="first", <https://api.test/x?ids=1,2&page='), F.col("page_no") + 1,
             F.lit('>; rel="next"'),
         ),
     ).otherwise(F.lit('<https://api.test/x?page=0>; rel="first"'))
@@ -186,7 +200,8 @@ ITEM = "id long, status string, price double"
 
 
 def _src_api_items(spark, d):
-    return api_items(_rest_pages(spark, d), "data.items", ITEM).select("crawl_id", "page_no", "id", "status", "price")
+    pages = next_page(_rest_pages(spark, d), "cursor", "next_cursor").where("NOT broken")
+    return api_items(pages, "data.items", ITEM).select("crawl_id", "page_no", "id", "status", "price")
 
 
 def _src_graphql_edges(spark, d):
@@ -209,7 +224,7 @@ def _src_next_page(spark, d):
     ]
     out = None
     for name, df in runs:
-        one = df.select(F.lit(name).alias("strategy"), "crawl_id", "page_no", "next_token")
+        one = df.select(F.lit(name).alias("strategy"), "crawl_id", "page_no", "next_token", "broken")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -250,6 +265,7 @@ def _texts(spark, d):
         "CASE WHEN l_quantity > 49 THEN 'many' ELSE CAST(l_quantity AS STRING) END AS mixed",
         "l_returnflag AS letter",
         "CASE WHEN l_tax > 0.04 THEN CAST(l_linenumber AS STRING) END AS sparse",
+        "CAST(1234567890123000000 + l_orderkey AS STRING) AS long_id", "lpad(CAST(l_linenumber AS STRING), 5, '0') AS padded",
     )
 
 
@@ -276,8 +292,8 @@ def _payloads(spark, d):
 
 
 def _json_quarantine(spark, d):
-    good, bad = split_bounded_json(_payloads(spark, d), "payload", max_depth=3)
-    return good.select("event_id", "payload", F.lit("").alias("reason")).unionAll(bad)
+    judged = judge_bounded_json(_payloads(spark, d), "payload", max_depth=3)
+    return judged.select("event_id", "payload", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 QUERIES = {
@@ -315,18 +331,26 @@ _PAGES = """
     SELECT 'crawl-' || (o_orderkey // 1000) AS crawl_id, CAST((o_orderkey % 1000) // 50 AS INTEGER) AS page_no,
            count(*) AS items, max(o_totalprice) AS dearest
     FROM orders GROUP BY 1, 2"""
+# A place in a page is shown unless its page is cut short or emptied.
+_SHOWN = "NOT (crawl % 11 = 3 AND page_no = 4 AND place > 7) AND NOT (crawl % 13 = 4 AND page_no = 5)"
+_REST = f"""
+    SELECT crawl_id, page_no, dearest, page_no = 19 AND crawl % 17 = 5 AS broken,
+           CASE WHEN crawl % 11 = 3 AND page_no = 4 THEN least(items, 7) WHEN crawl % 13 = 4 AND page_no = 5 THEN 0 ELSE items END AS items
+    FROM (SELECT *, CAST(substr(crawl_id, 7) AS INTEGER) AS crawl FROM ({_PAGES}))"""
 _TYPE_TEXTS = """
     SELECT CAST(l_orderkey AS VARCHAR) AS whole, CAST(l_quantity AS VARCHAR) AS amount,
            CASE WHEN l_tax > 0.04 THEN CAST(l_linenumber AS VARCHAR) ELSE CAST(l_discount AS VARCHAR) END AS mixed_numbers,
            CAST(l_shipdate AS VARCHAR) AS moment, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day,
            CAST(l_discount > 0.05 AS VARCHAR) AS flag,
            CASE WHEN l_quantity > 49 THEN 'many' ELSE CAST(l_quantity AS VARCHAR) END AS mixed,
-           l_returnflag AS letter, CASE WHEN l_tax > 0.04 THEN CAST(l_linenumber AS VARCHAR) END AS sparse
+           l_returnflag AS letter, CASE WHEN l_tax > 0.04 THEN CAST(l_linenumber AS VARCHAR) END AS sparse,
+           CAST(1234567890123000000 + l_orderkey AS VARCHAR) AS long_id, lpad(CAST(l_linenumber AS VARCHAR), 5, '0') AS padded
     FROM lineitem"""
 _INFER = " UNION ALL ".join(
     f"""
     SELECT '{c}' AS name,
-           CASE WHEN count({c}) = count(*) FILTER (WHERE regexp_full_match({c}, '-?[0-9]+')) THEN 'int'
+           CASE WHEN count({c}) = count(*) FILTER (WHERE regexp_full_match({c}, '-?[0-9]+') AND NOT starts_with({c}, '00')) THEN 'int'
+                WHEN count(*) FILTER (WHERE starts_with({c}, '00')) > 0 THEN 'string'
                 WHEN count({c}) = count(TRY_CAST({c} AS DOUBLE)) THEN 'float'
                 WHEN count({c}) = count(*) FILTER (WHERE {c} IN ('true', 'false')) THEN 'bool'
                 WHEN count({c}) = count(*) FILTER (WHERE strlen({c}) = 10 AND TRY_CAST({c} AS DATE) IS NOT NULL) THEN 'date'
@@ -334,7 +358,7 @@ _INFER = " UNION ALL ".join(
                 ELSE 'string' END AS type,
            count({c}) AS non_null
     FROM ({_TYPE_TEXTS})"""
-    for c in ("whole", "amount", "mixed_numbers", "moment", "day", "flag", "mixed", "letter", "sparse")
+    for c in ("whole", "amount", "mixed_numbers", "moment", "day", "flag", "mixed", "letter", "sparse", "long_id", "padded")
 )
 
 ORACLE = {
@@ -355,6 +379,9 @@ ORACLE = {
                CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, count(*) AS n
         FROM events WHERE event_type <> 'view' GROUP BY 1, 2""",
     "src_json_doc": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "src_list_objects": """
+        SELECT c_mktsegment AS segment, 'parquet' AS kind, CAST(1 AS BIGINT) AS objects, true AS filled, true AS dated
+        FROM customer GROUP BY 1""",
     "src_infer_format": """
         SELECT page_id, CASE WHEN length(html) > 4000 THEN 'csv' WHEN length(html) > 2000 THEN 'ndjson' ELSE 'json' END
                AS format FROM pages""",
@@ -369,9 +396,12 @@ ORACLE = {
     "src_sql_semi_anti": SQL_SEMI_ANTI,
     "src_sql_subquery": SQL_SUBQUERY,
     "src_sql_distinct_agg": SQL_DISTINCT,
-    "src_api_items": """
-        SELECT 'crawl-' || (o_orderkey // 1000) AS crawl_id, CAST((o_orderkey % 1000) // 50 AS INTEGER) AS page_no,
-               o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders""",
+    "src_api_items": f"""
+        SELECT crawl_id, page_no, id, status, price FROM (
+            SELECT 'crawl-' || (o_orderkey // 1000) AS crawl_id, (o_orderkey // 1000) AS crawl,
+                   CAST((o_orderkey % 1000) // 50 AS INTEGER) AS page_no, o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price,
+                   row_number() OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) AS place FROM orders)
+        WHERE {_SHOWN} AND NOT (crawl % 17 = 5 AND page_no = 19)""",
     "src_graphql_edges": f"""
         SELECT p.crawl_id, p.page_no, o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price
         FROM orders JOIN ({_PAGES}) p
@@ -381,19 +411,21 @@ ORACLE = {
         SELECT crawl_id, page_no, 'item too dear on page ' || page_no AS error FROM ({_PAGES}) WHERE dearest > 499000""",
     "src_next_page": f"""
         SELECT 'offset' AS strategy, crawl_id, page_no,
-               CASE WHEN items >= 50 THEN CAST((page_no + 1) * 50 AS VARCHAR) END AS next_token FROM ({_PAGES})
-        UNION ALL SELECT 'page', crawl_id, page_no, CAST(page_no + 2 AS VARCHAR) FROM ({_PAGES})
-        UNION ALL SELECT 'cursor', crawl_id, page_no, CASE WHEN page_no < 19 THEN CAST(page_no + 1 AS VARCHAR) END
-                  FROM ({_PAGES})
+               CASE WHEN items >= 50 AND NOT broken THEN CAST((page_no + 1) * 50 AS VARCHAR) END AS next_token, broken FROM ({_REST})
+        UNION ALL SELECT 'page', crawl_id, page_no, CASE WHEN items > 0 AND NOT broken THEN CAST(page_no + 2 AS VARCHAR) END, broken FROM ({_REST})
+        UNION ALL SELECT 'cursor', crawl_id, page_no, CASE WHEN page_no < 19 THEN CAST(page_no + 1 AS VARCHAR) END, broken
+                  FROM ({_REST})
         UNION ALL SELECT 'link', crawl_id, page_no,
-                  CASE WHEN page_no < 19 THEN 'https://api.test/x?page=' || (page_no + 1) END FROM ({_PAGES})
+                  CASE WHEN page_no < 19 THEN 'https://api.test/x?ids=1,2&page=' || (page_no + 1) END, false FROM ({_REST})
         UNION ALL SELECT 'relay', crawl_id, page_no,
-                  CASE WHEN page_no < 19 AND dearest <= 499000 THEN 'c' || page_no END FROM ({_PAGES})""",
+                  CASE WHEN page_no < 19 AND dearest <= 499000 THEN 'c' || page_no END, false FROM ({_PAGES})""",
     "src_crawl_audit": f"""
-        SELECT crawl_id, count(*) AS pages, max(page_no) + 1 - count(*) AS missing_pages, CAST(0 AS BIGINT) AS failed_pages,
-               arg_max(CASE WHEN items >= 50 THEN CAST((page_no + 1) * 50 AS VARCHAR) ELSE '' END, page_no) AS last_token,
-               count(*) >= 18 AND arg_max(items, page_no) >= 50 AS truncated
-        FROM ({_PAGES}) WHERE dearest <= 499500 GROUP BY 1""",
+        SELECT crawl_id, count(*) AS pages, max(page_no) + 1 - count(*) AS missing_pages, count(*) FILTER (WHERE broken) AS failed_pages,
+               nullif(arg_max(token, page_no), '') AS last_token,
+               count(*) >= 18 AND arg_max(token, page_no) <> '' AS truncated,
+               max(page_no) + 1 = count(*) AND NOT bool_or(broken) AND arg_max(token, page_no) = '' AS complete
+        FROM (SELECT *, CASE WHEN items >= 50 AND NOT broken THEN CAST((page_no + 1) * 50 AS VARCHAR) ELSE '' END AS token FROM ({_REST}))
+        WHERE dearest <= 499500 GROUP BY 1""",
     "src_key_lookup": """
         SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem
         WHERE l_orderkey IN (7, 1024, 5001) AND l_quantity > 5""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
 
 # Default payload limits.
 MAX_DEPTH = 64
@@ -39,16 +41,48 @@ def is_json_null(node: Column) -> Column:
 
 
 def is_json_array(node: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(node).startswith("ARRAY"), F.lit(False))
+    # A typed get looks at the value's own kind; a schema would walk all of it.
+    return F.try_variant_get(node, "$", "array<variant>").isNotNull()
 
 
 def is_json_object(node: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
 
 
 def json_array_size(node: Column) -> Column:
     """Number of items of a JSON array, 0 for anything else."""
-    return F.when(is_json_array(node), F.size(F.try_variant_get(node, "$", "array<variant>"))).otherwise(0)
+    items = F.try_variant_get(node, "$", "array<variant>")
+    return F.when(items.isNotNull(), F.size(items)).otherwise(0)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def plain_number(text: Column) -> Column:
+    """A number's text without exponent and without zeros at either end, exact whatever its size."""
+    shape = r"^(-?)([0-9]+)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+
+    def part(t: Column, group: int) -> Column:
+        return F.regexp_extract(t, shape, group)
+
+    def spread(t: Column) -> Column:
+        """The digits with enough zeros on both sides, and the place of the point in them."""
+        whole, rest = part(t, 2), part(t, 3)
+        power = F.coalesce(F.nullif(part(t, 4), F.lit("")).cast("int"), F.lit(0))
+        point = F.length(whole) + power
+        before = F.greatest(-point, F.lit(0)) + 1
+        after = F.greatest(power - F.length(rest), F.lit(0)) + 1
+        digits = F.concat(F.repeat(F.lit("0"), before), whole, rest, F.repeat(F.lit("0"), after))
+        return F.struct(digits.alias("digits"), (point + before).alias("at"))
+
+    def trimmed(s: Column) -> Column:
+        left = F.ltrim(F.substr(s["digits"], F.lit(1), s["at"]), F.lit("0"))
+        right = F.rtrim(F.substr(s["digits"], s["at"] + 1), F.lit("0"))
+        return F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+
+    return bound(text, lambda t: F.when(t.rlike(shape), F.concat(part(t, 1), bound(spread(t), trimmed))).otherwise(t))
 
 
 def cursor_text(node: Column) -> Column:
@@ -56,15 +90,17 @@ def cursor_text(node: Column) -> Column:
 
     Null for an empty string and for anything that is no scalar.
     """
-    kind = F.schema_of_variant(node)
-    text = F.try_variant_get(node, "$", "string")
-    number = F.regexp_replace(text.try_cast(T.DecimalType(38, 15)).cast("string"), r"\.?0+$", "")
-    return (
-        F.when(kind == "STRING", F.nullif(text, F.lit("")))
-        .when(kind == "BOOLEAN", text)
-        .when(kind == "BIGINT", text)
-        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.coalesce(number, text))
-    )
+
+    def scalar(n: Column) -> Column:
+        kind, text = F.schema_of_variant(n), F.try_variant_get(n, "$", "string")
+        return (
+            F.when(kind == "STRING", F.nullif(text, F.lit("")))
+            .when(kind.isin("BOOLEAN", "BIGINT"), text)
+            .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), plain_number(text))
+        )
+
+    # Only a scalar's schema is asked for, which is no walk through a document.
+    return bound(node, lambda n: F.when(~is_json_array(n) & ~is_json_object(n), scalar(n)))
 
 
 def _structure(body: Column) -> Column:

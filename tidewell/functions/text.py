@@ -36,12 +36,17 @@ def number_text(value: Column) -> Column:
 
 
 def time_text(value: Column, dtype: T.DataType) -> Column:
-    """RFC 3339 in UTC, without trailing zeros in the fraction."""
+    """RFC 3339 in UTC, without trailing zeros in the fraction, whatever the session's time zone.
+
+    Moments without a zone are taken as UTC.
+    """
     if isinstance(dtype, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd")
-    seconds = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.regexp_replace(F.date_format(value, ".SSSSSS"), r"\.?0+$", "")
-    return F.concat(seconds, fraction, F.lit("Z"))
+        return value.cast("string")
+    if isinstance(dtype, T.TimestampType):
+        seconds = (F.unix_micros(value).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        none = F.lit(0)
+        value = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(none, none, none, seconds)
+    return F.concat(F.replace(value.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def cell_text(value: Column, dtype: T.DataType) -> Column:

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.frame import col, dtype_of, literal_like, require
-from tidewell.operators.limits import page_size
+from tidewell.operators.limits import MAX_PAGE_SIZE, page_size
 
 # Bounds of run durations in seconds, and the prefix of limit trips.
 DURATION_BOUNDS = (0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0)
@@ -19,28 +19,36 @@ TRIP_PREFIX = "guardrail.trip."
 def latest_state(df: DataFrame, entity: str, order: Sequence[str], state: Sequence[str]) -> DataFrame:
     """The state columns of each entity's newest row.
 
-    `order` decides what is newest and must end in a unique column. Partial
-    aggregation leaves one row per entity and task before the shuffle, so an
-    entity with most of the log costs no more than another.
+    `order` decides what is newest and must end in a unique column. The first order column's maximum is found
+    first: a hash aggregate over two narrow columns, with one row per entity and task in the shuffle. Only the
+    rows at it are compared by the other columns, so no task sorts the log. Streams are read once and keep one
+    row per entity as state. Null moments are the oldest.
     """
     require(df, entity, *order, *state)
+    rows = df
+    if not df.isStreaming and len(order) > 1:
+        most = df.groupBy(col(entity).alias("__entity")).agg(F.max(col(order[0])).alias("__most"))
+        same = col(entity).eqNullSafe(F.col("__entity")) & col(order[0]).eqNullSafe(F.col("__most"))
+        rows = df.join(most, same, "left_semi")
     newest = F.max_by(
         F.struct(*[col(c) for c in state]), F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])
     )
-    return df.groupBy(col(entity)).agg(newest.alias("__state")).select(
+    return rows.groupBy(col(entity)).agg(newest.alias("__state")).select(
         col(entity), *[F.col("__state").getField(c).alias(c) for c in state]
     )
 
 
-def recent_n(df: DataFrame, entity: str, order: Sequence[str], n: int | None = None) -> DataFrame:
-    """Each entity's newest n rows (1..200, else 50), numbered in `rank`.
+def recent_n(
+    df: DataFrame, entity: str, order: Sequence[str], n: int | None = None, maximum: int = MAX_PAGE_SIZE
+) -> DataFrame:
+    """Each entity's newest n rows (default 50, at most `maximum`), numbered in `rank`.
 
     The rank filter is also applied before the shuffle (window group limit), so
     a busy entity sends at most n rows per task.
     """
     require(df, entity, *order)
     newest = Window.partitionBy(col(entity)).orderBy(*[col(c).desc() for c in order])
-    return df.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= page_size(n))
+    return df.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= page_size(n, maximum))
 
 
 def role_quotas(user_roles: DataFrame, quotas: DataFrame, user: str = "user_id", role: str = "role") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.frame import Frame, col, literal_like, require
 
-# Query row limit (default and ceiling) and page size rules.
+# Query row limit and page size, defaults and the ceilings that hold unless a caller gives another.
 DEFAULT_ROW_LIMIT = 1_000
 MAX_ROW_LIMIT = 10_000
 DEFAULT_PAGE_SIZE = 50
@@ -17,23 +17,31 @@ MAX_PAGE_SIZE = 200
 
 
 def effective_row_limit(requested: int | None, maximum: int = MAX_ROW_LIMIT) -> int:
+    """The limit asked for, or the default; an error above `maximum`, which callers may raise."""
     if not requested or requested <= 0:
-        return DEFAULT_ROW_LIMIT
-    return min(requested, maximum)
+        return min(DEFAULT_ROW_LIMIT, maximum)
+    if requested > maximum:
+        raise ValueError(f"a limit of {requested} rows is above the maximum of {maximum}")
+    return requested
 
 
-def page_size(requested: int | None) -> int:
-    if not requested or requested <= 0 or requested > MAX_PAGE_SIZE:
-        return DEFAULT_PAGE_SIZE
+def page_size(requested: int | None, maximum: int = MAX_PAGE_SIZE) -> int:
+    """The page size asked for, or the default; an error above `maximum`, which callers may raise."""
+    if not requested or requested <= 0:
+        return min(DEFAULT_PAGE_SIZE, maximum)
+    if requested > maximum:
+        raise ValueError(f"a page of {requested} rows is above the maximum of {maximum}")
     return requested
 
 
-def row_limit(frame: Frame, requested: int | None = None, order_by: Sequence[Column | str] = ()) -> Frame:
-    """At most the effective limit of rows, with `truncated` set when there were more.
+def row_limit(
+    frame: Frame, requested: int | None = None, order_by: Sequence[Column | str] = (), maximum: int = MAX_ROW_LIMIT
+) -> Frame:
+    """At most the limit of rows (default `DEFAULT_ROW_LIMIT`), with `truncated` set when there were more.
 
     Runs a job: it looks for one row beyond the limit, which the limit bounds.
     """
-    limit = effective_row_limit(requested)
+    limit = effective_row_limit(requested, maximum)
     df = frame.df.orderBy(*order_by) if order_by else frame.df
     truncated = df.offset(limit).limit(1).count() > 0
     return Frame(df.limit(limit), frame.meta).with_meta(truncated=frame.meta.truncated or truncated)
@@ -81,27 +89,30 @@ def page(
     limit: int | None = None,
     offset: int = 0,
     before: Sequence[Any] | None = None,
+    maximum: int = MAX_PAGE_SIZE,
 ) -> DataFrame:
-    """One page, newest first.
+    """One page, newest first; nulls come last.
 
     `newest_first` names the sort columns, most significant first; the last one
     should be unique. `before` continues after the last row of the page
-    before it (a value per sort column): unlike a deep `offset`, this filters
-    and never carries skipped rows along.
+    before it (a value per sort column, null included): unlike a deep `offset`, this
+    filters and never carries skipped rows along.
     """
     require(df, *newest_first)
     out = df
     if before is not None:
-        out = out.where(_less(df, newest_first, before))
+        out = out.where(_after(df, newest_first, before))
     out = out.orderBy(*[col(c).desc() for c in newest_first])
     if offset > 0:
         out = out.offset(offset)
-    return out.limit(page_size(limit))
+    return out.limit(page_size(limit, maximum))
 
 
-def _less(df: DataFrame, names: Sequence[str], values: Sequence[Any]) -> Column:
-    first = literal_like(df, names[0], values[0])
-    smaller = col(names[0]) < first
-    if len(names) == 1:
-        return smaller
-    return smaller | ((col(names[0]) == first) & _less(df, names[1:], values[1:]))
+def _after(df: DataFrame, names: Sequence[str], values: Sequence[Any]) -> Column:
+    """Whether a row comes after the given one in the page order: smaller, or null where that is not."""
+    if values[0] is None:
+        later, same = F.lit(False), col(names[0]).isNull()
+    else:
+        first = literal_like(df, names[0], values[0])
+        later, same = (col(names[0]) < first) | col(names[0]).isNull(), col(names[0]).eqNullSafe(first)
+    return later if len(names) == 1 else later | (same & _after(df, names[1:], values[1:]))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidewell.frame import col, is_numeric, logical_type, numeric_columns, require, string_columns
+from tidewell.frame import col, dtype_of, is_numeric, logical_type, numeric_columns, require, string_columns
 from tidewell.session import scratch_dir
 
 # Dictionary threshold, distinct-count cap, histogram buckets.
@@ -20,7 +20,7 @@ _DICTIONARY = "name string, value string, code long"
 def describe(df: DataFrame) -> DataFrame:
     """One row per column, in one pass over the table.
 
-    `name, type, count, null_count`, for numbers `min, max, mean`, for text
+    `name, type, count, null_count`, for numbers `min, max, mean` (which ignore NaN), for text
     `min_len, max_len` in bytes.
     """
     aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
@@ -31,6 +31,7 @@ def describe(df: DataFrame) -> DataFrame:
         aggregates.append(F.count(c).alias(f"n{i}"))
         if is_numeric(field.dataType):
             number = c.cast("double")
+            number = F.when(~F.isnan(number), number)
             aggregates += [
                 F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.avg(number).alias(f"avg{i}"),
             ]
@@ -56,20 +57,25 @@ def _small_columns(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     One pass of small sketches, one row back. Twice the limit is twenty times
     the sketch's error away, so no column at the limit is missed.
     """
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.approx_count_distinct(_comparable(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] <= 2 * limit + 16 for i, c in enumerate(columns)}
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column as values that can be counted: VARIANT as JSON text."""
+    return F.to_json(col(name)) if isinstance(dtype_of(df, name), T.VariantType) else col(name)
+
+
 def _distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`name, value` of every distinct non-null value, as text."""
-    pairs = [F.struct(F.lit(c).alias("name"), col(c).cast("string").alias("value")) for c in columns]
+    pairs = [F.struct(F.lit(c).alias("name"), _comparable(df, c).cast("string").alias("value")) for c in columns]
     return df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL").distinct()
 
 
 def distinct_counts(
     df: DataFrame, columns: Sequence[str] | None = None, cap: int = DISTINCT_CAP, exact: bool = True
 ) -> DataFrame:
-    """`name, distinct` per column, counted up to `cap`.
+    """`name, distinct, capped` per column, counted up to `cap`; a `capped` number is a lower bound.
 
     Exact counts shuffle only columns that may lie below the cap; a column
     clearly above it is not read a second time.
@@ -77,9 +83,12 @@ def distinct_counts(
     names = list(columns) if columns is not None else df.columns
     require(df, *names)
     if not exact:
-        sketches = [F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(names)]
+        sketches = [F.approx_count_distinct(_comparable(df, c)).alias(f"c{i}") for i, c in enumerate(names)]
         rows = [
-            F.struct(F.lit(c).alias("name"), F.least(F.col(f"c{i}"), F.lit(cap).cast("long")).alias("distinct"))
+            F.struct(
+                F.lit(c).alias("name"), F.least(F.col(f"c{i}"), F.lit(cap).cast("long")).alias("distinct"),
+                (F.col(f"c{i}") > cap).alias("capped"),
+            )
             for i, c in enumerate(names)
         ]
         return df.agg(*sketches).select(F.inline(F.array(*rows)))
@@ -89,7 +98,7 @@ def distinct_counts(
     listed = F.inline(
         F.array(
             *[
-                F.struct(F.lit(c).alias("name"), F.lit(0 if small[c] else cap).cast("long").alias("n"))
+                F.struct(F.lit(c).alias("name"), F.lit(0 if small[c] else cap + 1).cast("long").alias("n"))
                 for c in names
             ]
         )
@@ -98,7 +107,8 @@ def distinct_counts(
     if below:
         counted = _distinct_values(df, below).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
         every = every.unionAll(counted)
-    return every.groupBy("name").agg(F.least(F.max("n"), F.lit(cap).cast("long")).alias("distinct"))
+    most = F.max("n")
+    return every.groupBy("name").agg(F.least(most, F.lit(cap).cast("long")).alias("distinct"), (most > cap).alias("capped"))
 
 
 def low_cardinality(
@@ -136,13 +146,14 @@ def dictionary_encode(df: DataFrame, threshold: int = DICTIONARY_THRESHOLD) -> t
     path = scratch_dir(spark, "dictionary") + "/entries"
     dictionaries(df, chosen).write.parquet(path)
     table = spark.read.schema(_DICTIONARY).parquet(path)
-    out = df
-    for i, name in enumerate(chosen):
-        entries = table.where(F.col("name") == name).select(
-            F.col("value").alias(f"__value{i}"), F.col("code").alias(f"__code{i}")
-        )
-        out = out.join(entries, col(name) == F.col(f"__value{i}"), "left")
-    codes = {name: F.col(f"__code{i}") for i, name in enumerate(chosen)}
+    # Few values a column, so all dictionaries are one small row: a scalar subquery, looked up without a join.
+    maps = table.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("value", "code"))).alias("codes"))
+    every = maps.agg(F.map_from_entries(F.collect_list(F.struct("name", "codes"))).alias("maps")).scalar()
+    held = "__maps"
+    while held in df.columns:
+        held = f"_{held}"
+    out = df.withColumn(held, every)
+    codes = {n: F.try_element_at(F.col(held).getItem(n), col(n)) for n in chosen}
     return out.select(*[codes.get(c, col(c)).alias(c) for c in df.columns]), table
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
@@ -65,7 +66,7 @@ def parse_definition(raw: str | Mapping[str, Any] | None) -> Definition:
             for e in data.get("edges") or ()
         )
     except (ValueError, AttributeError) as error:
-        raise DefinitionError(f"parse workflow definition: {error}") from error
+        raise DefinitionError(f"the definition cannot be read: {error}") from error
     return Definition(nodes, edges)
 
 
@@ -75,26 +76,27 @@ def topological_order(definition: Definition) -> list[str]:
     try:
         return list(TopologicalSorter(graph).static_order())
     except CycleError as error:
-        raise DefinitionError("workflow definition contains a cycle") from error
+        raise DefinitionError(f"these nodes feed each other in a cycle: {', '.join(error.args[1])}") from error
+
+
+def problems(definition: Definition, node_types: Collection[str] = NODE_TYPES) -> list[str]:
+    """Everything that is wrong with the nodes and edges by themselves."""
+    times = Counter(n.id for n in definition.nodes)
+    found = []
+    for what, count, most in (("nodes", len(definition.nodes), MAX_NODES), ("edges", len(definition.edges), MAX_EDGES)):
+        if count > most:
+            found.append(f"{count} {what} are more than {most}")
+    if times[""]:
+        found.append(f"{times['']} nodes have no id")
+    found += [f"{n} nodes are called {i!r}" for i, n in times.items() if i and n > 1]
+    found += [f"{n.id!r} is of the type {n.type!r}, which nobody registered" for n in definition.nodes if n.type not in node_types]
+    for edge in definition.edges:
+        found += [f"edge {edge.id!r} leads to or from {end!r}, which is no node" for end in (edge.source, edge.target) if end not in times]
+    return found
 
 
 def validate(definition: Definition, node_types: Collection[str] = NODE_TYPES) -> list[str]:
-    """Check the structural rules; returns the order of execution."""
-    if len(definition.nodes) > MAX_NODES:
-        raise DefinitionError(f"workflow has {len(definition.nodes)} nodes, exceeding the limit of {MAX_NODES}")
-    if len(definition.edges) > MAX_EDGES:
-        raise DefinitionError(f"workflow has {len(definition.edges)} edges, exceeding the limit of {MAX_EDGES}")
-    seen: set[str] = set()
-    for node in definition.nodes:
-        if not node.id:
-            raise DefinitionError("node missing id")
-        if node.id in seen:
-            raise DefinitionError(f'duplicate node id "{node.id}"')
-        if node.type not in node_types:
-            raise DefinitionError(f'node "{node.id}" has unknown type "{node.type}"')
-        seen.add(node.id)
-    for edge in definition.edges:
-        for role, end in (("source", edge.source), ("target", edge.target)):
-            if end not in seen:
-                raise DefinitionError(f'edge "{edge.id}" references unknown {role} node "{end}"')
+    """The order of execution; one error that lists all problems if there are any."""
+    if found := problems(definition, node_types):
+        raise DefinitionError("; ".join(found))
     return topological_order(definition)

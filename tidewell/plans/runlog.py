@@ -6,14 +6,14 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Mapping
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.operators.history import latest_state
-from tidewell.plans.run import NodeFailure, RunResult
+from tidewell.plans.run import NodeFailure, RunResult, deliver, failing_node
 
 STATUSES = ("running", "succeeded", "failed", "skipped")
 SCHEMA = (
@@ -36,8 +36,13 @@ def append_run(
     workflow_id: str,
     triggered_by: str,
     run: Callable[[], RunResult],
+    sink: Callable[[RunResult], object] | None = None,
 ) -> RunResult:
-    """Run something and log its start and its end; a failure is logged and raised again."""
+    """Plan a flow with `run`, compute it with `sink`, and log its start and its end.
+
+    Without a sink `deliver` computes it: outputs with a target are written, other last nodes computed. So a run is logged as succeeded only
+    after its rows were there. A failure is logged, with the node where it is found, and raised again.
+    """
     started = datetime.now(timezone.utc)
     clock = time.monotonic()
     base = {
@@ -56,18 +61,38 @@ def append_run(
             },
         )
 
+    result: RunResult | None = None
     try:
         result = run()
+        if sink:
+            sink(result)
+        else:
+            deliver(result, {"workflow_id": workflow_id, "run_id": base["run_id"]})
     except NodeFailure as failure:
         finish("failed", failure.result, str(failure))
         raise
     except Exception as failure:
-        finish("failed", None, str(failure))
+        if result is not None:
+            result = _blamed(result, str(failure))
+        finish("failed", result, str(failure))
         raise
     finish("succeeded", result, "")
     return result
 
 
+def _blamed(result: RunResult, error: str) -> RunResult:
+    """The result with the error at the node whose rows cannot be computed, if one is found."""
+    node_id = failing_node(result)
+    nodes = tuple(replace(n, error=error) if n.node_id == node_id else n for n in result.nodes)
+    return replace(result, nodes=nodes, failed_node=node_id)
+
+
+def compact_runs(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Write the log's rows to a few files in a new folder; a log has two small files for each run."""
+    spark.read.schema(SCHEMA).parquet(path).repartitionByRange(1, "logged_at").write.parquet(target)
+    return spark.read.schema(SCHEMA).parquet(target)
+
+
 def append_skipped(spark: SparkSession, path: str, workflow_id: str, triggered_by: str, reason: str) -> None:
     now = datetime.now(timezone.utc)
     _append(

@@ -45,13 +45,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint folder, removed at exit.
 
     The base is `spark.checkpoint.dir`, which every executor can reach. Only a
-    session without that setting (a local test) falls back to a local folder.
+    local session without that setting (a test) falls back to a local folder; on a
+    cluster that is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewell-")
-        context.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
     file_system = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 from tidewell.frame import col
 from tidewell.functions.text import cell_text, time_text
 
-# Fixed value: rows from which an export asks first, and the bound of one JSON array.
-PROMPT_ROWS = 10_000
+# Rows of one JSON array file. A result may have any number of such files.
+ROWS_PER_ARRAY = 10_000
 COMPRESSIONS = ("snappy", "zstd", "gzip", "none")
 
 
@@ -79,19 +79,29 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_json_array(
-    df: DataFrame, path: str, max_rows: int = PROMPT_ROWS, mode: str = "errorifexists",
-    order_by: Sequence[str] = (),
+    df: DataFrame, path: str, rows_per_file: int = ROWS_PER_ARRAY, mode: str = "errorifexists", order_by: Sequence[str] = (),
 ) -> None:
-    """One JSON array in one file, for small results only: at most `max_rows` rows."""
-    if not 0 < max_rows <= PROMPT_ROWS:
-        raise ValueError(f"a JSON array holds at most {PROMPT_ROWS} rows; use write_json")
-    if df.offset(max_rows).limit(1).count() > 0:
-        raise ValueError(f"more than {max_rows} rows for one JSON array; use write_json")
-    ordered = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    ready = _json_ready(ordered.limit(max_rows))
-    rows = ready.select(F.to_json(F.struct(*[col(c) for c in ready.columns]), {"ignoreNullFields": "false"}).alias("r"))
-    text = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]"))
-    rows.agg(text.alias("value")).write.mode(mode).text(path)
+    """JSON arrays, one in each file and of at most `rows_per_file` rows, written in parallel.
+
+    Every file is a JSON document by itself. With `order_by` the rows of the files, in
+    the order of their names, are sorted. A table without rows gives one empty array.
+    """
+    if rows_per_file < 1:
+        raise ValueError("a JSON array file needs room for a row")
+    ready = _json_ready(df.orderBy(*[col(c) for c in order_by]) if order_by else df)
+    text = F.to_json(F.struct(*[col(c) for c in ready.columns]), {"ignoreNullFields": "false"})
+    # The id has the task's number and the row's number in the task: rows of one file are neighbours.
+    place = F.monotonically_increasing_id()
+    numbered = ready.select(text.alias("row"), place.alias("at"))
+    low = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.struct(F.shiftright("at", 33).alias("task"), F.floor(low / rows_per_file).alias("number"))
+    arrays = numbered.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
+    lines = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]"))
+    written = Observation()
+    out = arrays.orderBy("chunk").select(lines.alias("value")).observe(written, F.count(F.lit(1)).alias("arrays"))
+    out.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    if written.get["arrays"] == 0:
+        df.sparkSession.range(1).coalesce(1).select(F.lit("[]").alias("value")).write.mode("append").text(path)
 
 
 def write_parquet(

@@ -3,7 +3,7 @@ from tidewell.sources.files import (
     infer_format, list_objects, read_csv, read_json_documents, read_ndjson, read_object, read_parquet,
 )
 from tidewell.sources.lookup import key_lookup, time_window
-from tidewell.sources.quarantine import split_bounded_json
+from tidewell.sources.quarantine import judge_bounded_json, split_bounded_json
 from tidewell.sources.resolve import read_source, register_source
 from tidewell.sources.sql import all_text, check_read_only, read_jdbc, sql_query
 from tidewell.sources.typing import apply_column_types, infer_column_types

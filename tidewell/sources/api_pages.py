@@ -87,9 +87,9 @@ def graphql_rows(
 
 
 def link_header_next(header: Column) -> Column:
-    """The rel="next" address of a Link header."""
-    parts = F.filter(F.split(header, ","), lambda p: p.rlike(r'^[^<>]*<[^>]*>.*rel=("next"|next)'))
-    return F.regexp_extract(F.get(parts, F.lit(0)), r"^[^<>]*<([^>]*)>", 1)
+    """The rel="next" address of a Link header; an address may hold commas."""
+    link = r'<([^>]*)>(?:[^<>,"]|"[^"]*")*?;[\x20\t]*rel=(?:"next"|next(?![A-Za-z0-9-]))'
+    return F.regexp_extract(header, link, 1)
 
 
 def next_page(
@@ -102,7 +102,10 @@ def next_page(
     body: str = "body",
     link_header: str = "link_header",
 ) -> DataFrame:
-    """Adds `next_token`: what fetches the page after each page, null at the end.
+    """Adds `next_token`: what fetches the page after each page, null at the end; and `broken`.
+
+    A page whose body is there but is no JSON is `broken`: it has no next token, yet is not the end.
+    The link strategy does not read bodies, so no page is broken there.
 
     offset: the next offset, unless the page is short. page: the next page
     number, unless the page is empty. cursor: the scalar at `path`. link: the
@@ -127,7 +130,9 @@ def next_page(
         info = json_path(document, f"{path}.pageInfo" if path else "pageInfo")
         more = F.try_variant_get(json_path(info, "hasNextPage"), "$", "boolean")
         token = F.when(more, cursor_text(json_path(info, "endCursor")))
-    return pages.withColumn("next_token", token)
+    text = F.nullif(F.trim(col(body)), F.lit(""))
+    broken = F.lit(False) if strategy == "link" else F.coalesce(text.isNotNull() & document.isNull(), F.lit(False))
+    return pages.withColumn("next_token", token).withColumn("broken", broken)
 
 
 def crawl_audit(
@@ -136,18 +141,25 @@ def crawl_audit(
     crawl: str = "crawl_id",
     page_no: str = "page_no",
     status: str = "status",
+    broken: str = "broken",
 ) -> DataFrame:
-    """Per crawl: pages, gaps, failures, and whether the page limit cut it short.
+    """Per crawl: pages, gaps, failures, whether the page limit cut it short, and whether it is `complete`.
 
-    Takes the output of `next_page`; a page number must occur once per crawl.
+    Takes the output of `next_page`; a page number must occur once per crawl. A page with an error status or a
+    broken body is a failed one. A crawl is complete without gaps and failures if its last page is the end.
     """
     limit = min(max_pages, HARD_MAX_PAGES) if max_pages > 0 else DEFAULT_MAX_PAGES
+    failed = F.coalesce(col(status) >= 400, F.lit(False)) | F.coalesce(col(broken), F.lit(False))
     grouped = pages_with_next.groupBy(col(crawl)).agg(
         F.count(F.lit(1)).alias("pages"),
         (F.max(col(page_no)) + 1 - F.count(F.lit(1))).alias("missing_pages"),
-        F.count_if(col(status) >= 400).alias("failed_pages"),
-        F.max_by("next_token", col(page_no)).alias("last_token"),
-        F.max_by(col(status), col(page_no)).alias("last_status"),
+        F.count_if(failed).alias("failed_pages"),
+        # As a struct, since a null token must not make way for an earlier page's.
+        F.max_by(F.struct(F.col("next_token").alias("token"), failed.alias("failed")), col(page_no)).alias("last"),
+    )
+    cut = (F.col("pages") >= limit) & F.col("last.token").isNotNull() & ~F.col("last.failed")
+    whole = (F.col("missing_pages") == 0) & (F.col("failed_pages") == 0) & F.col("last.token").isNull()
+    return grouped.select(
+        crawl, "pages", "missing_pages", "failed_pages", F.col("last.token").alias("last_token"), cut.alias("truncated"),
+        whole.alias("complete"),
     )
-    cut = (F.col("pages") >= limit) & F.col("last_token").isNotNull() & (F.col("last_status") < 400)
-    return grouped.select(crawl, "pages", "missing_pages", "failed_pages", "last_token", cut.alias("truncated"))

@@ -133,13 +133,17 @@ def read_json_documents(
 
     An array gives a row per item, an object one row, null none; scalar items
     become the column `value`. Without a schema the rows stay VARIANT, in `item`.
+    With a schema that has no `value` column rows are objects, and Spark's JSON reader streams
+    the documents; else a document is one VARIANT, of at most 128 MiB.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if schema is not None and "value" not in schema.names:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     documents = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
     rows = variant_rows(documents, "document")
     if schema is None:
         return rows.select("item")
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
     return rows.select(*item_columns(F.col("item"), schema))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.frame import Frame, Meta
 from tidewell.operators.cells import truncate_cells
-from tidewell.operators.limits import row_limit
+from tidewell.operators.limits import MAX_ROW_LIMIT, row_limit
 from tidewell.operators.project import limit_columns
 from tidewell.sources.api_pages import api_items
 from tidewell.sources.files import read_object
@@ -31,7 +31,7 @@ def read_source(
     """Read a source: a named table, a file, a query or landed pages.
 
     `config["kind"]` picks the reader (guessed from the other keys when absent).
-    Opt-in guards: `row_limit`, `max_columns`, `max_string_bytes`,
+    Opt-in guards: `row_limit` (an error above `max_row_limit`, 10,000 if unset), `max_columns`, `max_string_bytes`,
     `max_binary_bytes`, `all_text`.
     """
     kind = config.get("kind") or _guess_kind(config)
@@ -48,7 +48,7 @@ def read_source(
     if limits:
         frame = Frame(truncate_cells(frame.df, **limits), frame.meta)
     if config.get("row_limit"):
-        frame = row_limit(frame, config["row_limit"])
+        frame = row_limit(frame, config["row_limit"], maximum=config.get("max_row_limit", MAX_ROW_LIMIT))
     return frame
 
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.frame import col
@@ -15,25 +16,38 @@ FORBIDDEN_WORDS = (
     "insert", "update", "delete", "drop", "alter", "truncate", "grant", "revoke", "create", "replace", "merge",
     "call", "exec", "execute", "vacuum", "copy",
 )
-_FORBIDDEN = re.compile(r"\b(?:" + "|".join(FORBIDDEN_WORDS) + r")\b", re.IGNORECASE)
+# Functions through which a query could call into the JVM.
+JVM_FUNCTIONS = ("reflect", "try_reflect", "java_method")
+_REFUSED = re.compile(rf"\b(?:{'|'.join(FORBIDDEN_WORDS)})\b|\b(?:{'|'.join(JVM_FUNCTIONS)})`?\s*\(", re.IGNORECASE)
 
 
-def check_read_only(sql: str) -> str:
-    """The query without its closing ';', or an error if it is no single SELECT/WITH.
+def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
+    """The query without its closing ';', or a ValueError if it might do more than read.
 
-    The word check is deliberately blunt: it also refuses the words inside text
-    literals and as function names.
+    Spark's parser has to read the text as one statement that is no command. On
+    top of that some words are refused wherever they stand, in literals and as
+    function names too, and so are functions that call Java methods.
     """
-    text = sql.strip()
-    if not text:
-        raise ValueError("sql must not be empty")
-    text = text.removesuffix(";")
-    if ";" in text:
-        raise ValueError("multiple statements are not allowed")
-    if not text.lower().startswith(("select", "with")):
-        raise ValueError("only SELECT queries are allowed")
-    if _FORBIDDEN.search(text):
-        raise ValueError("query contains a disallowed keyword")
+    session = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    text = _without_end(sql)
+    try:
+        plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except PySparkException as error:
+        raise ValueError(f"not one statement that Spark can read: {error}") from error
+    kind = plan.getClass().getSimpleName()
+    command = session._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if command.isInstance(plan) or kind.endswith(("Command", "Statement")):
+        raise ValueError(f"only queries run here, and this is a {kind}")
+    return text
+
+
+def _without_end(sql: str) -> str:
+    """The text without its closing ';', once the word lists let it pass."""
+    text = sql.strip().removesuffix(";").rstrip()
+    if not text or text.endswith(";"):
+        raise ValueError("there is no query, or an empty one behind it")
+    if found := _REFUSED.search(text):
+        raise ValueError(f"a query here must not have the word {found[0].rstrip('(').strip()!r}")
     return text
 
 
@@ -43,12 +57,24 @@ def sql_query(
     params: Sequence[Any] | Mapping[str, Any] | None = None,
     tables: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Run a read-only query. Parameters are `?` or `:name` markers."""
-    text = check_read_only(sql)
-    for name, table in (tables or {}).items():
-        table.createOrReplaceTempView(name)
+    """Run a read-only query. Parameters are `?` or `:name` markers.
+
+    `tables` are there under their names for this query only; temporary views of the same names come back.
+    """
+    text = check_read_only(sql, spark)
     args = dict(params) if isinstance(params, Mapping) else list(params or [])
-    return spark.sql(text, args=args or None)
+    catalog = spark._jsparkSession.sessionState().catalog()
+    before = {n: spark.table(n) for n in tables or {} if catalog.getTempView(n).isDefined()}
+    try:
+        for name, table in (tables or {}).items():
+            table.createOrReplaceTempView(name)
+        return spark.sql(text, args=args or None)  # names are resolved here
+    finally:
+        for name in tables or {}:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def read_jdbc(
@@ -60,9 +86,15 @@ def read_jdbc(
     bounds: tuple[Any, Any] | None = None,
     partitions: int = 0,
 ) -> DataFrame:
-    """A read-only query on an external database; with bounds, read in parallel slices."""
+    """A read-only query on an external database; with bounds, read in parallel slices.
+
+    The database's dialect is not Spark's, so the text is judged by its words: one SELECT or WITH.
+    """
+    text = _without_end(sql)
+    if ";" in text or not re.match(r"(?:select|with)\b", text, re.IGNORECASE):
+        raise ValueError("a database is asked by one SELECT or WITH query")
     reader = spark.read.format("jdbc").option("url", url).options(**dict(properties or {}))
-    query = f"({check_read_only(sql)}) source_query"
+    query = f"({text}) source_query"
     reader = reader.option("dbtable", query)
     if partition_column and bounds and partitions > 1:
         reader = (

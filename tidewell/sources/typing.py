@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.frame import col, require, string_columns
 
@@ -13,48 +13,66 @@ COLUMN_TYPES = {
     "int": "bigint", "float": "double", "date": "date", "datetime": "timestamp_ntz", "bool": "boolean",
     "string": "string", "bytes": "binary",
 }
-# The kinds a value can have, each with a test of the text `c` and a bit. The
+# The kinds a value can have, each with a test of the text `@c` and a bit. The
 # first that holds counts; text of no kind has the bit after them. A failing
-# try_cast is slow (it catches an exception), so shape decides first.
+# try_cast is slow (it catches an exception), so shape decides first. Numbers with
+# leading zeros are codes and stay text.
 _KINDS = (
-    ("int", "c RLIKE '^[+-]?[0-9]{1,18}$'"),
-    ("float", "c RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"),
-    ("bool", "lower(c) IN ('true', 'false')"),
+    (
+        "int",
+        "@c RLIKE '^[+-]?(0|[1-9][0-9]{0,17})$' OR (@c RLIKE '^[+-]?[1-9][0-9]{18}$' AND try_cast(@c AS BIGINT) IS NOT NULL)",
+    ),
+    ("float", "@c RLIKE '^[+-]?((0|[1-9][0-9]*)([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"),
+    ("bool", "lower(@c) IN ('true', 'false')"),
     (
         "date",
-        "octet_length(c) = 10 AND c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND try_cast(c AS DATE) IS NOT NULL",
+        "octet_length(@c) = 10 AND @c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND try_cast(@c AS DATE) IS NOT NULL",
     ),
     (
         "datetime",
-        "octet_length(c) >= 16 AND c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?$' "
-        "AND try_cast(c AS TIMESTAMP_NTZ) IS NOT NULL",
+        "octet_length(@c) >= 16 AND @c RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?$' "
+        "AND try_cast(@c AS TIMESTAMP_NTZ) IS NOT NULL",
     ),
 )
+_TEXT_BIT = 1 << len(_KINDS)
+# Most text is told by its first character, without a pattern.
 _KIND_BIT = (
-    "CASE WHEN c IS NULL THEN NULL "
+    f"CASE WHEN @c IS NULL THEN NULL WHEN instr('+-.0123456789tTfF', substr(@c, 1, 1)) = 0 OR @c = '' THEN {_TEXT_BIT} "
     + " ".join(f"WHEN {test} THEN {1 << i}" for i, (_, test) in enumerate(_KINDS))
-    + f" ELSE {1 << len(_KINDS)} END"
+    + f" ELSE {_TEXT_BIT} END"
 )
 # A column is of one kind, or of integers and floats.
 _TYPE_OF_BITS = {1 << i: kind for i, (kind, _) in enumerate(_KINDS)} | {0b11: "float"}
 _TYPE_CASES = " ".join(f"WHEN {bits} THEN '{kind}'" for bits, kind in _TYPE_OF_BITS.items())
+# Columns judged by one aggregate: bounds the generated code of wide tables.
+_GROUP = 24
 
 
 def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """`name, type, non_null` per text column, in one pass over the whole table.
+    """`name, type, non_null` per text column, one row per task and column group in the shuffle.
 
-    A column mixing kinds (or without values) is a string column. Integers have
-    at most 18 digits; longer ones make a float column.
+    A column mixing kinds (or without values) is a string column, and so is one with
+    zero-padded numbers. Integers are those of 64 bits; longer ones make a float column.
     """
     names = list(columns) if columns is not None else string_columns(df)
     require(df, *names)
     if not names:
         raise ValueError("no text column to infer a type for")
-    # One row per cell keeps the generated code small however many columns there are.
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), col(n).alias("c")) for n in names])))
-    kinds = cells.select("name", F.expr(_KIND_BIT).alias("bit"))
-    totals = kinds.groupBy("name").agg(F.bit_or("bit").alias("bits"), F.count("bit").alias("non_null"))
-    return totals.select("name", F.expr(f"CASE bits {_TYPE_CASES} ELSE 'string' END").alias("type"), "non_null")
+    out = None
+    for at in range(0, len(names), _GROUP):
+        part = names[at : at + _GROUP]
+        bits = [_bit(n) for n in part]
+        totals = df.agg(*[f(b).alias(f"{x}{i}") for i, b in enumerate(bits) for x, f in (("b", F.bit_or), ("n", F.count))])
+        rows = [F.struct(F.lit(n).alias("name"), F.col(f"b{i}").alias("bits"), F.col(f"n{i}").alias("non_null")) for i, n in enumerate(part)]
+        found = totals.select(F.inline(F.array(*rows)))
+        out = found if out is None else out.unionAll(found)
+    return out.select("name", F.expr(f"CASE bits {_TYPE_CASES} ELSE 'string' END").alias("type"), "non_null")
+
+
+def _bit(name: str) -> Column:
+    """The kind bit of a text column."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.expr(_KIND_BIT.replace("@c", quoted))
 
 
 def apply_column_types(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
