@@ -34,8 +34,8 @@ from .common import small_batches
 CHUNK = 1 << 14
 BLANK = "▁"
 NEVER = -np.inf
-#: Words and pairs remembered by a worker; words over KEEP characters are not.
-MEMORY, KEEP = 400_000, 48
+#: Words (of two generations) and pairs remembered by a worker; words over KEEP characters are not.
+MEMORY, KEEP = 250_000, 48
 ONE = (1,)
 START = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
@@ -84,6 +84,7 @@ class Pieces:
             raw[i] = bytes([value])
         self.raw = raw
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self._spines()
         self.processor = SentencePieceProcessor(model_file=path)
@@ -138,16 +139,19 @@ class Pieces:
         heads: dict[str, set[int]] = {}
         tails: dict[str, set[int]] = {}
         for piece in self.ids:
-            heads.setdefault(piece[:2], {1}).add(len(piece))
             tails.setdefault(piece[-2:], {1}).add(len(piece))
-        #: Lengths of the pieces that start and that end with two characters, longest first.
+            heads.setdefault(piece[:3], {1}).add(len(piece))
+        for head in heads:
+            if head[:2] in self.ids:
+                heads[head].add(min(2, len(head)))
+        #: Lengths of the pieces that start with the next three (at a text's end: fewer) characters, and that end with two, longest first.
         self.heads, self.tails = ({k: sorted(v, reverse=True) for k, v in x.items()} for x in (heads, tails))
 
     def agree(self, left: str, right: str) -> bool:
         """Whether the model segments the text of two pieces into these two."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= MEMORY:
+            if len(self.pairs) >= 2 * MEMORY:
                 self.pairs.clear()
             blanks = BLANK * 2 in left + right  # pieces of blanks share a score
             known = self.pairs[left, right] = self.merge(left + right) == [left, right] if blanks else self._apart(left, right)
@@ -205,34 +209,46 @@ class Pieces:
         """The one path through a text: pieces from the left, the longest first, back from dead ends."""
         ids, heads, pairs, agree = self.ids, self.heads, self.pairs, self.agree
         parts: list[str] = []
-        at, size, dead = 0, len(text), set()
-        options = [iter(heads.get(text[:2], ONE))]
+        at, size, dead, before = 0, len(text), set(), ""
+        options: list = []
+        ways = iter(heads.get(text[:3]) or heads.get(text[:2], ONE))
         while at < size:
-            before = parts[-1] if parts else ""
-            for step in options[-1]:
+            for step in ways:
                 part = text[at : at + step]
-                if (step == 1 or (len(part) == step and part in ids)) and (not before or pairs.get((before, part)) or agree(before, part)) and (at + step, part) not in dead:
-                    parts.append(part)
-                    at += step
-                    options.append(iter(heads.get(text[at : at + 2], ONE)))
-                    break
+                if part not in ids and step > 1 or len(part) < step:
+                    continue
+                if before:
+                    fits = pairs.get((before, part))
+                    if not (agree(before, part) if fits is None else fits):
+                        continue
+                if dead and (at + step, part) in dead:
+                    continue
+                parts.append(part)
+                options.append(ways)
+                at += step
+                before = part
+                head = text[at : at + 3]
+                ways = iter(heads.get(head) or heads.get(head[:2], ONE))
+                break
             else:
                 if not parts:
                     raise ValueError("no path leads through a text")
-                options.pop()
                 dead.add((at, before))
+                ways = options.pop()
                 at -= len(parts.pop())
+                before = parts[-1] if parts else ""
         return parts
 
     def word(self, text: str) -> bytes:
         """Packed ids of one word: a blank, then the text."""
         known = self.words.get(text)
-        if known is None:
+        if known is None and (known := self.older.get(text)) is None:
             known = self.packed(self.path(BLANK + text))
-            if len(text) <= KEEP:
-                if len(self.words) >= MEMORY:
-                    self.words.clear()
-                self.words[text] = known
+        if len(text) <= KEEP:
+            if len(self.words) >= MEMORY:
+                self.older = dict(self.words)
+                self.words.clear()
+            self.words[text] = known
         return known
 
     def whole(self, text: str) -> bytes:
