@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-EXAMPLES, TERMS, LEAST_DOCS, LEAST_RATIO = 2000, 4096, 4, 20.0
+EXAMPLES, TERMS, LEAST_DOCS, LEAST_RATIO = 2000, 4096, 4, 28.0
 NEIGHBOURS, BLOCK = 15, 64
-BASE, DOUBT, SOFT = 0.05, 1.0, 0.05
+BASE, DOUBT, SOFT = 0.05, 2.0, 0.05
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
