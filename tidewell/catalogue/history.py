@@ -54,6 +54,24 @@ def _quota_admission(spark, d):
     return quota_admission(events, _quotas(spark, d)).withColumn("retry_after", F.round("retry_after", 3))
 
 
+# The events pressed into three hours, a third of them by one user.
+_BUSY = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 + event_id % 4 END AS user_id,
+       {at} AS ts FROM events
+"""
+_BUSY_SPARK = _BUSY.format(at="CAST(timestamp_micros(1704067200000000 + CAST(floor((unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) / 240) AS BIGINT)) AS TIMESTAMP_NTZ)")
+_BUSY_DUCK = _BUSY.format(at="make_timestamp(1704067200000000 + CAST(floor((epoch_us(ts) - 1704067200000000) / 240) AS BIGINT))")
+_BUSY_QUOTA = 300
+
+
+def _quota_admission_hot(spark, d):
+    """Few busy users with a quota of hundreds; the busiest are decided slice by slice."""
+    busy = derived(spark, d, _BUSY_SPARK)
+    quotas = spark.createDataFrame([(u, _BUSY_QUOTA) for u in range(5)], "user_id long, quota long")
+    decided = quota_admission(busy, quotas, max_user_rows=2_000)
+    return decided.select("event_id", "user_id", "allowed", "used").withColumn("user_id", F.col("user_id").cast("long"))
+
+
 def _skip_buckets(spark, d):
     return skip_buckets(derived(spark, d, EXECUTIONS).where("status = 'skipped'"), "started_at", NOW)
 
@@ -183,6 +201,7 @@ QUERIES = {
     "trailing_usage": _trailing_usage,
     "over_quota": _over_quota,
     "quota_admission": _quota_admission,
+    "quota_admission_hot": _quota_admission_hot,
     "skip_buckets": _skip_buckets,
     "trips_by_type": _trips_by_type,
     "status_counts": _status_counts,
@@ -256,6 +275,19 @@ ORACLE = {
         FROM (SELECT e.event_id, e.user_id, e.ts, epoch_us(e.ts) AS us, a.quota, a.taken,
                      list_filter(a.taken, lambda t: t > epoch_us(e.ts) - 3600000000 AND t <= epoch_us(e.ts)) AS live
               FROM events e JOIN ({_ALLOWED}) a ON e.user_id = a.user_id)""",
+    "quota_admission_hot": f"""
+        WITH busy AS ({_BUSY_DUCK}),
+        folded AS (
+            SELECT user_id, list_reduce(
+                list([epoch_us(ts)] ORDER BY ts, event_id),
+                lambda taken, hit: CASE
+                    WHEN len(list_filter(taken, lambda t: t > hit[1] - 3600000000)) < {_BUSY_QUOTA} THEN list_concat(taken, hit)
+                    ELSE taken END,
+                CAST([] AS BIGINT[])) AS taken
+            FROM busy GROUP BY user_id)
+        SELECT b.event_id, CAST(b.user_id AS BIGINT) AS user_id, list_contains(taken, epoch_us(b.ts)) AS allowed,
+               len(list_filter(taken, lambda t: t > epoch_us(b.ts) - 3600000000 AND t <= epoch_us(b.ts))) AS used
+        FROM busy b JOIN folded f ON b.user_id = f.user_id""",
     "skip_buckets": f"""
         SELECT CAST(i AS INTEGER) AS slot, TIMESTAMP '2024-01-19 12:00:00' + i * INTERVAL 2 HOUR AS start, count(e.id) AS n
         FROM range(0, 12) t(i) LEFT JOIN (SELECT * FROM ({EXECUTIONS}) WHERE status = 'skipped') e

@@ -20,9 +20,24 @@ def _events(spark, d):
     return stream_files(spark, f"{d.rstrip('/')}/events.parquet", schema)
 
 
+# A week's events come as one file; with late ones every fiftieth event comes two weeks late.
+_WEEK = "CAST(floor((extract(DAY FROM ts) - 1) / 7) AS INT)"
+_ARRIVAL = f"{_WEEK} + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END"
+
+
+def _weekly(spark, d, late):
+    """The events as a stream of one file for each trigger."""
+    folder = f"{scratch_dir(spark, 'weeks')}/in"
+    events = table(spark, d, "events")
+    arrival = F.expr(_ARRIVAL if late else _WEEK)
+    for week in range(7 if late else 5):  # the stream takes files in the order in which they were written
+        events.where(arrival == week).coalesce(1).write.mode("append").parquet(folder)
+    return stream_files(spark, folder, events.schema, max_files_per_trigger=1)
+
+
 def _st_batches(spark, d):
     folder = scratch_dir(spark, "stream")
-    return drain_batches(_events(spark, d), f"{folder}/out", f"{folder}/checkpoint").drop("batch")
+    return drain_batches(_weekly(spark, d, late=True), f"{folder}/out", f"{folder}/checkpoint")
 
 
 def _st_incremental(spark, d):
@@ -53,14 +68,14 @@ def _st_stateless_join(spark, d):
 
 def _st_windowed_counts(spark, d):
     folder = scratch_dir(spark, "stream")
-    counts = windowed_counts(event_time(_events(spark, d), "ts"), "ts", ["event_type"], "1 hour", delay="2 hours")
+    counts = windowed_counts(event_time(_weekly(spark, d, late=True), "ts"), "ts", ["event_type"], "1 hour", delay="2 hours")
     out = drain_updates(counts, ["window_start", "window_end", "event_type"], f"{folder}/out", f"{folder}/checkpoint")
     return _zoneless(out)
 
 
 def _st_sliding_counts(spark, d):
     folder = scratch_dir(spark, "stream")
-    counts = windowed_counts(event_time(_events(spark, d), "ts"), "ts", [], "6 hours", "2 hours", "1 hour")
+    counts = windowed_counts(event_time(_weekly(spark, d, late=True), "ts"), "ts", [], "6 hours", "2 hours", "1 hour")
     out = drain_updates(counts, ["window_start", "window_end"], f"{folder}/out", f"{folder}/checkpoint")
     return _zoneless(out)
 
@@ -71,14 +86,14 @@ def _zoneless(df):
 
 def _st_latest_state(spark, d):
     folder = scratch_dir(spark, "stream")
-    latest = latest_state_stream(_events(spark, d), "user_id", ["ts", "event_id"], ["event_type", "value", "ts"])
+    latest = latest_state_stream(_weekly(spark, d, late=True), "user_id", ["ts", "event_id"], ["event_type", "value", "ts"])
     return drain_updates(latest, ["user_id"], f"{folder}/out", f"{folder}/checkpoint")
 
 
 def _st_quota(spark, d):
     quotas = role_quotas(derived(spark, d, ROLES), role_quota_table(spark))
     stream = QuotaStream(spark, scratch_dir(spark, "quota-stream"), quotas)
-    decided = stream.drain(_events(spark, d))
+    decided = stream.drain(_weekly(spark, d, late=False))
     return decided.select(
         F.col("id").alias("event_id"), F.col("user_key").cast("long").alias("user_id"), "allowed", "used",
         F.round("retry_after", 3).alias("retry_after"),
@@ -95,20 +110,30 @@ QUERIES = {
     "st_quota": _st_quota,
 }
 
+# Events with what the watermark is taken from when they come. A batch drops as late what the batch before it evicted,
+# so that is the latest moment up to two batches before.
+_MARKED = f"""
+    SELECT e.*, w.mark FROM (SELECT *, {_ARRIVAL} AS arrival FROM events) e JOIN (
+        SELECT arrival, max(latest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS mark
+        FROM (SELECT {_ARRIVAL} AS arrival, max(ts) AS latest FROM events GROUP BY 1)) w USING (arrival)"""
+
 ORACLE = {
-    "st_batches": "SELECT * FROM events",
+    "st_batches": f"SELECT *, {_ARRIVAL} AS batch FROM events",
     "st_incremental": """
         SELECT event_id, upper(event_type) AS kind, round(value * 100) AS cents FROM events WHERE value > 5""",
     "st_stateless_join": """
         SELECT event_id, user_id, value, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey
         WHERE event_type = 'purchase'""",
-    "st_windowed_counts": """
+    "st_windowed_counts": f"""
         SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
-               count(*) AS n FROM events GROUP BY 1, 2, 3""",
-    "st_sliding_counts": """
+               count(*) AS n FROM ({_MARKED})
+        WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark - INTERVAL 2 HOUR GROUP BY 1, 2, 3""",
+    "st_sliding_counts": f"""
         SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, count(*) AS n
         FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 2 HOUR AS s
-              FROM events, range(0, 3) t(i)) GROUP BY 1""",
+                     , mark
+              FROM ({_MARKED}), range(0, 3) t(i))
+        WHERE mark IS NULL OR s + INTERVAL 6 HOUR > mark - INTERVAL 1 HOUR GROUP BY 1""",
     "st_latest_state": """
         SELECT user_id, event_type, value, ts FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)

@@ -69,6 +69,21 @@ def is_single_file(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path) and file_system.getFileStatus(hadoop_path).isFile()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in file_system.listStatus(hadoop_path)] if file_system.exists(hadoop_path) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the package wrote."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan. Reads nothing."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

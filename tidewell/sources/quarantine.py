@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewell.frame import col
 from tidewell.functions.jsons import MAX_DEPTH, MAX_TOKENS, bounded_json_verdict
@@ -25,6 +25,6 @@ def split_bounded_json(
     if folder:
         refused = F.col("reason").isNotNull()
         judged.withColumn("refused", refused).write.partitionBy("refused").parquet(folder)
-        judged = df.sparkSession.read.schema(judged.schema.add("refused", "boolean")).parquet(folder)
+        judged = df.sparkSession.read.schema(judged.schema.add("refused", T.BooleanType())).parquet(folder)
         return judged.where("NOT refused").drop("reason", "refused"), judged.where("refused").drop("refused")
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
