@@ -97,3 +97,20 @@ def test_scratch_folder_follows_the_cluster_setting(spark):
     path = scratch_dir(spark, "t")
     assert path != scratch_dir(spark, "t")
     assert base is None or path.startswith(base)
+
+
+def test_batches_of_changes_are_merged(spark, folder, monkeypatch):
+    from tidewell.session import names
+    from tidewell.streaming import sinks
+
+    monkeypatch.setattr(sinks, "BATCHES", 2)
+    rows = [(k, i) for i in range(5) for k in range(3) if (k + i) % 2]
+    for i in range(5):
+        part = spark.createDataFrame([r for r in rows if r[1] == i], "k int, at int")
+        part.coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = stream_files(spark, folder + "/in", "k int, at int", max_files_per_trigger=1)
+        latest = latest_state_stream(stream, "k", ["at"], ["at"])
+        got = drain_updates(latest, ["k"], folder + "/out", folder + "/cp").collect()
+        want = {k: max(a for x, a in rows if x == k and a <= i) for k in {x for x, a in rows if a <= i}}
+        assert {r["k"]: r["at"] for r in got} == want
+    assert len(names(spark, folder + "/out/changes")) <= 2 and any(n.startswith("base=") for n in names(spark, folder + "/out"))

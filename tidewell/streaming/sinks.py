@@ -52,8 +52,8 @@ def drain_updates(stream: DataFrame, keys: Sequence[str], path: str, checkpoint:
     run_batches(stream, checkpoint, write, "update")
     spark, schema = stream.sparkSession, T.StructType(list(stream.schema)).add("batch", T.IntegerType())
     base, batches = _parts(spark, path)
-    if base is None or len(batches) > BATCHES:
-        last = max(batches, default=base or 0)
+    if len(batches) > BATCHES:
+        last = max(batches)
         merged = _newest(spark, path, schema, base, batches, keys)
         merged.write.mode("overwrite").parquet(f"{path}/base={last}")
         for old in [f"changes/batch={b}" for b in batches] + ([f"base={base}"] if base not in (None, last) else []):
