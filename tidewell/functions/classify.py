@@ -66,6 +66,7 @@ def classify_code(vendor: Column, code: Column) -> Column:
     return F.coalesce(known, F.lit(UNKNOWN))
 
 
+# The phrases of warnings and errors, their order, and the kind of trip each stands for.
 def warning_trip_kind(warning: Column) -> Column:
     """The limit a warning is about, null for other warnings."""
     w = F.lower(warning)
