@@ -89,3 +89,24 @@ def test_one_class_or_no_labels(spark, documents, prose):
         index = toxicity.learn(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
         assert index is None
         assert {r.score for r in toxicity.scores(docs, index).collect()} == {toxicity.BASE}
+
+
+def test_cosines_are_over_all_terms(spark, documents, labelled):
+    """A copy of an example has cosine 1 and its class, however rare its words; other cosines are those of the full vectors."""
+    rows = labelled(120) + [(900, "zyxo qwerl plimf of the river", 1), (901, "brundle snorf kettlish of the river", 0)]
+    labels = spark.createDataFrame([(i, 1, k) for i, _, k in rows], "doc_id long, quality int, toxic int")
+    index = toxicity.learn(documents([(i, t, "s") for i, t, _ in rows]), labels)
+    seen = Counter(w for _, t, _ in rows for w in toxicity.terms(t))
+
+    def full(text):
+        found = {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + seen[w])) + 1) for w, n in toxicity.terms(text).items()}
+        return {w: x / math.sqrt(sum(y * y for y in found.values())) for w, x in found.items()}
+
+    examples = {i: full(t) for i, t, _ in rows}
+    for text in ["zyxo never seen words of the river", "nasty plimf", rows[3][1] + " unheard"]:
+        mine = full(text)
+        cosines = {i: sum(x * v.get(w, 0) for w, x in mine.items()) for i, v in examples.items()}
+        best = sorted((i for i in cosines if cosines[i] > 0), key=lambda i: (-round(cosines[i], 12), i))[:15]
+        assert [(int(index.ids[p]), round(c, 9)) for c, p in index.nearest(index.vector(text))] == [(i, round(cosines[i], 9)) for i in best]
+    assert toxicity.vote(index, rows[-2][1])[0] >= 0.5 > toxicity.vote(index, rows[-1][1])[0]
+    assert toxicity.vote(index, rows[-2][1])[1].startswith("900:toxic:1.0000")

@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
 Examples are a bounded sample of the labelled texts: the `EXAMPLES` of each class with the smallest hash of their id. Terms
-are lower-cased words without punctuation at their ends. The vocabulary has the (at most `TERMS`) terms that occur in at least `LEAST_DOCS`
-texts of the labelled sample and tell the classes apart (log likelihood ratio over `LEAST_RATIO`); a
-term's weight is (1 + log tf) x idf, vectors have length 1. So the index has at most 2 x EXAMPLES x TERMS postings and is
-broadcast with that bound.
+are lower-cased words without punctuation at their ends; every term of an example is in the index, and every term of a text
+counts in its length, one that no example has too. A term's weight is (1 + log tf) x idf, vectors have length 1. Document frequencies are those
+among the examples; a term of no example has frequency 0. So the index has as many postings as the examples have
+different terms and is broadcast; `EXAMPLES` bounds the texts in it.
 
 The index keeps each term's postings in blocks of `BLOCK` examples with the largest weight of each block. A text asks for its
-`NEIGHBOURS` nearest examples: terms go by falling bound; once the rest cannot lift an unseen example over the worst of the
-best found, only blocks that hold an open example are read (maximum of the block, not of the whole list). The
+`NEIGHBOURS` nearest examples: terms go by falling bound, `STEP` at a time; once the rest cannot lift an unseen example over the worst of the
+best found, only open examples are looked up (bounds are those of whole terms). The
 result is that of the full sum over all examples.
 
 Votes: each neighbour counts with cosine^2 / (1 - cosine + `SOFT`), toxic ones for, others against; votes of nothing (the
-share `BASE` of toxic texts, with the weight `DOUBT`) are added, so a text far from every example gets the base rate. The
-evidence lists the neighbours.
+share `BASE` of toxic texts, with the weight `DOUBT`) are added, so a text far from every example gets the base rate. Whole
+texts are rarely near each other, and a few words can make one toxic. So there is a second vote, by the cosine over those terms alone that tell the classes apart
+(in at least `LEAST_DOCS` examples, log likelihood ratio over `LEAST_RATIO`, at most `TERMS`); it counts in full unless an example is nearer than `SOFT`
+by all terms, and not at all for a copy of an example. The evidence lists the neighbours by all terms.
 
 Defined results: null and empty texts, and texts without a known term, get the base rate; equal cosines go to the
 smaller example id; repeated rows stay, a labelled id is one example; without examples of both classes every score is `BASE`; rows whose id is null are
@@ -23,6 +25,7 @@ scored, never learned from; columns besides id and text are not read.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches
 
 EXAMPLES, TERMS, LEAST_DOCS, LEAST_RATIO = 2000, 4096, 4, 28.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, STEP, WIDE = 15, 64, 128, 16
 BASE, DOUBT, SOFT = 0.05, 2.0, 0.05
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -57,74 +60,99 @@ class Index(NamedTuple):
     term_max: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
+    wide: np.ndarray  # for a term that one in `WIDE` examples has: the weights of all examples once more, side by side
+    wide_row: np.ndarray  # by term, -1 if it has none
+    unseen: float  # idf of a term that no example has
+    telling: Index | None  # the same examples by the terms that tell the classes apart
 
     def vector(self, text: str | None) -> dict[int, float]:
-        """A text's weights by term, of length 1."""
-        found = {}
-        for word, n in terms(text).items():
+        """A text's weights by known term; with the unknown ones, of length 1."""
+        return self.weighed(terms(text))
+
+    def weighed(self, counts: dict[str, int]) -> dict[int, float]:
+        found, square = {}, 0.0
+        for word, n in counts.items():
             at = self.vocabulary.get(word)
+            weight = (1 + math.log(n)) * (self.unseen if at is None else float(self.idf[at]))
+            square += weight * weight
             if at is not None:
-                found[at] = (1 + math.log(n)) * float(self.idf[at])
-        size = math.sqrt(sum(w * w for w in found.values()))
+                found[at] = weight
+        size = math.sqrt(square)
         return {t: w / size for t, w in found.items()} if size else {}
 
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of the largest cosine (over 0), as (cosine, place), nearest first."""
-        order = sorted(vector, key=lambda t: -vector[t] * self.term_max[t])
-        rest = np.append(np.cumsum([vector[t] * self.term_max[t] for t in order][::-1])[::-1], 0.0)
+        if not vector:
+            return []
+        found = np.fromiter(vector.keys(), dtype=np.int64, count=len(vector))
+        weights = np.fromiter(vector.values(), dtype=float, count=len(vector))
+        bounds = weights * self.term_max[found]
+        falling = np.argsort(-bounds, kind="stable")
+        order, weights = found[falling], weights[falling]
+        rest = np.append(np.cumsum(bounds[falling][::-1])[::-1], 0.0)
         scores = np.zeros(len(self.ids))
         at, floor = 0, 0.0
         while at < len(order) and rest[at] >= floor:  # an example not seen so far can still be among the best
-            a, b = self.starts[order[at] : order[at] + 2]
-            scores[self.places[a:b]] += vector[order[at]] * self.weights[a:b]
-            at += 1
-            if np.count_nonzero(scores) > k:
+            step, own = order[at : at + STEP], weights[at : at + STEP]
+            rows = self.wide_row[step]
+            for row, weight in zip(rows[rows >= 0], own[rows >= 0]):
+                scores += weight * self.wide[row]
+            step, own = step[rows < 0], own[rows < 0]
+            first = self.starts[step]
+            sizes = self.starts[step + 1] - first
+            read = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            scores += np.bincount(self.places[read], np.repeat(own, sizes) * self.weights[read], len(scores))
+            at = min(at + STEP, len(order))
+            if len(scores) > k:
                 floor = np.partition(scores, -k)[-k]
         open_ = np.flatnonzero((scores > 0) & (scores + rest[at] >= floor - 1e-12))
-        for term in order[at:]:
-            if not len(open_):
-                break
-            self._add(term, vector[term], scores, open_)
+        for term, weight in zip(order[at:], weights[at:]):
+            self._add(term, weight, scores, open_)
         best = open_[np.lexsort((self.ids[open_], -np.round(scores[open_], 12)))][:k]
         return [(float(scores[p]), int(p)) for p in best]
 
     def _add(self, term: int, weight: float, scores: np.ndarray, open_: np.ndarray) -> None:
-        """Add one term's weights to the open examples, reading only blocks that hold one."""
-        first, last = self.block_starts[term : term + 2]
+        """Add one term's weights to the open examples."""
         a, b = self.starts[term : term + 2]
-        heads = self.places[a:b:BLOCK]
-        blocks = np.unique(np.searchsorted(heads, open_, side="right") - 1)
-        for block in blocks[blocks >= 0]:
-            if self.block_max[first + block] > 0:
-                lo, hi = a + block * BLOCK, min(a + (block + 1) * BLOCK, b)
-                places = self.places[lo:hi]
-                mine = np.isin(places, open_, assume_unique=True)
-                scores[places[mine]] += weight * self.weights[lo:hi][mine]
-
-
-def build(examples: list[tuple[int, int]], chosen: dict[str, int], rows: list[tuple[int, dict[str, int]]]) -> Index | None:
-    """An index of examples (id, toxic), given the vocabulary's terms with the number of examples that have each, and the counts of these
-    terms by example id; None unless both classes are there and some term tells them apart."""
+        at = np.minimum(np.searchsorted(self.places[a:b], open_), b - a - 1) + a
+        held = self.places[at] == open_
+        scores[open_[held]] += weight * self.weights[at[held]]
+
+
+def build(examples: list[tuple[int, int]], rows: list[tuple[int, dict[str, int]]], texts_of: dict[str, int], telling: Index | None = None, unseen: bool = True) -> Index | None:
+    """An index of examples (id, toxic), given the counts of their terms by example id and the number of examples that have each term of
+    the vocabulary; other terms are left out. None unless both classes are there and some term is."""
     examples = sorted(examples)
     toxic = np.array([t for _, t in examples], dtype=bool)
-    if not chosen or not len(examples) or toxic.all() or not toxic.any():
+    if not texts_of or not len(examples) or toxic.all() or not toxic.any():
         return None
-    vocabulary = {w: i for i, w in enumerate(sorted(chosen))}
-    idf = np.array([math.log((1 + len(examples)) / (1 + chosen[w])) + 1 for w in vocabulary])
+    vocabulary = {w: i for i, w in enumerate(sorted(texts_of))}
+    idf = np.array([math.log((1 + len(examples)) / (1 + texts_of[w])) + 1 for w in vocabulary])
     place_of = {i: p for p, (i, _) in enumerate(examples)}
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    for place, words in sorted((place_of[i], words) for i, words in rows):
-        found = {vocabulary[w]: (1 + math.log(n)) * float(idf[vocabulary[w]]) for w, n in words.items()}
-        size = math.sqrt(sum(w * w for w in found.values()))
-        for term, weight in found.items():
-            postings[term].append((place, weight / size))
-    sizes = [len(p) for p in postings]
-    blocks = [-(-s // BLOCK) for s in sizes]
-    maxima = [max(w for _, w in p[i : i + BLOCK]) for p in postings for i in range(0, len(p), BLOCK)]
+    term, place, weight = [], [], []
+    for at, words in sorted(((place_of[i], words) for i, words in rows), key=lambda x: x[0]):
+        known = {w: n for w, n in words.items() if w in vocabulary}
+        where = np.array([vocabulary[w] for w in known], dtype=np.int64)
+        own = (1 + np.log(np.array(list(known.values()), dtype=float))) * idf[where]
+        term.append(where)
+        place.append(np.full(len(where), at, dtype=np.int64))
+        weight.append(own / np.sqrt(np.sum(own * own)))
+    term, place, weight = np.concatenate(term), np.concatenate(place), np.concatenate(weight)
+    by_term = np.argsort(term, kind="stable")
+    sizes = np.bincount(term, minlength=len(vocabulary))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    weight = weight[by_term]
+    blocks = -(-sizes // BLOCK)
+    block_starts = np.concatenate([[0], np.cumsum(blocks)])
+    heads = np.repeat(starts[:-1] - block_starts[:-1] * BLOCK, blocks) + np.arange(block_starts[-1]) * BLOCK
+    many = np.flatnonzero(sizes * WIDE >= len(examples))
+    wide, wide_row = np.zeros((len(many), len(examples))), np.full(len(vocabulary), -1)
+    wide_row[many] = np.arange(len(many))
+    for row, a, b in zip(wide, starts[many], starts[many + 1]):
+        row[place[by_term[a:b]]] = weight[a:b]
     return Index(
-        vocabulary, idf, np.concatenate([[0], np.cumsum(sizes)]), np.array([p for x in postings for p, _ in x], dtype=np.int64),
-        np.array([w for x in postings for _, w in x]), np.concatenate([[0], np.cumsum(blocks)]), np.array(maxima),
-        np.array([max((w for _, w in p), default=0.0) for p in postings]), np.array([i for i, _ in examples]), toxic,
+        vocabulary, idf, starts, place[by_term], weight, block_starts, np.maximum.reduceat(weight, heads), np.maximum.reduceat(weight, starts[:-1]),
+        np.array([i for i, _ in examples]), toxic, wide, wide_row, math.log(1 + len(examples)) + 1 if unseen else 0.0, telling,
     )
 
 
@@ -143,7 +171,7 @@ def ratio(a: Column, n: int, b: Column, m: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, per_class: int = EXAMPLES) -> Index | None:
     """The index of a bounded sample of the labelled rows for which `learnable` (a condition on `doc_id`) holds.
 
-    Terms are counted and chosen on the cluster; the driver gets the vocabulary and its counts in the examples.
+    Terms are counted, and those that tell the classes apart chosen, on the cluster; the driver gets the examples' terms and counts, example by example.
     """
     small_batches(docs.sparkSession)
     named = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -164,21 +192,31 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, p
     n_no = len(examples) - n_yes
     if not n_yes or not n_no:
         return None
-    pairs = counted.select("doc_id", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", "toxic", "x.words", "x.counts")
+    pairs = counted.select("toxic", F.explode("words").alias("words"))
     seen = pairs.groupBy("words").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= LEAST_DOCS)
     told = seen.withColumn("ratio", ratio(F.col("a"), n_yes, F.col("texts") - F.col("a"), n_no)).where(F.col("ratio") >= LEAST_RATIO)
-    vocabulary = materialise(told.orderBy(F.desc("ratio"), "words").limit(TERMS).select("words", "texts"), "vocabulary")
-    held = pairs.join(F.broadcast(vocabulary), "words").groupBy("doc_id").agg(F.collect_list("words").alias("words"), F.collect_list("counts").alias("counts"))
-    terms_of = [(r.doc_id, dict(zip(r.words, r.counts))) for r in held.collect()]
-    return build(examples, {r.words: r.texts for r in vocabulary.collect()}, terms_of)
+    telling = {r.words: r.texts for r in told.orderBy(F.desc("ratio"), "words").limit(TERMS).select("words", "texts").collect()}
+    rows, texts_of = [], Counter()
+    for r in counted.select("doc_id", "words", "counts").toLocalIterator():
+        if r.words:
+            rows.append((r.doc_id, {sys.intern(w): n for w, n in zip(r.words, r.counts)}))
+            texts_of.update(rows[-1][1].keys())
+    held = [(i, words) for i, words in rows if any(w in telling for w in words)]
+    return build(examples, rows, texts_of, build(examples, held, telling, unseen=False))
 
 
 def vote(index: Index | None, text: str | None) -> tuple[float, str]:
     """Score and evidence."""
-    near = index.nearest(index.vector(text)) if index else []
+    counts = terms(text) if index else {}
+    near = index.nearest(index.weighed(counts)) if index else []
+    counted = [(c, p, 1.0) for c, p in near]
+    if near and index.telling:
+        share = min(max(1 - near[0][0], 0.0) / SOFT, 1.0)
+        share = share if share > 1e-9 else 0.0
+        counted += [(c, p, share) for c, p in index.telling.nearest(index.telling.weighed(counts))]
     votes, total = DOUBT * BASE, DOUBT
-    for cosine, place in near:
-        weight = cosine * cosine / (max(1 - cosine, 0.0) + SOFT)
+    for cosine, place, share in counted:
+        weight = share * cosine * cosine / (max(1 - cosine, 0.0) + SOFT)
         votes, total = votes + weight * bool(index.toxic[place]), total + weight
     return votes / total, ",".join(f"{index.ids[p]}:{'toxic' if index.toxic[p] else 'clean'}:{c:.4f}" for c, p in near[:3])
 
