@@ -85,3 +85,21 @@ def test_very_long_texts_do_not_recurse(spark):
 def test_redaction_leaves_no_base_span(spark, text):
     out = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
     assert not [s for s in brute(out) if s.startswith(("email", "ip"))]
+
+
+def test_redaction_cuts_all_spans_of_the_original(spark):
+    """No character of a span that the original has stays, whatever kinds overlap."""
+    texts = [
+        "é🙂 +33.1.42.68.53.00 end", "+49 30.12.34.56.78", "card +4111 1111 1111 1111, 10.0.0.1", "1.2.3.4@x.org a@1.2.3.4", "a@b.c_d@e.f +1 (234) 555-1234",
+        "ssn 123-45-6789", *TEXTS,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: [tuple(s)[:3] for k in pii.KINDS for s in r[k.name]] for r in pii.find(docs).collect()}
+    for row in pii.redact(docs).collect():
+        text, out, end = texts[row.doc_id], [], 0
+        for kind, a, b in sorted(found[row.doc_id], key=lambda s: (s[1], -s[2], s[0])):
+            if a >= end:
+                out += [text[end:a], f"[{kind.upper()}]"]
+            end = max(end, b)
+        assert row.text == (text if text is None else "".join(out) + text[end:])
+    assert pii.redact(docs).first().text == "é🙂 [PHONE] end"

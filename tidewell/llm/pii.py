@@ -157,15 +157,37 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select("id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
+def merged(spans: Column) -> Column:
+    """Overlapping spans as their union, in order of start; a union has the kind of its first span, of the longest that start there."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def state(out: Column, kind: Column, start: Column, end: Column) -> Column:
+        return F.struct(out.alias("out"), kind.alias("kind"), start.alias("start"), end.alias("end"))
+
+    def closed(s: Column) -> Column:
+        last = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(s["kind"].isNull(), s["out"]).otherwise(F.concat(s["out"], last))
+
+    def step(s: Column, x: Column) -> Column:
+        wider = state(s["out"], s["kind"], s["start"], F.greatest(s["end"], -x["back"]))
+        return F.when(x["start"] < s["end"], wider).otherwise(state(closed(s), x["kind"], x["start"], -x["back"]))
+
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return F.aggregate(ordered, state(empty, F.lit(None).cast("string"), F.lit(0), F.lit(0)), step, closed)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every counted match replaced by its kind in brackets, one kind after the other."""
-    at, *_ = fresh("text")
-    rows = docs.withColumnRenamed(text_col, at)
-    for kind in KINDS:
-        own = kind._replace(name=f"__{kind.name}")
-        rows = _matched(rows, at, [own])
-        mask = F.lit(f"[{kind.name.upper()}]")
-        parts = F.transform(own.name, lambda x: F.concat(x["b"], F.when(x["good"] & (x["score"] >= LEAST), mask).otherwise(x["m"])))
-        masked = F.concat(F.array_join(parts, ""), F.col(f"{own.name}__rest"))
-        rows = rows.withColumn(at, F.when(F.size(own.name) > 0, masked).otherwise(F.col(at))).drop(own.name, f"{own.name}__rest")
+    """The rows with every counted match of the text as it was replaced by its kind in brackets; matches that overlap are one."""
+    at, spans = fresh("text", "spans")
+    own = [k._replace(name=f"__{k.name}") for k in KINDS]
+    rows = _matched(docs.withColumnRenamed(text_col, at), at, own)
+    rows = rows.withColumn(spans, F.concat(*[_spans(k) for k in own])).withColumn(spans, merged(F.col(spans)))
+
+    def piece(s: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col(spans), i - 1)["end"], F.lit(0))
+        return F.concat(F.substr(at, end + 1, s["start"] - end), F.lit("["), F.upper(F.ltrim(s["kind"], F.lit("_"))), F.lit("]"))
+
+    rest = F.substr(at, F.element_at(spans, -1)["end"] + 1)
+    masked = F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+    rows = rows.withColumn(at, F.when(F.size(spans) > 0, masked).otherwise(F.col(at)))
     return rows.withColumnRenamed(at, text_col).select(docs.columns)
