@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewell.llm import toxicity
@@ -110,3 +111,14 @@ def test_cosines_are_over_all_terms(spark, documents, labelled):
         assert [(int(index.ids[p]), round(c, 9)) for c, p in index.nearest(index.vector(text))] == [(i, round(cosines[i], 9)) for i in best]
     assert toxicity.vote(index, rows[-2][1])[0] >= 0.5 > toxicity.vote(index, rows[-1][1])[0]
     assert toxicity.vote(index, rows[-2][1])[1].startswith("900:toxic:1.0000")
+
+
+def test_blocks_below_the_bound_are_not_read(monkeypatch):
+    """An example is closed by the maximum of its block, though the term's list has a larger one."""
+    monkeypatch.setattr(toxicity, "BLOCK", 2)
+    rows = [(i, {"vile": 1} if i < 2 else {"vile": 1, f"a{i}": 9, f"b{i}": 9}) for i in range(6)]
+    index = toxicity.build([(i, i % 2) for i in range(6)], rows, Counter(w for _, words in rows for w in words))
+    term, scores = index.vocabulary["vile"], np.full(6, 0.1)
+    assert index.term_max[term] > 0.6 > max(index.block_max[index.block_starts[term] + 1 : index.block_starts[term + 1]])
+    assert list(index._add(term, 1.0, scores, np.arange(6), 0.7)) == [0, 1]
+    assert list(scores[2:]) == [0.1] * 4 and all(scores[:2] > 1)

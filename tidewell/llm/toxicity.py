@@ -8,7 +8,7 @@ different terms and is broadcast; `EXAMPLES` bounds the texts in it.
 
 The index keeps each term's postings in blocks of `BLOCK` examples with the largest weight of each block. A text asks for its
 `NEIGHBOURS` nearest examples: terms go by falling bound, `STEP` at a time; once the rest cannot lift an unseen example over the worst of the
-best found, only open examples are looked up (bounds are those of whole terms). The
+best found, an example is looked up in a block only if the maximum of the block, not of the whole list, can lift it among the best. The
 result is that of the full sum over all examples.
 
 Votes: each neighbour counts with cosine^2 / (1 - cosine + `SOFT`), toxic ones for, others against; votes of nothing (the
@@ -107,16 +107,23 @@ class Index(NamedTuple):
                 floor = np.partition(scores, -k)[-k]
         open_ = np.flatnonzero((scores > 0) & (scores + rest[at] >= floor - 1e-12))
         for term, weight in zip(order[at:], weights[at:]):
-            self._add(term, weight, scores, open_)
+            at += 1
+            open_ = self._add(term, weight, scores, open_, floor - rest[at] - 1e-12)
         best = open_[np.lexsort((self.ids[open_], -np.round(scores[open_], 12)))][:k]
         return [(float(scores[p]), int(p)) for p in best]
 
-    def _add(self, term: int, weight: float, scores: np.ndarray, open_: np.ndarray) -> None:
-        """Add one term's weights to the open examples."""
+    def _add(self, term: int, weight: float, scores: np.ndarray, open_: np.ndarray, least: float) -> np.ndarray:
+        """Add one term's weights to the open examples and give those that stay open. An example whose block's maximum cannot
+        lift it to `least` is closed, its block not read for it."""
         a, b = self.starts[term : term + 2]
+        block = np.searchsorted(self.places[a:b:BLOCK], open_, side="right") - 1
+        most = weight * np.where(block >= 0, self.block_max[self.block_starts[term] + np.maximum(block, 0)], 0.0)
+        reach = scores[open_] + most >= least
+        open_ = open_[reach]
         at = np.minimum(np.searchsorted(self.places[a:b], open_), b - a - 1) + a
         held = self.places[at] == open_
         scores[open_[held]] += weight * self.weights[at[held]]
+        return open_
 
 
 def build(examples: list[tuple[int, int]], rows: list[tuple[int, dict[str, int]]], texts_of: dict[str, int], telling: Index | None = None, unseen: bool = True) -> Index | None:
