@@ -10,7 +10,7 @@ NAMES = sorted(n for n in entry.queries() if n.startswith("op"))
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in sorted(NAMES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(NAMES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixture, neighbours, pieces, pii, quality, simhash, tokenbin, toxicity, warc
+from . import importance, langid, mixture, neighbours, pieces, pii, quality, simhash, tokenbin, toxicity, urlrules, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,73 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page; trigrams are learnt from a sample of the documents."""
     model = langid.train(table(spark, sf_dir, "documents"))
     return langid.fuse(table(spark, sf_dir, "pages"), model).withColumnRenamed("page", "page_id")
+
+
+@query(r"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+goal AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+each AS (SELECT doc_id, unnest(words) AS word FROM docs),
+known AS (SELECT word FROM each UNION SELECT word FROM goal),
+bytes AS (
+  SELECT word, list_transform(range(octet_length(encode(word))), lambda j: CAST('0x' || substr(hex(encode(word)), CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM known),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, step),
+s AS (SELECT bucket, count(*) AS n FROM each JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM goal JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT h.bucket, CAST(floor(1000 * ln(
+    CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM each) + 10000) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM goal) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM hashed) h LEFT JOIN s ON s.bucket = h.bucket LEFT JOIN t ON t.bucket = h.bucket),
+sums AS (SELECT doc_id, sum(gain) AS total FROM each JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(CASE WHEN len(words) > 0 THEN floor(CAST(total AS DOUBLE) / len(words)) ELSE 0 END AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed),
+best AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM scored LEFT JOIN best ON scored.doc_id = best.doc_id
+""")
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the rank of those drawn."""
+    found = importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: Hosts and beginnings of paths whose verdict is given.
+SITES = ["@@||org/", "||example.org/es/", "||example.org/en/1", "@@||com/fr/", "||com/de/"]
+
+
+@query(r"""
+WITH cut AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+sites(of, start, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+lines(line, verdict, pattern) AS (VALUES
+  ('/wp-login.', 'block', '/wp-login\.'), ('/cgi-bin/', 'block', '/cgi-bin/'), ('/cart/', 'block', '/cart/'), ('/checkout/', 'block', '/checkout/'),
+  ('^sessionid=', 'block', '[^A-Za-z0-9_.%-]sessionid='), ('^utm_source=feed^', 'block', '[^A-Za-z0-9_.%-]utm_source=feed([^A-Za-z0-9_.%-]|$)'),
+  ('/search?', 'block', '/search\?'), ('/tag/*/page/', 'block', '(?s)/tag/.*/page/'), ('*.exe|', 'block', '\.exe$'), ('*.zip|', 'block', '\.zip$'),
+  ('@@/robots.txt|', 'allow', '/robots\.txt$'), ('@@/sitemap*.xml|', 'allow', '(?s)/sitemap.*\.xml$')),
+urls AS (SELECT DISTINCT url, host, path FROM cut WHERE url IS NOT NULL),
+by_site AS (
+  SELECT url, arg_max(of || start, length(of || start)) AS rule, arg_max(verdict, length(of || start)) AS verdict FROM urls, sites
+  WHERE (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY url),
+by_line AS (
+  SELECT url, first(line ORDER BY verdict, length(line) DESC, line) AS line, min(verdict) AS verdict FROM urls, lines WHERE regexp_matches(url, pattern) GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(s.verdict, l.verdict, 'allow') AS verdict, CASE WHEN rule IS NULL THEN line END AS pattern
+FROM cut LEFT JOIN by_site s ON cut.url = s.url LEFT JOIN by_line l ON cut.url = l.url
+""")
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the url rules on every page."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), [*SITES, *urlrules.PATTERNS]).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the 32 leading components of all, with variance one."""
+    return whitening.by_component(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
