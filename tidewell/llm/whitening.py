@@ -4,8 +4,8 @@ A vector's entry c becomes the whole number x = floor(`SCALE` c) + `OFFSET`, so
 vectors that take part; a covariance is that of the fit list, divisor n, of centred rows.
 
 1. Sums: each task sums its vectors, Spark adds up the sums by dimension.
-2. Blockwise QR: each task centres blocks of rows and folds them into one triangle R (QR of the triangle on top of the block); triangles of tasks are
-   folded in tasks again, `FAN` to the power of two of them, then `FAN`, and the driver folds the last. R'R is n times the covariance, which
+2. Blockwise QR: each task centres blocks of rows and folds them into one triangle R (QR of the triangle on top of the block); `FAN` tasks' triangles at a time are
+   folded in tasks again until at most `FAN` are left, which the driver folds. R'R is n times the covariance, which
    is never formed: singular values of R keep their accuracy.
 3. Householder reflections make R bidiagonal (U'RQ = B).
 4. dqds, the differential quotient-difference algorithm with shifts, finds the squared singular values of B to high relative accuracy.
@@ -265,7 +265,8 @@ def fit(vectors: DataFrame) -> Whitening | None:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["n", "sums"])
 
     sums = vectors.select("vec").mapInArrow(add, "n long, sums array<long>")
-    added = sums.select("n", F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("at").collect()
+    each = sums.select("n", F.posexplode("sums").alias("at", "x")).groupBy("at")
+    added = each.agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.count(F.lit(1)).alias("tasks")).orderBy("at").collect()
     if not added:
         return None
     n, totals = added[0].n, np.array([r.x for r in added], dtype=np.int64)
@@ -289,8 +290,10 @@ def fit(vectors: DataFrame) -> Whitening | None:
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], names=["r"])
 
     folded = vectors.select("vec").mapInArrow(fold, "r binary")
-    for parts in (FAN * FAN, FAN):
-        folded = folded.repartition(parts).mapInArrow(refold, "r binary")
+    triangles = added[0].tasks
+    while triangles > FAN:
+        triangles = -(-triangles // FAN)
+        folded = folded.repartition(triangles).mapInArrow(refold, "r binary")
     r = np.vstack([_triangle(row.r, len(totals)) for row in folded.collect()])
     r = np.linalg.qr(np.vstack([r, np.zeros((len(totals), len(totals)))]), mode="r")
     squares, components = spectrum(r)
