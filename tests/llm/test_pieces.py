@@ -54,3 +54,29 @@ def test_empty_and_decoded(spark, documents):
 
 def test_damaged_ids_decode(model):
     assert isinstance(model.decode(np.array([300, 200])), str)
+
+
+def test_copies_of_a_long_text_are_encoded_once(spark, model, documents, prose):
+    """A third of all rows hold one long text, some under a null id."""
+    long = prose(4, 900)
+    rows = [(None, long, "a")] * 5 + [(7, long, "a")] * 5 + [(8, long + "!", "a")] + [(100 + i, prose(i), "a") for i in range(20)]
+    found = pieces.encoded(documents(rows), chunk=100)
+    want = [(i, model.processor.encode(t)) for i, t, _ in rows]
+    assert sorted(((r.id, r.ids) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_margin_covers_the_longest_piece(spark, documents, prose, monkeypatch, model):
+    assert model.longest <= pieces.MARGIN
+    with pytest.raises(ValueError):
+        pieces.encoded(documents([(1, "a", "s")]), chunk=pieces.MARGIN - 1)
+    monkeypatch.setattr(pieces, "MARGIN", 2)
+    with pytest.raises(Exception, match="reaches beyond a margin"):
+        pieces.encoded(documents([(1, prose(1, 100), "s")]), chunk=50).collect()
+
+
+def test_a_giant_text_is_cut_once(spark, model):
+    """Four million characters without a word start, then words: time grows with the length, not with its square."""
+    digits = F.expr("array_join(transform(sequence(1, 62500), i -> sha2(string(i), 256)), '')")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(digits, F.expr("repeat(' river stone', 100000)")).alias("text"))
+    row = pieces.encoded(docs).select(F.size("ids").alias("n"), pieces.decoded().alias("t")).first()
+    assert row.t == docs.first().text and row.n == len(model.processor.encode(row.t))

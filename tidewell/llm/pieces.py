@@ -3,9 +3,9 @@
 The model's segmentation (byte-pair merges by piece score) is unique, and a sequence of pieces is the segmentation of its
 text exactly if each neighbouring pair is that of the pair's text. So encoding is a best path: a piece costs nothing, a pair that the model
 would segment otherwise is forbidden (minus infinity). Blanks start words, no piece reaches over a word's start from before it, so
-words are independent and are remembered.
+words are independent: short ones are merged as the model does, and remembered; the pieces of long ones are found along the path.
 
-A text longer than `CHUNK` characters is cut at multiples of it, words or not. The state at a cut is the piece that lies over
+A text of `CHUNK` characters or more is cut at multiples of it, words or not; one that many rows have is encoded once and joined back by its SHA-256. The state at a cut is the piece that lies over
 it or ends at it. A chunk yields a transfer matrix from the states at its left cut to those at its right cut, together with
 the ids of its pieces; every piece belongs to the chunk in which it starts. The matrices of a text are combined by an associative max-plus
 product in a tree, up to the whole and down again, which gives each chunk its entry and exit state; then each chunk
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 from struct import pack
 from typing import NamedTuple
 
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 BLANK = "▁"
 NEVER = -np.inf
 #: Words (of two generations) and pairs remembered by a worker; words over KEEP characters are not.
 MEMORY, KEEP = 250_000, 48
+#: Characters that a chunk is shown beyond its cuts: at least the longest piece.
+MARGIN = 64
 ONE = (1,)
 START = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
@@ -108,16 +111,18 @@ class Pieces:
 
     def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Pieces of a short text by merging the best pair, leftmost first, until none is left."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            ranks = [scores.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-            best = max(ranks)
-            if best == NEVER:
-                break
+        parts, score = list(text), self.scores.get
+        ranks = [score(pair, NEVER) for pair in map(add, parts, parts[1:])]
+        while ranks and (best := max(ranks)) != NEVER:
             i = ranks.index(best)
             if steps is not None:
                 steps.append((parts[i], parts[i + 1]))
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = score(parts[i] + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = score(parts[i - 1] + parts[i], NEVER)
         return parts
 
     def _spines(self) -> None:
@@ -243,7 +248,7 @@ class Pieces:
         """Packed ids of one word: a blank, then the text."""
         known = self.words.get(text)
         if known is None and (known := self.older.get(text)) is None:
-            known = self.packed(self.path(BLANK + text))
+            known = self.packed(self.merge(BLANK + text) if len(text) <= KEEP else self.path(BLANK + text))
         if len(text) <= KEEP:
             if len(self.words) >= MEMORY:
                 self.older = dict(self.words)
@@ -387,14 +392,14 @@ def model_path() -> str:
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """`id`, `text`, `ids` (array of int) for each row; `path` names the model file, found on every machine."""
+    """`id`, `ids` (array of int) for each row; `path` names the model file, found on every machine."""
     import pickle
 
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     path = path or model_path()
+    if chunk < MARGIN:
+        raise ValueError(f"a chunk has at least {MARGIN} characters")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType
     length = F.length("text")
 
     @F.pandas_udf("array<int>")
@@ -404,43 +409,41 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     near = rows.where(length.isNull() | (length < chunk)).select("id", "text", short("text").alias("ids"))
 
-    margin = 64  # at least the longest piece
-    far = rows.where(length >= chunk).select(F.col("id").cast("string").alias("id"), "text", F.xxhash64("text").alias("mark"))
-    at = F.explode(F.sequence(F.lit(0), (length - 1 + 1).cast("int"), F.lit(chunk)))  # the prepared text has one character more
-    cut = far.withColumn("at", at)
-    low = F.greatest(F.col("at") - 1 - margin, F.lit(0))
-    windows = cut.select(
-        "id", "mark", "at", length.alias("size"), low.alias("low"),
-        F.substring("text", low + 1, F.col("at") + chunk + margin - low).alias("part"),
+    far = rows.where(length >= chunk)
+    mark = F.sha2(F.col("text").cast("binary"), 256).alias("mark")
+    # Cut once, from front to back; a chunk gets the ends of its neighbours.
+    cut = far.select(mark, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), 0).alias("parts"))
+    windows = F.transform(
+        "parts",
+        lambda part, at: F.struct(
+            F.coalesce(F.right(F.get("parts", at - 1), F.lit(MARGIN)), F.lit("")).alias("before"), part.alias("part"),
+            F.coalesce(F.left(F.get("parts", at + 1), F.lit(MARGIN)), F.lit("")).alias("after"), (at == F.size("parts") - 1).alias("final"),
+        ),
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A text that many rows have is encoded once.
+    chunks = cut.select("mark", F.posexplode(windows).alias("at", "window")).dropDuplicates(["mark", "at"]).select("mark", "at", "window.*")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loaded(path)
+        if model.longest > MARGIN:
+            raise ValueError(f"a piece of {model.longest} characters reaches beyond a margin of {MARGIN}")
         for batch in batches:
             out = []
-            for at, size, low, part in zip(batch["at"], batch["size"], batch["low"], batch["part"]):
-                total = size + model.prefix
-                text = part.replace(" ", BLANK)
-                shift = low + 1 if model.prefix else low
-                if low == 0 and model.prefix:
-                    text, shift = BLANK + text, 0
-                right = min(at + chunk, total)
-                text = text[: right - shift + margin]
-                out.append(pickle.dumps(tuple(model.chunk(text, at - shift, right - shift, at == 0, right == total))) if at < total else b"")
-            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "at": batch["at"], "ways": out})
-
-    measured = windows.repartition(parts, "id", "mark", "at").mapInPandas(measure, "id string, mark long, at int, ways binary")
+            for at, before, part, after, final in zip(*(batch[c] for c in ("at", "before", "part", "after", "final"))):
+                before = BLANK if at == 0 and model.prefix else before.replace(" ", BLANK)
+                left = 0 if at == 0 else len(before)
+                text = before + part.replace(" ", BLANK) + after.replace(" ", BLANK)
+                out.append(pickle.dumps(tuple(model.chunk(text, left, len(before) + len(part), at == 0, final))))
+            yield pd.DataFrame({"mark": batch["mark"], "at": batch["at"], "ways": out})
+
+    measured = chunks.mapInPandas(measure, "mark string, at int, ways binary")
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        copies = int((group["at"] == 0).sum())
-        first = group.drop_duplicates("at").sort_values("at")
-        ways = [Ways(*pickle.loads(w)) for w in first["ways"] if w]
-        ids = np.frombuffer(resolve(ways), dtype="<i4")
-        return pd.DataFrame({"id": [group["id"].iat[0]] * copies, "mark": group["mark"].iat[0], "ids": [ids] * copies})
-
-    joined = measured.groupBy("id", "mark").applyInPandas(join, "id string, mark long, ids array<int>")
-    return near.select("id", "ids").unionAll(joined.select(F.col("id").cast(kind).alias("id"), "ids"))
+        ways = [Ways(*pickle.loads(w)) for w in group.sort_values("at")["ways"]]
+        return pd.DataFrame({"mark": group["mark"].iat[0], "ids": [np.frombuffer(resolve(ways), dtype="<i4")]})
+
+    joined = measured.groupBy("mark").applyInPandas(join, "mark string, ids array<int>")
+    return near.select("id", "ids").unionAll(far.select("id", mark).join(joined, "mark").select("id", "ids"))
 
 
 def decoded(ids_col: str = "ids", path: str | None = None) -> Column:
