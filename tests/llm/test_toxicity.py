@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from tidewell.llm import toxicity
@@ -38,34 +37,40 @@ def index(spark, documents, labelled):
 
 def brute_nearest(index, text, k):
     """Cosines with every example, from the postings read one by one."""
-    vector = index.vector(text)
     scores = Counter()
-    for term, weight in vector.items():
+    for term, weight in zip(*index.vector(toxicity.terms(text))):
         for at in range(index.starts[term], index.starts[term + 1]):
-            scores[int(index.places[at])] += weight * float(index.weights[at])
+            scores[int(index.places[at])] += float(weight) * float(index.weights[at])
     best = sorted(scores.items(), key=lambda x: (-round(x[1], 12), index.ids[x[0]]))[:k]
     return [(round(c, 9), p) for p, c in best if c > 0]
 
 
-@pytest.mark.parametrize("k", [1, 3, 15])
-@pytest.mark.parametrize("block", [2, 64])
-def test_block_max_search_is_exact(index, labelled, monkeypatch, k, block):
-    if block != toxicity.BLOCK:
-        monkeypatch.setattr(toxicity, "BLOCK", block)
-        sizes = [int(b - a) for a, b in zip(index.starts, index.starts[1:])]
-        maxima = [max(index.weights[a + i : min(a + i + block, b)]) for a, b in zip(index.starts, index.starts[1:]) for i in range(0, b - a, block)]
-        starts = [0]
-        for s in sizes:
-            starts.append(starts[-1] + -(-s // block))
-        index = index._replace(block_starts=__import__("numpy").array(starts), block_max=__import__("numpy").array(maxima))
-    for _, text, _ in labelled(60, 3) + [(0, "", 0), (0, " ".join(BAD) + " vile vile", 1)]:
-        got = [(round(c, 9), p) for c, p in index.nearest(index.vector(text), k)]
-        assert got == brute_nearest(index, text, k)
+def nearest(index, text, k=toxicity.NEIGHBOURS):
+    return [(round(c, 9), p) for c, p in next(index.nearest([index.vector(toxicity.terms(text))], k))]
+
+
+@pytest.mark.parametrize("k", [1, 3, 15, 500])
+@pytest.mark.parametrize("block, wide", [(2, 16), (64, 16), (5, 1), (64, 10_000)])
+def test_block_max_search_is_exact(labelled, monkeypatch, k, block, wide):
+    """Few or many blocks, all or no terms side by side."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "WIDE", wide)
+    rows = labelled(240)
+    seen = [(i, toxicity.terms(t)) for i, t, _ in rows]
+    texts_of = Counter(w for _, words in seen for w in words)
+    told = {w: 1.0 if w in BAD else 0.05 for w in texts_of}
+    index = toxicity.build([(i, k) for i, _, k in rows], seen, texts_of, 240, told)
+    assert len(index.wide) == 0 or wide > 1
+    for _, text, _ in labelled(60, 3) + [(0, "", 0), (0, " ".join(BAD) + " vile vile", 1), (0, "nowhere seen", 0)]:
+        assert nearest(index, text, k) == brute_nearest(index, text, k)
+    many = [t for _, t, _ in labelled(150, 4)]
+    found = index.nearest([index.vector(toxicity.terms(t)) for t in many], k)
+    assert [[(round(c, 9), p) for c, p in f] for f in found] == [brute_nearest(index, t, k) for t in many]
 
 
 def test_vectors_have_length_one(index):
     for text in ("grubby vile", "vile vile vile nasty of"):
-        assert math.isclose(sum(w * w for w in index.vector(text).values()), 1.0)
+        assert math.isclose(sum(w * w for w in index.vector(toxicity.terms(text))[1]), 1.0)
 
 
 def test_unseen_texts(spark, documents, index, labelled):
@@ -80,7 +85,8 @@ def test_unseen_texts(spark, documents, index, labelled):
 def test_rows(documents, hard_rows, index):
     found = toxicity.scores(documents(hard_rows), index).collect()
     assert sorted((r.id for r in found), key=repr) == sorted((i for i, _, _ in hard_rows), key=repr)
-    assert {r.score for r in found if r.id in (3, 4, 5)} == {toxicity.BASE}
+    slope, shift = index.curve
+    assert {r.score for r in found if r.id in (3, 4, 5)} == {1 / (1 + math.exp(-(slope * toxicity.logit(index.base) + shift)))}
     assert toxicity.scores(documents([]), index).count() == 0
 
 
@@ -93,14 +99,29 @@ def test_one_class_or_no_labels(spark, documents, prose):
 
 
 def test_cosines_are_over_all_terms(spark, documents, labelled):
-    """A copy of an example has cosine 1 and its class, however rare its words; other cosines are those of the full vectors."""
+    """Against plain Python: document frequencies of all documents, telling factors of the examples, every term in the length."""
     rows = labelled(120) + [(900, "zyxo qwerl plimf of the river", 1), (901, "brundle snorf kettlish of the river", 0)]
+    others = [(2000 + i, "of zyxo others", None) for i in range(40)] + [(3000, None, None), (3001, "", None)]
     labels = spark.createDataFrame([(i, 1, k) for i, _, k in rows], "doc_id long, quality int, toxic int")
-    index = toxicity.learn(documents([(i, t, "s") for i, t, _ in rows]), labels)
-    seen = Counter(w for _, t, _ in rows for w in toxicity.terms(t))
+    index = toxicity.learn(documents([(i, t, "s") for i, t, _ in rows + others]), labels)
+    everywhere = Counter(w for _, t, _ in rows + others for w in toxicity.terms(t))
+    n = {k: sum(x == k for _, _, x in rows) for k in (0, 1)}
+    has = {k: Counter(w for _, t, x in rows if x == k for w in toxicity.terms(t)) for k in (0, 1)}
+
+    def part(x, total):
+        return x * math.log(x / total) if x else 0.0
+
+    def told(w):
+        a, b = has[1][w], has[0][w]
+        found = 2 * sum(part(x, m) + part(m - x, m) for x, m in ((a, n[1]), (b, n[0]))) - 2 * (part(a + b, n[0] + n[1]) + part(n[0] + n[1] - a - b, n[0] + n[1]))
+        return min(1.0, toxicity.LEAST + found / toxicity.FULL)
 
     def full(text):
-        found = {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + seen[w])) + 1) for w, n in toxicity.terms(text).items()}
+        size = len(rows) + len(others)
+        found = {}
+        for w, m in toxicity.terms(text).items():
+            known = has[0][w] + has[1][w] > 0
+            found[w] = (1 + math.log(m)) * ((math.log((1 + size) / (1 + everywhere[w])) + 1) * told(w) if known else (math.log((1 + size) / 2) + 1) * toxicity.LEAST)
         return {w: x / math.sqrt(sum(y * y for y in found.values())) for w, x in found.items()}
 
     examples = {i: full(t) for i, t, _ in rows}
@@ -108,17 +129,72 @@ def test_cosines_are_over_all_terms(spark, documents, labelled):
         mine = full(text)
         cosines = {i: sum(x * v.get(w, 0) for w, x in mine.items()) for i, v in examples.items()}
         best = sorted((i for i in cosines if cosines[i] > 0), key=lambda i: (-round(cosines[i], 12), i))[:15]
-        assert [(int(index.ids[p]), round(c, 9)) for c, p in index.nearest(index.vector(text))] == [(i, round(cosines[i], 9)) for i in best]
-    assert toxicity.vote(index, rows[-2][1])[0] >= 0.5 > toxicity.vote(index, rows[-1][1])[0]
-    assert toxicity.vote(index, rows[-2][1])[1].startswith("900:toxic:1.0000")
+        assert [(int(index.ids[p]), c) for c, p in nearest(index, text)] == [(i, round(cosines[i], 9)) for i in best]
+    bad, good = toxicity.judged(index, [rows[-2][1], rows[-1][1]])
+    assert bad[0] >= 0.5 > good[0] and bad[1].startswith("900:toxic:1.0000")
+
+
+def test_votes_and_curve_by_hand(index, labelled):
+    """The score of a text from its neighbours, in plain Python."""
+    text = labelled(5, 6)[0][1]
+    toxic, total = toxicity.DOUBT * index.base, toxicity.DOUBT
+    for c, p in brute_nearest(index, text, toxicity.NEIGHBOURS):
+        weight = index.pull[bool(index.toxic[p])] * c * c / (1 - c + toxicity.SOFT)
+        toxic, total = toxic + weight * bool(index.toxic[p]), total + weight
+    slope, shift = index.curve
+    want = 1 / (1 + (total / toxic - 1) ** slope * math.exp(-shift))
+    assert math.isclose(toxicity.judged(index, [text])[0][0], want, rel_tol=1e-6)
+
+
+def test_scores_are_calibrated(spark, documents, prose):
+    """Words that only make a text toxic more or less often: of unseen texts as many are toxic as the scores say."""
+    rnd = random.Random(9)
+
+    def made(count, seed):
+        rows = []
+        for i in range(count):
+            chance = rnd.choice([0.02, 0.02, 0.5, 0.9])
+            word = {0.02: "calm", 0.5: "grumpy", 0.9: "vile"}[chance]
+            rows.append((seed + i, f"{prose(seed + i, 20)} {word} {word}", int(rnd.random() < chance)))
+        return rows
+
+    rows, fresh = made(900, 0), made(600, 10_000)
+    labels = spark.createDataFrame([(i, 1, k) for i, _, k in rows], "doc_id long, quality int, toxic int")
+    index = toxicity.learn(documents([(i, t, "s") for i, t, _ in rows]), labels)
+    assert math.isclose(index.base, sum(k for *_, k in rows) / len(rows))
+    scores = [s for s, _ in toxicity.judged(index, [t for _, t, _ in fresh])]
+    error = 0.0
+    for low in range(5):
+        here = [(s, k) for s, (_, _, k) in zip(scores, fresh) if low / 5 <= s < (low + 1) / 5 or (s == 1 and low == 4)]
+        if here:
+            error += abs(sum(s - k for s, k in here)) / len(fresh)
+    assert error < 0.1
 
 
 def test_blocks_below_the_bound_are_not_read(monkeypatch):
-    """An example is closed by the maximum of its block, though the term's list has a larger one."""
+    """Blocks whose maxima cannot lift an example to the k-th best are left out, and the result stays that of all."""
     monkeypatch.setattr(toxicity, "BLOCK", 2)
-    rows = [(i, {"vile": 1} if i < 2 else {"vile": 1, f"a{i}": 9, f"b{i}": 9}) for i in range(6)]
-    index = toxicity.build([(i, i % 2) for i in range(6)], rows, Counter(w for _, words in rows for w in words))
-    term, scores = index.vocabulary["vile"], np.full(6, 0.1)
-    assert index.term_max[term] > 0.6 > max(index.block_max[index.block_starts[term] + 1 : index.block_starts[term + 1]])
-    assert list(index._add(term, 1.0, scores, np.arange(6), 0.7)) == [0, 1]
-    assert list(scores[2:]) == [0.1] * 4 and all(scores[:2] > 1)
+    monkeypatch.setattr(toxicity, "WIDE", 1)
+    rows = [(i, {"vile": 1, "nasty": 1, "all": 1} if i < 2 else {"vile": 1, f"a{i}": 9, f"b{i}": 9, "all": 1}) for i in range(12)]
+    index = toxicity.build([(i, i % 2) for i in range(12)], rows, Counter(w for _, words in rows for w in words), 12)
+    read = []
+    spans = toxicity.spans
+    monkeypatch.setattr(toxicity, "spans", lambda a, b: read.append(int((b - a).sum())) or spans(a, b))
+    found = nearest(index, "vile nasty all", 2)
+    assert [p for _, p in found] == [0, 1] and read[-1] < 14  # of 26 postings
+    monkeypatch.setattr(toxicity, "spans", spans)
+    assert found == brute_nearest(index, "vile nasty all", 2)
+
+
+def test_one_example_for_an_id_and_a_bound_in_bytes(spark, documents, labelled, monkeypatch):
+    """Repeated rows and unlike texts of one id: the same one text on every run; many terms: fewer examples."""
+    rows = labelled(80)
+    twice = rows + [(rows[1][0], "another text entirely", 0)] * 30 + [(rows[4][0], t, k) for _, t, k in rows[:3]]
+    labels = spark.createDataFrame([(i, 1, k) for i, _, k in rows], "doc_id long, quality int, toxic int")
+    first, second = (toxicity.learn(documents([(i, t, "s") for i, t, _ in r]), labels) for r in (twice, twice[::-1]))
+    assert len(first.ids) == 80 and (first.weights == second.weights).all() and (first.places == second.places).all()
+    monkeypatch.setattr(toxicity, "POSTINGS", 400)
+    small = toxicity.learn(documents([(i, t, "s") for i, t, _ in rows]), labels)
+    assert 2 <= len(small.ids) < 40 and len(small.places) <= 400 and small.toxic.any() and not small.toxic.all()
+    monkeypatch.setattr(toxicity, "WIDE_BYTES", 8 * 80 * 3)
+    assert len(toxicity.learn(documents([(i, t, "s") for i, t, _ in rows]), labels).wide) <= 3 * 80 // len(small.ids)
