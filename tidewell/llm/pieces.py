@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from operator import add
 from struct import pack
 from typing import NamedTuple
@@ -85,11 +86,18 @@ class Pieces:
             raw[i] = p.piece.replace(BLANK, " ").encode() if p.type == normal else b""
         for value, i in self.byte_ids.items():
             raw[i] = bytes([value])
-        self.raw = raw
+        #: Bytes of all pieces, one after the other.
+        self.bytes, self.sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw])
+        self.offsets = np.cumsum(self.sizes) - self.sizes
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self._spines()
+        beside = [(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)]
+        #: Characters that no piece has behind a letter or digit; whether a line's end is a piece by itself.
+        self.marks = "".join({c for p in self.ids for c in p if not c.isalnum()} - {b for a, b in beside if a.isalnum()} - {BLANK})
+        self.lines = not any("\n" in pair for pair in beside)
+        self.line_end = self.packed(["\n"])
         self.processor = SentencePieceProcessor(model_file=path)
 
     # --- pieces ---
@@ -112,7 +120,7 @@ class Pieces:
     def merge(self, text: str, steps: list | None = None) -> list[str]:
         """Pieces of a short text by merging the best pair, leftmost first, until none is left."""
         parts, score = list(text), self.scores.get
-        ranks = [score(pair, NEVER) for pair in map(add, parts, parts[1:])]
+        ranks = list(map(score, map(add, parts, parts[1:]), repeat(NEVER)))
         while ranks and (best := max(ranks)) != NEVER:
             i = ranks.index(best)
             if steps is not None:
@@ -248,13 +256,43 @@ class Pieces:
         """Packed ids of one word: a blank, then the text."""
         known = self.words.get(text)
         if known is None and (known := self.older.get(text)) is None:
-            known = self.packed(self.merge(BLANK + text) if len(text) <= KEEP else self.path(BLANK + text))
+            known = self.short(BLANK + text) if text.isalnum() else self.apart(BLANK + text)
+        return self._keep(text, known)
+
+    def short(self, text: str) -> bytes:
+        """Packed ids of a text without word starts inside: short ones merged as the model does, long ones along the path."""
+        return self.packed(self.merge(text) if len(text) <= KEEP else self.path(text))
+
+    def apart(self, text: str) -> bytes:
+        """The same, where no piece reaches over a line's end or from letters to the marks behind them: each part by itself, so that words with
+        many endings are merged once."""
+        if not self.lines:
+            return self.short(text)
+        out = []
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out.append(self.line_end)
+            core = line.rstrip(self.marks)
+            if core != line and core[-1:].isalnum():
+                out += [self._part(core), self._part(line[len(core) :])]
+            elif line:
+                out.append(self._part(line))
+        return b"".join(out)
+
+    def _part(self, text: str) -> bytes:
+        """Remembered among the words: after its blank, or under a blank where it has none."""
+        if text[0] == BLANK and text[1:].isalnum():
+            return self.word(text[1:])
+        known = self.words.get(BLANK + text) or self.older.get(BLANK + text)
+        return self._keep(BLANK + text, self.short(text) if known is None else known)
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= KEEP:
             if len(self.words) >= MEMORY:
                 self.older = dict(self.words)
                 self.words.clear()
-            self.words[text] = known
-        return known
+            self.words[text] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
         """Packed ids of a text (blanks as U+2581) that starts and ends at word starts."""
@@ -334,7 +372,8 @@ class Pieces:
         return self.chunk(text[low:high], left - low, right - low, left == 0, right == len(text))
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        first, sizes = self.offsets[ids], self.sizes[ids]
+        raw = self.bytes[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())].tobytes()
         return raw.decode(errors="replace")[1 if self.prefix and raw[:1] == b" " else 0 :]
 
 
