@@ -55,27 +55,46 @@ def terms(text: str | None) -> Counter:
 
 
 
-class Index(NamedTuple):
-    """Postings by term: example places ascending, weights, block maxima."""
+class Sent(NamedTuple):
+    """What an index is sent as: postings by term with example places ascending, and what the votes need."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # by term, its telling factor included
     starts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
-    block_starts: np.ndarray  # by term: its first entry among the blocks
-    block_of: np.ndarray  # by entry: which `BLOCK` examples
-    block_max: np.ndarray
-    entry_starts: np.ndarray  # by entry: its first posting
     ids: np.ndarray
     toxic: np.ndarray
-    wide: np.ndarray  # for a term that one in `WIDE` examples has: the weights of all examples once more, side by side
-    wide_row: np.ndarray  # by term, -1 if it has none
     unseen: float  # weight of a term that no example has
     base: float  # share of toxic texts among the labels
     pull: tuple[float, float]  # what a clean and a toxic example count, for the sample's shares of the classes
     curve: tuple[float, float]  # slope and shift of the logistic curve
 
+
+class Index:
+    """Postings with their blocks. Only `Sent` travels; blocks and the lists side by side are made from it where it arrives."""
+
+    def __init__(self, sent: Sent):
+        self.sent = sent
+        self.vocabulary, self.idf, self.starts, self.places, self.weights, self.ids, self.toxic, self.unseen, self.base, self.pull, self.curve = sent
+        sizes = np.diff(self.starts)
+        term = np.repeat(np.arange(len(sizes)), sizes)
+        block = self.places // BLOCK
+        new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))  # where a term or a block begins
+        self.block_starts = np.searchsorted(term[new], np.arange(len(sizes) + 1))  # by term: its first entry
+        self.block_of, self.block_max = block[new], np.maximum.reduceat(self.weights, new)  # by entry
+        self.entry_starts = np.append(new, len(term))  # by entry: its first posting
+        # The lists that one in `WIDE` examples is in, the longest first: the weights of all examples side by side.
+        many = np.flatnonzero(sizes * WIDE >= len(self.ids))
+        many = np.sort(many[np.argsort(-sizes[many], kind="stable")][: WIDE_BYTES // (8 * len(self.ids))])
+        self.wide, self.wide_row = np.zeros((len(many), len(self.ids))), np.full(len(sizes), -1, dtype=np.int32)
+        self.wide_row[many] = np.arange(len(many))
+        for row, a, b in zip(self.wide, self.starts[many], self.starts[many + 1]):
+            row[self.places[a:b]] = self.weights[a:b]
+
+    def __reduce__(self):
+        return Index, (self.sent,)
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights; with the unknown ones, of length 1."""
         at = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
@@ -147,23 +166,11 @@ def build(
     by_term = np.argsort(term, kind="stable")
     sizes = np.bincount(term, minlength=len(vocabulary))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    weight = weight[by_term]
-    place, term = place[by_term], term[by_term]
-    new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(place // BLOCK, prepend=-1))  # where a term or a block begins
-    block_starts = np.searchsorted(term[new], np.arange(len(vocabulary) + 1))
-    many = np.flatnonzero(sizes * WIDE >= len(examples))
-    many = np.sort(many[np.argsort(-sizes[many], kind="stable")][: WIDE_BYTES // (8 * len(examples))])
-    wide, wide_row = np.zeros((len(many), len(examples))), np.full(len(vocabulary), -1, dtype=np.int32)
-    wide_row[many] = np.arange(len(many))
-    for row, a, b in zip(wide, starts[many], starts[many + 1]):
-        row[place[a:b]] = weight[a:b]
     base = float(toxic.mean()) if base is None else base
     pull = ((1 - base) / float((~toxic).mean()), base / float(toxic.mean()))
-    return Index(
-        vocabulary, idf, starts, place.astype(np.int32), weight, block_starts, (place[new] // BLOCK).astype(np.int32), np.maximum.reduceat(weight, new),
-        np.append(new, len(place)),
-        np.array([i for i, _ in examples]), toxic, wide, wide_row, (math.log((1 + texts) / 2) + 1) * least, base, pull, (1.0, 0.0),
-    )
+    ids = np.array([i for i, _ in examples])
+    unseen = (math.log((1 + texts) / 2) + 1) * least
+    return Index(Sent(vocabulary, idf, starts, place[by_term].astype(np.int32), weight[by_term], ids, toxic, unseen, base, pull, (1.0, 0.0)))
 
 
 def ratio(a: Column, n: int, b: Column, m: int) -> Column:
@@ -218,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, p
     texts, texts_of = frequencies(docs, list(told))
     share = named.agg(F.avg("toxic")).first()[0]
     index = build(examples, rows, texts_of, texts, told, share)
-    return index and index._replace(curve=fitted(counted, index))
+    return index and Index(index.sent._replace(curve=fitted(counted, index)))
 
 
 def frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]:
@@ -237,6 +244,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[str, int]]
         yield pd.DataFrame({"word": [None, *(sent.value[i] for i in here)], "n": [texts, *found[here].tolist()]})
 
     rows = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     by_word = {r.word: r.n for r in rows}
     return by_word.pop(None, 0), {w: by_word.get(w, 0) for w in words}
 
@@ -256,6 +264,7 @@ def fitted(counted: DataFrame, index: Index, rounds: int = 50) -> tuple[float, f
 
     spread = counted.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     rows = spread.mapInPandas(judge, "doc_id long, toxic int, vote double").orderBy("doc_id").collect()
+    sent.destroy()
     y = np.array([r.toxic for r in rows], dtype=float)
     x = np.array([logit(r.vote) for r in rows])
     weight = np.where(y > 0, index.pull[1], index.pull[0])
