@@ -1,9 +1,11 @@
 """Log analytics and quota admission against plain Python."""
 
 import random
+import time
 from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidewell.operators.history import (
     due_rows, duration_buckets, kpi_delta, latest_state, multi_search, over_quota, recent_n, role_quotas, skip_buckets,
     status_counts, text_search, trailing_usage, trips_by_type, with_delta,
 )
-from tidewell.operators.quota import quota_admission
+from tidewell.operators.quota import admit, quota_admission, segmented
 from tidewell.session import scratch_dir
 from tidewell.streaming import QuotaStream, stream_files
 
@@ -75,18 +77,43 @@ def test_quota_small_users(spark, seed, whole):
 
 
 @pytest.mark.parametrize("seed, whole", [(4, True), (5, False), (6, True), (7, False)])
-def test_quota_large_users(spark, seed, whole):
-    """Users above the row limit go through the sliced way; the result is the same."""
+def test_quota_in_small_batches(spark, conf, seed, whole):
+    """A segment goes on from one Arrow batch to the next."""
+    conf(spark__sql__execution__arrow__maxRecordsPerBatch="7")
     hits = make_hits(seed, whole_minutes=whole)
-    got = decisions(quota_admission(*frames(spark, hits), max_user_rows=100))
-    assert got == rounded(brute_force(hits, QUOTAS))
+    assert decisions(quota_admission(*frames(spark, hits))) == rounded(brute_force(hits, QUOTAS))
+
+
+def test_quota_segments(spark):
+    """Gaps of exactly, almost and more than a window; before 1970 too."""
+    hits = [(1000 * k + e, u, t + timedelta(hours=5 * k)) for k in range(4) for e, u, t in make_hits(8 + k, n=200, minutes=30 + 60 * k)]
+    at = [datetime(1969, 12, 31, 22, 30), datetime(1969, 12, 31, 23, 30), datetime(1970, 1, 1, 0, 29, 59, 999_999), datetime(1970, 1, 1, 1, 29, 59, 999_999)]
+    hits += [(9000 + i, "u0", t) for i, t in enumerate(at)]
+    assert decisions(quota_admission(*frames(spark, hits))) == rounded(brute_force(hits, QUOTAS))
+    df = spark.createDataFrame([("u0", i, int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)), 1) for i, t in enumerate(at)], "user_key string, id long, at long, quota long")
+    found = [r["segment"] for r in segmented(df, 3_600_000_000).orderBy("id").collect()]
+    assert found[0] != found[1] == found[2] != found[3]
+
+
+def test_quota_segments_of_one_user_spread(spark, conf):
+    """A user with a third of all hits is decided in many tasks, in one job whatever the time range."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    hours = [(i, "hot" if i % 3 == 0 else f"u{i % 40}", START + timedelta(hours=3 * (i // 30), seconds=i % 30)) for i in range(3000)]
+    df, quotas = frames(spark, hours, {"hot": 4})
+    decided = quota_admission(df, quotas)
+    tasks = decided.where("user_id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) >= 6
+    assert decisions(decided) == rounded(brute_force(hours, {"hot": 4}))
 
 
-def test_quota_large_users_with_quiet_hours(spark):
-    hits = make_hits(8, n=200, minutes=100)
-    hits += [(1000 + e, u, t + timedelta(hours=5)) for e, u, t in make_hits(9, n=200, minutes=30)]
-    got = decisions(quota_admission(*frames(spark, hits), max_user_rows=20))
-    assert got == rounded(brute_force(hits, QUOTAS))
+def test_many_denied_hits_cost_no_loop():
+    """Two million hits within an hour, three allowed."""
+    at = np.arange(2_000_000) * 1000
+    live = deque()
+    started = time.perf_counter()
+    allowed, used, retry = admit(at, 3, live, 3_600_000_000)
+    assert time.perf_counter() - started < 2
+    assert allowed.sum() == 3 and list(live) == [0, 1000, 2000] and used[-1] == 3 and retry[3] == 3599.997
 
 
 def test_quota_keeps_key_types(spark):
@@ -96,22 +123,49 @@ def test_quota_keeps_key_types(spark):
     assert [t for _, t in out.dtypes] == ["int", "int", "timestamp", "boolean", "bigint", "bigint", "double"]
 
 
-@pytest.mark.parametrize("limit", [10**9, 40])
-def test_quota_stream_equals_batch(spark, limit):
+def drained(spark, hits, quotas, cuts, lateness="1 day", window=timedelta(hours=1)):
+    """The stream's decisions when hits come in one file for each stretch of time up to a cut; and its checkpoint."""
+    df, quotas = frames(spark, hits, quotas)
+    folder = scratch_dir(spark, "t")
+    stream = QuotaStream(spark, folder + "/state", quotas, lateness=lateness, window=window)
+    low = START - timedelta(days=400)
+    for high in [*cuts, START + timedelta(days=400)]:
+        part = df.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+        part.coalesce(1).write.mode("append").parquet(folder + "/in")
+        out = stream.drain(stream_files(spark, folder + "/in", df.schema))
+        low = high
+    return out, folder + "/state/checkpoint"
+
+
+def test_quota_stream_equals_batch(spark):
     """Time-ordered files, one per batch: the stream decides as the batch does."""
     hits = sorted(make_hits(10), key=lambda h: (h[2], h[0]))
     # Batches must not share a moment: ids order the hits of one moment.
     cuts = [h[2] for h in hits[:: len(hits) // 4]][1:4]
-    df, quotas = frames(spark, hits)
+    out, _ = drained(spark, hits, QUOTAS, cuts)
+    assert decisions(out, "id") == rounded(brute_force(hits, QUOTAS))
+
+
+def test_quota_stream_forgets_idle_users(spark):
+    """Users who stay away for a window and the lateness leave no state; a late hit within it counts at its user's clock."""
+    hits = [(i, f"u{i % 5}", START + timedelta(minutes=i)) for i in range(50)]
+    hits += [(100 + i, "u0", START + timedelta(days=1, minutes=i)) for i in range(5)] + [(200, "u0", START + timedelta(days=2))]
+    cuts = [START + timedelta(hours=12), START + timedelta(days=1, hours=12)]
+    out, checkpoint = drained(spark, hits, {f"u{k}": 2 for k in range(5)}, cuts, lateness="10 minutes")
+    assert decisions(out, "id") == rounded(brute_force(hits, {f"u{k}": 2 for k in range(5)}))
+    state = spark.read.format("statestore").option("stateVarName", "taken").load(checkpoint)
+    assert {r["key"]["user_key"] for r in state.select("key").collect()} == {"u0"}
+
+
+def test_quota_stream_clock_does_not_run_back(spark):
+    df, quotas = frames(spark, [(1, "a", START + timedelta(hours=2)), (2, "a", START + timedelta(hours=2))], {"a": 3})
     folder = scratch_dir(spark, "t")
-    stream = QuotaStream(spark, folder + "/state", quotas, max_user_rows=limit)
-    low = START - timedelta(days=1)
-    for high in [*cuts, START + timedelta(days=9)]:
-        part = df.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+    stream = QuotaStream(spark, folder + "/state", quotas)
+    late = spark.createDataFrame([(3, "a", START), (4, "a", START), (5, None, START)], df.schema)
+    for part in (df, late):
         part.coalesce(1).write.mode("append").parquet(folder + "/in")
         out = stream.drain(stream_files(spark, folder + "/in", df.schema))
-        low = high
-    assert decisions(out, "id") == rounded(brute_force(hits, QUOTAS))
+    assert decisions(out, "id") == {1: (True, 1, None), 2: (True, 2, None), 3: (True, 3, None), 4: (False, 3, 3600.0), 5: (True, 0, None)}
 
 
 def test_trailing_usage(spark):

@@ -13,6 +13,7 @@ from tidewell.functions.chart import ChartConfig
 from tidewell.operators import Agg, filter_rows, group_by, join
 from tidewell.operators.history import recent_n, trailing_usage
 from tidewell.operators.profile import histogram
+from tidewell.operators.quota import quota_admission
 from tidewell.plans import run_flow
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,10 +35,21 @@ def table(spark, name):
 def test_no_cross_join_and_no_python(spark, no_broadcast, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name != "quota_admission":
+    if not name.startswith("quota_admission"):  # decided by a fold over sorted rows
         assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
 
 
+def test_quota_admission_holds_no_arrays_and_runs_no_job(spark):
+    """One plan, whatever the time range: no list for each hit, no job while it is made."""
+    events, quotas = table(spark, "events"), spark.createDataFrame([(1, 5)], "user_id long, quota long")
+    jobs = spark.sparkContext.statusTracker()
+    before = set(jobs.getJobIdsForGroup(None))
+    plan = plan_of(quota_admission(events, quotas))
+    assert set(jobs.getJobIdsForGroup(None)) == before
+    assert not any(x in plan for x in ("collect_list", "collect_set", "array<", "Generate"))
+    assert plan.count("MapInPandas") == 1
+
+
 def test_filter_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["filter_bool"](spark, SF_DIR), "formatted")
     assert "GreaterThan(l_quantity,45.0)" in plan and "EqualTo(l_returnflag,R)" in plan

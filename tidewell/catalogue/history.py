@@ -65,10 +65,10 @@ _BUSY_QUOTA = 300
 
 
 def _quota_admission_hot(spark, d):
-    """Few busy users with a quota of hundreds; the busiest are decided slice by slice."""
+    """Few busy users with a quota of hundreds, who make no pause."""
     busy = derived(spark, d, _BUSY_SPARK)
     quotas = spark.createDataFrame([(u, _BUSY_QUOTA) for u in range(5)], "user_id long, quota long")
-    decided = quota_admission(busy, quotas, max_user_rows=2_000)
+    decided = quota_admission(busy, quotas)
     return decided.select("event_id", "user_id", "allowed", "used").withColumn("user_id", F.col("user_id").cast("long"))
 
 

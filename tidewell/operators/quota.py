@@ -4,28 +4,27 @@ A hit is allowed if fewer than `quota` *allowed* hits of the same user lie in
 the window (ts - window, ts]; denied hits use nothing up. The decision about a
 hit depends on all decisions before it, so no plain window function can give it.
 
-Users are decided one after the other in sorted order, many users per task. A
-user with more hits than one task should go through is decided one window-long
-slice of time after the other, and within a slice by running sums that spread
-over many tasks (see `_decide_slice`).
+What lies a whole window or more before a hit does not touch it. So a user's hits
+fall into segments wherever a window passes without any, and segments are
+decided independently of each other, in parallel and in one job. Within a segment hits come
+sorted and in batches; all that is kept is the allowed hits of the last window.
+While no place is free, the hits up to the next expiry are denied at one stroke,
+so the loop runs over allowed hits, not over all.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from datetime import timedelta
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidewell.frame import col, dtype_of, require
-from tidewell.session import scratch_dir
 
 DEFAULT_WINDOW = timedelta(hours=1)
-MAX_USER_ROWS = 20_000_000
 MIN_RETRY_SECONDS = 1.0
-FILES_PER_SLICE = 64
-PIECES_PER_SLICE = 120
 
 _DECISIONS = "id long, at long, quota long, allowed boolean, used long, retry_after double"
 
@@ -38,7 +37,6 @@ def quota_admission(
     order: str = "event_id",
     quota: str = "quota",
     window: timedelta = DEFAULT_WINDOW,
-    max_user_rows: int = MAX_USER_ROWS,
 ) -> DataFrame:
     """Decide every hit: `<user>, <order>, <ts>, allowed, used, quota, retry_after` (seconds).
 
@@ -54,166 +52,92 @@ def quota_admission(
         F.unix_micros(col(ts).cast("timestamp")).alias("at"),
     ).join(limits, F.col("user_key") == F.col("__user"), "left")
     limited = joined.where(F.col("__quota") > 0).select(
-        "user_key", "id", "at", F.col("__quota").alias("quota"), F.lit(False).alias("seed")
+        "user_key", "id", "at", F.col("__quota").alias("quota")
     )
     free = joined.where(F.coalesce("__quota", none) <= 0).select(
         "user_key", "id", "at", none.alias("quota"), F.lit(True).alias("allowed"), none.alias("used"),
         F.lit(None).cast("double").alias("retry_after"),
     )
     moment = F.timestamp_micros("at").cast(dtype_of(hits, ts))
-    return decide(limited, window, max_user_rows).unionAll(free).select(
+    return decide(limited, window).unionAll(free).select(
         F.col("user_key").alias(user), F.col("id").cast(dtype_of(hits, order)).alias(order), moment.alias(ts),
         "allowed", "used", "quota", "retry_after",
     )
 
 
-def decide(
-    hits: DataFrame, window: timedelta = DEFAULT_WINDOW, max_user_rows: int = MAX_USER_ROWS
-) -> DataFrame:
-    """Decisions about `user_key, id, at (microseconds), quota, seed` rows.
+def decide(hits: DataFrame, window: timedelta = DEFAULT_WINDOW) -> DataFrame:
+    """Decisions about `user_key, id, at (microseconds), quota` rows."""
+    length = microseconds(window)
+    decisions = T.StructType([T.StructField("user_key", dtype_of(hits, "user_key")), *T.StructType.fromDDL(_DECISIONS)])
+    order = Window.partitionBy("user_key", "segment").orderBy("at", "id")
+    # Dealt out by segment, even where the hits come dealt out by user. The row number keeps a segment's rows together and in order.
+    dealt = segmented(hits, length).repartition("user_key", "segment")
+    ordered = dealt.withColumn("turn", F.row_number().over(order)).drop("segment")
 
-    Seeds are hits allowed earlier; they count but are not decided again, and
-    must not be newer than the hits to decide. Runs a job that looks for users
-    with more than `max_user_rows` hits.
-    """
-    length = int(window.total_seconds() * 1_000_000)
-    decisions = _with_key(hits, _DECISIONS)
-    large = hits.groupBy("user_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_user_rows)
-    if large.isEmpty():
-        return _decide_in_order(hits, length, decisions)
-    large = large.select("user_key")
-    decided = _decide_in_order(hits.join(large, "user_key", "left_anti"), length, decisions)
-    return decided.unionAll(_decide_large(hits.join(large, "user_key", "left_semi"), length))
+    def run(batches):
+        live: deque[int] = deque()
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            starts = np.flatnonzero(batch["turn"].to_numpy() == 1).tolist()
+            cuts = sorted({0, *starts, len(batch)})
+            begins = set(starts)
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a in begins:
+                    live = deque()
+                parts.append(admit(at[a:b], int(batch["quota"].iat[a]), live, length))
+            allowed, used, retry = (np.concatenate(p) for p in zip(*parts)) if parts else ([], [], [])
+            yield batch[["user_key", "id", "at", "quota"]].assign(allowed=allowed, used=used, retry_after=retry)
 
+    return ordered.mapInPandas(run, decisions)
 
-def _with_key(hits: DataFrame, columns: str) -> T.StructType:
-    """A schema that starts with the user key in its own type."""
-    return T.StructType([T.StructField("user_key", dtype_of(hits, "user_key")), *T.StructType.fromDDL(columns)])
 
+def microseconds(window: timedelta) -> int:
+    return window // timedelta(microseconds=1)
 
-def _decide_in_order(hits: DataFrame, length: int, schema: T.StructType) -> DataFrame:
-    """Decide users one after the other within each task, reading sorted batches.
 
-    A task keeps the allowed hits of one user's last window, never a whole user.
-    The row number makes Spark keep a user's rows together and in order.
-    """
-    order = Window.partitionBy("user_key").orderBy("at", F.desc("seed"), "id")
-    ordered = hits.withColumn("turn", F.row_number().over(order))
+def segmented(hits: DataFrame, length: int) -> DataFrame:
+    """Adds `segment`: hits of a user in different segments lie at least a window apart from each other.
 
-    def run(batches):
-        live = deque()
-        for batch in batches:
-            allowed, used, retry = [], [], []
-            rows = zip(*(batch[c].tolist() for c in ("turn", "at", "quota", "seed")))
-            for turn, at, quota, seed in rows:
-                if turn == 1:
-                    live = deque()
-                while live and live[0] <= at - length:
-                    live.popleft()
-                admit = seed or len(live) < quota
-                wait = None if admit else max((live[0] + length - at) / 1_000_000, MIN_RETRY_SECONDS)
-                if admit:
-                    live.append(at)
-                allowed.append(admit)
-                used.append(len(live))
-                retry.append(wait)
-            out = batch[["user_key", "id", "at", "quota"]].assign(
-                allowed=allowed, used=used, retry_after=pd.Series(retry, dtype="float64", index=batch.index)
-            )
-            yield out[~batch["seed"]]
-
-    return ordered.mapInPandas(run, schema)
-
-
-def _decide_large(hits: DataFrame, length: int) -> DataFrame:
-    """Decide users with very many hits, one slice of time after the other.
-
-    A slice is as long as the window, so all a slice needs to know of the past
-    is which hits the slice before it allowed: at most `quota` per user. Each
-    slice is written out, which keeps the plans short and survives lost executors.
+    Two hits in one slice of time as long as the window are nearer than that, so segments begin at slices only, and a
+    row for each user and slice tells where. A user's busy slices thus meet in one task, its hits do not.
     """
-    spark = hits.sparkSession
-    folder = scratch_dir(spark, "quota")
-    source, target = f"{folder}/hits", f"{folder}/decisions"
-    sliced = hits.withColumn("slice", F.floor(F.col("at") / F.lit(length)).cast("long"))
-    # A few files per slice, however many tasks the hits come from.
-    spread = sliced.repartition(F.col("slice"), F.pmod(F.xxhash64("id"), F.lit(FILES_PER_SLICE)))
-    spread.write.partitionBy("slice").parquet(source)
-    stored = spark.read.schema(_with_key(hits, "id long, at long, quota long, seed boolean, slice long")).parquet(source)
-    slices = sorted(r["slice"] for r in stored.select("slice").distinct().collect())
-
-    written_schema = _with_key(hits, _DECISIONS + ", seed boolean")
-    written: str | None = None
-    last_slice: int | None = None
-    for number in slices:
-        rows = stored.where(F.col("slice") == number).drop("slice")
-        past = None
-        if last_slice == number - 1:
-            past = spark.read.schema(written_schema).parquet(written)
-        written, last_slice = f"{target}/slice={number}", number
-        _decide_slice(rows, past, number * length, length).write.parquet(written)
-    decided = spark.read.schema(written_schema).parquet(
-        *[f"{target}/slice={n}" for n in slices]
+    slice_ = F.floor(F.col("at") / F.lit(length)).cast("long")
+    sliced = hits.withColumn("slice", slice_)
+    ends = sliced.groupBy("user_key", "slice").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    in_time = Window.partitionBy("user_key").orderBy("slice")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(in_time) >= length, F.lit(True))
+    begun = ends.withColumn("apart", apart)
+    segments = begun.select(
+        F.col("user_key").alias("of"), F.col("slice").alias("in"),
+        F.max(F.when(F.col("apart"), F.col("slice"))).over(in_time.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"),
     )
-    return decided.where(~F.col("seed")).drop("seed")
+    same = F.col("user_key").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("in"))
+    return sliced.join(segments, same).drop("of", "in", "slice")
 
 
-def _decide_slice(hits: DataFrame, past: DataFrame | None, start: int, length: int) -> DataFrame:
-    """Decide one slice [start, start + length).
+def admit(at: np.ndarray, quota: int, live: deque[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Allowed, used and retry-after (seconds) of one user's next hits in time order.
 
-    No hit allowed in the slice leaves the window before the slice ends, so
-    places come free only at known times: those left over at the start, and one
-    when each hit allowed in the slice before expires. With P the number of hits
-    minus the number of expiries so far, and f the places left over, a hit finds
-    no place exactly if P rises above f and above its highest value so far.
-    P and its running maximum are taken within short pieces of the slice
-    first, then carried over from piece to piece.
+    `live` holds the moments of the hits allowed in the last window, oldest first, and is carried on.
     """
-    users = hits.select("user_key", "quota").distinct()
-    if past is None:
-        expiring = users.select("user_key", F.lit(None).cast("array<bigint>").alias("ends"))
-    else:
-        ends = F.array_sort(F.collect_list(F.col("at") + length))
-        expiring = past.where("allowed").groupBy("user_key").agg(ends.alias("ends"))
-    # One row per user; `ends` has at most `quota` entries.
-    places = users.join(expiring, "user_key", "left").select(
-        "user_key", "quota", F.coalesce("ends", F.array().cast("array<bigint>")).alias("ends")
-    )
-    frees = places.select(
-        "user_key", F.lit(None).cast("long").alias("id"), F.explode("ends").alias("at"),
-        F.lit(False).alias("seed"), F.lit(-1).alias("step"),
-    )
-    moves = hits.select("user_key", "id", "at", "seed", F.lit(1).alias("step")).unionAll(frees)
-    piece = F.floor((F.col("at") - start) * PIECES_PER_SLICE / F.lit(length)).cast("int")
-    moves = moves.withColumn("piece", piece)
-
-    # At one moment expiries come first, then seeds, then hits by id.
-    in_piece = Window.partitionBy("user_key", "piece").orderBy("at", "step", F.desc("seed"), "id")
-    running = moves.withColumn("p", F.sum("step").over(in_piece.rowsBetween(Window.unboundedPreceding, 0)))
-    running = running.withColumn("peak", F.max("p").over(in_piece.rowsBetween(Window.unboundedPreceding, -1)))
-
-    # At most PIECES_PER_SLICE rows per user from here to `carried`.
-    totals = running.groupBy("user_key", "piece").agg(F.sum("step").alias("total"), F.max("p").alias("top"))
-    earlier = Window.partitionBy("user_key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("carry", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
-    carried = carried.withColumn("carry_peak", F.max(F.col("carry") + F.col("top")).over(earlier)).select(
-        "user_key", "piece", "carry", "carry_peak"
-    )
-    hit_rows = running.where("step > 0").join(carried, ["user_key", "piece"]).join(places, "user_key")
-    left_over = F.col("quota") - F.size("ends")
-    now = F.col("p") + F.col("carry")
-    highest = F.greatest(left_over.cast("long"), F.col("carry_peak"), F.col("carry") + F.col("peak"))
-    # A place is left exactly if P stays at or below its highest value so far;
-    # the distance to that value is the number of places still free.
-    judged = hit_rows.select(
-        "user_key", "id", "at", "seed", "quota", "ends", (now <= highest).alias("allowed"),
-        (F.col("quota") - (highest - now)).alias("used_after"),
-    )
-    firsts = judged.where("allowed").groupBy("user_key").agg(F.min("at").alias("first_at"))
-    later = F.filter("ends", lambda e: e > F.col("at"))
-    oldest_end = F.coalesce(F.get(later, F.lit(0)), F.col("first_at") + length)
-    wait = F.greatest((oldest_end - F.col("at")) / 1_000_000, F.lit(MIN_RETRY_SECONDS))
-    return judged.join(firsts, "user_key", "left").select(
-        "user_key", "id", "at", "quota", "allowed", F.least("used_after", "quota").alias("used"),
-        F.when(~F.col("allowed"), wait).alias("retry_after"), "seed",
-    )
+    times = at.tolist()
+    count = len(times)
+    allowed, used, retry = np.ones(count, dtype=bool), np.empty(count, dtype=np.int64), np.full(count, np.nan)
+    now = 0
+    while now < count:
+        moment = times[now]
+        while live and live[0] <= moment - length:
+            live.popleft()
+        if len(live) < quota:
+            live.append(moment)
+            used[now] = len(live)
+            now += 1
+            continue
+        free = live[0] + length
+        until = bisect_left(times, free, now)
+        allowed[now:until] = False
+        used[now:until] = len(live)
+        retry[now:until] = np.maximum((free - at[now:until]) / 1_000_000, MIN_RETRY_SECONDS)
+        now = until
+    return allowed, used, retry

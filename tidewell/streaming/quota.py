@@ -1,26 +1,82 @@
-"""Quota admission over a stream of hits."""
+"""Quota admission over a stream of hits, with one keyed state for each user."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from datetime import timedelta
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.frame import col
-from tidewell.operators.quota import DEFAULT_WINDOW, MAX_USER_ROWS, decide
-from tidewell.streaming.sinks import run_batches
+from tidewell.operators.quota import DEFAULT_WINDOW, admit, microseconds
+from tidewell.streaming.sinks import drain_append
+from tidewell.streaming.source import event_time
 
-_STATE = "user_key string, at long, quota long"
 _OUT = "user_key string, id long, at long, quota long, allowed boolean, used long, retry_after double"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Unlimited users have no state; each one's hits spread over so many keys.
+SPREAD = 64
+DEFAULT_LATENESS = "1 day"
+
+
+class Admission(StatefulProcessor):
+    """One user's window: a list state with the moments of the hits allowed in the last window, at most `quota`.
+
+    A timer at the end of the newest one's window clears the state of a user who stays away.
+    """
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getListState("taken", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        hits = pd.concat(list(rows), ignore_index=True)
+        quota = int(hits["quota"].iat[0])
+        if quota <= 0:
+            yield hits[["user_key", "id", "at", "quota"]].assign(allowed=True, used=0, retry_after=np.nan)
+            return
+        before = [row[0] for row in self.taken.get()] if self.taken.exists() else []
+        live = deque(before)
+        if live:
+            hits["at"] = np.maximum(hits["at"], live[-1])
+        hits = hits.sort_values(["at", "id"], kind="stable", ignore_index=True)
+        allowed, used, retry = admit(hits["at"].to_numpy(), quota, live, self.length)
+        if allowed.any():
+            self.taken.put([(int(at),) for at in live])
+            if before:
+                self.handle.deleteTimer(self._end(before[-1]))
+            self.handle.registerTimer(self._end(live[-1]))
+        yield hits[["user_key", "id", "at", "quota"]].assign(allowed=allowed, used=used, retry_after=retry)
+
+    def _end(self, moment: int) -> int:
+        """The first whole millisecond at which nothing counts a hit of that moment any more."""
+        return -(-(moment + self.length) // 1000)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.taken.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class QuotaStream:
-    """Decides each batch of hits with the allowed hits of the window before it.
+    """Decides the hits of a stream, each batch with what the batches before it allowed.
 
-    The state is a table of at most `quota` recent allowed hits per user, one
-    version per batch, so a repeated batch starts from the same state. A user's
-    clock never runs back: a hit older than the last one allowed in an earlier batch
-    counts as coming at that moment.
+    State is kept by user on the RocksDB provider below the query's checkpoint: a batch reads and writes the state of its own users only,
+    and is scanned once. A user without a hit for a window and `lateness` has no state. A hit later than `lateness` behind the newest
+    one is dropped, as the watermark says. A user's clock never runs back: a hit older than the last one
+    allowed in an earlier batch counts as coming at that moment. The hits of one user in one batch are sorted in one task;
+    the files of a trigger bound them.
     """
 
     def __init__(
@@ -32,54 +88,42 @@ class QuotaStream:
         ts: str = "ts",
         order: str = "event_id",
         window: timedelta = DEFAULT_WINDOW,
-        max_user_rows: int = MAX_USER_ROWS,
+        lateness: str = DEFAULT_LATENESS,
     ):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.user, self.ts, self.order = user, ts, order
-        self.window, self.max_user_rows = window, max_user_rows
+        self.window, self.lateness = window, lateness
         self.quotas = quotas.select(col(user).cast("string").alias("__user"), F.col("quota").cast("long").alias("__quota"))
 
-    def drain(self, hits: DataFrame) -> DataFrame:
-        """Decide all hits there are now; returns every decision so far.
+    def decide(self, hits: DataFrame) -> DataFrame:
+        """The stream of decisions: `user_key, id, at, quota, allowed, used, retry_after`.
 
         Users without a quota, or with one <= 0, are unlimited: `used` is 0.
         """
-        run_batches(hits, f"{self.folder}/checkpoint", self._decide)
-        return self.decisions()
-
-    def decisions(self) -> DataFrame:
-        return self.spark.read.schema(_OUT).option("recursiveFileLookup", True).parquet(f"{self.folder}/decisions")
-
-    def _decide(self, batch: DataFrame, number: int) -> None:
-        narrow = batch.select(
+        timed = event_time(hits, self.ts).withWatermark(self.ts, self.lateness)
+        quota = F.greatest(F.coalesce("__quota", F.lit(0)), F.lit(0)).cast("long")
+        keyed = timed.select(
             col(self.user).cast("string").alias("user_key"), col(self.order).cast("long").alias("id"),
-            F.unix_micros(col(self.ts).cast("timestamp")).alias("at"),
+            F.unix_micros(col(self.ts)).alias("at"), col(self.ts).alias("moment"),
         ).join(self.quotas, F.col("user_key") == F.col("__user"), "left")
-        state = self._state(number)
-        clocks = state.groupBy("user_key").agg(F.max("at").alias("clock"))
-        limited = narrow.where(F.col("__quota") > 0).join(clocks, "user_key", "left").select(
-            "user_key", "id", F.greatest("at", "clock").alias("at"), F.col("__quota").alias("quota"),
-            F.lit(False).alias("seed"),
+        keyed = keyed.select("user_key", "id", "at", "moment", quota.alias("quota")).withColumn(
+            "part", F.when(F.col("quota") > 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SPREAD))).cast("int")
         )
-        touched = state.join(limited.select("user_key").distinct(), "user_key", "left_semi")
-        seeds = touched.select("user_key", F.lit(-1).cast("long").alias("id"), "at", "quota", F.lit(True).alias("seed"))
-        target = f"{self.folder}/decisions/{number}"
-        decided = decide(limited.unionAll(seeds), self.window, self.max_user_rows)
-        free = narrow.where(~F.coalesce(F.col("__quota") > 0, F.lit(False))).select(
-            "user_key", "id", "at", F.lit(0).cast("long").alias("quota"), F.lit(True).alias("allowed"),
-            F.lit(0).cast("long").alias("used"), F.lit(None).cast("double").alias("retry_after"),
+        return keyed.groupBy("user_key", "part").transformWithStateInPandas(
+            Admission(microseconds(self.window)), _OUT, "append", "eventTime"
         )
-        decided.unionAll(free).write.mode("overwrite").parquet(target)
-
-        new = self.spark.read.schema(_OUT).parquet(target).where("allowed AND quota > 0")
-        grown = state.unionAll(new.select("user_key", "at", "quota"))
-        # Only what a later hit of the same user can still see is kept.
-        last = grown.groupBy("user_key").agg(F.max("at").alias("clock"))
-        length = int(self.window.total_seconds() * 1_000_000)
-        kept = grown.join(last, "user_key").where(F.col("at") > F.col("clock") - length).drop("clock")
-        kept.write.mode("overwrite").parquet(f"{self.folder}/state/{number + 1}")
-
-    def _state(self, number: int) -> DataFrame:
-        if number == 0:
-            return self.spark.createDataFrame([], T.StructType.fromDDL(_STATE))
-        return self.spark.read.schema(_STATE).parquet(f"{self.folder}/state/{number}")
+
+    def drain(self, hits: DataFrame) -> DataFrame:
+        """Decide all hits there are now; returns every decision so far."""
+        before = self.spark.conf.get(_PROVIDER, None)
+        self.spark.conf.set(_PROVIDER, ROCKSDB)
+        try:
+            return drain_append(self.decide(hits), f"{self.folder}/decisions", f"{self.folder}/checkpoint")
+        finally:
+            if before is None:
+                self.spark.conf.unset(_PROVIDER)
+            else:
+                self.spark.conf.set(_PROVIDER, before)
+
+    def decisions(self) -> DataFrame:
+        return self.spark.read.schema(_OUT).parquet(f"{self.folder}/decisions")
