@@ -6,6 +6,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from conftest import plan_of
+from tidewell.plans.run import shared_nodes
 from tidewell.plans import (
     DefinitionError, NodeFailure, append_run, compact_runs, deliver, latest_runs, parse_definition, register_node, run_flow,
     topological_order, validate, with_metrics,
@@ -199,3 +201,52 @@ def test_counts_above_a_cap(spark):
     definition = flow([node("src", "source", table="n"), node("few", "filter", expression="n >= 0", max_rows=5), node("out")], [edge("src", "few"), edge("few", "out")])
     got = {n.node_id: (n.rows_out, n.truncated) for n in with_metrics(spark, definition, tables).nodes}
     assert got == {"src": (1000, False), "few": (5, True), "out": (5, False)}
+
+
+def reads(result, table):
+    """How often a run's output plans scan a table's file."""
+    return sum(plan_of(result.frames[o].df, "formatted").count(f"/{table}.parquet") for o in ("brands_out", "suppliers_out"))
+
+
+def test_shared_node_is_computed_once(spark):
+    """Both outputs go on from what the filter wrote: its columns that something reads, and no scan of the source any more."""
+    from tidewell.catalogue.flows import FANOUT
+
+    tables = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("lineitem", "part")}
+    plain, shared = run_flow(spark, FANOUT, tables), run_flow(spark, FANOUT, tables, share=True)
+    assert reads(plain, "lineitem") == 2 and reads(shared, "lineitem") == 0
+    written = shared.frames["large"].df
+    files = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in written.inputFiles()})
+    assert sorted(files.columns) == ["l_orderkey", "l_partkey", "l_quantity", "l_suppkey"] or sorted(files.columns) == ["l_partkey", "l_quantity", "l_suppkey"]
+    assert written.columns == plain.frames["large"].df.columns
+    for out in ("brands_out", "suppliers_out"):
+        a, b = (sorted(map(str, r.frames[out].df.collect())) for r in (plain, shared))
+        assert a == b and a
+
+
+def test_which_nodes_are_shared():
+    def shared(edges, **kinds):
+        ids = sorted({x for e in edges for x in e})
+        nodes = [node(i, kinds.get(i, "filter"), **({"sql": "SELECT 1"} if kinds.get(i) == "source" and i == "q" else {"table": "t"})) for i in ids]
+        definition = parse_definition(flow(nodes, [edge(a, b) for a, b in edges]))
+        return shared_nodes(definition, topological_order(definition))
+
+    assert shared([("a", "b"), ("b", "x"), ("b", "y")], a="source") == ["b"]
+    assert shared([("a", "x"), ("a", "y")], a="source") == []  # a table is there to be read
+    assert shared([("q", "x"), ("q", "y")], q="source") == ["q"]
+    assert shared([("a", "b"), ("b", "c"), ("b", "d"), ("c", "x"), ("d", "x")], a="source") == []  # the ways meet again
+    assert shared([("a", "b"), ("b", "c"), ("c", "x"), ("c", "y"), ("b", "z")], a="source") == ["b", "c"]
+
+
+def test_sharing_keeps_names_that_depend_on_columns(spark, people):
+    """A column nobody reads still decides what the other side's column is called."""
+    both = flow(
+        [
+            node("src", "source", table="people"), node("keep", "filter", expression="amount > 0"), node("j", "join", leftKey="name", rightKey="name"),
+            node("t", "transform", columns={"n": "right_amount"}), node("out"), node("count", "aggregate", aggregations=[{"op": "count", "as": "n"}]), node("out2"),
+        ],
+        [edge("src", "keep"), edge("keep", "j", "left"), edge("src", "j", "right"), edge("j", "t"), edge("t", "out"), edge("keep", "count"), edge("count", "out2")],
+    )
+    plain, shared = run_flow(spark, both, people), run_flow(spark, both, people, share=True)
+    for out in ("out", "out2"):
+        assert sorted(map(str, plain.frames[out].df.collect())) == sorted(map(str, shared.frames[out].df.collect()))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import filter_rows, join
+from tidewell.plans import drain_flow, run_flow
 from tidewell.session import scratch_dir
 from tidewell.streaming import (
     drain_append, drain_batches, drain_updates, event_time, latest_state_stream, stream_files, windowed_counts,
@@ -114,3 +115,69 @@ def test_batches_of_changes_are_merged(spark, folder, monkeypatch):
         want = {k: max(a for x, a in rows if x == k and a <= i) for k in {x for x, a in rows if a <= i}}
         assert {r["k"]: r["at"] for r in got} == want
     assert len(names(spark, folder + "/out/changes")) <= 2 and any(n.startswith("base=") for n in names(spark, folder + "/out"))
+
+
+def flow_parts():
+    def node(i, kind, **config):
+        return {"id": i, "type": kind, "name": i, "config": config}
+
+    def edge(a, b, h=""):
+        return {"id": a + b, "source": a, "target": b, "targetHandle": h}
+
+    nodes = [
+        node("src", "source", table="events", watermark={"column": "ts", "delay": "40 days"}), node("names", "source", table="names"),
+        node("some", "filter", expression="value > 5"), node("j", "join", leftKey="user_id", rightKey="id", type="left"), node("rows", "output"),
+        node("dear", "filter", expression="value > 50"), node("dear_rows", "output"),
+        node("sum", "aggregate", groupBy=["event_type"], aggregations=[{"op": "count", "as": "n"}, {"op": "min", "field": "value", "as": "low"}]),
+        node("sums", "output"), node("all", "aggregate", aggregations=[{"op": "count", "as": "n"}]), node("total", "output"),
+    ]
+    edges = [
+        edge("src", "some"), edge("some", "j", "left"), edge("names", "j", "right"), edge("j", "rows"), edge("j", "dear"), edge("dear", "dear_rows"),
+        edge("j", "sum"), edge("sum", "sums"), edge("some", "all"), edge("all", "total"),
+    ]
+    return nodes, edges
+
+
+def test_flow_over_a_stream_equals_batch(spark, folder, events):
+    """Four outputs over growing input, each call going on where the last ended."""
+    nodes, edges = flow_parts()
+    names = spark.range(0, 2000, 2).select("id", F.concat(F.lit("u"), "id").alias("name"))
+    parts = events.repartition(4, "event_id").withColumn("p", F.pmod("event_id", F.lit(3)))
+    seen = None
+    for p in range(3):
+        parts.where(F.col("p") == p).drop("p").write.mode("append").parquet(folder + "/in")
+        seen = parts.where(F.col("p") <= p).drop("p")
+        stream = stream_files(spark, folder + "/in", events.schema, max_files_per_trigger=2)
+        done = drain_flow(spark, {"nodes": nodes, "edges": edges}, {"events": stream, "names": names}, folder + "/flow")
+        batch = run_flow(spark, {"nodes": nodes, "edges": edges}, {"events": seen, "names": names})
+        for out in ("rows", "dear_rows", "sums", "total"):
+            assert same(done.frames[out].df, batch.frames[out].df.select(done.frames[out].df.columns)), out
+    again = drain_flow(spark, {"nodes": nodes, "edges": edges}, {"events": stream, "names": names}, folder + "/flow")
+    assert same(again.frames["sums"].df, batch.frames["sums"].df) and same(again.frames["rows"].df, batch.frames["rows"].df)
+
+
+def test_flow_over_a_stream_drops_late_rows_of_a_window(spark, folder):
+    """The watermark of the source bounds a windowed aggregate."""
+    definition = {
+        "nodes": [
+            {"id": "s", "type": "source", "config": {"table": "t", "watermark": {"column": "ts", "delay": "1 hour"}}},
+            {"id": "w", "type": "transform", "config": {"columns": {"hour": "window(ts, '1 hour')"}}},
+            {"id": "a", "type": "aggregate", "config": {"groupBy": ["hour"], "aggregations": [{"op": "count", "as": "n"}]}},
+        ],
+        "edges": [{"id": "1", "source": "s", "target": "w"}, {"id": "2", "source": "w", "target": "a"}],
+    }
+    for hours in ((1, 10), (11, 1, 9)):
+        spark.createDataFrame([(datetime(2024, 1, 1, h, 30),) for h in hours], "ts timestamp").coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = stream_files(spark, folder + "/in", "ts timestamp")
+        found = drain_flow(spark, definition, {"t": stream}, folder + "/flow").frames["a"].df
+    assert {r["hour"]["start"].hour: r["n"] for r in found.collect()} == {1: 1, 10: 1, 11: 1, 9: 1}
+
+
+def test_flows_that_a_stream_cannot_run(spark, folder, events):
+    nodes, edges = flow_parts()
+    stream = stream_files(spark, f"{SF_DIR}/events.parquet", events.schema)
+    with pytest.raises(ValueError, match="only one stream"):
+        drain_flow(spark, {"nodes": nodes, "edges": edges}, {"events": stream, "names": stream}, folder)
+    capped = [{**n, "config": {**n["config"], "max_rows": 5}} if n["id"] == "some" else n for n in nodes]
+    with pytest.raises(ValueError, match="row cap"):
+        drain_flow(spark, {"nodes": capped, "edges": edges}, {"events": stream, "names": spark.range(3)}, folder)

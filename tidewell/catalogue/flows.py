@@ -133,7 +133,7 @@ def flow_join_agg(spark, d):
 
 
 def _flow_fanout(spark, d):
-    result = run_flow(spark, FANOUT, _tables(spark, d, "lineitem", "part"))
+    result = run_flow(spark, FANOUT, _tables(spark, d, "lineitem", "part"), share=True)
     brands, suppliers = result.frames["brands_out"].df, result.frames["suppliers_out"].df
     return brands.select(
         F.col("p_brand").alias("name"), "quantity", F.col("parts").alias("n")

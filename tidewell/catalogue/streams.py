@@ -8,6 +8,7 @@ from tidewell.catalogue.history import ORACLE as HISTORY_ORACLE
 from tidewell.catalogue.inputs import ROLES, derived, role_quota_table, table
 from tidewell.operators import filter_rows, join, transform
 from tidewell.operators.history import role_quotas
+from tidewell.plans import drain_flow
 from tidewell.session import scratch_dir
 from tidewell.streaming import (
     QuotaStream, drain_append, drain_batches, drain_updates, event_time, latest_state_stream, stream_files,
@@ -100,7 +101,52 @@ def _st_quota(spark, d):
     )
 
 
+def _flow_node(node_id, kind, **config):
+    return {"id": node_id, "type": kind, "name": node_id, "config": config}
+
+
+# A stream, filtered and joined with a table; its rows go out as they are, and summed up by segment with the good segments told apart.
+STREAM_FLOW = {
+    "nodes": [
+        _flow_node("events", "source", table="events", watermark={"column": "ts", "delay": "1 day"}),
+        _flow_node("customers", "source", table="customer"),
+        _flow_node("sold", "filter", expression="event_type IN ('purchase', 'signup') AND value > 2"),
+        _flow_node("named", "join", leftKey="user_id", rightKey="c_custkey", type="left"),
+        _flow_node("shape", "transform", columns={
+            "event_id": "event_id", "kind": "event_type", "segment": "coalesce(c_mktsegment, 'none')", "cents": "CAST(round(value * 100) AS BIGINT)",
+        }),
+        _flow_node("rows", "output"),
+        _flow_node("by_segment", "aggregate", groupBy=["segment", "kind"], aggregations=[
+            {"op": "sum", "field": "cents", "as": "cents"}, {"op": "count", "as": "n"}, {"op": "max", "field": "cents", "as": "most"},
+        ]),
+        _flow_node("sums", "output"),
+        _flow_node("large", "filter", expression="n > 20"),
+        _flow_node("by_kind", "aggregate", groupBy=["kind"], aggregations=[{"op": "sum", "field": "n", "as": "n"}]),
+        _flow_node("kinds", "output"),
+    ],
+    "edges": [
+        {"id": f"{a}-{b}", "source": a, "target": b, "targetHandle": h}
+        for a, b, h in (
+            ("events", "sold", ""), ("sold", "named", "left"), ("customers", "named", "right"), ("named", "shape", ""), ("shape", "rows", ""),
+            ("shape", "by_segment", ""), ("by_segment", "sums", ""), ("by_segment", "large", ""), ("large", "by_kind", ""), ("by_kind", "kinds", ""),
+        )
+    ],
+}
+
+
+def _st_flow(spark, d):
+    """A flow over five weekly batches: three outputs, two of them behind a stateful aggregate."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    tables = {"events": _weekly(spark, d, late=False), "customer": customers}
+    frames = drain_flow(spark, STREAM_FLOW, tables, scratch_dir(spark, "flow")).frames
+    rows = frames["rows"].df.select(F.lit("rows").alias("output"), F.col("event_id").cast("string").alias("name"), "segment", "cents", F.lit(1).cast("long").alias("n"))
+    sums = frames["sums"].df.select(F.lit("sums"), "kind", "segment", F.col("cents").cast("long"), "n")
+    kinds = frames["kinds"].df.select(F.lit("kinds"), "kind", F.lit(None).cast("string"), F.lit(None).cast("long"), F.col("n").cast("long"))
+    return rows.unionAll(sums).unionAll(kinds)
+
+
 QUERIES = {
+    "st_flow": _st_flow,
     "st_batches": _st_batches,
     "st_incremental": _st_incremental,
     "st_stateless_join": _st_stateless_join,
@@ -117,7 +163,15 @@ _MARKED = f"""
         SELECT arrival, max(latest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS mark
         FROM (SELECT {_ARRIVAL} AS arrival, max(ts) AS latest FROM events GROUP BY 1)) w USING (arrival)"""
 
+_SHAPE = """SELECT event_id, event_type AS kind, coalesce(c_mktsegment, 'none') AS segment, CAST(round(value * 100) AS BIGINT) AS cents
+        FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type IN ('purchase', 'signup') AND value > 2"""
+_SUMS = f"SELECT kind, segment, sum(cents) AS cents, count(*) AS n FROM ({_SHAPE}) GROUP BY 1, 2"
+
 ORACLE = {
+    "st_flow": f"""
+        SELECT 'rows' AS output, CAST(event_id AS VARCHAR) AS name, segment, cents, 1 AS n FROM ({_SHAPE})
+        UNION ALL SELECT 'sums', kind, segment, cents, n FROM ({_SUMS})
+        UNION ALL SELECT 'kinds', kind, NULL, NULL, sum(n) FROM ({_SUMS}) WHERE n > 20 GROUP BY kind""",
     "st_batches": f"SELECT *, {_ARRIVAL} AS batch FROM events",
     "st_incremental": """
         SELECT event_id, upper(event_type) AS kind, round(value * 100) AS cents FROM events WHERE value > 5""",

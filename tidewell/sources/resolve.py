@@ -34,7 +34,7 @@ def read_source(
     Opt-in guards: `row_limit` (an error above `max_row_limit`, 10,000 if unset), `max_columns`, `max_string_bytes`,
     `max_binary_bytes`, `all_text`.
     """
-    kind = config.get("kind") or _guess_kind(config)
+    kind = source_kind(config)
     if kind not in _READERS:
         raise ValueError(f"unknown source kind {kind!r}; known: {', '.join(sorted(_READERS))}")
     df = _READERS[kind](spark, config, tables or {})
@@ -52,7 +52,10 @@ def read_source(
     return frame
 
 
-def _guess_kind(config: Mapping[str, Any]) -> str:
+def source_kind(config: Mapping[str, Any]) -> str:
+    """The kind of a source, guessed from its keys unless named."""
+    if config.get("kind"):
+        return config["kind"]
     for key, kind in (("url", "jdbc"), ("sql", "sql"), ("items_path", "pages"), ("key_condition", "lookup")):
         if key in config:
             return kind

@@ -79,7 +79,7 @@ def _newest(spark: SparkSession, path: str, schema: T.StructType, base: int | No
     changed = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     rest = [c for c in schema.names if c not in keys]
     newest = F.max_by(F.struct(*[col(c) for c in rest]), F.col("batch")).alias("__row")
-    return changed.groupBy(*[col(k) for k in keys]).agg(newest).select(
+    return changed.groupBy(*[col(k) for k in keys]).agg(newest).where("__row IS NOT NULL").select(
         *[(col(c) if c in keys else F.col("__row").getField(c)).alias(c) for c in schema.names]
     )
 
