@@ -5,6 +5,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tidewell.sinks import (
     export_name, read_envelope, render_key, write_csv, write_envelope, write_json, write_json_array, write_tsv,
 )
 from tidewell.sources import (
-    all_text, api_items, apply_column_types, check_read_only, crawl_audit, graphql_rows, infer_column_types, infer_format,
+    all_text, api_items, apply_column_types, broken_lines, check_read_only, crawl_audit, crawl_gaps, graphql_rows, infer_column_types, infer_format,
     key_lookup, list_objects, next_page, read_csv, read_json_documents, read_ndjson, read_object, read_source,
     register_source, sql_query, time_window,
 )
@@ -74,6 +75,50 @@ def test_json_documents(spark, put, rows):
     assert dict(read_json_documents(spark, put("v.json", "[1]")).dtypes) == {"item": "variant"}
 
 
+@pytest.mark.parametrize("schema", ["a long", "a long, value string"])
+def test_json_items_that_are_no_objects(spark, put, rows, schema):
+    """The same rows whatever the schema: scalars are rows, null documents none."""
+    def read(text):
+        return rows(read_json_documents(spark, put("x.json", text), schema))
+
+    def row(a, value=None):
+        return {"a": a, "value": value} if "value" in schema else {"a": a}
+
+    assert read('[{"a":1},5]') == [row(1), row(None, "5")]
+    assert read("null") == [] and read("[]") == []
+    assert read("7") == [row(None, "7")] and read('{"a":3}') == [row(3)]
+    assert read('[{"a":"5"},{"a":1}]') == [row(5), row(1)]
+    assert read('[{"a":1,"b":[2]},{}]') == [row(1), row(None)]
+    for broken in ('[{"a":1},{', '[{"a":"x"},{"a":1}]'):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read(broken)
+
+
+def brute_broken(text):
+    found = []
+    for number, line in enumerate(text.split("\n"), 1):
+        try:
+            good = not line.strip() or isinstance(json.loads(line), dict)
+        except ValueError:
+            good = False
+        if not good:
+            found.append((number, line))
+    return found
+
+
+def test_broken_lines_are_numbered(spark, tmp_path, conf):
+    """Several splits a file, several files, blank lines, long lines, no line end at the end."""
+    conf(spark__sql__files__maxPartitionBytes="700", spark__sql__files__openCostInBytes="1")
+    texts = {}
+    for name in ("a", "b", "empty"):
+        lines = [] if name == "empty" else ['{"k": %d}' % i if i % 7 else ("" if i % 2 else ("x" * (i % 900) + "{" if i % 3 else "[1]")) for i in range(len(name) + 600)]
+        texts[name] = "\n".join(lines)
+        (tmp_path / f"{name}.ndjson").write_text(texts[name])
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    found = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["text"]) for r in broken_lines(spark, str(tmp_path)).collect())
+    assert found == sorted((f"{n}.ndjson", i, line) for n, t in texts.items() for i, line in brute_broken(t)) and len(found) > 50
+
+
 def test_format_by_extension(spark, put):
     names = ["data.csv", "logs/file.NDJSON", "events.jsonl", "payload.json", "no-extension"]
     df = spark.createDataFrame([(n,) for n in names], "p string").select(infer_format(F.col("p")))
@@ -97,7 +142,10 @@ GUARD = {
     "SELECT created_at FROM users": True, "SELECT replace(a, 'b', 'c') FROM t": False, "SELECT 'please UPDATE' AS x": False,
     "SELECT 1;;": False, "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')": False,
     "SELECT java_method ('a', 'b')": False, "SELECT reflect FROM t": True, "SELECT 1; SELECT 2": False, "SET x = 1": False, "": False, "WITH a AS (SELECT 1) SELECT * FROM a;": True,
-    "FROM t SELECT 1": True, "SHOW TABLES": False,
+    "FROM t SELECT 1": True, "SHOW TABLES": False, "SELECT reflect/**/('a', 'b')": False, "SELECT `reflect` /* x */ ('a', 'b')": False,
+    "SELECT reflect -- x\n ('a', 'b')": False, "SELECT `Try_Reflect`('a', 'b')": False, "SELECT system.builtin.reflect('a', 'b')": False,
+    "SELECT IDENTIFIER('ref' || 'lect')('a', 'b')": False, "SELECT 'reflect(x)' AS x, \"/*\" AS y": True, "SELECT a /* reflect( */ FROM t -- reflect(": True,
+    "BEGIN SELECT 1; END": False, "SELECT identifier FROM t": True,
 }
 
 
@@ -220,6 +268,21 @@ def test_crawl_audit(spark, rows):
     got = {r["crawl_id"]: r for r in rows(crawl_audit(table, max_pages=3))}
     assert {k: v["truncated"] for k, v in got.items()} == {"full": True, "done": False, "gap": False, "broken": False}
     assert got["gap"]["missing_pages"] == 1 and got["broken"]["failed_pages"] == 1
+    assert {r["repeated_pages"] for r in got.values()} == {0}
+
+
+def test_pages_that_landed_twice(spark, rows):
+    """They hide no gap; of a failed and a good copy the good one counts."""
+    table = spark.createDataFrame(
+        [("c", 0, 200, "1", False)] * 2 + [("c", 2, 200, None, False)] + [("d", 0, 200, "1", False), ("d", 1, 500, None, False), ("d", 1, 200, None, False)]
+        + [("e", 3, 200, "4", False), ("e", 7, 200, None, False), ("e", 7, 200, None, False), ("f", None, 200, None, False)],
+        "crawl_id string, page_no int, status int, next_token string, broken boolean",
+    )
+    got = {r["crawl_id"]: r for r in rows(crawl_audit(table))}
+    assert (got["c"]["missing_pages"], got["c"]["repeated_pages"], got["c"]["complete"]) == (1, 1, False)
+    assert (got["d"]["missing_pages"], got["d"]["failed_pages"], got["d"]["repeated_pages"], got["d"]["complete"]) == (0, 0, 1, True)
+    gaps = [(r["crawl_id"], r["first"], r["last"], r["missing"]) for r in rows(crawl_gaps(table), "crawl_id", "first")]
+    assert gaps == [("c", 1, 1, 1), ("e", 0, 2, 3), ("e", 4, 6, 3)]
 
 
 def test_key_lookup_needs_a_key(spark):

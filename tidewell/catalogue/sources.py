@@ -10,7 +10,7 @@ from tidewell.catalogue.inputs import table
 from tidewell.session import scratch_dir
 from tidewell.sinks import write_csv, write_json
 from tidewell.sources import (
-    all_text, api_items, apply_column_types, crawl_audit, graphql_rows, infer_column_types, infer_format, judge_bounded_json, key_lookup,
+    all_text, api_items, apply_column_types, broken_lines, crawl_audit, crawl_gaps, graphql_rows, infer_column_types, infer_format, judge_bounded_json, key_lookup,
     list_objects, next_page, read_csv, read_json_documents, read_ndjson, sql_query, time_window,
 )
 
@@ -61,14 +61,28 @@ def _src_ndjson_quarantine(spark, d):
     return rows.groupBy(F.col("_corrupt_record").isNotNull().alias("broken"), "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _src_ndjson_lines(spark, d):
+    """Three files with lines cut short, lines that are no object, and blank ones, which only count."""
+    path = scratch_dir(spark, "ndjson") + "/lines"
+    line = F.expr(
+        "CASE event_type WHEN 'error' THEN left(props, length(props) - 1) WHEN 'signup' THEN CAST(event_id AS STRING) WHEN 'view' THEN '' ELSE props END"
+    )
+    lines = table(spark, d, "events").select((F.col("event_id") % 3).alias("part"), "event_id", line.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    return broken_lines(spark, path).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "line", "text")
+
+
 def _src_json_doc(spark, d):
     path = scratch_dir(spark, "json") + "/customers"
     customers = table(spark, d, "customer")
     packed = customers.groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(
         F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("value")
     )
+    # Documents that are null, and arrays of which one item is no object.
+    mixed = F.explode(F.array(F.lit("null"), F.concat(F.lit('[{"c_custkey":'), -F.col("r_regionkey") - 1, F.lit("},"), "r_regionkey", F.lit("]"))))
+    packed = packed.select("value").unionAll(table(spark, d, "region").select(mixed.alias("value")))
     # One document per file.
-    packed.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    packed.write.option("maxRecordsPerFile", 1).text(path)
     return read_json_documents(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
@@ -230,12 +244,22 @@ def _src_next_page(spark, d):
     return out
 
 
-def _src_crawl_audit(spark, d):
+def _torn_crawls(spark, d):
+    """Pages with a very dear order are lost, which leaves gaps; every seventh landed twice."""
     pages = next_page(_rest_pages(spark, d), "offset", "data.items", PAGE_ITEMS)
-    # Pages with a very dear order are lost, which leaves gaps.
     lost = _landed(spark, d).where("dearest > 499500").select("crawl_id", "page_no")
     kept = pages.join(lost, ["crawl_id", "page_no"], "left_anti")
-    return crawl_audit(kept, max_pages=18)
+    return kept.unionAll(kept.where("page_no % 7 = 6"))
+
+
+def _src_crawl_audit(spark, d):
+    return crawl_audit(_torn_crawls(spark, d), max_pages=18)
+
+
+def _src_crawl_gaps(spark, d):
+    # Few pages hold an order that dear; a tenth of the rest is lost as well.
+    pages = _torn_crawls(spark, d).where("(CAST(substr(crawl_id, 7) AS INT) * 7 + page_no * page_no) % 10 != 1")
+    return crawl_gaps(pages)
 
 
 def _src_key_lookup(spark, d):
@@ -319,6 +343,8 @@ QUERIES = {
     "src_graphql_errors": _src_graphql_errors,
     "src_next_page": _src_next_page,
     "src_crawl_audit": _src_crawl_audit,
+    "src_crawl_gaps": _src_crawl_gaps,
+    "src_ndjson_lines": _src_ndjson_lines,
     "src_key_lookup": _src_key_lookup,
     "src_key_scan": _src_key_scan,
     "src_time_window": _src_time_window,
@@ -379,7 +405,14 @@ ORACLE = {
         SELECT event_type = 'error' AS broken,
                CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, count(*) AS n
         FROM events WHERE event_type <> 'view' GROUP BY 1, 2""",
-    "src_json_doc": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "src_json_doc": """
+        SELECT c_custkey, c_name, c_acctbal FROM customer
+        UNION ALL SELECT -r_regionkey - 1, NULL, NULL FROM region UNION ALL SELECT NULL, NULL, NULL FROM region""",
+    "src_ndjson_lines": """
+        SELECT CAST(part AS INTEGER) AS part, line, text FROM (
+            SELECT event_id % 3 AS part, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line, event_type,
+                   CASE event_type WHEN 'error' THEN left(props, length(props) - 1) WHEN 'signup' THEN CAST(event_id AS VARCHAR) END AS text
+            FROM events) WHERE text IS NOT NULL""",
     "src_list_objects": """
         SELECT c_mktsegment AS segment, 'parquet' AS kind, CAST(1 AS BIGINT) AS objects, true AS filled, true AS dated
         FROM customer GROUP BY 1""",
@@ -422,11 +455,16 @@ ORACLE = {
                   CASE WHEN page_no < 19 AND dearest <= 499000 THEN 'c' || page_no END, false FROM ({_PAGES})""",
     "src_crawl_audit": f"""
         SELECT crawl_id, count(*) AS pages, max(page_no) + 1 - count(*) AS missing_pages, count(*) FILTER (WHERE broken) AS failed_pages,
-               nullif(arg_max(token, page_no), '') AS last_token,
+               count(*) FILTER (WHERE page_no % 7 = 6) AS repeated_pages, nullif(arg_max(token, page_no), '') AS last_token,
                count(*) >= 18 AND arg_max(token, page_no) <> '' AS truncated,
                max(page_no) + 1 = count(*) AND NOT bool_or(broken) AND arg_max(token, page_no) = '' AS complete
         FROM (SELECT *, CASE WHEN items >= 50 AND NOT broken THEN CAST((page_no + 1) * 50 AS VARCHAR) ELSE '' END AS token FROM ({_REST}))
         WHERE dearest <= 499500 GROUP BY 1""",
+    "src_crawl_gaps": f"""
+        SELECT crawl_id, before + 1 AS first, page_no - 1 AS last, page_no - 1 - before AS missing FROM (
+            SELECT crawl_id, CAST(page_no AS BIGINT) AS page_no, coalesce(lag(page_no) OVER (PARTITION BY crawl_id ORDER BY page_no), -1) AS before FROM ({_PAGES})
+            WHERE dearest <= 499500 AND (CAST(substr(crawl_id, 7) AS INTEGER) * 7 + page_no * page_no) % 10 <> 1)
+        WHERE page_no - 1 > before""",
     "src_key_lookup": """
         SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem
         WHERE l_orderkey IN (7, 1024, 5001) AND l_quantity > 5""",

@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # JSON objects with a repeated key keep the last value, as JSON decoders do.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A JSON record that does not fit the schema is broken as a whole.
+    "spark.sql.json.enablePartialResults": "false",
 }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewell.frame import col
 from tidewell.functions.jsons import cursor_text, is_json_array, is_json_object, json_array_size, json_path
@@ -145,21 +145,37 @@ def crawl_audit(
 ) -> DataFrame:
     """Per crawl: pages, gaps, failures, whether the page limit cut it short, and whether it is `complete`.
 
-    Takes the output of `next_page`; a page number must occur once per crawl. A page with an error status or a
-    broken body is a failed one. A crawl is complete without gaps and failures if its last page is the end.
+    Takes the output of `next_page`. A page with an error status or a
+    broken body is a failed one; of a page that landed more than once the best copy counts, and `repeated_pages`
+    says how many such copies there are. A crawl is complete without gaps and failures if its last page is the end.
     """
     limit = min(max_pages, HARD_MAX_PAGES) if max_pages > 0 else DEFAULT_MAX_PAGES
     failed = F.coalesce(col(status) >= 400, F.lit(False)) | F.coalesce(col(broken), F.lit(False))
-    grouped = pages_with_next.groupBy(col(crawl)).agg(
+    # As a struct, since a null token must not make way for an earlier page's.
+    copy = F.struct(failed.alias("failed"), F.col("next_token").isNull().alias("end"), F.col("next_token").alias("token"))
+    landed = pages_with_next.groupBy(col(crawl), col(page_no)).agg(F.min(copy).alias("copy"), F.count(F.lit(1)).alias("copies"))
+    grouped = landed.groupBy(col(crawl)).agg(
         F.count(F.lit(1)).alias("pages"),
         (F.max(col(page_no)) + 1 - F.count(F.lit(1))).alias("missing_pages"),
-        F.count_if(failed).alias("failed_pages"),
-        # As a struct, since a null token must not make way for an earlier page's.
-        F.max_by(F.struct(F.col("next_token").alias("token"), failed.alias("failed")), col(page_no)).alias("last"),
+        F.count_if("copy.failed").alias("failed_pages"),
+        F.sum(F.col("copies") - 1).alias("repeated_pages"),
+        F.max_by("copy", col(page_no)).alias("last"),
     )
     cut = (F.col("pages") >= limit) & F.col("last.token").isNotNull() & ~F.col("last.failed")
     whole = (F.col("missing_pages") == 0) & (F.col("failed_pages") == 0) & F.col("last.token").isNull()
     return grouped.select(
-        crawl, "pages", "missing_pages", "failed_pages", F.col("last.token").alias("last_token"), cut.alias("truncated"),
+        crawl, "pages", "missing_pages", "failed_pages", "repeated_pages", F.col("last.token").alias("last_token"), cut.alias("truncated"),
         whole.alias("complete"),
     )
+
+
+def crawl_gaps(pages: DataFrame, crawl: str = "crawl_id", page_no: str = "page_no") -> DataFrame:
+    """The missing ranges of pages of each crawl, the one before its first page included: `<crawl>, first, last, missing`.
+
+    A page that landed twice changes nothing. What is missing behind the last page nobody can tell; see `complete` of `crawl_audit`.
+    """
+    landed = pages.select(col(crawl), col(page_no).cast("long").alias("last")).where("last >= 0").distinct()
+    # A crawl has `HARD_MAX_PAGES` pages at most.
+    before = F.coalesce(F.lag("last").over(Window.partitionBy(col(crawl)).orderBy("last")), F.lit(-1))
+    gaps = landed.select(col(crawl), (before + 1).alias("first"), (F.col("last") - 1).alias("last"))
+    return gaps.where("first <= last").withColumn("missing", F.col("last") - F.col("first") + 1)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewell.frame import col
 from tidewell.functions.jsons import is_json_array, is_json_null, is_json_object, json_key
+from tidewell.session import prepare
 
 FORMATS = ("csv", "ndjson", "json", "parquet")
 CORRUPT = "_corrupt_record"
@@ -104,14 +105,16 @@ def variant_rows(documents: DataFrame, document: str, keep: Sequence[str] = ())
 
     Adds `pos` (position within the document) and `item` to the kept columns.
     """
-    node = col(document)
+    return documents.select(*[col(k) for k in keep], F.posexplode(_items(col(document))).alias("pos", "item"))
+
+
+def _items(node: Column) -> Column:
     wrapped = (
         F.when(is_json_null(node), F.lit(None).cast("variant"))
         .when(is_json_array(node), node)
         .otherwise(F.to_variant_object(F.array(node)))
     )
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return documents.select(*[col(k) for k in keep], F.posexplode(items).alias("pos", "item"))
+    return F.try_variant_get(wrapped, "$", "array<variant>")
 
 
 def item_columns(item: Column, schema: T.StructType) -> list[Column]:
@@ -132,19 +135,43 @@ def read_json_documents(
     """Files that hold one JSON document each.
 
     An array gives a row per item, an object one row, null none; scalar items
-    become the column `value`. Without a schema the rows stay VARIANT, in `item`.
-    With a schema that has no `value` column rows are objects, and Spark's JSON reader streams
-    the documents; else a document is one VARIANT, of at most 128 MiB.
+    become the column `value`, whether the schema has it or not. Without a schema the rows stay VARIANT, in `item`.
+    With a schema Spark's JSON reader streams the documents, of any size, as long as all items are objects of its types; a
+    document with other items is read as one VARIANT, of at most 128 MiB. Broken documents and values that have not
+    the schema's type fail the read.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if schema is not None and "value" not in schema.names:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    documents = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
-    rows = variant_rows(documents, "document")
     if schema is None:
-        return rows.select("item")
-    return rows.select(*item_columns(F.col("item"), schema))
+        documents = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
+        return variant_rows(documents, "document").select("item")
+    prepare(spark)  # no partial results: a document the reader cannot take as a whole comes as one row with its text
+    text = "__document"
+    raw = (
+        spark.read.schema(T.StructType(list(schema)).add(text, "string")).option("multiLine", True)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", text).json(path)
+    )
+    taken = F.array(F.struct(*[col(f.name) for f in schema]))
+    rest = F.transform(_items(F.parse_json(text)), lambda item: F.struct(*item_columns(item, schema)))
+    return raw.select(F.inline(F.when(F.col(text).isNull(), taken).otherwise(rest)))
+
+
+def broken_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """`file, line (from 1), text` of each line of NDJSON files that is no JSON object; blank lines count but are not broken.
+
+    Lines are numbered in parallel: a first pass counts the lines of each file split, running sums give a split
+    the lines before it, and only the broken lines are numbered. Both passes deal out the splits alike.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+    )
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    is_object = F.coalesce(is_json_object(F.try_parse_json("text")), F.lit(False))
+    broken = lines.where((F.trim("text") != "") & ~is_object)
+    return broken.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ FORBIDDEN_WORDS = (
 )
 # Functions through which a query could call into the JVM.
 JVM_FUNCTIONS = ("reflect", "try_reflect", "java_method")
-_REFUSED = re.compile(rf"\b(?:{'|'.join(FORBIDDEN_WORDS)})\b|\b(?:{'|'.join(JVM_FUNCTIONS)})`?\s*\(", re.IGNORECASE)
+_REFUSED = re.compile(rf"\b(?:{'|'.join(FORBIDDEN_WORDS)})\b", re.IGNORECASE)
 
 
 def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
@@ -26,7 +26,8 @@ def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
 
     Spark's parser has to read the text as one statement that is no command. On
     top of that some words are refused wherever they stand, in literals and as
-    function names too, and so are functions that call Java methods.
+    function names too, and so are functions that call Java methods, in whatever way Spark's lexer would still
+    read their name, and names that are put together from text (`IDENTIFIER(...)`).
     """
     session = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     text = _without_end(sql)
@@ -36,18 +37,30 @@ def check_read_only(sql: str, spark: SparkSession | None = None) -> str:
         raise ValueError(f"not one statement that Spark can read: {error}") from error
     kind = plan.getClass().getSimpleName()
     command = session._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    if command.isInstance(plan) or kind.endswith(("Command", "Statement")):
+    if command.isInstance(plan) or kind.endswith(("Command", "Statement", "Body")):
         raise ValueError(f"only queries run here, and this is a {kind}")
+    words = _words(session, text)
+    for word, following in zip(words, words[1:]):
+        if following == "(" and word in (*JVM_FUNCTIONS, "identifier"):
+            raise ValueError(f"a query here must not call {word!r}")
     return text
 
 
+def _words(session: SparkSession, text: str) -> list[str]:
+    """The text's tokens as Spark's own lexer reads them: no comments, names without backquotes and in lower case."""
+    jvm = session._jvm
+    parser = jvm.org.apache.spark.sql.catalyst.parser
+    lexer = parser.SqlBaseLexer(parser.UpperCaseCharStream(jvm.org.antlr.v4.runtime.CharStreams.fromString(text)))
+    return [t.getText().strip("`").lower() for t in lexer.getAllTokens() if t.getChannel() == 0]
+
+
 def _without_end(sql: str) -> str:
     """The text without its closing ';', once the word lists let it pass."""
     text = sql.strip().removesuffix(";").rstrip()
     if not text or text.endswith(";"):
         raise ValueError("there is no query, or an empty one behind it")
     if found := _REFUSED.search(text):
-        raise ValueError(f"a query here must not have the word {found[0].rstrip('(').strip()!r}")
+        raise ValueError(f"a query here must not have the word {found[0]!r}")
     return text
 
 
