@@ -9,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tidewell.frame import Frame, Meta
 from tidewell.session import scratch_dir
 from tidewell.sinks import (
@@ -17,7 +18,7 @@ from tidewell.sinks import (
 from tidewell.sources import (
     all_text, api_items, apply_column_types, broken_lines, check_read_only, crawl_audit, crawl_gaps, graphql_rows, infer_column_types, infer_format,
     key_lookup, list_objects, next_page, read_csv, read_json_documents, read_ndjson, read_object, read_source,
-    register_source, sql_query, time_window,
+    register_source, settled, sql_query, time_window,
 )
 
 
@@ -438,3 +439,60 @@ def test_names():
     )
     with pytest.raises(ValueError, match="unknown placeholder"):
         render_key("{{nope}}")
+
+
+def test_guards_note_in_the_run_itself(spark, conf):
+    """Cut cells, few values, rows: known after the run, of all rows though a filter follows; no run, no notes."""
+    conf(spark__sql__shuffle__partitions="3")
+    df = spark.range(0, 5000, 1, 6).selectExpr(
+        "id", "CAST(id % 128 AS STRING) AS few", "CAST(id % 129 AS STRING) AS more", "CAST(id AS STRING) AS many", "CAST(NULL AS STRING) AS none",
+        "CASE WHEN id % 10 = 0 THEN repeat('x', 50) ELSE IF(id % 2 = 0, 'y', NULL) END AS long", "unhex('00112233') AS raw",
+    )
+    config = {"table": "t", "max_string_bytes": 20, "max_binary_bytes": 3, "dictionary_threshold": True}
+    frame = read_source(spark, config, {"t": df})
+    frame.df.write.format("noop").mode("overwrite").save()
+    assert frame.df.where("id = 10").select("long", "raw").first() == ("x" * 20 + "…(truncated)", bytearray(b"\x00\x11\x22"))
+    meta = settled(frame).meta
+    assert meta.row_count == 5000 and meta.warnings == ("5500 cell(s) exceeded per-type cell limits and were truncated",)
+    assert meta.extra["dictionaryColumns"] == {"few": 128, "long": 2}
+    plain = read_source(spark, {"table": "t"}, {"t": df})
+    assert settled(plain) is plain and plain.watch is None
+
+
+def test_guards_cost_one_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    frame = read_source(spark, {"table": "t", "max_string_bytes": 2000, "dictionary_threshold": 128}, {"t": df})
+    plan = plan_of(frame.df)
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("CollectMetrics") == 1
+
+
+def test_notes_of_a_run_that_never_was(spark, monkeypatch):
+    from tidewell.sources import guards
+
+    monkeypatch.setattr(guards, "PATIENCE", 0.1)
+    frame = read_source(spark, {"table": "t", "max_string_bytes": 5}, {"t": spark.range(3)})
+    assert settled(frame).meta == frame.meta
+
+
+def test_source_kinds(spark, put, tmp_path, rows):
+    logs = {"a": spark.sql("SELECT TIMESTAMP '2024-01-01 10:00:00' AS t, 1 AS n"), "b": spark.sql("SELECT TIMESTAMP '2024-01-01 11:30:00' AS t, 'x' AS m")}
+    config = {"tables": ["a", "b"], "time_column": "t", "start": "2024-01-01T11:00:00", "end": "2024-01-01T12:00:00"}
+    assert [r["m"] for r in rows(read_source(spark, config, logs).df)] == ["x"]
+    put("one.csv", "id,when\n1,2024-05-01\n2,\n")
+    listed = read_source(spark, {"kind": "listing", "path": str(tmp_path), "pattern": "*.csv"})
+    assert listed.meta.source_type == "listing" and listed.df.columns == ["key", "size", "lastModified"]
+    typed = read_source(spark, {"path": str(tmp_path / "one.csv"), "columns": ["when", "id"], "columnTypes": {"id": "int", "when": "date"}}).df
+    assert typed.dtypes == [("when", "date"), ("id", "bigint")] and [r["id"] for r in rows(typed, "id")] == [1, 2]
+    wrong = read_source(spark, {"path": put("two.csv", "id\nseven\n"), "columnTypes": {"id": "int"}}).df
+    with pytest.raises(Exception, match="column id: no int: seven"):
+        wrong.collect()
+    with pytest.raises(ValueError, match="unknown column types"):
+        read_source(spark, {"path": str(tmp_path / "one.csv"), "columnTypes": {"id": "integer!"}})
+
+
+def test_graphql_source(spark, rows):
+    pages = pages_table(spark, [("g", 0, 200, None, '{"data":{"s":{"edges":[{"node":{"id":1}},{"id":2}]}}}'), ("g", 1, 200, None, '{"errors":[{"message":"no such field"}]}')])
+    config = {"table": "p", "data_path": "data.s", "schema": "id long"}
+    assert [r["id"] for r in rows(read_source(spark, {**config, "errors": "skip"}, {"p": pages}).df, "id")] == [1, 2]
+    with pytest.raises(Exception, match="no such field"):
+        read_source(spark, config, {"p": pages}).df.collect()

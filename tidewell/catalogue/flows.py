@@ -8,8 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewell.catalogue.inputs import table
+from tidewell.catalogue.sources import graphql_pages
 from tidewell.frame import Frame, Meta
-from tidewell.plans import append_run, deliver, latest_runs, run_flow, with_metrics
+from tidewell.plans import append_run, deliver, latest_runs, run_flow, settle, with_metrics
 from tidewell.session import scratch_dir
 from tidewell.sinks import (
     read_envelope, write_csv, write_envelope, write_json, write_json_array, write_ndjson, write_parquet, write_tsv,
@@ -17,8 +18,8 @@ from tidewell.sinks import (
 from tidewell.sources import read_csv, read_json_documents, read_ndjson, read_parquet
 
 
-def _node(node_id, kind, **config):
-    return {"id": node_id, "type": kind, "name": node_id, "config": config}
+def _node(node_id, node_type, **config):
+    return {"id": node_id, "type": node_type, "name": node_id, "config": config}
 
 
 def _edge(source, target, handle=""):
@@ -175,6 +176,60 @@ def _flow_export(spark, d):
     )
 
 
+GUARDED = {
+    "nodes": [
+        _node("documents", "source", table="documents", max_columns=4, max_string_bytes=2_000, dictionary_threshold=128),
+        _node("cut", "filter", expression="text LIKE '%(truncated)'"),
+        _node("by_lang", "aggregate", groupBy=["lang"], aggregations=[{"op": "count", "as": "n"}]), _node("out", "output"),
+    ],
+    "edges": [_edge("documents", "cut"), _edge("cut", "by_lang"), _edge("by_lang", "out")],
+}
+
+
+def _flow_guarded_source(spark, d):
+    """A flow over a guarded source; its rows, and what its one run noted about the source."""
+    planned = run_flow(spark, GUARDED, _tables(spark, d, "documents"))
+    path = scratch_dir(spark, "guarded") + "/rows"
+    write_parquet(planned.output.df, path)
+    meta = settle(planned).frames["documents"].meta
+    notes = [("warning", w, None) for w in meta.warnings] + [("dictionary", c, n) for c, n in meta.extra["dictionaryColumns"].items()]
+    notes = spark.createDataFrame([*notes, ("rows", "documents", meta.row_count)], "kind string, name string, n long")
+    return read_parquet(spark, path).select(F.lit("result").alias("kind"), F.col("lang").alias("name"), "n").unionAll(notes)
+
+
+GRAPHQL = {
+    "nodes": [
+        _node("pages", "source", kind="graphql", table="pages", data_path="data.search", errors="skip", schema="id long, status string, price double"),
+        _node("dear", "filter", expression="price > 1000"),
+        _node("by_status", "aggregate", groupBy=["status"], aggregations=[
+            {"op": "count", "as": "n"}, {"op": "min", "field": "price", "as": "low"}, {"op": "max", "field": "id", "as": "last"},
+        ]),
+        _node("out", "output"),
+    ],
+    "edges": [_edge("pages", "dear"), _edge("dear", "by_status"), _edge("by_status", "out")],
+}
+
+
+def _flow_graphql(spark, d):
+    return run_flow(spark, GRAPHQL, {"pages": graphql_pages(spark, d)}).output.df
+
+
+WINDOWED = {
+    "nodes": [
+        _node("late", "source", kind="time_window", tables=["events", "more"], time_column="ts", start="2024-01-10T00:00:00", end="2024-01-12T00:00:00"),
+        _node("by_type", "aggregate", groupBy=["event_type"], aggregations=[{"op": "count", "as": "n"}, {"op": "max", "field": "event_id", "as": "last"}]),
+        _node("out", "output"),
+    ],
+    "edges": [_edge("late", "by_type"), _edge("by_type", "out")],
+}
+
+
+def _flow_time_window(spark, d):
+    """Two log tables, one below the other, within two days."""
+    events = table(spark, d, "events")
+    return run_flow(spark, WINDOWED, {"events": events.where("event_id % 2 = 0"), "more": events.where("event_id % 2 = 1").drop("props")}).output.df
+
+
 def _export_csv(spark, d):
     path = scratch_dir(spark, "export") + "/documents.csv"
     write_csv(table(spark, d, "documents"), path)
@@ -228,6 +283,9 @@ QUERIES = {
     "flow_metrics": _flow_metrics,
     "run_log": _run_log,
     "flow_export": _flow_export,
+    "flow_guarded_source": _flow_guarded_source,
+    "flow_graphql": _flow_graphql,
+    "flow_time_window": _flow_time_window,
     "export_json_array": _export_json_array,
     "export_csv": _export_csv,
     "export_json": _export_json,
@@ -285,6 +343,23 @@ ORACLE = {
             for n, e in (("orders", ""), ("check", "no such order"), ("out", ""))
         ]
     ),
+    "flow_guarded_source": """
+        WITH few AS (
+            SELECT 'lang' AS name, count(DISTINCT lang) AS n FROM documents UNION ALL SELECT 'source', count(DISTINCT source) FROM documents
+            UNION ALL SELECT 'text', count(DISTINCT text) FROM documents)
+        SELECT 'result' AS kind, lang AS name, count(*) AS n FROM documents WHERE octet_length(encode(text)) > 2000 GROUP BY lang
+        UNION ALL SELECT 'dictionary', name, n FROM few WHERE n BETWEEN 1 AND 128
+        UNION ALL SELECT 'rows', 'documents', count(*) FROM documents
+        UNION ALL SELECT 'warning', count(*) || ' cell(s) exceeded per-type cell limits and were truncated', NULL FROM documents
+            WHERE octet_length(encode(text)) > 2000
+        UNION ALL SELECT 'warning', 'Column cap reached at 4 columns.', NULL""",
+    "flow_graphql": """
+        SELECT o_orderstatus AS status, count(*) AS n, min(o_totalprice) AS low, CAST(max(o_orderkey) AS DOUBLE) AS last FROM (
+            SELECT *, max(o_totalprice) OVER (PARTITION BY o_orderkey // 1000, (o_orderkey % 1000) // 50) AS dearest FROM orders)
+        WHERE dearest <= 499000 AND o_totalprice > 1000 GROUP BY 1""",
+    "flow_time_window": """
+        SELECT event_type, count(*) AS n, CAST(max(event_id) AS DOUBLE) AS last FROM events
+        WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' GROUP BY 1""",
     "flow_export": """
         SELECT CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS amount FROM orders WHERE o_totalprice > 300000
         UNION ALL SELECT o_orderstatus, CAST(count(*) AS DOUBLE) FROM orders WHERE o_totalprice > 300000 GROUP BY 1""",

@@ -200,7 +200,7 @@ def _rest_pages(spark, d):
     return landed.select("crawl_id", "page_no", F.lit(200).alias("status"), link.alias("link_header"), body.alias("body"))
 
 
-def _graphql_pages(spark, d):
+def graphql_pages(spark, d):
     landed = _landed(spark, d)
     edges = F.transform("items", lambda i: F.struct(i.alias("node")))
     info = F.struct((F.col("page_no") < 19).alias("hasNextPage"), F.concat(F.lit("c"), F.col("page_no")).alias("endCursor"))
@@ -220,16 +220,16 @@ def _src_api_items(spark, d):
 
 
 def _src_graphql_edges(spark, d):
-    rows, _ = graphql_rows(_graphql_pages(spark, d), "data.search", ITEM)
+    rows, _ = graphql_rows(graphql_pages(spark, d), "data.search", ITEM)
     return rows.select("crawl_id", "page_no", "id", "status", "price")
 
 
 def _src_graphql_errors(spark, d):
-    return graphql_rows(_graphql_pages(spark, d), "data.search", ITEM)[1]
+    return graphql_rows(graphql_pages(spark, d), "data.search", ITEM)[1]
 
 
 def _src_next_page(spark, d):
-    rest, graph = _rest_pages(spark, d), _graphql_pages(spark, d)
+    rest, graph = _rest_pages(spark, d), graphql_pages(spark, d)
     runs = [
         ("offset", next_page(rest, "offset", "data.items", PAGE_ITEMS)),
         ("page", next_page(rest, "page", "data.items", PAGE_ITEMS)),

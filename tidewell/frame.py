@@ -78,8 +78,11 @@ class Meta:
 
 @dataclass(frozen=True)
 class Frame:
+    """`watch` gives notes that are known once the rows were read (see `sources.guards`)."""
+
     df: DataFrame
     meta: Meta = field(default_factory=Meta)
+    watch: Any = None
 
     def with_meta(self, **changes: Any) -> Frame:
         return replace(self, meta=replace(self.meta, **changes))

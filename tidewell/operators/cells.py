@@ -48,16 +48,21 @@ def count_long_cells(
     max_binary_bytes: int = DEFAULT_MAX_BINARY_BYTES,
 ) -> DataFrame:
     """One row `affected`: how many cells the limits would cut."""
-    parts = []
+    return df.agg(F.coalesce(long_cells(df, max_string_bytes, max_binary_bytes), F.lit(0).cast("long")).alias("affected"))
+
+
+def long_cells(
+    df: DataFrame,
+    max_string_bytes: int = DEFAULT_MAX_STRING_BYTES,
+    max_binary_bytes: int = DEFAULT_MAX_BINARY_BYTES,
+) -> Column:
+    """An aggregate: how many cells the limits would cut."""
+    total = F.sum(F.lit(0).cast("long"))
     for field in df.schema:
-        if isinstance(field.dataType, T.StringType) and max_string_bytes > 0:
-            parts.append(F.count_if(F.octet_length(col(field.name)) > max_string_bytes))
-        elif isinstance(field.dataType, T.BinaryType) and max_binary_bytes > 0:
-            parts.append(F.count_if(F.octet_length(col(field.name)) > max_binary_bytes))
-    total = F.lit(0).cast("long")
-    for part in parts:
-        total = total + part
-    return df.agg(total.alias("affected")) if parts else df.sparkSession.range(1).select(total.alias("affected"))
+        limit = {T.StringType: max_string_bytes, T.BinaryType: max_binary_bytes}.get(type(field.dataType), 0)
+        if limit > 0:
+            total = total + F.count_if(F.octet_length(col(field.name)) > limit)
+    return total
 
 
 def cell_warning(affected: int) -> str:

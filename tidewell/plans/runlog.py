@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.operators.history import latest_state
-from tidewell.plans.run import NodeFailure, RunResult, deliver, failing_node
+from tidewell.plans.run import NodeFailure, RunResult, deliver, failing_node, settle
 
 STATUSES = ("running", "succeeded", "failed", "skipped")
 SCHEMA = (
@@ -76,6 +76,7 @@ def append_run(
             result = _blamed(result, str(failure))
         finish("failed", result, str(failure))
         raise
+    result = settle(result)
     finish("succeeded", result, "")
     return result
 
@@ -88,8 +89,8 @@ def _blamed(result: RunResult, error: str) -> RunResult:
 
 
 def compact_runs(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Write the log's rows to a few files in a new folder; a log has two small files for each run."""
-    spark.read.schema(SCHEMA).parquet(path).repartitionByRange(1, "logged_at").write.parquet(target)
+    """Write the log's rows to a new folder, in as many files as their size asks for; a log has two small files for each run."""
+    spark.read.schema(SCHEMA).parquet(path).repartitionByRange("logged_at").write.parquet(target)
     return spark.read.schema(SCHEMA).parquet(target)
 
 

@@ -62,22 +62,26 @@ def graphql_rows(
     keep: Sequence[str] = ("crawl_id", "page_no"),
     body: str = "body",
     status: str | None = "status",
+    fail: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, refused pages) of landed GraphQL pages.
 
     A connection object is unwrapped: each edge gives its node, or itself when
     it has none. Pages whose response lists errors are returned apart, with
-    the first message in `error`.
+    the first message in `error`; with `fail` such a page fails the read of the rows.
     """
     documents = _documents(pages, body, status)
     errors = json_path(F.col("__document"), "errors")
-    failed = json_array_size(errors) > 0
+    failed = F.coalesce(json_array_size(errors) > 0, F.lit(False))
     message = cursor_text(json_path(errors, "0.message"))
     refused = documents.where(failed).select(*[col(k) for k in keep], message.alias("error"))
 
     node = json_path(F.col("__document"), data_path)
     edges = json_path(node, "edges")
     source = F.when(is_json_array(edges) & is_json_object(node), edges).otherwise(node)
+    if fail:
+        text = F.concat(F.lit("the response lists errors: "), F.coalesce(message, F.lit("")))
+        failed = F.when(failed, F.raise_error(text).cast("boolean")).otherwise(F.lit(False))
     usable = documents.where(~failed).withColumn("__from_edges", is_json_array(edges)).withColumn("__node", source)
     rows = variant_rows(usable, "__node", [*keep, "__from_edges"])
     inner = json_path(F.col("item"), "node")

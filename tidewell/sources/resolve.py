@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.frame import Frame, Meta
-from tidewell.operators.cells import truncate_cells
-from tidewell.operators.limits import MAX_ROW_LIMIT, row_limit
-from tidewell.operators.project import limit_columns
-from tidewell.sources.api_pages import api_items
-from tidewell.sources.files import read_object
-from tidewell.sources.lookup import key_lookup
+from tidewell.frame import Frame, Meta, col
+from tidewell.operators.union import concat
+from tidewell.sources.api_pages import api_items, graphql_rows
+from tidewell.sources.files import list_objects, read_object
+from tidewell.sources.guards import guarded
+from tidewell.sources.lookup import key_lookup, time_window
 from tidewell.sources.sql import all_text, read_jdbc, sql_query
+from tidewell.sources.typing import declared_types
 
 Reader = Callable[[SparkSession, Mapping[str, Any], Mapping[str, DataFrame]], DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -28,35 +29,31 @@ def register_source(kind: str, reader: Reader) -> None:
 def read_source(
     spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame] | None = None
 ) -> Frame:
-    """Read a source: a named table, a file, a query or landed pages.
+    """Read a source: a named table, files, a query, landed REST or GraphQL pages, a key lookup, a time window or a listing.
 
-    `config["kind"]` picks the reader (guessed from the other keys when absent).
-    Opt-in guards: `row_limit` (an error above `max_row_limit`, 10,000 if unset), `max_columns`, `max_string_bytes`,
-    `max_binary_bytes`, `all_text`.
+    `config["kind"]` picks the reader (guessed from the other keys when absent). `columnTypes` converts text columns, `all_text` makes
+    every column text. The opt-in guards are those of `guarded`.
     """
     kind = source_kind(config)
     if kind not in _READERS:
         raise ValueError(f"unknown source kind {kind!r}; known: {', '.join(sorted(_READERS))}")
     df = _READERS[kind](spark, config, tables or {})
+    if config.get("columnTypes"):
+        df = declared_types(df, config["columnTypes"])
     if config.get("all_text"):
         df = all_text(df)
     name = config.get("name") or config.get("table") or ""
-    frame = Frame(df, Meta(name=name, source_type=kind, source_id=config.get("source_id", "")))
-    if config.get("max_columns"):
-        frame = limit_columns(frame, config["max_columns"])
-    limits = {k: config[k] for k in ("max_string_bytes", "max_binary_bytes") if config.get(k)}
-    if limits:
-        frame = Frame(truncate_cells(frame.df, **limits), frame.meta)
-    if config.get("row_limit"):
-        frame = row_limit(frame, config["row_limit"], maximum=config.get("max_row_limit", MAX_ROW_LIMIT))
-    return frame
+    return guarded(Frame(df, Meta(name=name, source_type=kind, source_id=config.get("source_id", ""))), config)
 
 
 def source_kind(config: Mapping[str, Any]) -> str:
     """The kind of a source, guessed from its keys unless named."""
     if config.get("kind"):
         return config["kind"]
-    for key, kind in (("url", "jdbc"), ("sql", "sql"), ("items_path", "pages"), ("key_condition", "lookup")):
+    for key, kind in (
+        ("url", "jdbc"), ("sql", "sql"), ("items_path", "pages"), ("data_path", "graphql"), ("key_condition", "lookup"),
+        ("time_column", "time_window"), ("pattern", "listing"),
+    ):
         if key in config:
             return kind
     return "file" if "path" in config else "table"
@@ -71,7 +68,8 @@ def _table(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str,
 
 def _file(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
     options = {k: config[k] for k in ("format", "delimiter", "schema", "multi_line") if k in config}
-    return read_object(spark, config["path"], **options)
+    df = read_object(spark, config["path"], **options)
+    return df.select(*[col(c) for c in config["columns"]]) if config.get("columns") else df
 
 
 def _sql(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -87,6 +85,24 @@ def _pages(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str,
     return api_items(_table(spark, config, tables), config.get("items_path", ""), config.get("schema"))
 
 
+def _graphql(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of landed GraphQL pages. A page whose response lists errors fails the flow, unless `errors` is "skip"."""
+    pages = _table(spark, config, tables)
+    return graphql_rows(pages, config.get("data_path", ""), config.get("schema"), fail=config.get("errors", "fail") != "skip")[0]
+
+
+def _listing(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
+    return list_objects(spark, config["path"], config.get("pattern", "*"), config.get("recursive", True))
+
+
+def _window(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of one or several log tables (`table` or `tables`), one below the other, by default of the last hour."""
+    names = config.get("tables") or [config.get("table")]
+    start, end = (datetime.fromisoformat(v) if isinstance(v := config.get(k), str) else v for k in ("start", "end"))
+    rows = concat(*[_table(spark, {"table": n}, tables) for n in names])
+    return time_window(rows, config["time_column"], start, end)
+
+
 def _lookup(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str, DataFrame]) -> DataFrame:
     return key_lookup(
         _table(spark, config, tables), config.get("key_condition", ""), config.get("filter", ""),
@@ -95,6 +111,7 @@ def _lookup(spark: SparkSession, config: Mapping[str, Any], tables: Mapping[str,
 
 
 for _kind, _reader in (
-    ("table", _table), ("file", _file), ("sql", _sql), ("jdbc", _jdbc), ("pages", _pages), ("lookup", _lookup),
+    ("table", _table), ("file", _file), ("sql", _sql), ("jdbc", _jdbc), ("pages", _pages), ("graphql", _graphql), ("lookup", _lookup),
+    ("time_window", _window), ("listing", _listing),
 ):
     register_source(_kind, _reader)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewell.frame import col, require, string_columns
 
@@ -91,3 +91,21 @@ def apply_column_types(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFra
     bad = F.array_compact(F.array(*faults))
     good = df.where(F.size(bad) == 0).select(*[cast.get(n, col(n)).alias(n) for n in df.columns])
     return good, df.where(F.size(bad) > 0).withColumn("bad_columns", bad)
+
+
+def declared_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Rows with the declared types; a value that does not convert fails the read and names its column. An empty text is null, unless text is declared."""
+    require(df, *types)
+    unknown = sorted(set(types.values()) - set(COLUMN_TYPES))
+    if unknown:
+        raise ValueError(f"unknown column types {unknown}; known: {', '.join(COLUMN_TYPES)}")
+    out = []
+    for name in df.columns:
+        if name not in types:
+            out.append(col(name))
+            continue
+        given = F.nullif(col(name), F.lit("")) if df.schema[name].dataType == T.StringType() and types[name] not in ("string", "bytes") else col(name)
+        cast = given.try_cast(COLUMN_TYPES[types[name]])
+        fault = F.raise_error(F.concat(F.lit(f"column {name}: no {types[name]}: "), F.substring(col(name).cast("string"), 1, 80)))
+        out.append(F.when(given.isNotNull() & cast.isNull(), fault.cast(COLUMN_TYPES[types[name]])).otherwise(cast).alias(name))
+    return df.select(*out)
