@@ -1,4 +1,8 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import langid
 
@@ -55,3 +59,85 @@ def test_rows(spark, model):
 def test_without_training(spark):
     model = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r.lang for r in fused(spark, model, [(1, None, page("the"))])] == [None]
+
+
+@pytest.mark.parametrize("url, host, domain, suffix", [
+    ("http://news.bbc.co.uk/x", "news.bbc.co.uk", "bbc.co.uk", "uk"), ("https://a.b.site.fr:80/", "a.b.site.fr", "site.fr", "fr"), ("http://192.168.1.20/x", "192.168.1.20", "192.168.1.20", None),
+    ("http://[::1]:8080/x", "[::1]", "[::1]", None), ("http://localhost/", "localhost", "localhost", "localhost"), ("ftp://u:p@Host.Org./", "host.org", "host.org", "org"),
+    ("http://co.uk/", "co.uk", "co.uk", "uk"), ("nothing", None, None, None), (None, None, None, None),
+])
+def test_hosts(spark, url, host, domain, suffix):
+    df = spark.createDataFrame([(url,)], "url string").select(langid.host_of(F.col("url")).alias("h"))
+    row = df.select("h", langid.domain_of(F.col("h")).alias("d"), langid.suffix_of(F.col("h")).alias("s")).first()
+    assert (row.h, row.d, row.s) == (host, domain, suffix)
+
+
+def brute(model, rows):
+    """The fusion page by page in plain Python."""
+    n, pull, even = len(model.languages), langid.PULL, langid.EVEN
+    pages = []
+    for page_id, host, domain, suffix, html in rows:
+        said = langid.DECLARED.search(html or "")
+        declared = None if said is None else said[1].lower() if said[1].lower() in model.languages else "other"
+        logs = model.likelihood(langid.visible(html or ""))
+        pages.append((page_id, host, domain, suffix, declared, logs, langid.softmax(logs)))
+
+    def sums(key):
+        out = {}
+        for p in pages:
+            if p[key] is not None:
+                s, m = out.get(p[key], (np.zeros(n), 0))
+                out[p[key]] = s + p[6], m + 1
+        return out
+
+    hosts, domains, suffixes, said = (sums(k) for k in (1, 2, 3, 4))
+    total = sum((p[6] for p in pages), np.zeros(n))
+    overall = (total + even) / (total.sum() + even * n)
+    of_language = sum((s for s, _ in said.values()), np.zeros(n))
+    found = []
+    for page_id, host, domain, suffix, declared, logs, p in pages:
+        score = logs.copy()
+        if declared is not None:
+            score += np.log((said[declared][0] + even) / (of_language + even * len(said)))
+        if suffix is not None:
+            s, m = suffixes[suffix]
+            score += np.log((s + pull * m / total.sum()) / (total + even + pull) / (m / total.sum()))
+
+        def share(table, key, base):
+            s, m = table.get(key, (p, 1))
+            return (np.maximum(s - p, 0) + pull * base) / (m - 1 + pull)
+
+        prior = share(hosts, host, share(domains, domain, overall))
+        score += np.log(prior)
+        odds = langid.softmax(score)
+        found.append((page_id, model.languages[int(odds.argmax())], round(float(odds.max()), 9)))
+    return sorted(found)
+
+
+def test_fusion_by_brute_force(spark, model):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(200):
+        lang = rnd.choice(["en", "fr", "de"])
+        words = rnd.sample(WORDS[lang].split(), rnd.randint(0, 4)) + rnd.sample(WORDS[rnd.choice(["en", "fr", "de"])].split(), rnd.randint(0, 3))
+        url = rnd.choice([None, f"http://{rnd.choice('abc')}.{rnd.choice(['one', 'two'])}.{rnd.choice(['fr', 'de', 'co.uk'])}/{i}", "http://10.0.0.1/"])
+        rows.append((i, url, rnd.choice([page(" ".join(words)), page(" ".join(words), rnd.choice(["en", "fr", "de", "xx"])), None])))
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows], "i long, u string").select("i", langid.host_of(F.col("u")).alias("h"))
+    cut = {r.i: (r.h, r.d, r.s) for r in df.select("i", "h", langid.domain_of(F.col("h")).alias("d"), langid.suffix_of(F.col("h")).alias("s")).collect()}
+    want = brute(model, [(i, *cut[i], html) for i, _, html in rows])
+    assert sorted((r.page, r.lang, round(r.probability, 9)) for r in fused(spark, model, rows)) == want
+
+
+def test_ties_and_repeated_training_rows(spark):
+    """Equal evidence goes to the first language; an id counts once however often it is there; rare languages beyond the bound are not learnt."""
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["nl", "af"] * 5)]
+    model = langid.train(spark.createDataFrame(rows + rows[:1] * 50, "doc_id long, text string, lang string"))
+    once = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert (model.logs == once.logs).all() and model.languages == ["af", "nl"]
+    assert {r.lang for r in fused(spark, model, [(1, None, page("same words")), (2, None, None)])} == {"af"}
+
+
+def test_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, f"text {lang}", lang) for i, lang in enumerate(["en"] * 5 + ["fr"] * 4 + ["de"] * 4 + ["xx"])]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]

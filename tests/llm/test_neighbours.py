@@ -87,3 +87,18 @@ def test_queue_takes_the_nearest_leaves_first():
         every = neighbours.search(trees, sizes, v, 10_000)
         assert every[: len(some)] == some and len(set(every)) == len(every) == sum(t.leaves for t in trees)
         assert {(k, int(t.place(v[None])[0])) for k, t in enumerate(trees)} <= set(every[:3])
+
+
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_ties_of_unlike_vectors_go_to_the_smaller_id(frame, monkeypatch, rows):
+    """Hundreds of vectors at exactly the same angle, in one block or many; one-hot vectors that tie at 0."""
+    monkeypatch.setattr(neighbours, "ROWS", rows)
+    vectors = [(i, [x * 2.0 ** (i % 60 - 30) for x in (3.0, -1.0, 2.0)]) for i in range(300)]
+    df = frame(vectors, "double")
+    found = rows_of(neighbours.knn(df, df.where("vec_id % 50 = 0"), share=100.0, leaf=16))
+    for q in range(0, 300, 50):
+        assert [i for i, _ in found[q]] == [i for i in range(7) if i != q][:5]
+    hot = [(i, [1.0 if j == i % 12 else 0.0 for j in range(12)]) for i in range(120)]
+    df = frame(hot)
+    found = rows_of(neighbours.knn(df, df.where("vec_id = 50"), k=20, share=100.0, leaf=16))
+    assert [i for i, _ in found[50]] == [*range(2, 120, 12)][:4] + [*range(62, 120, 12)] + [i for i in range(120) if i % 12 != 2][:11]

@@ -103,3 +103,10 @@ def test_redaction_cuts_all_spans_of_the_original(spark):
             end = max(end, b)
         assert row.text == (text if text is None else "".join(out) + text[end:])
     assert pii.redact(docs).first().text == "é🙂 [PHONE] end"
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["__email", "__email__rest", "email", "spans", "text__m", "__spans"]
+    docs = spark.createDataFrame([(1, "write to a@b.org now", *range(6))], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    row = pii.redact(docs).first()
+    assert row.asDict() == {"doc_id": 1, "text": "write to [EMAIL] now"} | {n: i for i, n in enumerate(names)}

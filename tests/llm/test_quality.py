@@ -92,3 +92,14 @@ def test_training_on_rows(spark, documents, prose):
     field = quality.train(docs, labels)
     kept = {r.id for r in quality.verdicts(docs, field).where("kept").collect()}
     assert kept == {i for i in range(40) if i % 2}
+
+
+def test_repeated_rows_train_once(spark, documents, prose):
+    """An id that has most rows, with unlike texts, is one text of the sample, the same on every run."""
+    rows = [(i, prose(i, 60 if i % 2 else 5), "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 1, 0)] * 20, "doc_id long, quality int, toxic int")
+    often = rows + [rows[3]] * 200 + [(3, prose(90, 60), "s")] * 100
+    fields = [quality.train(documents(r), labels) for r in (often, often[::-1], rows)]
+    assert (fields[0].emit == fields[1].emit).all() and (fields[0].move == fields[1].move).all()
+    chosen = [quality.train(documents([r for r in rows if r[0] != 3] + [(3, t, "s")]), labels) for t in (rows[3][1], prose(90, 60))]
+    assert any((fields[0].emit == c.emit).all() for c in chosen)

@@ -7,7 +7,7 @@ Four kinds of evidence are combined for each page and language:
  - address suffix: P(suffix | language), from all pages' sums by suffix;
  - host prior: each host's sums, without the page's own, smoothed towards its domain's, those towards all pages' (`PULL` pseudo-pages a level).
 The sums are grouped aggregations with partial sums before the shuffle; tables by suffix, domain and host are joined back. Only what the number of
-languages bounds comes to the driver.
+languages bounds comes to the driver: the `LANGUAGES` that most documents have are learnt. A host that is a number has neither domain nor suffix.
 
 Defined results: a page without text, address or declaration lacks that evidence only; a declaration of an unknown language counts as its own
 value; ties go to the alphabetically first language; repeated rows stay; an empty table gives an empty result; without training texts
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-SAMPLE_DOCS, GRAMS = 300, 3000
+SAMPLE_DOCS, GRAMS, LANGUAGES = 300, 3000, 256
+#: Labels of kinds of registrants below a country's suffix.
+KINDS = ("ac", "co", "com", "edu", "gov", "mil", "net", "or", "org")
 EFFECTIVE, PULL, EVEN = 60, 5.0, 1.0
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)", re.I | re.S)
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
@@ -68,9 +70,13 @@ class Model(NamedTuple):
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     small_batches(docs.sparkSession)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id")
-    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    few = usable.select("lang", "doc_id").join(F.broadcast(common), "lang").distinct()
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id")
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    # One text for each id, the same on every run, however often the id is there.
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("lang", "one.text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,15 +100,33 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without user, port and closing point; null without one."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    return F.when(F.length(host) > 0, F.rtrim(host, F.lit(".")))
+
+
+def _number(host: Column) -> Column:
+    """Whether a host is an address of numbers, which has neither domain nor suffix."""
+    return host.rlike(r"^(\[.*|[0-9]+(\.[0-9]+){3})$")
+
+
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host, the last three where the second last stands for a kind of registrant (`KINDS`) below a country's two letters; else the host."""
+    domain = F.regexp_extract(host, rf"((?:[^.]+\.(?:{'|'.join(KINDS)})\.[a-z]{{2}})|[^.]+\.[^.]+)$", 1)
+    return F.when(_number(host) | (domain == ""), host).otherwise(domain)
+
+
+def suffix_of(host: Column) -> Column:
+    return F.when(~_number(host), F.element_at(F.split(host, r"\."), -1))
+
+
 def measured(pages: DataFrame, model: Model, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """`page`, `host`, `domain`, `suffix`, `declared`, `logs`, `p`: the evidence of each page and its posterior by text alone."""
     small_batches(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    host = F.when(F.length(host) > 0, F.rtrim(host, F.lit(".")))
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    host = host_of(F.col(url_col))
     rows = pages.select(
-        F.col(id_col).alias("page"), host.alias("host"), F.coalesce(F.nullif(domain, F.lit("")), host).alias("domain"),
-        F.element_at(F.split(host, r"\."), -1).alias("suffix"), F.col(html_col).alias("html"),
+        F.col(id_col).alias("page"), host.alias("host"), domain_of(host).alias("domain"), suffix_of(host).alias("suffix"), F.col(html_col).alias("html"),
     )
 
     @F.pandas_udf("declared string, logs array<double>, p array<double>")

@@ -32,6 +32,8 @@ from .common import materialise
 
 TREES, LEAF, SAMPLE, TRIES = 8, 64, 20_000, 8
 SHARE, ROWS = 0.8, 4096
+#: What rounding may change in a rough score, and how many pairs are scored exactly at a time.
+ROUGH, PAIRS = 1e-9, 1 << 16
 SEED = 7
 
 
@@ -230,19 +232,25 @@ def knn(rows: DataFrame, query_rows: DataFrame, k: int = 5, id_col: str = "vec_i
                     yield from _best(part, np.array(names), ids, block, k + 1)
 
     def _best(part, names, ids, block, keep):
+        """The `keep` nearest classes of the block for each query, ties to the smaller: all whose rough score could be among them are scored exactly."""
         sizes_ = np.sqrt((block * block).sum(axis=1))
         for at in range(0, part.num_rows, 256):
             some = part.slice(at, 256)
             asked_ = matrix(some.column("vec"))
-            rough = asked_ @ block.T / sizes_
-            few = min(keep + 4, len(names))
-            best = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            near = block[best]
-            exact = (near * asked_[:, None, :]).sum(axis=2) / (np.sqrt((asked_ * asked_).sum(axis=1))[:, None] * sizes_[best])
-            query = np.repeat(some.column("name").to_numpy(), few)
-            flat = best.ravel()
+            lengths = np.sqrt((asked_ * asked_).sum(axis=1))
+            rough = asked_ @ block.T / sizes_ / lengths[:, None]
+            few = min(keep, len(names))
+            least = np.partition(rough, len(names) - few, axis=1)[:, len(names) - few] - ROUGH
+            row, near = np.nonzero(rough >= least[:, None])
+            exact = np.concatenate([
+                (block[near[i : i + PAIRS]] * asked_[row[i : i + PAIRS]]).sum(axis=1) / (lengths[row[i : i + PAIRS]] * sizes_[near[i : i + PAIRS]])
+                for i in range(0, len(row), PAIRS)
+            ])
+            order = np.lexsort((names[near], -exact, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            best = order[place < few]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query), pa.array(names[flat]), pa.array([ids[i] for i in flat], pa.list_(pa.int64())), pa.array(exact.ravel())],
+                [pa.array(some.column("name").to_numpy()[row[best]]), pa.array(names[near[best]]), pa.array([ids[i] for i in near[best]], pa.list_(pa.int64())), pa.array(exact[best])],
                 names=["q", "cls", "ids", "score"],
             )
 

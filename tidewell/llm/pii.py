@@ -179,13 +179,14 @@ def merged(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with every counted match of the text as it was replaced by its kind in brackets; matches that overlap are one."""
     at, spans = fresh("text", "spans")
-    own = [k._replace(name=f"__{k.name}") for k in KINDS]
+    own = [k._replace(name=name) for k, name in zip(KINDS, fresh(*[k.name for k in KINDS]))]
+    label = F.create_map(*[F.lit(x) for k, mine in zip(KINDS, own) for x in (mine.name, f"[{k.name.upper()}]")])
     rows = _matched(docs.withColumnRenamed(text_col, at), at, own)
     rows = rows.withColumn(spans, F.concat(*[_spans(k) for k in own])).withColumn(spans, merged(F.col(spans)))
 
     def piece(s: Column, i: Column) -> Column:
         end = F.coalesce(F.get(F.col(spans), i - 1)["end"], F.lit(0))
-        return F.concat(F.substr(at, end + 1, s["start"] - end), F.lit("["), F.upper(F.ltrim(s["kind"], F.lit("_"))), F.lit("]"))
+        return F.concat(F.substr(at, end + 1, s["start"] - end), F.element_at(label, s["kind"]))
 
     rest = F.substr(at, F.element_at(spans, -1)["end"] + 1)
     masked = F.concat(F.array_join(F.transform(spans, piece), ""), rest)

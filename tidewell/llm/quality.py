@@ -206,9 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> F
     """Fit the field on a bounded sample of labelled documents; only line features come to the driver."""
     spark = docs.sparkSession
     small_batches(spark)
-    named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = [named.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    # One text for each id, the same on every run, however often the id is there.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "quality")).alias("one")).select("doc_id", "one.text", "one.quality")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
