@@ -93,11 +93,14 @@ def test_latest_state_equals_batch(spark, folder, events):
     assert same(out, latest_state_stream(events, *args))
 
 
-def test_scratch_folder_follows_the_cluster_setting(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def test_scratch_folder_follows_the_cluster_setting(spark, tmp_path, monkeypatch):
+    """A folder of its own each time, below the setting, and always with its file system: a bare path is somebody else's disk."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: str(tmp_path) if key == "spark.checkpoint.dir" else default[0])
     path = scratch_dir(spark, "t")
-    assert path != scratch_dir(spark, "t")
-    assert base is None or path.startswith(base)
+    assert path != scratch_dir(spark, "t") and path.startswith(f"file://{tmp_path}/")
+    assert isinstance(fs.FileSystem.from_uri(path)[0], fs.LocalFileSystem)
 
 
 def test_batches_of_changes_are_merged(spark, folder, monkeypatch):

@@ -59,9 +59,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     path = f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
     file_system = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
-    file_system.mkdirs(hadoop_path)
-    file_system.deleteOnExit(hadoop_path)
-    return path
+    # With its file system: other readers take a bare path as one on their own machine.
+    qualified = file_system.makeQualified(hadoop_path)
+    file_system.mkdirs(qualified)
+    file_system.deleteOnExit(qualified)
+    path = qualified.toString()
+    return f"file://{path.removeprefix('file:')}" if path.startswith("file:/") and not path.startswith("file:///") else path
 
 
 def is_single_file(spark: SparkSession, path: str) -> bool:
