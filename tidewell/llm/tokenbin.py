@@ -8,15 +8,18 @@ ids packed from the lowest bit on, each document's ids starting at a byte. A foo
 (i64, with a flag byte for null), the byte offset of its ids (u64) and their number (u64); the footer's offset, the number of
 documents and the magic again end the file. So any document is read by one seek, and numpy unpacks a block at once.
 
-Plan: texts are dealt out by ranges of the id and sorted there (compressed texts are smaller than their ids); each range is encoded into a
-file. `start` of a document is the number of ids in the files before and in its file before it.
+Plan: texts are dealt out by ranges of the id and sorted there (compressed texts are smaller than their ids); each range is encoded into
+files of about `FILE_BYTES` and at most `ENTRIES` documents, so a task holds one footer. Ranges go on by a hash of the text and the row's number, so many rows of one id, or
+without one, spread like others. `start` of a document is the number of ids in the files before and in its file before it.
 
-Defined results: a null text is empty: it has the end id only; equal ids are neighbours, in order of their texts; null ids come
-first; an empty table gives no file; columns besides id and text are not read.
+Defined results: a null text is empty: it has the end id only; equal ids are neighbours, in order of their texts' hashes; null ids come
+first; an empty table gives no file; columns besides id and text are not read. A tokenizer file that does not cut texts the way this module does is asked for whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -32,8 +35,9 @@ from .common import materialise, small_batches
 from .files import Output, folder, open_input
 
 MAGIC, VERSION, END = b"TWTB", 1, 2
-#: Pre-tokens remembered by a worker; those over KEEP characters are not.
+#: Pre-tokens remembered by a worker, in each of two generations; those over KEEP characters are not.
 MEMORY, KEEP = 400_000, 40
+FILE_BYTES, ENTRIES = 256 << 20, 1 << 20
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("at", "<u8"), ("count", "<u8")])
 
 
@@ -82,25 +86,38 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(self.PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        with open(path) as file:
+            said = json.load(file)
+        cuts = said.get("pre_tokenizer") or {}
+        #: Whether the file asks for that pattern, on texts as they are.
+        self.cuts = said.get("normalizer") is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
 
     def direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def part(self, part: str) -> bytes:
-        found = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.direct(part)) else b""
-        if len(part) <= KEEP:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[part] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the tokenizer gives them."""
-        if any(t in text for t in self.added):
+        if not self.cuts or any(t in text for t in self.added):
             return np.array(self.direct(text), dtype="<u4")
         parts = self.FAST.findall(text) if self.PLAIN.fullmatch(text) else self.cut(text)
-        known, part = self.known, self.part
-        return np.frombuffer(b"".join([known.get(p) or part(p) for p in parts]), dtype="<u4")
+        found = list(map(self.known.get, parts))
+        if None in found:
+            new = self._learn({p for p, ids in zip(parts, found) if ids is None})
+            found = [new[p] if ids is None else ids for p, ids in zip(parts, found)]
+        return np.frombuffer(b"".join(found), dtype="<u4")
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens that the newer generation does not know."""
+        out = {p: ids for p in parts if (ids := self.older.get(p)) is not None}
+        fresh = [p for p in parts if p not in out]
+        for part, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            out[part] = np.array(coded.ids, dtype="<u4").tobytes() if len(coded.ids) > 8 else struct.pack(f"<{len(coded.ids)}I", *coded.ids)
+        if len(self.known) + len(out) > MEMORY:
+            self.older = dict(self.known)
+            self.known.clear()
+        self.known.update((p, ids) for p, ids in out.items() if len(p) <= KEEP)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -115,40 +132,62 @@ def tokenizer_path() -> str:
 
 
 def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END) -> DataFrame:
-    """Write the files; returns `uri`, `part` (its place in the order), `documents`, `tokens` of each."""
+    """Write the files; returns `uri`, `part` and `piece` (its place in the order), `documents`, `tokens` of each."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     small_batches(spark)
     path, base = path or tokenizer_path(), base or folder(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = F.col("id").asc_nulls_first()
-    laid = rows.repartitionByRange(parts, order).sortWithinPartitions(order, "text")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
+    shape = pa.schema([("uri", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, out, entries, tokens = loaded(path), None, [], 0
-        bits = bits_for(encoder.vocabulary)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core
+        encoder, place, piece, out = loaded(path), TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if out is None:
-                    out = Output(base, ".tok")
-                    out.write(MAGIC + struct.pack("<HH", VERSION, bits))
-                ids = np.append(encoder.encode(text or ""), np.uint32(end))
-                entries.append((id_ or 0, id_ is None, out.write(pack(ids, bits)), len(ids)))
-                tokens += len(ids)
+                out = out or Writer(base, bits_for(encoder.vocabulary))
+                out.add(id_, np.append(encoder.encode(text or ""), np.uint32(end)))
+                if out.full():
+                    yield out.close(place, piece, shape)
+                    piece, out = piece + 1, None
         if out is not None:
-            at = out.write(np.array(entries, dtype=ENTRY).tobytes())
-            out.write(struct.pack("<QQ", at, len(entries)) + MAGIC)
-            out.close()
-            place = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pylist([{"uri": out.uri, "part": place, "documents": len(entries), "tokens": tokens}], schema=shape)
+            yield out.close(place, piece, shape)
 
-    import pyarrow as pa
+    return materialise(laid.mapInArrow(run, "uri string, part int, piece int, documents long, tokens long"), "token_files")
+
+
+class Writer:
+    """One file in the making."""
+
+    def __init__(self, base: str, bits: int):
+        self.bits, self.out = bits, Output(base, ".tok")
+        self.out.write(MAGIC + struct.pack("<HH", VERSION, bits))
+        self.entries: list[tuple] = []
+        self.tokens = 0
+
+    def add(self, id_: int | None, ids: np.ndarray) -> None:
+        self.entries.append((id_ or 0, id_ is None, self.out.write(pack(ids, self.bits)), len(ids)))
+        self.tokens += len(ids)
+
+    def full(self) -> bool:
+        return self.out.size >= FILE_BYTES or len(self.entries) >= ENTRIES
+
+    def close(self, part: int, piece: int, shape):
+        import pyarrow as pa
 
-    shape = pa.schema([("uri", pa.string()), ("part", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
-    return materialise(laid.mapInArrow(run, "uri string, part int, documents long, tokens long"), "token_files")
+        at = self.out.write(np.array(self.entries, dtype=ENTRY).tobytes())
+        self.out.write(struct.pack("<QQ", at, len(self.entries)) + MAGIC)
+        self.out.close()
+        return pa.RecordBatch.from_pylist(
+            [{"uri": self.out.uri, "part": part, "piece": piece, "documents": len(self.entries), "tokens": self.tokens}], schema=shape
+        )
 
 
 class TokenFile:
@@ -178,8 +217,8 @@ READ = "id long, start long, count long, crc long"
 
 
 def read(files: DataFrame) -> DataFrame:
-    """`id`, `start`, `count`, `crc` of each document in the files that `uri` and `part` name."""
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    """`id`, `start`, `count`, `crc` of each document in the files that `uri`, `part` and `piece` name."""
+    order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     offset = files.select("uri", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("offset"))
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
