@@ -49,13 +49,11 @@ def test_rows(documents, hard_rows, tokenizer):
     assert sorted(((r.id, r["count"], r.crc) for r in found), key=repr) == sorted(want, key=repr)
 
 
-def test_files_are_rolled(documents, prose, tokenizer, monkeypatch):
+def test_files_are_rolled(documents, prose, tokenizer):
     """By bytes and by documents; the order goes on over the pieces of a part."""
     want = {i: tokenizer.encode(prose(i), add_special_tokens=False).ids + [2] for i in range(60)}
     for bytes_, entries in ((500, 1 << 20), (1 << 28, 3)):
-        monkeypatch.setattr(tokenbin, "FILE_BYTES", bytes_)
-        monkeypatch.setattr(tokenbin, "ENTRIES", entries)
-        files = tokenbin.write(documents([(i, prose(i), "a") for i in range(60)]))
+        files = tokenbin.write(documents([(i, prose(i), "a") for i in range(60)]), file_bytes=bytes_, entries=entries)
         assert files.where("piece > 0").count() >= 8 and files.agg({"documents": "max"}).first()[0] <= entries
         start = 0
         for row in sorted(tokenbin.read(files).collect(), key=lambda r: r.id):

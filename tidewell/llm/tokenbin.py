@@ -131,7 +131,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END) -> DataFrame:
+def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END, file_bytes: int = FILE_BYTES, entries: int = ENTRIES) -> DataFrame:
     """Write the files; returns `uri`, `part` and `piece` (its place in the order), `documents`, `tokens` of each."""
     import pyarrow as pa
 
@@ -154,7 +154,7 @@ def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = out or Writer(base, bits_for(encoder.vocabulary))
                 out.add(id_, np.append(encoder.encode(text or ""), np.uint32(end)))
-                if out.full():
+                if out.out.size >= file_bytes or len(out.entries) >= entries:
                     yield out.close(place, piece, shape)
                     piece, out = piece + 1, None
         if out is not None:
@@ -176,9 +176,6 @@ class Writer:
         self.entries.append((id_ or 0, id_ is None, self.out.write(pack(ids, self.bits)), len(ids)))
         self.tokens += len(ids)
 
-    def full(self) -> bool:
-        return self.out.size >= FILE_BYTES or len(self.entries) >= ENTRIES
-
     def close(self, part: int, piece: int, shape):
         import pyarrow as pa
 
