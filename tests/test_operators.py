@@ -10,7 +10,12 @@ from tidewell.operators import (
 )
 from tidewell.operators.cells import cell_warning
 from tidewell.operators.limits import effective_row_limit, page, page_size
+from tidewell.operators.history import text_search, trailing_usage
 from tidewell.operators.profile import describe, dictionary_encode, distinct_counts, histogram, low_cardinality
+from tidewell.operators.sketches import merge_states, profile_of, profile_state
+from tidewell.operators.textindex import text_search_indexed, write_text_index
+from tidewell.session import scratch_dir
+from tidewell.sources import key_lookup, write_lookup_table
 
 
 @pytest.fixture
@@ -300,3 +305,69 @@ def test_histogram_edges(spark, rows):
     assert {r["nulls"] for r in got} == {1}
     same = {r["bucket"]: r["n"] for r in got if r["name"] == "same"}
     assert same[1] == 3 and sum(same.values()) == 3
+
+
+def test_merged_profiles_equal_one_pass(spark):
+    """Whatever the cut into appends: exact numbers equal, estimates within their error, columns that come later, empty appends."""
+    df = spark.range(30_000).selectExpr(
+        "id", "CAST(id % 977 AS STRING) AS text", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 1000 = 1 THEN double('NaN') ELSE sqrt(id) END AS x", "CAST(NULL AS DOUBLE) AS none",
+        "timestamp_seconds(id) AS t", "id % 2 = 0 AS flag",
+    )
+    parts = [df.where("id < 100"), df.where("id BETWEEN 100 AND 20000"), df.where("id > 20000"), df.where("false")]
+    whole = {r["name"]: r for r in profile_of(profile_state(df)).collect()}
+    merged = {r["name"]: r for r in profile_of(merge_states(*[profile_state(p) for p in parts])).collect()}
+    again = {r["name"]: r for r in profile_of(merge_states(merge_states(*[profile_state(p) for p in parts[:2]]), *[profile_state(p) for p in parts[2:]])).collect()}
+    exact = {r["name"]: r for r in describe(df).collect()}
+    for name, one in whole.items():
+        for other in (merged[name], again[name], exact[name]):
+            assert [one[k] for k in ("type", "count", "null_count", "min", "max")] == [other[k] for k in ("type", "count", "null_count", "min", "max")]
+            assert one["mean"] == other["mean"] or abs(one["mean"] - other["mean"]) < 1e-9 * abs(one["mean"])
+    for name, n in (("id", 30_000), ("text", 977), ("t", 30_000), ("flag", 2), ("none", 0)):
+        assert abs(merged[name]["distinct"] - n) <= 0.03 * n
+    assert abs(merged["id"]["median"] - 15_000) < 900 and abs(merged["id"]["q25"] - 7_500) < 900 and merged["none"]["median"] is None
+    wider = merge_states(profile_state(spark.range(5)), profile_state(spark.range(3).selectExpr("id + 0.5D AS id", "'a' AS more")))
+    assert {r["name"]: (r["type"], r["count"]) for r in profile_of(wider).collect()} == {"id": ("float64", 8), "more": ("string", 3)}
+
+
+@pytest.mark.parametrize("needle", ["abc", "  ABc ", "xyz", "aa", "é", "", "a.c", "longer needle than the index looks up", "\U0001f642ab", "bca"])
+def test_indexed_search_equals_the_scan(spark, needle):
+    texts = ["abc", "xABCx", "ab c", None, "", "aéa", "bcabca", "a.c", "axc", "\U0001f642abc", "a longer needle than the index looks up!", "aa", "xy\nz", "xyz" * 2000]
+    df = spark.createDataFrame([(i, t, "abc" if i % 5 == 0 else None) for i, t in enumerate(texts)], "id long, a string, b string")
+    path = scratch_dir(spark, "t") + "/index"
+    write_text_index(df, path, "id", ["a", "b"])
+    got = {r["id"] for r in text_search_indexed(spark, df, path, needle, "id", ["a", "b"]).collect()}
+    assert got == {r["id"] for r in text_search(df, needle, ["a", "b"]).collect()}
+
+
+def scanned(df):
+    """Rows that the file scans of a plan gave, after it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookup_reads_few_rows(spark):
+    """Under a twentieth of the table, for keys that are there and for one that is not."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    path = scratch_dir(spark, "t") + "/lines"
+    write_lookup_table(lines, path, "l_orderkey", 500)
+    table = spark.read.parquet(path)
+    assert scanned(table.where("l_orderkey = 7")) < lines.count() / 20
+    assert scanned(table.where("l_orderkey = -5")) == 0
+    keys = [r[0] for r in lines.select("l_orderkey").distinct().limit(3).collect()]
+    found = key_lookup(table, f"l_orderkey IN ({', '.join(map(str, keys))})")
+    assert sorted(map(str, found.collect())) == sorted(map(str, lines.where(F.col("l_orderkey").isin(keys)).collect()))
+
+
+def test_a_busy_minute_spreads_over_tasks(spark, conf):
+    """One key has a third of all rows within one minute."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="16")
+    at = "timestamp_micros(1700000000000000 + CASE WHEN id % 3 = 0 THEN (id * 997) % 60000000 ELSE id * 1000000 END)"
+    df = spark.range(9000).selectExpr("id", "IF(id % 3 = 0, 'hot', CONCAT('k', id % 50)) AS k", f"{at} AS ts")
+    used = trailing_usage(df, ["k"], "ts")
+    tasks = used.where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) >= 8 and max(r["count"] for r in tasks) < 1500
+    plain = df.selectExpr("id", "count(*) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL '59:59.999999' MINUTE TO SECOND PRECEDING AND CURRENT ROW) AS used")
+    assert sorted(map(tuple, used.select("id", "used").collect())) == sorted(map(tuple, plain.collect()))

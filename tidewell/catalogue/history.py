@@ -18,6 +18,8 @@ from tidewell.operators.history import (
 )
 from tidewell.operators.limits import matching
 from tidewell.operators.quota import quota_admission
+from tidewell.operators.textindex import text_search_indexed, write_text_index
+from tidewell.session import scratch_dir
 
 NOW = datetime(2024, 1, 20, 12, 0, 0)
 
@@ -131,6 +133,18 @@ def _text_search(spark, d):
     ).orderBy(F.lower("source"), "doc_id").select("doc_id", "lang", "source")
 
 
+def _text_search_indexed(spark, d):
+    """The same search over an index of trigrams, another needle, and one too short for the index."""
+    documents, path = table(spark, d, "documents"), scratch_dir(spark, "grams") + "/documents"
+    write_text_index(documents, path, "doc_id", ["text", "source"])
+    out = None
+    for needle, lang in (("  OneDou ", "EN"), ("idiot", ""), ("ß", "")):
+        found = text_search_indexed(spark, documents, path, needle, "doc_id", ["text", "source"], equal_fold={"lang": lang})
+        found = found.select(F.lit(needle.strip()).alias("needle"), "doc_id", "lang", "source")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def _multi_search(spark, d):
     return multi_search(
         {
@@ -210,6 +224,7 @@ QUERIES = {
     "audit_page": _audit_page,
     "audit_total": _audit_total,
     "text_search": _text_search,
+    "text_search_indexed": _text_search_indexed,
     "multi_search": _multi_search,
     "due_rows": _due_rows,
     "row_limit": _row_limit,
@@ -329,6 +344,12 @@ ORACLE = {
     "text_search": """
         SELECT doc_id, lang, source FROM documents
         WHERE (contains(lower(text), 'onedou') OR contains(lower(source), 'onedou')) AND lower(lang) = 'en' AND source = 'src3'""",
+    "text_search_indexed": " UNION ALL ".join(
+        f"""
+        SELECT '{needle}' AS needle, doc_id, lang, source FROM documents
+        WHERE (contains(lower(text), '{needle.lower()}') OR contains(lower(source), '{needle.lower()}')) AND ('{lang}' = '' OR lower(lang) = '{lang}')"""
+        for needle, lang in (("OneDou", "en"), ("idiot", ""), ("ß", ""))
+    ),
     "multi_search": """
         SELECT type, id, name FROM (
             SELECT 'customer' AS type, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.catalogue.inputs import table
 from tidewell.operators.profile import describe, dictionary_encode, distinct_counts, histogram, low_cardinality
+from tidewell.operators.sketches import merge_states, profile_of, profile_state
+from tidewell.session import scratch_dir
 
 
 def _described(spark, d):
@@ -44,7 +46,31 @@ def _histogram(spark, d):
     ).select("name", "bucket", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n", "nulls")
 
 
+_MERGED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+
+
+def _profile_merge(spark, d):
+    """A table that came in three appends, profiled one by one, the states merged: exact numbers, and whether the estimates keep to their error."""
+    lines = table(spark, d, "lineitem").select(*_MERGED).withColumn("maybe", F.expr("CASE WHEN l_quantity > 40 THEN l_extendedprice END"))
+    path = scratch_dir(spark, "states") + "/lineitem"
+    for part in range(3):
+        profile_state(lines.where(f"l_orderkey % 3 = {part}")).write.mode("append").parquet(path)
+    found = profile_of(merge_states(spark.read.parquet(path)))
+    distinct = F.inline(F.array(*[F.struct(F.lit(c).alias("of"), F.col(f"`{c}`").alias("exact")) for c in lines.columns]))
+    exact = lines.agg(*[F.count_distinct(c).alias(c) for c in lines.columns]).select(distinct)
+    medians = found.where("median IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m")).scalar()
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("in"), F.col(c).cast("double").alias("v")) for c in ("l_orderkey", "l_quantity", "l_extendedprice", "maybe")]))
+    ranks = lines.select(cells).where("v IS NOT NULL").withColumn("m", F.element_at(medians, F.col("in")))
+    ranks = ranks.groupBy("in").agg((F.avg((F.col("v") < F.col("m")).cast("int")) < 0.53).alias("low"), (F.avg((F.col("v") <= F.col("m")).cast("int")) > 0.47).alias("high"))
+    both = found.join(exact, F.col("name") == F.col("of")).join(ranks, F.col("name") == F.col("in"), "left")
+    return both.select(
+        "name", "type", "count", "null_count", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"),
+        (F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("distinct_near"), (F.col("low") & F.col("high")).alias("median_near"),
+    )
+
+
 QUERIES = {
+    "profile_merge": _profile_merge,
     "describe": _describe,
     "low_cardinality": _low_cardinality,
     "dict_encode": _dict_encode,
@@ -89,7 +115,19 @@ _COLUMNS = (
     "l_returnflag", "l_linestatus", "l_shipdate",
 )
 
+def _merged(name, kind, value, numeric=True):
+    numbers = f"round(CAST(min({value}) AS DOUBLE), 4), round(CAST(max({value}) AS DOUBLE), 4), round(avg(CAST({value} AS DOUBLE)), 4), true, true"
+    return f"""SELECT '{name}', '{kind}', count({value}), count(*) - count({value}), {numbers if numeric else "NULL, NULL, NULL, true, NULL"} FROM lineitem"""
+
+
 ORACLE = {
+    "profile_merge": 'SELECT * FROM (' + " UNION ALL ".join(
+        [
+            _merged("l_orderkey", "int64", "l_orderkey"), _merged("l_quantity", "float64", "l_quantity"), _merged("l_extendedprice", "float64", "l_extendedprice"),
+            _merged("l_returnflag", "string", "l_returnflag", False), _merged("l_shipdate", "time", "l_shipdate", False),
+            _merged("maybe", "float64", "CASE WHEN l_quantity > 40 THEN l_extendedprice END"),
+        ]
+    ) + ") t(name, type, count, null_count, min, max, mean, distinct_near, median_near)",
     "describe": " UNION ALL ".join(
         [
             _numeric("event_id", "int64", "event_id"), _other("ts", "time", "ts"),

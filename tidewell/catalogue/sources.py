@@ -11,7 +11,7 @@ from tidewell.session import scratch_dir
 from tidewell.sinks import write_csv, write_json
 from tidewell.sources import (
     all_text, api_items, apply_column_types, broken_lines, crawl_audit, crawl_gaps, graphql_rows, infer_column_types, infer_format, judge_bounded_json, key_lookup,
-    list_objects, next_page, read_csv, read_json_documents, read_ndjson, sql_query, time_window,
+    list_objects, next_page, read_csv, read_json_documents, read_ndjson, sql_query, time_window, write_lookup_table,
 )
 
 PAGE_ITEMS = 50
@@ -274,6 +274,13 @@ def _src_key_scan(spark, d):
     )
 
 
+def _src_key_lookup_indexed(spark, d):
+    """The lookup over a table that is laid out for it."""
+    path = scratch_dir(spark, "lookup") + "/lineitem"
+    write_lookup_table(table(spark, d, "lineitem"), path, "l_orderkey")
+    return key_lookup(spark.read.parquet(path), "l_orderkey IN (7, 1024, 5001)", "l_quantity > 5").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+
+
 def _src_time_window(spark, d):
     end = datetime(2024, 1, 15, 12, 0, 0)
     last_hour = time_window(table(spark, d, "events"), "ts", end=end)
@@ -346,6 +353,7 @@ QUERIES = {
     "src_crawl_gaps": _src_crawl_gaps,
     "src_ndjson_lines": _src_ndjson_lines,
     "src_key_lookup": _src_key_lookup,
+    "src_key_lookup_indexed": _src_key_lookup_indexed,
     "src_key_scan": _src_key_scan,
     "src_time_window": _src_time_window,
     "src_type_infer": _src_type_infer,
@@ -468,6 +476,9 @@ ORACLE = {
     "src_key_lookup": """
         SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem
         WHERE l_orderkey IN (7, 1024, 5001) AND l_quantity > 5""",
+    "src_key_lookup_indexed": """
+        SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem
+        WHERE l_orderkey IN (7, 1024, 5001) AND l_quantity > 5""",
     "src_key_scan": """
         SELECT l_orderkey, l_linenumber, l_partkey, l_tax FROM lineitem WHERE l_discount = 0.1 AND l_tax <> 0""",
     "src_time_window": """

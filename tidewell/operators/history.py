@@ -59,6 +59,10 @@ def role_quotas(user_roles: DataFrame, quotas: DataFrame, user: str = "user_id",
     )
 
 
+# Slices of a bucket of trailing usage.
+SLICES = 60
+
+
 def trailing_usage(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,12 +73,13 @@ def trailing_usage(
     """Adds `used`: rows of the same key within (ts - window, ts], peers included.
 
     Each row counts +1 when it comes and -1 when it leaves the window, and
-    `used` is the running sum. The sum is taken in two steps, within short time
-    buckets and over the bucket totals, so the rows of one busy key are spread
-    over its buckets instead of being sorted in one task.
+    `used` is the running sum. The sum is taken in three steps, within short slices of time, over the totals of a bucket's
+    slices, and over the totals of buckets: the rows of one busy key are spread over its slices, those of one busy bucket too,
+    instead of being sorted in one task. Each level starts with what the level above it carries over, as one more row.
     """
     require(df, *keys, ts)
-    seconds, width = window.total_seconds(), bucket.total_seconds()
+    seconds = window.total_seconds()
+    slice_ = max(1, bucket // timedelta(microseconds=SLICES))
     length = F.expr(f"INTERVAL '{seconds:.6f}' SECOND")
     payload = [c for c in df.columns if c not in keys]
     steps = F.array(
@@ -86,21 +91,23 @@ def trailing_usage(
     ).select(
         *[col(k) for k in keys], "at", F.col("delta").cast("long").alias("delta"),
         F.when(F.col("delta") > 0, F.col("__row")).alias("__row"),
-        F.floor(F.unix_micros(F.col("at").cast("timestamp")) / int(width * 1_000_000)).alias("__bucket"),
+        F.floor(F.unix_micros(F.col("at").cast("timestamp")) / F.lit(slice_)).cast("long").alias("__slice"),
     )
     by_key = [col(k) for k in keys]
-    before = Window.partitionBy(*by_key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # What a bucket starts with is one more row in it, ahead of all others.
-    carried = (
-        moves.groupBy(*by_key, "__bucket").agg(F.sum("delta").alias("__total"))
-        .select(
-            *by_key, F.lit(None).cast(dtype_of(moves, "at")).alias("at"),
-            F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("delta"),
-            F.lit(None).cast(dtype_of(moves, "__row")).alias("__row"), "__bucket",
-        )
+    bucket_no = F.floor(F.col("__slice") / F.lit(SLICES)).cast("long").alias("__bucket")
+    slices = moves.groupBy(*by_key, "__slice").agg(F.sum("delta").alias("__total"))
+    slices = slices.select(*by_key, bucket_no, "__slice", "__total")
+    earlier = Window.partitionBy(*by_key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.groupBy(*by_key, "__bucket").agg(F.sum("__total").alias("__total")).select(
+        *by_key, "__bucket", F.lit(None).cast("long").alias("__slice"), F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__total")
+    )
+    inside = Window.partitionBy(*by_key, "__bucket").orderBy(F.col("__slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.unionAll(starts).withColumn("__carry", F.sum("__total").over(inside)).where("__slice IS NOT NULL").select(
+        *by_key, F.lit(None).cast(dtype_of(moves, "at")).alias("at"), F.col("__carry").alias("delta"),
+        F.lit(None).cast(dtype_of(moves, "__row")).alias("__row"), "__slice",
     )
     within = (
-        Window.partitionBy(*by_key, "__bucket").orderBy(F.col("at").asc_nulls_first())
+        Window.partitionBy(*by_key, "__slice").orderBy(F.col("at").asc_nulls_first())
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     counted = moves.unionAll(carried).withColumn("used", F.sum("delta").over(within)).where("__row IS NOT NULL")
