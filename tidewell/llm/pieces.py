@@ -37,7 +37,7 @@ CHUNK = 1 << 16
 BLANK = "▁"
 NEVER = -np.inf
 #: Words (of two generations) and pairs remembered by a worker; words over KEEP characters are not.
-MEMORY, KEEP = 250_000, 48
+MEMORY, KEEP = 200_000, 48
 #: Characters that a chunk is shown beyond its cuts: at least the longest piece.
 MARGIN = 64
 ONE = (1,)
@@ -280,11 +280,10 @@ class Pieces:
         return b"".join(out)
 
     def _part(self, text: str) -> bytes:
-        """Remembered among the words: after its blank, or under a blank where it has none."""
-        if text[0] == BLANK and text[1:].isalnum():
-            return self.word(text[1:])
-        known = self.words.get(BLANK + text) or self.older.get(BLANK + text)
-        return self._keep(BLANK + text, self.short(text) if known is None else known)
+        """Remembered among the words: one after its blank as a word, one without a blank under a space, which no word has."""
+        key = text[1:] if text[0] == BLANK else " " + text
+        known = self.words.get(key) or self.older.get(key)
+        return self._keep(key, self.short(text) if known is None else known)
 
     def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= KEEP:
