@@ -103,25 +103,16 @@ class Hasher:
     def of(self, features: list[bytes]) -> np.ndarray:
         known = self.known
         new = list(set(features) - known.keys())
-        extra: dict[bytes, int] = {}
         if new:
-            found = dict(zip(new, (crcs(new) % np.uint32(self.buckets)).tolist()))
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                extra = found
-                known.update((f, b) for f, b in zip(features[:MEMORY], map(found.get, features[:MEMORY])) if b is not None and len(f) <= KEEP)
-                if not found.keys() >= set(features):  # some were forgotten just now
-                    rest = list(set(features) - found.keys())
-                    extra = found | dict(zip(rest, (crcs(rest) % np.uint32(self.buckets)).tolist()))
-            elif max(map(len, new)) <= KEEP:
-                known.update(found)
-            else:
-                extra = {f: b for f, b in found.items() if len(f) > KEEP}
-                known.update((f, b) for f, b in found.items() if len(f) <= KEEP)
-        if extra:
-            both = {**known, **extra}
-            return np.fromiter(map(both.__getitem__, features), dtype=np.int64, count=len(features))
-        return np.fromiter(map(known.__getitem__, features), dtype=np.int64, count=len(features))
+            known.update(zip(new, (crcs(new) % np.uint32(self.buckets)).tolist()))
+        out = np.fromiter(map(known.__getitem__, features), dtype=np.int64, count=len(features))
+        if len(known) > MEMORY:
+            known.clear()
+        elif new and max(map(len, new)) > KEEP:
+            for feature in new:
+                if len(feature) > KEEP:
+                    del known[feature]
+        return out
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(place of the text, its words, buckets of its features), for a long text several times."""
