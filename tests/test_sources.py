@@ -345,6 +345,7 @@ def people_table(spark):
 
 
 def part_text(path):
+    path = path.removeprefix("file://")
     import glob
 
     return "".join(open(p, newline="").read() for p in sorted(glob.glob(f"{path}/part-*")))
