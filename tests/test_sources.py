@@ -344,6 +344,15 @@ def people_table(spark):
     return spark.createDataFrame([(1, "alice"), (2, "bob")], "id long, name string")
 
 
+def parts_of(path):
+    return sorted(glob.glob(f"{path.removeprefix('file://')}/part-*"))
+
+
+def open_text(path):
+    with open(path) as file:
+        return file.read()
+
+
 def part_text(path):
     path = path.removeprefix("file://")
     import glob
@@ -415,6 +424,10 @@ def test_json_exports(spark):
     write_json_array(spark.range(20, 0, -1), folder + "/sorted", rows_per_file=6, order_by=["id"])
     arrays = [json.loads(open(f).read()) for f in sorted(glob.glob(folder.removeprefix("file:") + "/sorted/part-*"))]
     assert [r["id"] for a in arrays for r in a] == list(range(1, 21))
+    wide = spark.range(0, 300, 1, 2).selectExpr("id", "repeat('x', IF(id = 7, 9000, 100)) AS pad")
+    write_json_array(wide, folder + "/wide", bytes_per_file=1_000)
+    sizes = [len(text) for text in map(open_text, parts_of(folder + "/wide"))]
+    assert len(sizes) >= 30 and sorted(sizes)[-2] < 1_300 and read_json_documents(spark, folder + "/wide", "id long").distinct().count() == 300
     write_json_array(numbers.where("false"), folder + "/none")
     assert json.loads(part_text(folder + "/none")) == []
     with pytest.raises(ValueError):

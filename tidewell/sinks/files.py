@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from tidewell.frame import col
 from tidewell.functions.text import cell_text, time_text
 
 # Rows of one JSON array file. A result may have any number of such files.
 ROWS_PER_ARRAY = 10_000
+BYTES_PER_ARRAY = 64 << 20
 COMPRESSIONS = ("snappy", "zstd", "gzip", "none")
 
 
@@ -80,13 +81,14 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_json_array(
     df: DataFrame, path: str, rows_per_file: int = ROWS_PER_ARRAY, mode: str = "errorifexists", order_by: Sequence[str] = (),
+    bytes_per_file: int = BYTES_PER_ARRAY,
 ) -> None:
-    """JSON arrays, one in each file and of at most `rows_per_file` rows, written in parallel.
+    """JSON arrays, one in each file, of at most `rows_per_file` rows and about `bytes_per_file` bytes (or one longer row), written in parallel.
 
     Every file is a JSON document by itself. With `order_by` the rows of the files, in
     the order of their names, are sorted. A table without rows gives one empty array.
     """
-    if rows_per_file < 1:
+    if rows_per_file < 1 or bytes_per_file < 1:
         raise ValueError("a JSON array file needs room for a row")
     ready = _json_ready(df.orderBy(*[col(c) for c in order_by]) if order_by else df)
     text = F.to_json(F.struct(*[col(c) for c in ready.columns]), {"ignoreNullFields": "false"})
@@ -94,8 +96,11 @@ def write_json_array(
     place = F.monotonically_increasing_id()
     numbered = ready.select(text.alias("row"), place.alias("at"))
     low = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    chunk = F.struct(F.shiftright("at", 33).alias("task"), F.floor(low / rows_per_file).alias("number"))
-    arrays = numbered.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
+    numbered = numbered.withColumns({"task": F.shiftright("at", 33), "number": F.floor(low / rows_per_file)})
+    before = Window.partitionBy("task", "number").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum(F.octet_length("row") + 1).over(before), F.lit(0)) / F.lit(bytes_per_file))
+    chunk = F.struct("task", "number", "part")
+    arrays = numbered.withColumn("part", part).groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
     lines = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]"))
     written = Observation()
     out = arrays.orderBy("chunk").select(lines.alias("value")).observe(written, F.count(F.lit(1)).alias("arrays"))
