@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tidewell.operators.history import (
     due_rows, duration_buckets, kpi_delta, latest_state, multi_search, over_quota, recent_n, role_quotas, skip_buckets,
@@ -16,6 +16,7 @@ from tidewell.operators.history import (
 from tidewell.operators.quota import admit, quota_admission, segmented
 from tidewell.session import scratch_dir
 from tidewell.streaming import QuotaStream, stream_files
+from tidewell.streaming.quota import STRETCH, Admission
 
 START = datetime(2024, 3, 1)
 
@@ -168,6 +169,55 @@ def test_quota_stream_clock_does_not_run_back(spark):
     assert decisions(out, "id") == {1: (True, 1, None), 2: (True, 2, None), 3: (True, 3, None), 4: (False, 3, 3600.0), 5: (True, 0, None)}
 
 
+class Handle:
+    """Stands in for Spark's state: counts the calls, each of which crosses a socket."""
+
+    def __init__(self):
+        self.state, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.state)
+
+    def put(self, rows):
+        self.calls, self.state = self.calls + 1, list(rows)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("n, quota", [(13, 2), (2 * STRETCH + 1, 3), (STRETCH + 1, 0)])
+def test_quota_stream_work_for_a_user(n, quota):
+    """A user's decisions leave in few packed rows; a batch asks the state at most four times for each user."""
+    handle, work = Handle(), Admission(3_600_000_000)
+    work.init(handle)
+    hits = [(i, "u", START + timedelta(seconds=i)) for i in range(2 * n)]
+    got = {}
+    for batch in (hits[:n], hits[n:]):
+        before = handle.calls
+        rows = (Row(user_key="u", part=0, id=e, at=int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)), moment=t, quota=quota) for e, _, t in reversed(batch))
+        out = list(work.handleInputRows(("u", 0), rows, None))
+        assert len(out) == -(-n // STRETCH) and handle.calls - before <= 4
+        for r in out:
+            got |= {e: (a, u, None if a else w) for e, a, u, w in zip(r.id, r.allowed, r.used, r.retry_after, strict=True)}
+    assert got == brute_force(hits, {"u": quota}) and len(handle.timers) == (quota > 0)
+
+
+def test_quota_stream_keeps_large_and_missing_ids(spark):
+    """A missing id beside them leaves ids beyond 2^53 as they are."""
+    hits = [(2**53 + 1, "u1", START), (2**53 + 3, "u2", START), (None, "u1", START)]
+    out, _ = drained(spark, hits, QUOTAS, [])
+    assert decisions(out, "id") == {2**53 + 1: (True, 1, None), 2**53 + 3: (True, 0, None), None: (True, 2, None)}
+
+
 def test_trailing_usage(spark):
     hits = make_hits(11)
     df, _ = frames(spark, hits)

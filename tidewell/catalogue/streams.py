@@ -32,7 +32,7 @@ def _weekly(spark, d, late):
     events = table(spark, d, "events")
     arrival = F.expr(_ARRIVAL if late else _WEEK)
     for week in range(7 if late else 5):  # the stream takes files in the order in which they were written
-        events.where(arrival == week).coalesce(1).write.mode("append").parquet(folder)
+        events.where(arrival == week).repartition(1).write.mode("append").parquet(folder)  # read by many tasks, written by one
     return stream_files(spark, folder, events.schema, max_files_per_trigger=1)
 
 
@@ -92,8 +92,10 @@ def _st_latest_state(spark, d):
 
 
 def _st_quota(spark, d):
+    folder = scratch_dir(spark, "quota-stream")
     quotas = role_quotas(derived(spark, d, ROLES), role_quota_table(spark))
-    stream = QuotaStream(spark, scratch_dir(spark, "quota-stream"), quotas)
+    quotas.write.parquet(f"{folder}/quotas")  # once, not in every batch
+    stream = QuotaStream(spark, folder, spark.read.schema(quotas.schema).parquet(f"{folder}/quotas"))
     decided = stream.drain(_weekly(spark, d, late=False))
     return decided.select(
         F.col("id").alias("event_id"), F.col("user_key").cast("long").alias("user_id"), "allowed", "used",

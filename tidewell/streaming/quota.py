@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from datetime import timedelta
+from itertools import chain, islice
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.frame import col
@@ -18,6 +19,12 @@ from tidewell.streaming.sinks import drain_append
 from tidewell.streaming.source import event_time
 
 _OUT = "user_key string, id long, at long, quota long, allowed boolean, used long, retry_after double"
+_PACKED = (
+    "user_key string, quota long, id array<long>, at array<long>, allowed array<boolean>, used array<long>, retry_after array<double>"
+)
+_DECIDED = Row("user_key", "quota", "id", "at", "allowed", "used", "retry_after")
+# Decisions in one packed row; hits without an id are the last of their moment.
+STRETCH, LAST = 10_000, (1 << 63) - 1
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Unlimited users have no state; each one's hits spread over so many keys.
@@ -28,7 +35,8 @@ DEFAULT_LATENESS = "1 day"
 class Admission(StatefulProcessor):
     """One user's window: a list state with the moments of the hits allowed in the last window, at most `quota`.
 
-    A timer at the end of the newest one's window clears the state of a user who stays away.
+    A timer at the end of the newest one's window clears the state of a user who stays away. Most users have few hits in a batch,
+    so what counts is the work for each user: hits come as rows, and their decisions leave as arrays of up to `STRETCH` hits.
     """
 
     def __init__(self, length: int):
@@ -38,30 +46,40 @@ class Admission(StatefulProcessor):
         self.handle = handle
         self.taken = handle.getListState("taken", "at long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        hits = pd.concat(list(rows), ignore_index=True)
-        quota = int(hits["quota"].iat[0])
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        first = next(rows)
+        user, quota, rows = key[0], first.quota, chain([first], rows)
         if quota <= 0:
-            yield hits[["user_key", "id", "at", "quota"]].assign(allowed=True, used=0, retry_after=np.nan)
+            while part := [(row.id, row.at) for row in islice(rows, STRETCH)]:
+                ids, at = zip(*part)
+                yield _DECIDED(user, quota, list(ids), list(at), [True] * len(ids), [0] * len(ids), [np.nan] * len(ids))
             return
-        before = [row[0] for row in self.taken.get()] if self.taken.exists() else []
+        ids, moments = [], array("q")
+        for row in rows:
+            ids.append(row.id)
+            moments.append(row.at)
+        at = np.frombuffer(moments, dtype=np.int64)
+        before = [row[0] for row in self.taken.get()]
         live = deque(before)
         if live:
-            hits["at"] = np.maximum(hits["at"], live[-1])
-        hits = hits.sort_values(["at", "id"], kind="stable", ignore_index=True)
-        allowed, used, retry = admit(hits["at"].to_numpy(), quota, live, self.length)
+            at = np.maximum(at, live[-1])
+        order = np.lexsort(([LAST if i is None else i for i in ids], at))
+        at = at[order]
+        allowed, used, retry = admit(at, quota, live, self.length)
         if allowed.any():
-            self.taken.put([(int(at),) for at in live])
+            self.taken.put([(int(moment),) for moment in live])
             if before:
                 self.handle.deleteTimer(self._end(before[-1]))
             self.handle.registerTimer(self._end(live[-1]))
-        yield hits[["user_key", "id", "at", "quota"]].assign(allowed=allowed, used=used, retry_after=retry)
+        for a in range(0, len(ids), STRETCH):
+            part = slice(a, a + STRETCH)
+            yield _DECIDED(user, quota, [ids[i] for i in order[part].tolist()], at[part], allowed[part], used[part], retry[part])
 
     def _end(self, moment: int) -> int:
         """The first whole millisecond at which nothing counts a hit of that moment any more."""
         return -(-(moment + self.length) // 1000)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.taken.clear()
         return iter(())
 
@@ -109,9 +127,12 @@ class QuotaStream:
         keyed = keyed.select("user_key", "id", "at", "moment", quota.alias("quota")).withColumn(
             "part", F.when(F.col("quota") > 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SPREAD))).cast("int")
         )
-        return keyed.groupBy("user_key", "part").transformWithStateInPandas(
-            Admission(microseconds(self.window)), _OUT, "append", "eventTime"
+        packed = keyed.groupBy("user_key", "part").transformWithState(
+            Admission(microseconds(self.window)), _PACKED, "append", "eventTime"
         )
+        hits = packed.select("user_key", "quota", F.inline(F.arrays_zip("id", "at", "allowed", "used", "retry_after")))
+        retry = F.when(~F.col("allowed"), F.col("retry_after")).alias("retry_after")
+        return hits.select("user_key", "id", "at", "quota", "allowed", "used", retry)
 
     def drain(self, hits: DataFrame) -> DataFrame:
         """Decide all hits there are now; returns every decision so far."""
