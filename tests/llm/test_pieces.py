@@ -28,6 +28,29 @@ def test_ids_are_those_of_the_library(model, chunk):
         assert model.encode(text, chunk).tolist() == model.processor.encode(text), (chunk, text)
 
 
+@pytest.mark.parametrize("block", [1, 7, pieces.BLOCK])
+def test_words_merged_side_by_side(model, monkeypatch, block):
+    """Every word as merged by itself; rows of letters that tie, unknown characters, words of one and of two letters."""
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    rnd = random.Random(5)
+    words = [pieces.BLANK + "".join(rnd.choice("abcdething") for _ in range(rnd.randint(0, 46))) for _ in range(150)]
+    words += [pieces.BLANK + c * n for c in "aest-=" for n in range(1, 40)] + ["a", "th", "Ж", "日本語", "x🙂y", "\x00", "ing.", "%%%", pieces.BLANK]
+    found = model.merge_all(words)
+    assert [f for f in found if f is not None] == [model.packed(model.merge(w)) for w, f in zip(words, found) if f is not None]
+    assert {w for w, f in zip(words, found) if f is None} <= {w for w in words if any(c not in model.ids for c in model.merge(w))}
+
+
+def test_learned_words_are_encoded_alike(model):
+    """New words of many texts are merged at once, none one by one; ids stay those of the library."""
+    rnd = random.Random(6)
+    many = [" ".join("".join(rnd.choice("abcdethingsors") for _ in range(rnd.randint(1, 12))) + rnd.choice(["", ".", ",\nand", "%%%"]) for _ in range(80)) for _ in range(20)]
+    fresh = pieces.Pieces(pieces.model_path())
+    fresh.learn([fresh.prepared(t) for t in many])
+    fresh.merge = fresh.path = None
+    for text in many:
+        assert fresh.encode(text).tolist() == model.processor.encode(text)
+
+
 def test_decoding_gives_the_text_back(model):
     for text in texts():
         assert model.decode(model.encode(text)) == text.replace("▁", " ")

@@ -3,7 +3,8 @@
 The model's segmentation (byte-pair merges by piece score) is unique, and a sequence of pieces is the segmentation of its
 text exactly if each neighbouring pair is that of the pair's text. So encoding is a best path: a piece costs nothing, a pair that the model
 would segment otherwise is forbidden (minus infinity). Blanks start words, no piece reaches over a word's start from before it, so
-words are independent: short ones are merged as the model does, and remembered; the pieces of long ones are found along the path.
+words are independent: short ones are merged as the model does, all new ones of a batch side by side, and remembered; the pieces of long ones are
+found along the path.
 
 A text of `CHUNK` characters or more is cut at multiples of it, words or not; one that many rows have is encoded once and joined back by its SHA-256. The state at a cut is the piece that lies over
 it or ends at it. A chunk yields a transfer matrix from the states at its left cut to those at its right cut, together with
@@ -38,6 +39,8 @@ BLANK = "▁"
 NEVER = -np.inf
 #: Words (of two generations) and pairs remembered by a worker; words over KEEP characters are not.
 MEMORY, KEEP = 200_000, 48
+#: Words merged side by side in one array; fewer than FEW are merged one by one.
+BLOCK, FEW = 4096, 64
 #: Characters that a chunk is shown beyond its cuts: at least the longest piece.
 MARGIN = 64
 ONE = (1,)
@@ -93,6 +96,7 @@ class Pieces:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self._spines()
+        self._table()
         beside = [(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)]
         #: Characters that no piece has behind a letter or digit; whether a line's end is a piece by itself.
         self.marks = "".join({c for p in self.ids for c in p if not c.isalnum()} - {b for a, b in beside if a.isalnum()} - {BLANK})
@@ -133,6 +137,100 @@ class Pieces:
                 ranks[i - 1] = score(parts[i - 1] + parts[i], NEVER)
         return parts
 
+    def _table(self) -> None:
+        """Numbers for the parts that merging goes through (0: none), and all pairs of parts that can be merged, sorted."""
+        parts = dict.fromkeys([*self.scores, *(c for p in self.scores for c in p)])
+        number = {p: n for n, p in enumerate(parts, 1)}
+        pairs = sorted(
+            (number[p[:i]] << 32 | number[p[i:]], score, number[p])
+            for p, score in self.scores.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number
+        )
+        self.pair_keys = np.array([k for k, _, _ in pairs], dtype=np.int64)
+        # Both end in what stands for no pair.
+        self.pair_ranks = np.array([r for _, r, _ in pairs] + [NEVER])
+        self.pair_parts = np.array([n for _, _, n in pairs] + [0], dtype=np.int32)
+        single = {ord(p): n for p, n in number.items() if len(p) == 1}
+        self.char_parts = np.zeros(max(single) + 2, dtype=np.int32)  # the last one: characters beyond
+        self.char_parts[list(single)] = list(single.values())
+        self.part_ids = np.array([-1, *(self.ids.get(p, -1) for p in parts)], dtype="<i4")
+
+    def _pairs_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs of parts among all pairs; the last place for those that cannot be merged."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        none = len(self.pair_keys)
+        return np.where(self.pair_keys[np.minimum(at, none - 1)] == keys, at, none).astype(np.int32)
+
+    def merge_all(self, texts: list[str]) -> list[bytes | None]:
+        """Packed ids of short texts, merged as `merge` does, a step of all texts of a block at a time; None where a character is no piece."""
+        out: list[bytes | None] = [None] * len(texts)
+        by_length = sorted(range(len(texts)), key=lambda n: len(texts[n]))
+        for a in range(0, len(texts), BLOCK):
+            rows = by_length[a : a + BLOCK]
+            self._merge_block([texts[n] for n in rows], rows, out)
+        return out
+
+    def _merge_block(self, texts: list[str], rows: list[int], out: list[bytes | None]) -> None:
+        sizes = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        parts = np.zeros((len(texts), max(int(sizes.max()), 2)), dtype=np.int32)
+        parts[np.arange(parts.shape[1]) < sizes[:, None]] = self.char_parts[np.minimum(points, len(self.char_parts) - 1)]
+        pairs = self._pairs_of(parts[:, :-1], parts[:, 1:])
+        where, none = np.array(rows), len(self.pair_keys)
+        while len(where):
+            ranks = self.pair_ranks[pairs]
+            best = ranks.argmax(axis=1)
+            line = np.arange(len(where))
+            done = ranks[line, best] == NEVER
+            if done.any():
+                ids, counts = self.part_ids[parts[done]], sizes[done]
+                good = (ids >= 0) | (np.arange(ids.shape[1]) >= counts[:, None])
+                raw, width = ids.tobytes(), ids.shape[1] * 4
+                for n, (row, count, whole) in enumerate(zip(where[done].tolist(), counts.tolist(), good.all(axis=1).tolist())):
+                    if whole:
+                        out[row] = raw[n * width : n * width + count * 4]
+                left = ~done
+                parts, pairs, where, sizes, best = parts[left], pairs[left], where[left], sizes[left], best[left]
+                line = np.arange(len(where))
+                if not len(where):
+                    break
+            # The best pair becomes one part; what lies behind moves up, and the pairs beside it are looked up again.
+            merged = self.pair_parts[pairs[line, best]]
+            columns = np.arange(parts.shape[1] - 1)
+            parts = np.take_along_axis(parts, columns + (columns > best[:, None]), axis=1)
+            parts[line, best] = merged
+            pairs = np.take_along_axis(pairs, columns[:-1] + (columns[:-1] >= best[:, None]), axis=1) if len(columns) > 1 else np.full((len(where), 1), none, np.int32)
+            sizes = sizes - 1
+            for at in (best - 1, best):
+                inside = np.flatnonzero((at >= 0) & (at + 1 < parts.shape[1]))
+                pairs[inside, at[inside]] = self._pairs_of(parts[inside, at[inside]], parts[inside, at[inside] + 1])
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember the words of prepared texts that are not known yet, merged side by side."""
+        words, older = self.words, self.older
+        all_words: set[str] = set()
+        for text in texts:
+            all_words.update(text.split(BLANK))
+        rare = [w for w in all_words if w not in words and 0 < len(w) < KEEP]
+        again = [(w, older[w]) for w in rare if w in older]
+        fresh = [w for w in rare if w not in older]
+        parts = {w: BLANK + w for w in fresh if w.isalnum()}
+        made = [(w, self.split(BLANK + w)) for w in fresh if not w.isalnum()] if self.lines else []
+        for _, pieces in made:
+            for part in pieces:
+                key = self.key(part)
+                if part != "\n" and key not in words and key not in older:
+                    parts[key] = part
+        for word, ids in again:
+            self._keep(word, ids)
+        if len(parts) < FEW:
+            return
+        for key, ids in zip(parts, self.merge_all(list(parts.values()))):
+            if ids is not None:
+                self._keep(key, ids)
+        for word, pieces in made:
+            self._keep(word, self._joined(pieces))
+
     def _spines(self) -> None:
         """How each piece grows at its left and at its right edge: the edge's part after each merge that changes it, with the merge's score.
 
@@ -268,20 +366,31 @@ class Pieces:
         many endings are merged once."""
         if not self.lines:
             return self.short(text)
+        return self._joined(self.split(text))
+
+    def _joined(self, parts: list[str]) -> bytes:
+        return b"".join([self.line_end if part == "\n" else self._part(part) for part in parts])
+
+    def split(self, text: str) -> list[str]:
+        """Lines' ends, and what lies between them: letters apart from the marks behind them."""
         out = []
         for n, line in enumerate(text.split("\n")):
             if n:
-                out.append(self.line_end)
+                out.append("\n")
             core = line.rstrip(self.marks)
             if core != line and core[-1:].isalnum():
-                out += [self._part(core), self._part(line[len(core) :])]
+                out += [core, line[len(core) :]]
             elif line:
-                out.append(self._part(line))
-        return b"".join(out)
+                out.append(line)
+        return out
+
+    @staticmethod
+    def key(part: str) -> str:
+        """What a part is remembered under: one after its blank as a word, one without a blank under a space, which no word has."""
+        return part[1:] if part[0] == BLANK else " " + part
 
     def _part(self, text: str) -> bytes:
-        """Remembered among the words: one after its blank as a word, one without a blank under a space, which no word has."""
-        key = text[1:] if text[0] == BLANK else " " + text
+        key = self.key(text)
         known = self.words.get(key) or self.older.get(key)
         return self._keep(key, self.short(text) if known is None else known)
 
@@ -299,7 +408,11 @@ class Pieces:
         if not text:
             return b""
         if text[0] == BLANK and BLANK * 2 not in text:
-            return b"".join([words.get(w) or word(w) for w in text[1:].split(BLANK)])
+            parts = text[1:].split(BLANK)
+            try:
+                return b"".join(map(words.__getitem__, parts))
+            except KeyError:
+                return b"".join([words.get(w) or word(w) for w in parts])
         return b"".join([word(w[1:]) if w[0] == BLANK and w[1:2] != BLANK else self.blanks(w) for w in START.split(text)])
 
     def blanks(self, text: str) -> bytes:
@@ -443,7 +556,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     @F.pandas_udf("array<int>")
     def short(texts: pd.Series) -> pd.Series:
         model = loaded(path)
-        return pd.Series([None if t is None else np.frombuffer(model.whole(model.prepared(t)), dtype="<i4") for t in texts], dtype=object)
+        prepared = [None if t is None else model.prepared(t) for t in texts]
+        model.learn([t for t in prepared if t])
+        return pd.Series([None if t is None else np.frombuffer(model.whole(t), dtype="<i4") for t in prepared], dtype=object)
 
     near = rows.where(length.isNull() | (length < chunk)).select("id", "text", short("text").alias("ids"))
 
