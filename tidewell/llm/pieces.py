@@ -20,6 +20,7 @@ U+2581 is a blank; repeated rows stay; rows with a null id are encoded like othe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -41,6 +42,8 @@ NEVER = -np.inf
 MEMORY, KEEP = 200_000, 48
 #: Words merged side by side in one array; fewer than FEW are merged one by one.
 BLOCK, FEW = 4096, 64
+#: Texts whose new words are gathered at a time.
+TOGETHER = 128
 #: Characters that a chunk is shown beyond its cuts: at least the longest piece.
 MARGIN = 64
 ONE = (1,)
@@ -141,14 +144,19 @@ class Pieces:
         """Numbers for the parts that merging goes through (0: none), and all pairs of parts that can be merged, sorted."""
         parts = dict.fromkeys([*self.scores, *(c for p in self.scores for c in p)])
         number = {p: n for n, p in enumerate(parts, 1)}
-        pairs = sorted(
-            (number[p[:i]] << 32 | number[p[i:]], score, number[p])
-            for p, score in self.scores.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number
-        )
-        self.pair_keys = np.array([k for k, _, _ in pairs], dtype=np.int64)
+        keys, scores, made = array("q"), array("d"), array("i")
+        for p, score in self.scores.items():
+            for i in range(1, len(p)):
+                left, right = number.get(p[:i]), number.get(p[i:])
+                if left and right:
+                    keys.append(left << 32 | right)
+                    scores.append(score)
+                    made.append(number[p])
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64))
+        self.pair_keys = np.frombuffer(keys, dtype=np.int64)[order]
         # Both end in what stands for no pair.
-        self.pair_ranks = np.array([r for _, r, _ in pairs] + [NEVER])
-        self.pair_parts = np.array([n for _, _, n in pairs] + [0], dtype=np.int32)
+        self.pair_ranks = np.append(np.frombuffer(scores)[order], NEVER)
+        self.pair_parts = np.append(np.frombuffer(made, dtype=np.int32)[order], np.int32(0))
         single = {ord(p): n for p, n in number.items() if len(p) == 1}
         self.char_parts = np.zeros(max(single) + 2, dtype=np.int32)  # the last one: characters beyond
         self.char_parts[list(single)] = list(single.values())
@@ -557,7 +565,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def short(texts: pd.Series) -> pd.Series:
         model = loaded(path)
         prepared = [None if t is None else model.prepared(t) for t in texts]
-        model.learn([t for t in prepared if t])
+        some = [t for t in prepared if t]
+        for a in range(0, len(some), TOGETHER):
+            model.learn(some[a : a + TOGETHER])
         return pd.Series([None if t is None else np.frombuffer(model.whole(t), dtype="<i4") for t in prepared], dtype=object)
 
     near = rows.where(length.isNull() | (length < chunk)).select("id", "text", short("text").alias("ids"))
