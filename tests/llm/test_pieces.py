@@ -51,6 +51,41 @@ def test_learned_words_are_encoded_alike(model):
         assert fresh.encode(text).tolist() == model.processor.encode(text)
 
 
+def test_words_over_lines_are_merged_side_by_side(model):
+    """A line's end is a byte piece in this model; a word with one is merged in the arrays like any other, several blanks as well."""
+    words = [pieces.BLANK + w for w in ("are.\nThe", "\n", "a\n\nb", "x\ty\x01", pieces.BLANK * 3 + "of")]
+    assert model.merge_all(words) == [model.packed(model.merge(w)) for w in words]
+
+
+def strange(seed):
+    """Texts whose words are new, long, without a blank, after several blanks, of unknown characters; some end in blanks, some are empty."""
+    rnd = random.Random(seed)
+    ends = ["", ".", ",\nand", "%%%", "  ", "   \n", "🙂", "\u0378", "x" * 60, ".\n" * 40]
+    return ["", " ", "▁", *("".join(rnd.choice(["", " ", " ", "▁"]) + "".join(rnd.choice("abcdethingsorsé") for _ in range(rnd.randint(0, 12))) + rnd.choice(ends) for _ in range(90)) for _ in range(20))]
+
+
+@pytest.mark.parametrize("memory, mixed", [(pieces.MEMORY, None), (100, None), (pieces.MEMORY, 0), (100, 7)])
+def test_texts_encoded_together(model, monkeypatch, memory, mixed):
+    """Ids are the library's if words are forgotten, and if all words of a length, or all words, have one hash."""
+    monkeypatch.setattr(pieces, "MEMORY", memory)
+    fresh = pieces.Pieces(pieces.model_path())
+    if mixed is not None:
+        fresh.mixed[:] = mixed
+    for many in (strange(1), strange(2), strange(1)):
+        found = fresh.together([fresh.prepared(t).replace(pieces.BLANK, " ").encode() for t in many])
+        assert [f.tolist() for f in found] == [model.processor.encode(t) for t in many]
+
+
+def test_slots_hold_what_was_put():
+    rnd = np.random.default_rng(2)
+    keys = np.unique(np.concatenate((rnd.integers(-(1 << 63), (1 << 63) - 1, 5000), np.arange(3000) << 40)))
+    slots = pieces.Slots(10)
+    for part in np.array_split(rnd.permutation(len(keys)), 7):
+        slots.put(keys[part], part)
+    assert (slots.get(keys) == np.arange(len(keys))).all()
+    assert (slots.get(keys[~np.isin(keys + 1, keys)] + 1) == -1).all()
+
+
 def test_decoding_gives_the_text_back(model):
     for text in texts():
         assert model.decode(model.encode(text)) == text.replace("▁", " ")

@@ -3,8 +3,8 @@
 The model's segmentation (byte-pair merges by piece score) is unique, and a sequence of pieces is the segmentation of its
 text exactly if each neighbouring pair is that of the pair's text. So encoding is a best path: a piece costs nothing, a pair that the model
 would segment otherwise is forbidden (minus infinity). Blanks start words, no piece reaches over a word's start from before it, so
-words are independent: short ones are merged as the model does, all new ones of a batch side by side, and remembered; the pieces of long ones are
-found along the path.
+words are independent: short ones are merged as the model does, all new ones of some texts side by side in arrays, and remembered, with their bytes, by
+hash; the pieces of long ones are found along the path.
 
 A text of `CHUNK` characters or more is cut at multiples of it, words or not; one that many rows have is encoded once and joined back by its SHA-256. The state at a cut is the piece that lies over
 it or ends at it. A chunk yields a transfer matrix from the states at its left cut to those at its right cut, together with
@@ -23,7 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 from struct import pack
 from typing import NamedTuple
@@ -38,12 +38,14 @@ from .common import small_batches
 CHUNK = 1 << 16
 BLANK = "▁"
 NEVER = -np.inf
-#: Words (of two generations) and pairs remembered by a worker; words over KEEP characters are not.
-MEMORY, KEEP = 200_000, 48
-#: Words merged side by side in one array; fewer than FEW are merged one by one.
-BLOCK, FEW = 4096, 64
-#: Texts whose new words are gathered at a time.
-TOGETHER = 128
+#: Of two parts that no piece has side by side.
+APART = -1
+#: Words remembered by a worker before it starts anew, and their bytes, on average; pairs remembered.
+MEMORY, WIDTH, PAIRS = 240_000, 32, 400_000
+#: Parts of fewer than KEEP characters are merged, others found along the path; BLOCK side by side in one array, fewer than FEW one by one.
+KEEP, BLOCK, FEW = 48, 4096, 64
+#: Bytes of texts that are encoded at a time; a text is not cut for it.
+TOGETHER = 1 << 18
 #: Characters that a chunk is shown beyond its cuts: at least the longest piece.
 MARGIN = 64
 ONE = (1,)
@@ -66,6 +68,73 @@ class Ways(NamedTuple):
         return self.heads[entry] + self.middle + self.tails[leave] if found is None else found
 
 
+class Slots:
+    """Distinct numbers by keys of 64 bits, each at the first free slot from its key's hash on; -1 for keys that are not there."""
+
+    def __init__(self, size: int):
+        bits = (2 * size).bit_length()
+        self.size, self.shift, self.mask = 0, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not there."""
+        if 2 * (self.size + len(keys)) > len(self.values):
+            held = np.flatnonzero(self.values != -1)
+            keys, values = np.append(self.keys[held], keys), np.append(self.values[held], values)
+            self.__init__(len(keys))
+        self.size += len(keys)
+        at = self._hash(keys)
+        while len(keys):
+            free = np.flatnonzero(self.values[at] == -1)
+            self.values[at[free]] = values[free]
+            placed = free[self.values[at[free]] == values[free]]
+            self.keys[at[placed]] = keys[placed]
+            left = np.ones(len(keys), dtype=bool)
+            left[placed] = False
+            keys, values, at = keys[left], values[left], at[left] + 1 & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._hash(keys)
+        found = self.values[at]
+        other = np.flatnonzero((found != -1) & (self.keys[at] != keys))
+        while len(other):
+            at[other] = at[other] + 1 & self.mask
+            found[other] = now = self.values[at[other]]
+            other = other[(now != -1) & (self.keys[at[other]] != keys[other])]
+        return found
+
+
+class Rows:
+    """Arrays of any lengths, one after the other."""
+
+    def __init__(self, kind: str):
+        self.values, self.starts, self.size = np.zeros(1 << 16, dtype=kind), np.zeros(1 << 12, dtype=np.int64), 0
+
+    def add(self, rows: list[bytes]) -> None:
+        values = np.frombuffer(b"".join(rows), dtype=self.values.dtype)
+        ends = self.starts[self.size] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // self.values.itemsize
+        self.values = self._room(self.values, ends[-1])
+        self.values[ends[-1] - len(values) : ends[-1]] = values
+        self.starts = self._room(self.starts, self.size + len(rows) + 1)
+        self.starts[self.size + 1 : self.size + len(rows) + 1] = ends
+        self.size += len(rows)
+
+    @staticmethod
+    def _room(held: np.ndarray, size: int) -> np.ndarray:
+        return held if size <= len(held) else np.append(held, np.zeros(max(len(held), size - len(held)), dtype=held.dtype))
+
+    def lengths(self, at: np.ndarray) -> np.ndarray:
+        return self.starts[at + 1] - self.starts[at]
+
+    def joined(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """So many values from the start of each row, one after the other."""
+        ends = np.cumsum(lengths)
+        return self.values.take(np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1]), mode="clip")
+
+
 class Pieces:
     """A byte-pair SentencePiece model with byte fallback."""
 
@@ -95,8 +164,10 @@ class Pieces:
         #: Bytes of all pieces, one after the other.
         self.bytes, self.sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw])
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        random = np.random.default_rng(1)
+        #: For the hash of a word's bytes: a number for each byte, powers of an odd number and those of its inverse.
+        self.mixed, self.powers = random.integers(0, 1 << 64, 256, dtype=np.uint64), [np.ones(1, dtype=np.uint64)] * 2
+        self._forget()
         self.pairs: dict[tuple[str, str], bool] = {}
         self._spines()
         self._table()
@@ -104,7 +175,6 @@ class Pieces:
         #: Characters that no piece has behind a letter or digit; whether a line's end is a piece by itself.
         self.marks = "".join({c for p in self.ids for c in p if not c.isalnum()} - {b for a, b in beside if a.isalnum()} - {BLANK})
         self.lines = not any("\n" in pair for pair in beside)
-        self.line_end = self.packed(["\n"])
         self.processor = SentencePieceProcessor(model_file=path)
 
     # --- pieces ---
@@ -141,8 +211,12 @@ class Pieces:
         return parts
 
     def _table(self) -> None:
-        """Numbers for the parts that merging goes through (0: none), and all pairs of parts that can be merged, sorted."""
-        parts = dict.fromkeys([*self.scores, *(c for p in self.scores for c in p)])
+        """Numbers for the parts that merging goes through (0: none), and all pairs of parts that can be merged, by hash.
+
+        A pair's value has its rank above and its number below, with room for a place between them. Pairs of characters that a piece has side by
+        side, but that are not merged by themselves, have values below APART; others are not in the table.
+        """
+        parts = dict.fromkeys([*self.scores, *(c for p in self.scores for c in p), *map(chr, range(128))])
         number = {p: n for n, p in enumerate(parts, 1)}
         keys, scores, made = array("q"), array("d"), array("i")
         for p, score in self.scores.items():
@@ -152,92 +226,130 @@ class Pieces:
                     keys.append(left << 32 | right)
                     scores.append(score)
                     made.append(number[p])
-        order = np.argsort(np.frombuffer(keys, dtype=np.int64))
-        self.pair_keys = np.frombuffer(keys, dtype=np.int64)[order]
-        # Both end in what stands for no pair.
-        self.pair_ranks = np.append(np.frombuffer(scores)[order], NEVER)
-        self.pair_parts = np.append(np.frombuffer(made, dtype=np.int32)[order], np.int32(0))
+        ranks = np.unique(np.frombuffer(scores), return_inverse=True)[1]
+        self.pair_parts, self.pair_bits = np.frombuffer(made, dtype=np.int32), len(made).bit_length()
+        self.place_bits = 63 - self.pair_bits - int(ranks.max(initial=0)).bit_length()
+        values = ranks << self.pair_bits + self.place_bits | np.arange(len(made))
+        beside = {number[a] << 32 | number[b] for p in self.scores for a, b in zip(p, p[1:])}.difference(keys)
+        self.pair_values = Slots(2 * (len(keys) + len(beside)))
+        self.pair_values.put(np.frombuffer(keys, dtype=np.int64), values)
+        self.pair_values.put(np.array(list(beside), dtype=np.int64), APART - 1 - np.arange(len(beside)))
         single = {ord(p): n for p, n in number.items() if len(p) == 1}
         self.char_parts = np.zeros(max(single) + 2, dtype=np.int32)  # the last one: characters beyond
         self.char_parts[list(single)] = list(single.values())
-        self.part_ids = np.array([-1, *(self.ids.get(p, -1) for p in parts)], dtype="<i4")
+        # A character of one byte is that byte's piece, if it has no own; others without a piece have -1.
+        self.part_ids = np.array([-1, *(self.ids.get(p, self.byte_ids[ord(p)] if p < "\x80" and len(p) == 1 else -1) for p in parts)], dtype="<i4")
 
     def _pairs_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places of pairs of parts among all pairs; the last place for those that cannot be merged."""
-        keys = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.pair_keys, keys)
-        none = len(self.pair_keys)
-        return np.where(self.pair_keys[np.minimum(at, none - 1)] == keys, at, none).astype(np.int32)
+        """Values of pairs of parts."""
+        return self.pair_values.get(left.astype(np.int64) << 32 | right)
 
     def merge_all(self, texts: list[str]) -> list[bytes | None]:
-        """Packed ids of short texts, merged as `merge` does, a step of all texts of a block at a time; None where a character is no piece."""
-        out: list[bytes | None] = [None] * len(texts)
-        by_length = sorted(range(len(texts)), key=lambda n: len(texts[n]))
-        for a in range(0, len(texts), BLOCK):
-            rows = by_length[a : a + BLOCK]
-            self._merge_block([texts[n] for n in rows], rows, out)
-        return out
+        """Packed ids of short texts, merged as `merge` does, a step of all texts of a block at a time; None where a character is several byte pieces."""
+        return [ids for a in range(0, len(texts), BLOCK) for ids in self._merge_block(texts[a : a + BLOCK])]
 
-    def _merge_block(self, texts: list[str], rows: list[int], out: list[bytes | None]) -> None:
-        sizes = np.array([len(t) for t in texts])
+    def _merge_block(self, texts: list[str]) -> list[bytes | None]:
+        """Each step merges the best pair of each run of parts, the leftmost of equals; runs end where no piece has both neighbours."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        bounds = np.append(0, np.cumsum(sizes))
         points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
-        parts = np.zeros((len(texts), max(int(sizes.max()), 2)), dtype=np.int32)
-        parts[np.arange(parts.shape[1]) < sizes[:, None]] = self.char_parts[np.minimum(points, len(self.char_parts) - 1)]
-        pairs = self._pairs_of(parts[:, :-1], parts[:, 1:])
-        where, none = np.array(rows), len(self.pair_keys)
-        while len(where):
-            ranks = self.pair_ranks[pairs]
-            best = ranks.argmax(axis=1)
-            line = np.arange(len(where))
-            done = ranks[line, best] == NEVER
-            if done.any():
-                ids, counts = self.part_ids[parts[done]], sizes[done]
-                good = (ids >= 0) | (np.arange(ids.shape[1]) >= counts[:, None])
-                raw, width = ids.tobytes(), ids.shape[1] * 4
-                for n, (row, count, whole) in enumerate(zip(where[done].tolist(), counts.tolist(), good.all(axis=1).tolist())):
-                    if whole:
-                        out[row] = raw[n * width : n * width + count * 4]
-                left = ~done
-                parts, pairs, where, sizes, best = parts[left], pairs[left], where[left], sizes[left], best[left]
-                line = np.arange(len(where))
-                if not len(where):
-                    break
+        #: The part that starts at each character; -1 where none starts any more.
+        starting = self.char_parts[np.minimum(points, len(self.char_parts) - 1)]
+        pairs = np.append(self._pairs_of(starting[:-1], starting[1:]), APART)[: len(points)]
+        pairs[bounds[1:][sizes > 0] - 1] = APART
+        counts = np.diff(np.flatnonzero(pairs == APART) + 1, prepend=0)
+        parts, place = starting.copy(), np.arange(len(points))
+        leftmost = np.arange(len(points), 0, -1) << self.pair_bits
+        while len(counts):
+            first = np.cumsum(counts) - counts
+            best = np.maximum.reduceat(pairs | leftmost[: len(pairs)], first)
+            go = best >= 0
+            keep = np.repeat(go, counts)
+            best, first, counts = best[go], first[go], counts[go] - 1
+            at = len(points) - (best >> self.pair_bits & (1 << self.place_bits) - 1)
             # The best pair becomes one part; what lies behind moves up, and the pairs beside it are looked up again.
-            merged = self.pair_parts[pairs[line, best]]
-            columns = np.arange(parts.shape[1] - 1)
-            parts = np.take_along_axis(parts, columns + (columns > best[:, None]), axis=1)
-            parts[line, best] = merged
-            pairs = np.take_along_axis(pairs, columns[:-1] + (columns[:-1] >= best[:, None]), axis=1) if len(columns) > 1 else np.full((len(where), 1), none, np.int32)
-            sizes = sizes - 1
-            for at in (best - 1, best):
-                inside = np.flatnonzero((at >= 0) & (at + 1 < parts.shape[1]))
-                pairs[inside, at[inside]] = self._pairs_of(parts[inside, at[inside]], parts[inside, at[inside] + 1])
+            parts[at] = starting[place[at]] = self.pair_parts[best & (1 << self.pair_bits) - 1]
+            starting[place[at + 1]] = -1
+            keep[at + 1] = False
+            parts, place, pairs = parts[keep], place[keep], pairs[keep]
+            inside, at = at - first, at - first + np.cumsum(counts) - counts
+            pairs[at] = APART
+            beside = np.concatenate((at[inside > 0] - 1, at[inside < counts - 1]))
+            pairs[beside] = self._pairs_of(parts[beside], parts[beside + 1])
+        left = starting >= 0
+        ids = self.part_ids[starting[left]]
+        stops = np.append(0, np.cumsum(left))[bounds]
+        raw, cuts = ids.tobytes(), (4 * stops).tolist()
+        out: list[bytes | None] = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        for n in set((np.searchsorted(stops, np.flatnonzero(ids < 0), side="right") - 1).tolist()):
+            out[n] = None
+        return out
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words with their blanks, merged side by side; long ones by their parts."""
+        cut = {w: self.split(w) for w in words if len(w) >= KEEP}
+        parts = list({*chain.from_iterable(cut.values())})
+        short = [p if len(p) < KEEP else "" for p in (*words, *parts)]
+        made = self.merge_all(short) if len(short) >= FEW else [None] * len(short)
+        found = {p: ids or self.short(p) for p, ids in zip(parts, made[len(words) :])}
+        return [ids or (b"".join([found[p] for p in cut[w]]) if w in cut else self.short(w)) for w, ids in zip(words, made)]
+
+    # --- remembered words ---
+
+    def _forget(self) -> None:
+        self.known, self.word_bytes, self.word_ids = Slots(1 << 12), Rows("u1"), Rows("<i4")
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        size = self.word_bytes.size
+        self.word_ids.add(self._merged([w.decode().replace(" ", BLANK) for w in words]))
+        self.word_bytes.add(words)
+        return np.arange(size, size + len(words))
+
+    def _powers(self, size: int) -> list[np.ndarray]:
+        if size > len(self.powers[0]):
+            odd = 0x9E3779B97F4A7C15
+            self.powers = [np.cumprod(np.append(np.uint64(1), np.full(2 * size - 1, n, dtype=np.uint64))) for n in (odd, pow(odd, -1, 1 << 64))]
+        return self.powers
+
+    def together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts (UTF-8, blanks as spaces) that start and end at words' starts.
+
+        All words, each with the blanks before it, are looked up by hash and compared byte by byte; new ones are merged side by side.
+        """
+        if self.known.size >= MEMORY or self.word_bytes.starts[self.word_bytes.size] >= WIDTH * MEMORY:
+            self._forget()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends, whole = np.cumsum(sizes), b"".join(texts)
+        if not whole:
+            return [np.zeros(0, dtype="<i4") for _ in texts]
+        raw = np.frombuffer(whole, dtype=np.uint8)
+        blank = raw == 32
+        starts = blank & ~np.append(False, blank[:-1])
+        starts[(ends - sizes)[sizes > 0]] = True
+        first = np.flatnonzero(starts)
+        lengths = np.diff(first, append=len(raw))
+        up, down = self._powers(len(raw))
+        sums = np.append(np.uint64(0), np.cumsum(self.mixed[raw] * up[: len(raw)]))
+        keys = ((sums[first + lengths] - sums[first]) * down[first]).view(np.int64)
+        at = self.known.get(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_index=True)
+            self.known.put(fresh, self._add([whole[a:b] for a, b in zip(first[new[where]].tolist(), (first + lengths)[new[where]].tolist())]))
+            at[new] = self.known.get(keys[new])
+        # Words of one hash: all but the first are not remembered.
+        other = self.word_bytes.lengths(at) != lengths
+        other[np.searchsorted(first, np.flatnonzero(self.word_bytes.joined(at, lengths) != raw), side="right") - 1] = True
+        for n in np.flatnonzero(other).tolist():
+            at[n] = self._add([whole[first[n] : first[n] + lengths[n]]])[0]
+        counts = self.word_ids.lengths(at)
+        ids = self.word_ids.joined(at, counts)
+        stops = np.append(0, np.cumsum(counts))[np.searchsorted(first, np.append(0, ends))].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
     def learn(self, texts: list[str]) -> None:
-        """Remember the words of prepared texts that are not known yet, merged side by side."""
-        words, older = self.words, self.older
-        all_words: set[str] = set()
-        for text in texts:
-            all_words.update(text.split(BLANK))
-        rare = [w for w in all_words if w not in words and 0 < len(w) < KEEP]
-        again = [(w, older[w]) for w in rare if w in older]
-        fresh = [w for w in rare if w not in older]
-        parts = {w: BLANK + w for w in fresh if w.isalnum()}
-        made = [(w, self.split(BLANK + w)) for w in fresh if not w.isalnum()] if self.lines else []
-        for _, pieces in made:
-            for part in pieces:
-                key = self.key(part)
-                if part != "\n" and key not in words and key not in older:
-                    parts[key] = part
-        for word, ids in again:
-            self._keep(word, ids)
-        if len(parts) < FEW:
-            return
-        for key, ids in zip(parts, self.merge_all(list(parts.values()))):
-            if ids is not None:
-                self._keep(key, ids)
-        for word, pieces in made:
-            self._keep(word, self._joined(pieces))
+        """Remember the words of prepared texts."""
+        self.together([t.replace(BLANK, " ").encode() for t in texts])
 
     def _spines(self) -> None:
         """How each piece grows at its left and at its right edge: the edge's part after each merge that changes it, with the merge's score.
@@ -270,7 +382,7 @@ class Pieces:
         """Whether the model segments the text of two pieces into these two."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 2 * MEMORY:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             blanks = BLANK * 2 in left + right  # pieces of blanks share a score
             known = self.pairs[left, right] = self.merge(left + right) == [left, right] if blanks else self._apart(left, right)
@@ -358,29 +470,14 @@ class Pieces:
                 before = parts[-1] if parts else ""
         return parts
 
-    def word(self, text: str) -> bytes:
-        """Packed ids of one word: a blank, then the text."""
-        known = self.words.get(text)
-        if known is None and (known := self.older.get(text)) is None:
-            known = self.short(BLANK + text) if text.isalnum() else self.apart(BLANK + text)
-        return self._keep(text, known)
-
     def short(self, text: str) -> bytes:
         """Packed ids of a text without word starts inside: short ones merged as the model does, long ones along the path."""
-        return self.packed(self.merge(text) if len(text) <= KEEP else self.path(text))
-
-    def apart(self, text: str) -> bytes:
-        """The same, where no piece reaches over a line's end or from letters to the marks behind them: each part by itself, so that words with
-        many endings are merged once."""
-        if not self.lines:
-            return self.short(text)
-        return self._joined(self.split(text))
-
-    def _joined(self, parts: list[str]) -> bytes:
-        return b"".join([self.line_end if part == "\n" else self._part(part) for part in parts])
+        return self.packed(self.merge(text) if len(text) < KEEP else self.path(text))
 
     def split(self, text: str) -> list[str]:
-        """Lines' ends, and what lies between them: letters apart from the marks behind them."""
+        """Lines' ends, and what lies between them: letters apart from the marks behind them, where no piece reaches over either."""
+        if not self.lines:
+            return [text]
         out = []
         for n, line in enumerate(text.split("\n")):
             if n:
@@ -392,40 +489,9 @@ class Pieces:
                 out.append(line)
         return out
 
-    @staticmethod
-    def key(part: str) -> str:
-        """What a part is remembered under: one after its blank as a word, one without a blank under a space, which no word has."""
-        return part[1:] if part[0] == BLANK else " " + part
-
-    def _part(self, text: str) -> bytes:
-        key = self.key(text)
-        known = self.words.get(key) or self.older.get(key)
-        return self._keep(key, self.short(text) if known is None else known)
-
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= KEEP:
-            if len(self.words) >= MEMORY:
-                self.older = dict(self.words)
-                self.words.clear()
-            self.words[text] = ids
-        return ids
-
     def whole(self, text: str) -> bytes:
         """Packed ids of a text (blanks as U+2581) that starts and ends at word starts."""
-        words, word = self.words, self.word
-        if not text:
-            return b""
-        if text[0] == BLANK and BLANK * 2 not in text:
-            parts = text[1:].split(BLANK)
-            try:
-                return b"".join(map(words.__getitem__, parts))
-            except KeyError:
-                return b"".join([words.get(w) or word(w) for w in parts])
-        return b"".join([word(w[1:]) if w[0] == BLANK and w[1:2] != BLANK else self.blanks(w) for w in START.split(text)])
-
-    def blanks(self, text: str) -> bytes:
-        """Packed ids of a word without a blank or with several before it."""
-        return self.packed(self.path(text))
+        return self.together([text.replace(BLANK, " ").encode()])[0].tobytes()
 
     def straddling(self, text: str, cut: int) -> list[tuple[int, int]]:
         """Pieces (start, end) of the text that lie over the cut or end at it."""
@@ -564,11 +630,17 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     @F.pandas_udf("array<int>")
     def short(texts: pd.Series) -> pd.Series:
         model = loaded(path)
-        prepared = [None if t is None else model.prepared(t) for t in texts]
-        some = [t for t in prepared if t]
-        for a in range(0, len(some), TOGETHER):
-            model.learn(some[a : a + TOGETHER])
-        return pd.Series([None if t is None else np.frombuffer(model.whole(t), dtype="<i4") for t in prepared], dtype=object)
+        found: list = [None] * len(texts)
+        group, size = [], 0
+        for n, text in enumerate(texts):
+            if text is not None:
+                group.append((n, model.prepared(text).replace(BLANK, " ").encode()))
+                size += len(group[-1][1])
+            if group and (size >= TOGETHER or n == len(texts) - 1):
+                for (row, _), ids in zip(group, model.together([raw for _, raw in group])):
+                    found[row] = ids
+                group, size = [], 0
+        return pd.Series(found, dtype=object)
 
     near = rows.where(length.isNull() | (length < chunk)).select("id", "text", short("text").alias("ids"))
 
